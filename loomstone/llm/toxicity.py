@@ -32,7 +32,9 @@ from loomstone.llm.common import like, ship
 #: Labelled documents to learn from, at most about (a hash of the id picks them); terms of the lexicon.
 TRAIN_ROWS, TERMS = 40_000, 400
 #: Lengths of stems; toxic documents that must have a term, as a share of all and at least.
-STEMS, SUPPORT, LEAST = (4, 5, 6, 7), 0.01, 3
+STEMS, SUPPORT, LEAST = (4, 5, 6, 7), 0.01, 4
+#: A term found in so many toxic documents has half of its weight: of many rare words, some are toxic by chance only.
+DOUBT = 15
 #: Words on either side of a hit that are its context, and the factors of what may stand there.
 WINDOW, QUOTED, REPORTED, ADDRESSED = 6, 0.4, 0.7, 1.15
 REPORTING = frozenset("said says wrote writes quoted quotes quote called term word slur phrase according reported sagte schrieb zitiert wort dit écrit cité mot dijo escribió citó palabra".split())
@@ -279,7 +281,8 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, rows: int = TRAIN_ROW
             r = next((r for r in table if (r["term"], r["d"]) == (i, d)), None)
             # few matches say little of a misspelling: its distance as a whole says more
             w = weigh(r["p"], r["a"]) if r and r["a"] >= 5 else by_distance.get(d, 4.0 - d)
-            model.weights[i, d] = max(0.0, min(8.0, w)) if w > 1.5 else 0.0
+            p = r["p"] if r else 0
+            model.weights[i, d] = min(8.0, w) * p / (p + DOUBT) if w > 1.5 else 0.0
     rate = pos / (pos + neg)
     model.bias = max(-4.0, min(-1.5, math.log(rate / (1 - rate)) if neg else -1.5)) - 0.5
     return model
