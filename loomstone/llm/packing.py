@@ -16,6 +16,7 @@ then the longest others until CRUMBS of the group's tokens are reached, are cut
 from __future__ import annotations
 
 import heapq
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ from loomstone.llm.common import like, ship
 from loomstone.llm.token_counts import frequent_pieces, tokenizer
 
 #: Windows of a group; part of its tokens that is cut into crumbs, and their length.
-WINDOWS, CRUMBS, CRUMB = 96, 0.15, 48
+WINDOWS, CRUMBS, CRUMB = 48, 0.12, 32
 
 _ids: dict = {}
 
@@ -126,7 +127,7 @@ def _pack(docs: Iterator[tuple], capacity: int, first: int, with_ids: bool) -> I
             group.append((len(held), start, n - start, int(start > 0)))
             held.append(doc)
             total += n - start
-        if total >= (WINDOWS - 0.5) * capacity:
+        if total >= (WINDOWS - 0.6) * capacity:
             close()
             group, held, total = [], [], 0
             yield out
@@ -160,7 +161,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end: int = 1, with_id
         from loomstone.llm import packing as here
         from loomstone.llm import token_counts as tokens
 
-        look = tokens.Lookup(path, tier1.value, lambda x: np.array(x, "<u4").tobytes(), here._ids.setdefault(path, {}))
+        look = tokens.Lookup(path, tier1.value, lambda x: struct.pack(f"<{len(x)}I", *x), here._ids)
         last = int(end).to_bytes(4, "little")
         kinds: list = []
 
@@ -168,7 +169,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end: int = 1, with_id
             for whole in batches:
                 for b in tokens._slices(whole, 1):
                     kinds[:] = [b.schema.field(0).type]
-                    yield from ((i, b"".join(v) + last) for i, v in zip(b.column(0).to_pylist(), look.batch(b.column(1).to_pylist()), strict=True))
+                    yield from ((i, b"".join(look.values(t)) + last) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
 
         first = TaskContext.get().partitionId() << 33
         names = here.COLUMNS if with_ids else here.COLUMNS[:-1]

@@ -15,10 +15,12 @@ are encoded whole.
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,11 +31,12 @@ from loomstone.llm.common import like, ship
 #: Rows (at most that many characters each) from which the table of frequent pieces is made, and its entries.
 SAMPLE_ROWS, SAMPLE_CHARS, FREQUENT = 512, 20_000, 30_000
 #: Entries of a worker's cache, and the longest piece that is kept.
-CACHED, LONGEST = 300_000, 64
+CACHED, LONGEST = 400_000, 64
 
 _cut = re.compile(r"(?<=\S)(?= \S)")
 _double = re.compile(r" \s|\s ")
 _tokenizers: dict = {}
+_encoders: dict = {}
 
 
 def tokenizer(path: str):
@@ -60,36 +63,55 @@ def pieces(text: str) -> list[str]:
     return [head, *[" " + x for x in rest]]
 
 
+def encoder(path: str):
+    """ids of a piece. Where the same vocabulary lies beside the file as byte ranks, those serve: same ids, less work for each call."""
+    whole, _ = tokenizer(path)
+    ranks = Path(path).with_suffix(".tiktoken")
+    if not (path.endswith(".json") and ranks.exists()):
+        return lambda piece: whole.encode(piece, add_special_tokens=False).ids
+    if path not in _encoders:
+        import public_tokenizers
+        import tiktoken
+
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.read_bytes().splitlines())}
+        _encoders[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+    return _encoders[path]
+
+
+class Cache(dict):
+    """The second tier over the first: what is missing is encoded once and kept, until the bound drops all but the frequent."""
+
+    def __init__(self, frequent: dict, encode, value_of):
+        super().__init__(frequent)
+        self.frequent, self.encode, self.value_of = frequent, encode, value_of
+
+    def __missing__(self, piece: str):
+        value = self.value_of(self.encode(piece))
+        if len(piece) <= LONGEST:
+            if len(self) >= CACHED:
+                self.clear()
+                self.update(self.frequent)
+            self[piece] = value
+        return value
+
+
 class Lookup:
-    """value_of(ids) of pieces: from the frequent table, this worker's cache, or the tokeniser."""
-
-    def __init__(self, path: str, frequent: dict, value_of, cache: dict):
-        self.encode, self.special = tokenizer(path)
-        self.frequent, self.value_of, self.cache = frequent, value_of, cache
-
-    def batch(self, texts: list[str | None]) -> list[list]:
-        """Per text, the values of its pieces in order."""
-        found, missing = [], {}
-        frequent, cache = self.frequent, self.cache
-        for text in texts:
-            text = text or ""
-            parts = [text] if any(s in text for s in self.special) else pieces(text) if text else []
-            found.append(parts)
-            for p in parts:
-                if p not in frequent and p not in cache:
-                    missing[p] = None
-        if missing:
-            words = list(missing)
-            for at in range(0, len(words), 4096):
-                some = words[at : at + 4096]
-                for w, e in zip(some, self.encode.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    missing[w] = self.value_of(e.ids)
-        value = lambda p: missing[p] if p in missing else frequent[p] if p in frequent else cache[p]
-        out = [list(map(value, parts)) for parts in found] if missing else [[frequent[p] if p in frequent else cache[p] for p in parts] for parts in found]
-        if len(cache) + len(missing) > CACHED:
-            cache.clear()
-        cache.update((k, v) for k, v in missing.items() if len(k) <= LONGEST)
-        return out
+    """value_of(ids) of the pieces of texts."""
+
+    def __init__(self, path: str, frequent: dict, value_of, caches: dict):
+        self.whole, self.special = tokenizer(path)
+        self.value_of = value_of
+        if path not in caches or caches[path].frequent != frequent:
+            caches[path] = Cache(frequent, encoder(path), value_of)
+        self.get = caches[path].__getitem__
+
+    def values(self, text: str | None) -> Iterable:
+        """One value for each piece of a text, in order."""
+        if not text:
+            return ()
+        if any(s in text for s in self.special):
+            return (self.value_of(self.whole.encode(text, add_special_tokens=False).ids),)
+        return map(self.get, pieces(text))
 
 
 def frequent_pieces(docs: DataFrame, text: str = "text") -> list[str]:
@@ -133,11 +155,11 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id: str = "doc_i
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from loomstone.llm import token_counts as here
 
-        look = here.Lookup(path, tier1.value, len, here._counts.setdefault(path, {}))
+        look = here.Lookup(path, tier1.value, len, here._counts)
         for whole in batches:
             for b in here._slices(whole, 1):
                 texts = b.column(1).to_pylist()
-                n = [sum(v) for v in look.batch(texts)]
+                n = [sum(look.values(t)) for t in texts]
                 size = [len(t.encode()) if t else 0 for t in texts]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
