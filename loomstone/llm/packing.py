@@ -150,7 +150,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end: int = 1, with_id
     ship(docs.sparkSession)
     enc, special = tokenizer(path)
     frequent = [p for p in frequent_pieces(docs, text) if not any(s in p for s in special)]
-    ids = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(frequent, enc.encode_batch_fast(frequent, add_special_tokens=False), strict=True)}
+    ids = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(frequent, enc.encode_batch_fast([" " + p for p in frequent], add_special_tokens=False), strict=True)}
     tier1 = docs.sparkSession.sparkContext.broadcast(ids)
     kind = dict(docs.dtypes)[id]
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids

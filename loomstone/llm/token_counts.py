@@ -19,7 +19,7 @@ import base64
 import os
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -31,10 +31,9 @@ from loomstone.llm.common import like, ship
 #: Rows (at most that many characters each) from which the table of frequent pieces is made, and its entries.
 SAMPLE_ROWS, SAMPLE_CHARS, FREQUENT = 512, 20_000, 30_000
 #: Entries of a worker's cache, and the longest piece that is kept.
-CACHED, LONGEST = 400_000, 64
+CACHED, LONGEST = 800_000, 64
 
 _cut = re.compile(r"(?<=\S)(?= \S)")
-_double = re.compile(r" \s|\s ")
 _tokenizers: dict = {}
 _encoders: dict = {}
 
@@ -52,15 +51,8 @@ def tokenizer(path: str):
     return _tokenizers[path]
 
 
-def pieces(text: str) -> list[str]:
-    """Parts of a text that the tokeniser treats apart; joined they give the text."""
-    if _double.search(text):
-        return _cut.split(text)
-    head, *rest = text.split(" ")
-    # a space at the very start or end, or one beside other white space, never gets here but as these two
-    if (rest and not rest[-1]) or not head:
-        return _cut.split(text)
-    return [head, *[" " + x for x in rest]]
+class Irregular(Exception):
+    """A plain space beside other white space: the text has to be cut with more care."""
 
 
 def encoder(path: str):
@@ -79,14 +71,19 @@ def encoder(path: str):
 
 
 class Cache(dict):
-    """The second tier over the first: what is missing is encoded once and kept, until the bound drops all but the frequent."""
+    """Values of what stands after a plain space: the frequent table, and over it what this worker met.
+
+    What is missing is encoded once and kept, until the bound drops all but the frequent.
+    """
 
     def __init__(self, frequent: dict, encode, value_of):
         super().__init__(frequent)
         self.frequent, self.encode, self.value_of = frequent, encode, value_of
 
     def __missing__(self, piece: str):
-        value = self.value_of(self.encode(piece))
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            raise Irregular
+        value = self.value_of(self.encode(" " + piece))
         if len(piece) <= LONGEST:
             if len(self) >= CACHED:
                 self.clear()
@@ -100,18 +97,28 @@ class Lookup:
 
     def __init__(self, path: str, frequent: dict, value_of, caches: dict):
         self.whole, self.special = tokenizer(path)
-        self.value_of = value_of
+        self.value_of, self.encode = value_of, encoder(path)
         if path not in caches or caches[path].frequent != frequent:
-            caches[path] = Cache(frequent, encoder(path), value_of)
+            caches[path] = Cache(frequent, self.encode, value_of)
         self.get = caches[path].__getitem__
 
-    def values(self, text: str | None) -> Iterable:
+    def values(self, text: str | None) -> list:
         """One value for each piece of a text, in order."""
         if not text:
-            return ()
+            return []
+        own = lambda piece: self.value_of(self.encode(piece))
         if any(s in text for s in self.special):
-            return (self.value_of(self.whole.encode(text, add_special_tokens=False).ids),)
-        return map(self.get, pieces(text))
+            return [self.value_of(self.whole.encode(text, add_special_tokens=False).ids)]
+        head, *rest = text.split(" ")
+        if not rest:
+            return [own(text)]
+        last = rest.pop()
+        try:
+            if not head or head[-1].isspace() or last[:1].isspace():
+                raise Irregular
+            return [own(head), *map(self.get, rest), own(" " + last)]
+        except Irregular:
+            return [own(p) for p in _cut.split(text)]
 
 
 def frequent_pieces(docs: DataFrame, text: str = "text") -> list[str]:
@@ -119,7 +126,7 @@ def frequent_pieces(docs: DataFrame, text: str = "text") -> list[str]:
     sample = like(docs, [text]).where(F.length(text) <= SAMPLE_CHARS).head(SAMPLE_ROWS)
     seen: Counter = Counter()
     for (x,) in sample:
-        seen.update(p for p in pieces(x) if len(p) <= LONGEST)
+        seen.update(p for p in x.split(" ")[1:] if p and len(p) <= LONGEST and not p[0].isspace() and not p[-1].isspace())
     return [p for p, n in seen.most_common(FREQUENT) if n > 1]
 
 
@@ -149,7 +156,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id: str = "doc_i
     ship(docs.sparkSession)
     enc, special = tokenizer(path)
     frequent = [p for p in frequent_pieces(docs, text) if not any(s in p for s in special)]
-    lengths = {p: len(e.ids) for p, e in zip(frequent, enc.encode_batch_fast(frequent, add_special_tokens=False), strict=True)}
+    lengths = {p: len(e.ids) for p, e in zip(frequent, enc.encode_batch_fast([" " + p for p in frequent], add_special_tokens=False), strict=True)}
     tier1 = docs.sparkSession.sparkContext.broadcast(lengths)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
