@@ -24,6 +24,8 @@ from loomstone.llm.graph import components
 BLOCKS = (13, 13, 13, 13, 12)
 #: Rows of a key that are compared all at once; more are first split on the bits that the key leaves open.
 DENSE = 4096
+#: Rows of a key whose pairs are all looked at in one sweep over many keys.
+FEW = 4
 
 
 def fingerprint(text: str | None, shingle: int = 5, words64: int = 1) -> list[int]:
@@ -74,20 +76,21 @@ def _near(x: np.ndarray, y: np.ndarray, distance: int) -> np.ndarray:
 
 
 def _forest(x: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links (places in x) that join what is within the distance, through others of x or directly.
+    """Links (places in x) from the first place of each group to all others that the distance connects to it.
 
     Breadth first: each place reached is compared with all not reached yet, so a dense group costs
-    little more than its size. Few but far values are compared with each other.
+    little more than its size. Few but far values are compared with each other. Stars with the
+    smallest place in the middle are much the same for each key, so that few links are left in all.
     """
     out, left = [], np.arange(len(x))
     while len(left):
-        queue, left = [int(left[0])], left[1:]
+        first, queue, left = int(left[0]), [int(left[0])], left[1:]
         while queue and len(left):
-            i = queue.pop()
-            hit = _near(x[left], x[i], distance)
+            hit = _near(x[left], x[queue.pop()], distance)
             if hit.any():
-                out += [(i, j) for j in left[hit].tolist()]
-                queue += left[hit].tolist()
+                reached = left[hit].tolist()
+                out += [(first, j) for j in reached]
+                queue += reached
                 left = left[~hit]
     return out
 
@@ -114,7 +117,7 @@ def _links(key: np.ndarray, x: np.ndarray, distance: int) -> tuple[np.ndarray, n
     starts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
     sizes = np.diff(np.concatenate((starts, [len(key)])))
     a, b = [], []
-    for s, n in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
+    for s, n in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
         if x.shape[1] == 1:
             closed = {bit for k in PAIRS[int(key[s]) >> 26] for bit in range(LOW[k], LOW[k] + BLOCKS[k])}
             found = _dense(x[s : s + n], [bit for bit in range(64) if bit not in closed], distance)
@@ -124,9 +127,9 @@ def _links(key: np.ndarray, x: np.ndarray, distance: int) -> tuple[np.ndarray, n
             i, j = np.array(found).T
             a.append(i + s)
             b.append(j + s)
-    small = np.flatnonzero(np.repeat((sizes <= 64) & (sizes > 1), sizes))
+    small = np.flatnonzero(np.repeat((sizes <= FEW) & (sizes > 1), sizes))
     key, x = key[small], x[small]
-    for lag in range(1, min(64, int(sizes[sizes <= 64].max(initial=0)))):
+    for lag in range(1, min(FEW, int(sizes[sizes <= FEW].max(initial=0)))):
         hit = np.flatnonzero(key[lag:] == key[:-lag])
         hit = hit[_near(x[hit + lag], x[hit], distance)]
         a.append(small[hit])
