@@ -1,4 +1,6 @@
-"""Queries of the library over the given tables, each with equivalent SQL."""
+"""All queries of the library over the given tables."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from loomstone.plans import analytics, geography, modelling, relational, summaries, texts  # noqa: F401
+from loomstone.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
