@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomstone.llm.common import SPACES, like, ship
+from loomstone.llm.common import SPACES, ship
 
 #: Characters of the normalised text that lead the sort.
 LEAD = 32
@@ -150,6 +150,8 @@ def mark_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
 
 def drop_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that mark_duplicates keeps, whole."""
-    others = [c for c in docs.columns if c not in (id, text)]
-    runs = _settled(_sorted_runs(docs, id, text, others, False))
-    return like(runs.where(F.coalesce("_home", "_part") == F.col("_part")).withColumnRenamed("_text", text), docs.columns)
+    # other columns get names of their own on the way
+    names = {c: f"_other{i}" for i, c in enumerate(docs.columns) if c not in (id, text)}
+    own = docs.select(F.col(f"`{id}`"), F.col(f"`{text}`"), *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    runs = _settled(_sorted_runs(own, id, text, list(names.values()), False)).where(F.coalesce("_home", "_part") == F.col("_part"))
+    return runs.select(*[F.col(names[c]).alias(c) if c in names else F.col("_text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])

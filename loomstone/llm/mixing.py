@@ -77,13 +77,18 @@ def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", **more) -> Da
     A row that the last epoch cuts has only the words taken (and n_chars of those, if docs has it);
     words keep the white space between them.
     """
-    carry = tuple(c for c in docs.columns if c != id)
-    rows = mix(docs, id=id, text=text, carry=carry, **more)
-    own = rows.where("taken > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("size")))))
+    # carried columns get names of their own: docs may have one called size or taken
+    own = docs.select(*[F.col(f"`{c}`").alias(c if c in (id, more.get("source", "source")) else f"_own_{c}") for c in docs.columns])
+    source = more.pop("source", "source")
+    carry = tuple(c for c in own.columns if c != id)
+    rows = mix(own, id=id, text=f"_own_{text}", source=source, carry=carry, **more).where("taken > 0")
+    rows = rows.withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("size")))))
     left = F.col("taken") - F.col("_epoch") * F.col("size")
-    # text up to the end of the left-th word: a word and what is white after it, that many times
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(f"`{text}`"), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), 0), F.lit(1), left.cast("int")), "")
-    out = own.withColumn(text, F.when(left < F.col("size"), cut).otherwise(F.col(f"`{text}`")))
+    # text up to the end of the left-th word: a word and what is white before it, that many times
+    whole = F.col(f"`_own_{text}`")
+    cut = F.array_join(F.slice(F.regexp_extract_all(whole, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), 0), F.lit(1), left.cast("int")), "")
+    shorter = left < F.col("size")
+    new = {text: F.when(shorter, cut).otherwise(whole)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(left < F.col("size"), F.length(text).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        new["n_chars"] = F.when(shorter, F.length(cut).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("_own_n_chars"))
+    return rows.select(*[(new[c] if c in new else F.col(f"`{c}`" if c in (id, source) else f"`_own_{c}`")).alias(c) for c in docs.columns])

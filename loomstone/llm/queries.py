@@ -46,7 +46,7 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sharding.assign(table(spark, sf_dir, "documents"), sharding.tree(16), sharding.tree(17))
+    out = sharding.assign(table(spark, sf_dir, "documents"), sharding.tree(16), sharding.grown(sharding.tree(16)))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 

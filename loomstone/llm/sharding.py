@@ -23,13 +23,15 @@ class Shard:
     weight: float = 1.0
 
 
-def tree(shards: int, base: int = 16, racks: int = 2, per_rack: int = 2) -> tuple[Shard, ...]:
-    """The first base shards in regions of racks x per_rack, each later one in a region of its own."""
+def tree(shards: int, racks: int = 2, per_rack: int = 2) -> tuple[Shard, ...]:
+    """Shards of equal weight in regions of racks x per_rack."""
     size = racks * per_rack
-    old = min(shards, base)
-    first = [Shard(s // size, s % size // per_rack, s) for s in range(old)]
-    regions = -(-base // size)
-    return (*first, *[Shard(regions + s - base, 0, s) for s in range(base, shards)])
+    return tuple(Shard(s // size, s % size // per_rack, s) for s in range(shards))
+
+
+def grown(nodes: tuple[Shard, ...], weight: float = 1.0) -> tuple[Shard, ...]:
+    """One more shard, in a region of its own: it takes rows from all others, and no other takes any."""
+    return (*nodes, Shard(max(s.region for s in nodes) + 1, 0, max(s.shard for s in nodes) + 1, weight))
 
 
 def _draw(id: Column, level: int, name: int, weight: float) -> Column:
