@@ -50,8 +50,9 @@ def radius_join(left: DataFrame, right: DataFrame, radius_m: float, cell_deg: fl
     """
     dlat = math.degrees(radius_m / EARTH_M)
     n = math.ceil(360 / cell_deg)
-    widest = F.greatest(F.lit(0.01), F.cos(F.radians(F.least(F.lit(89.4), F.abs("l_lat") + dlat))))
-    dlon = F.least(F.lit(180.0), F.lit(dlat) / widest * 1.001)
+    # the circle's easternmost point; around a pole it takes all longitudes
+    reach = F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(math.radians(dlat))) / F.cos(F.radians("l_lat"))))) * 1.001
+    dlon = F.when(F.abs("l_lat") + dlat >= 90, F.lit(180.0)).otherwise(reach)
     rows = F.sequence(F.floor((F.col("l_lat") - dlat) / cell_deg), F.floor((F.col("l_lat") + dlat) / cell_deg))
     cols = F.array_distinct(F.transform(F.sequence(F.floor((F.col("l_lon") - dlon) / cell_deg), F.floor((F.col("l_lon") + dlon) / cell_deg)), lambda c: F.pmod(c, F.lit(n))))
     left = left.withColumn("_row", F.explode(rows)).withColumn("_col", F.explode(cols))

@@ -45,7 +45,7 @@ def previous_quarter_trend(t: Tables):
 @query(f"""WITH n AS (SELECT max(ts) AS now FROM events),
 e AS (SELECT user_id, event_type, ts, (epoch_us(now) - epoch_us(ts)) // 86400000000 AS age, CASE event_type WHEN 'error' THEN 1.0 WHEN 'purchase' THEN 0.8 WHEN 'click' THEN 0.5 ELSE 0.2 END AS sev, event_id % 97 AS h FROM events, n),
 d AS (SELECT * FROM e WHERE age <= 365 QUALIFY row_number() OVER (PARTITION BY user_id, event_type, h ORDER BY ts DESC) = 1)
-SELECT user_id, count(*) AS n, round(sum(sev * CASE WHEN age <= 7 THEN 1.0 WHEN age <= 14 THEN 0.6 ELSE 0.3 END), 4) AS pressure, count(DISTINCT event_type) AS kinds,
+SELECT user_id, count(*) AS n, round(sum(sev::DOUBLE * CASE WHEN age <= 7 THEN 1.0 WHEN age <= 14 THEN 0.6 ELSE 0.3 END::DOUBLE), 4) AS pressure, count(DISTINCT event_type) AS kinds,
   CASE WHEN count(*) >= 10 THEN 'high' WHEN count(*) >= 3 THEN 'medium' ELSE 'low' END AS confidence FROM d GROUP BY 1""")
 def complaint_rollup(t: Tables):
     """Observations weighed by severity and freshness, one per content hash, age in whole days of 24 hours."""

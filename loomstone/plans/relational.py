@@ -6,7 +6,10 @@ from loomstone.operators import changes, latest
 from loomstone.plans.registry import Tables, query
 
 _LATEST = "row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC)"
-_NEWEST = [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()]
+
+
+def _newest():
+    return [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()]
 
 
 @query(f"""
@@ -17,7 +20,7 @@ SELECT n_name, count(*) AS candidates, sum(greatest(1, coalesce(n, 0)))::BIGINT
 FROM l JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey LEFT JOIN n ON l_orderkey = o_orderkey
 GROUP BY n_name""")
 def latest_country_summary(t: Tables):
-    rows = latest.latest_per_key(t.orders, ["o_custkey"], _NEWEST)
+    rows = latest.latest_per_key(t.orders, ["o_custkey"], _newest())
     counts = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("n"))
     rows = rows.join(t.customer, rows.o_custkey == F.col("c_custkey")).join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
     rows = rows.join(counts, F.col("l_orderkey") == F.col("o_orderkey"), "left")
@@ -39,12 +42,12 @@ def latest_with_ties(t: Tables):
 
 @query(f"SELECT o_custkey, o_orderkey FROM (SELECT * FROM orders WHERE o_orderstatus = 'F') QUALIFY {_LATEST} = 1")
 def filter_before_latest(t: Tables):
-    return latest.latest_per_key(t.orders, ["o_custkey"], _NEWEST, before=F.col("o_orderstatus") == "F").select("o_custkey", "o_orderkey")
+    return latest.latest_per_key(t.orders, ["o_custkey"], _newest(), before=F.col("o_orderstatus") == "F").select("o_custkey", "o_orderkey")
 
 
 @query(f"SELECT o_custkey, o_orderkey FROM (SELECT * FROM orders QUALIFY {_LATEST} = 1) WHERE o_orderstatus = 'F'")
 def filter_after_latest(t: Tables):
-    return latest.latest_per_key(t.orders, ["o_custkey"], _NEWEST, after=F.col("o_orderstatus") == "F").select("o_custkey", "o_orderkey")
+    return latest.latest_per_key(t.orders, ["o_custkey"], _newest(), after=F.col("o_orderstatus") == "F").select("o_custkey", "o_orderkey")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment::VARCHAR = 'BUILDING' AND c_nationkey::VARCHAR = '7'")
