@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import like, ship
+from loomstone.llm.common import cut, like, ship
 
 #: Labelled documents to learn from, at most about (a hash of the id picks them); terms of the lexicon.
 TRAIN_ROWS, TERMS = 40_000, 400
@@ -225,15 +225,16 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, rows: int = TRAIN_ROW
     total = known.count()
     if total > rows:
         known = known.where(F.pmod(F.xxhash64(F.lit("train"), "id"), F.lit(1 << 20)) < int(rows / total * (1 << 20)))
-    own = docs.where(use).select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL").join(known, "id")
-    own = own.withColumn("h", F.xxhash64("text"))
+    # at most about rows ids, so a broadcast: texts stay where they are, and only the sample is written
+    own = docs.where(use).select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL").join(F.broadcast(known), "id")
+    own = cut(own.withColumn("h", F.xxhash64("text")))
     one = own.groupBy("h").agg(F.min("id").alias("id"), F.max("y").alias("y"))
     seen = one.groupBy("y").agg(F.count("*").alias("n")).collect()
     n = {r["y"]: r["n"] for r in seen}
     pos, neg = n.get(1, 0), n.get(0, 0)
     if not pos:
         return Model([], [])
-    sample = own.join(one.select("id", "h", F.col("y").alias("_y")), ["id", "h"]).select("text", F.col("_y").alias("y"))
+    sample = own.join(F.broadcast(one.select("id", "h", F.col("y").alias("_y"))), ["id", "h"]).select("text", F.col("_y").alias("y"))
     least = max(LEAST, int(SUPPORT * pos))
 
     def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
