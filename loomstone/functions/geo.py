@@ -59,3 +59,37 @@ def radius_join(left: DataFrame, right: DataFrame, radius_m: float, cell_deg: fl
     right = right.withColumn("_row", F.floor(F.col("r_lat") / cell_deg)).withColumn("_col", F.pmod(F.floor(F.col("r_lon") / cell_deg), F.lit(n)))
     d = haversine(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"))
     return left.join(right, ["_row", "_col"]).withColumn("distance_m", d).where(F.col("distance_m") <= radius_m).drop("_row", "_col")
+
+
+def tile_lat(y: Column, zoom: int) -> Column:
+    """Latitude of a tile's centre."""
+    return F.degrees(F.atan(F.sinh(F.lit(math.pi) * (1 - 2 * (y + 0.5) / (1 << zoom)))))
+
+
+def tile_lon(x: Column, zoom: int) -> Column:
+    """Longitude of a tile's centre."""
+    return (x + 0.5) / (1 << zoom) * 360.0 - 180.0
+
+
+def neighbours(x: Column, y: Column, zoom: int) -> Column:
+    """Structs (x, y) of the tile and the up to eight around it; none beyond the map's edge."""
+    last = (1 << zoom) - 1
+    span = lambda c: F.sequence(F.greatest(F.lit(0), c - 1), F.least(F.lit(last), c + 1))
+    return F.flatten(F.transform(span(x), lambda i: F.transform(span(y), lambda j: F.struct(i.cast("long").alias("x"), j.cast("long").alias("y")))))
+
+
+def in_ring(lat: Column, lon: Column, ring: list[tuple[float, float]]) -> Column:
+    """Whether a point is inside a ring of (lat, lon), by the parity of crossings to the east."""
+    odd = F.lit(0)
+    for (la, lo), (lb, lob) in zip(ring, [*ring[1:], ring[0]], strict=True):
+        if la != lb:
+            odd = odd + F.when(((F.lit(la) > lat) != (F.lit(lb) > lat)) & (lon < (lat - la) * ((lob - lo) / (lb - la)) + lo), 1).otherwise(0)
+    return F.coalesce(odd % 2 == 1, F.lit(False))
+
+
+def circle(lat: Column, lon: Column, radius_m: float, steps: int = 24) -> Column:
+    """Closed polygon of (lon, lat) around a point."""
+    d = math.degrees(radius_m / EARTH_M)
+    turn = lambda i: F.radians(i * (360.0 / steps))
+    points = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: F.array(lon + F.sin(turn(i)) * d / F.cos(F.radians(lat)), lat + F.cos(turn(i)) * d))
+    return F.concat(points, F.slice(points, 1, 1))

@@ -76,7 +76,7 @@ def passage_containment(t: Tables):
     b = t.benchmark.withColumn("w", words(F.col("text"))).where(F.size("w") >= 8).select("item_id", F.col("text").alias("passage"), F.xxhash64(first(F.col("w"))).alias("h"))
     d = t.documents.withColumn("w", words(F.col("text")))
     hashes = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 5)), lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i, 6), " "))))
-    near = d.select("doc_id", F.explode(hashes).alias("h")).join(F.broadcast(b), "h").select("doc_id", "item_id", "passage").distinct()
+    near = d.select("doc_id", F.explode(hashes).alias("h")).join(b, "h").select("doc_id", "item_id", "passage").distinct()
     return near.join(t.documents.select("doc_id", "text"), "doc_id").where(F.contains("text", "passage")).select("doc_id", "item_id")
 
 

@@ -7,8 +7,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from loomstone.functions import geo, text
-from loomstone.operators import changes, latest
+from loomstone.functions import geo, names, text
+from loomstone.operators import changes, latest, matching
 from loomstone.plans import catalog
 from loomstone.sources import readers
 from loomstone.streaming import ingest
@@ -100,3 +100,32 @@ def test_ingest_is_idempotent(spark, tmp_path):
 
     assert send("1.json", [(1, "a"), (1, "a"), (2, "b")]) == [(1, "a"), (2, "b")]
     assert send("2.json", [(1, "a"), (2, "c")]) == [(1, "a"), (2, "b"), (2, "c")]
+
+
+def test_names(spark):
+    df = spark.createDataFrame([("São  Tomé & Straße", "Sao Tome"), (None, "x"), ("", "")], "a string, b string")
+    assert [r[0] for r in df.select(names.plain_text("a")).collect()] == ["sao tome strasse", None, ""]
+    pairs = spark.createDataFrame([("abcd", "bcde"), (None, "x"), ("", "")], "a string, b string")
+    assert [r[0] for r in pairs.select(names.sequence_ratio("a", "b")).collect()] == [0.75, None, 1.0]
+    assert [r[0] for r in pairs.select(names.edit_ratio(F.col("a"), F.col("b"))).collect()] == [0.5, None, 1.0]
+
+
+def test_hash_vector(spark):
+    df = spark.createDataFrame([(["a", "b", "a"],), ([],), (None,)], "w array<string>")
+    a, b, c = (r[0] for r in df.select(names.hash_vector(F.col("w"))).collect())
+    assert abs(sum(x * x for x in a) - 1) < 1e-9 and b == [0.0] * 8 and c == [0.0] * 8
+
+
+def test_resolve_needs_one_match(spark):
+    known = spark.createDataFrame([(1, "x", "north hall"), (2, "x", "north hall"), (3, "x", "south hall"), (4, "y", None)], "k int, c string, n string")
+    incoming = spark.createDataFrame([(10, "x", "north hall"), (11, "x", "south halls"), (12, "x", "south hall"), (13, "y", "south hall"), (14, None, None)], "k int, c string, n string")
+    got = {r["k"]: (r["match"], r["rule"]) for r in matching.resolve(incoming, known, "k", [["c", "n"]], ["c"], "n", names.edit_ratio, 0.8).collect()}
+    assert got == {10: (1, 1), 11: (3, 1), 12: (3, 0), 13: (None, -1), 14: (None, -1)}
+
+
+def test_circle_and_ring(spark):
+    df = spark.createDataFrame([(0.0, 0.0), (50.0, 8.0), (None, 1.0)], "la double, lo double")
+    square = [(-1.0, -1.0), (-1.0, 1.0), (1.0, 1.0), (1.0, -1.0)]
+    rows = df.select(geo.in_ring(F.col("la"), F.col("lo"), square).alias("i"), geo.circle(F.col("la"), F.col("lo"), 1000.0).alias("c")).collect()
+    assert [r["i"] for r in rows] == [True, False, False]
+    assert len(rows[0]["c"]) == 25 and rows[0]["c"][0] == rows[0]["c"][24]
