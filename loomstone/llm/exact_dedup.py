@@ -109,7 +109,9 @@ def _sorted_runs(docs: DataFrame, id: str, text: str, others: list[str], whole:
     flat = F.regexp_replace(F.coalesce(F.col(f"`{text}`"), F.lit("")), SPACES, " ")
     rows = docs.select(F.col(f"`{id}`"), *[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").alias("_text"), F.sha2(flat.cast("binary"), 256).alias("_sha"), F.substring(flat, 1, LEAD).alias("_lead"))
     by = ["_lead", "_sha", F.col(f"`{id}`").asc_nulls_last()]
-    ordered = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    # a given number of partitions is never merged at run time: both readers of the runs see the same edges
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by)
     fields = {f.name: f.dataType for f in docs.schema.fields}
     out = T.StructType([T.StructField(c, fields[c]) for c in [id, *others]])
     if not whole:
