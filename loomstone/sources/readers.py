@@ -27,3 +27,24 @@ def json_rows(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, D
 def delimited(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
     """CSV or TSV with a header and a fixed schema; cells that don't fit are null."""
     return spark.read.schema(schema).option("header", True).option("sep", sep).option("mode", "PERMISSIVE").csv(path)
+
+
+def place_codes(spark: SparkSession, path: str, schema: str, mark: str, country: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """Places of a code list, and its aliases (country, alias, name).
+
+    The column mark says what a line is: X a deletion, which is skipped; = an alias, whose name reads "alias = name".
+    """
+    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").csv(path)
+    kind = F.coalesce(F.trim(F.col(mark)), F.lit(""))
+    parts = F.split(name, r"\s*=\s*", 2)
+    aliases = rows.where(kind == "=").select(country, F.trim(parts[0]).alias("alias"), F.trim(F.get(parts, 1)).alias("name")).where("name IS NOT NULL")
+    return rows.where(~kind.isin("X", "=")).drop(mark), aliases
+
+
+def one_row_per_feature(names: DataFrame, feature: str, kind: str, line: str, name: str, approved: str = "N") -> DataFrame:
+    """Of a feature's name rows the first approved one, or else the first, with all its names in the order of lines."""
+    from loomstone.operators.latest import first_per_key
+
+    every = names.groupBy(feature).agg(F.sort_array(F.collect_list(F.struct(F.col(line), F.col(name)))).alias("_all"))
+    best = first_per_key(names, [feature], [F.coalesce(F.col(kind) != approved, F.lit(True)), F.col(line)])
+    return best.join(every.select(feature, F.array_distinct(F.transform("_all", lambda s: s[name])).alias("names")), feature)

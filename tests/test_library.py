@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomstone.functions import geo, names, text
 from loomstone.operators import changes, latest, matching
 from loomstone.plans import catalog
-from loomstone.sources import readers
+from loomstone.sources import readers, sinks
 from loomstone.streaming import ingest
 
 FOLDER = "/root/testdata/sf0.001"
@@ -129,3 +129,29 @@ def test_circle_and_ring(spark):
     rows = df.select(geo.in_ring(F.col("la"), F.col("lo"), square).alias("i"), geo.circle(F.col("la"), F.col("lo"), 1000.0).alias("c")).collect()
     assert [r["i"] for r in rows] == [True, False, False]
     assert len(rows[0]["c"]) == 25 and rows[0]["c"][0] == rows[0]["c"][24]
+
+
+def test_snapshot_and_features(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", None), (2, None, 1.0), (3, "", 2.0), (3, "", 2.0)], "k int, g string, v double")
+    path = str(tmp_path / "s")
+    sinks.snapshot(df, path, ["k", "v"], ["g"])
+    assert sinks.broken(spark, path, ["k", "v"], ["g"]).count() == 0
+    spark.createDataFrame([(9, 9.0)], "k int, v double").write.mode("append").parquet(f"{path}/data/g=a")
+    assert [r["g"] for r in sinks.broken(spark, path, ["k", "v"], ["g"]).collect()] == ["a"]
+    sinks.snapshot(df.select("k", F.lit("01").alias("g")), path, ["k"], ["g"])
+    assert sinks.broken(spark, path, ["k"], ["g"]).count() == 0
+    assert sinks.manifest(df.limit(0), ["k"]).collect()[0]["n"] == 0
+    points = spark.createDataFrame([(1, 1.5, 2.0), (2, None, 3.0), (None, 0.0, 0.0)], "k int, la double, lo double")
+    sinks.geojson_lines(points, str(tmp_path / "g"), "la", "lo", ["k"])
+    rows = sorted((json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "g")).collect()), key=str)
+    assert [(r["geometry"]["coordinates"], r["properties"]["k"]) for r in rows] == [([0.0, 0.0], None), ([2.0, 1.5], 1)]
+
+
+def test_code_lists(spark, tmp_path):
+    (tmp_path / "c.csv").write_text(",AA,Town,1\nX,AA,Gone,2\n=,AA,Old = Town,\n+,BB,New,3\n=,BB,alone,\n")
+    places, aliases = readers.place_codes(spark, str(tmp_path / "c.csv"), "m string, c string, n string, k int", "m", "c", "n")
+    assert sorted(r["n"] for r in places.collect()) == ["New", "Town"]
+    assert [tuple(r) for r in aliases.collect()] == [("AA", "Old", "Town")]
+    names_ = spark.createDataFrame([(1, "V", 1, "b"), (1, "N", 2, "a"), (1, "N", 3, "b"), (2, None, 4, "z")], "f int, nt string, line int, name string")
+    got = {r["f"]: (r["name"], r["names"]) for r in readers.one_row_per_feature(names_, "f", "nt", "line", "name").collect()}
+    assert got == {1: ("a", ["b", "a"]), 2: ("z", ["z"])}
