@@ -158,8 +158,8 @@ def _wide_keys(fps: DataFrame, words: list[str], node: str, tables: int, width:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
+            for at in range(0, whole.num_rows, 800):
+                b = whole.slice(at, 800)
                 x = np.stack([c.to_numpy() for c in b.columns[1:]], axis=1)
                 bits = np.unpackbits(np.ascontiguousarray(x).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
                 key = (bits[:, chosen] << np.arange(width)).sum(axis=2) | (np.arange(tables) << 32)
@@ -221,7 +221,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 3, id: st
 
 
 #: For similarity: words of 64 bits, tables, bits of a key, and the share of bits that may differ.
-WIDE = {"words64": 2, "tables": 84, "width": 20, "differ": 0.1875}
+WIDE = {"words64": 2, "tables": 192, "width": 20, "differ": 0.1875}
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -229,8 +229,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, id: str = "doc_id", text:
 
     Three bits of 64 are for all but equal texts: sets of shingles with similarity 0.8 have vectors 27
     degrees apart and differ in 15 % of all bits. So here fingerprints have 128 bits, 24 of which may
-    differ, and keys are 84 blocks of 20 bits over several shuffles of the bits; a pair at similarity
-    0.8 shares a block with a probability of 0.96, closer pairs nearly always. Equal fingerprints are
+    differ, and keys are 192 blocks of 20 bits over several shuffles of the bits; a pair that differs in all 24
+    shares a block with a probability of 0.95, one in 15 % of the bits with more than 0.999. Equal fingerprints are
     one node. Null or empty texts belong to no group.
     """
     own = cut(fingerprints(docs.where(F.length(F.trim(F.col(f"`{text}`"))) > 0), shingle, WIDE["words64"], id, text))
