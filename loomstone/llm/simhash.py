@@ -9,7 +9,7 @@ forest of links goes on, never all pairs. Components of the links are the groups
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -28,25 +28,28 @@ DENSE = 4096
 FEW = 4
 
 
-def fingerprint(text: str | None, shingle: int = 5, words64: int = 1) -> list[int]:
-    """words64 unsigned numbers of 64 bits; zero if there are no words.
-
-    The first comes from XXH64 of the shingles, further ones from that hash, mixed with odd constants.
-    """
+def _hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of each shingle (of all words, if they are fewer), in arrays of bounded size."""
     import xxhash
 
     words = (text or "").encode("utf-8", "replace").lower().split()
     n = len(words)
     if not n:
-        return [0] * words64
+        return
     buf, hash_of = b" ".join(words), xxhash.xxh64_intdigest
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     width = min(shingle, n)
-    counts, total = np.zeros((words64, 64), np.int64), n - width + 1
+    total = n - width + 1
     for at in range(0, total, 65536):
         to = min(total, at + 65536)
-        h = np.array([hash_of(buf[s:e], 42) for s, e in zip(starts[at:to].tolist(), ends[at + width - 1 : to + width - 1].tolist(), strict=True)], "<u8")
+        yield np.array([hash_of(buf[s:e], 42) for s, e in zip(starts[at:to].tolist(), ends[at + width - 1 : to + width - 1].tolist(), strict=True)], "<u8")
+
+
+def _signs(parts: Iterable[np.ndarray], words64: int) -> list[int]:
+    counts, total = np.zeros((words64, 64), np.int64), 0
+    for h in parts:
+        total += len(h)
         for k in range(words64):
             if k:
                 h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
@@ -55,6 +58,24 @@ def fingerprint(text: str | None, shingle: int = 5, words64: int = 1) -> list[in
     return [int.from_bytes(np.packbits(c * 2 > total, bitorder="little").tobytes(), "little") for c in counts]
 
 
+def fingerprint(text: str | None, shingle: int = 5, words64: int = 1) -> list[int]:
+    """words64 unsigned numbers of 64 bits; zero if there are no words.
+
+    The first comes from XXH64 of the shingles, further ones from that hash, mixed with odd constants.
+    """
+    return _signs(_hashes(text, shingle), words64)
+
+
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The distinct hashes of the shingles, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *_hashes(text, shingle)]))
+
+
+def set_fingerprint(hashes: np.ndarray, words64: int = 1) -> list[int]:
+    """As fingerprint, but each shingle counts once, as it does in Jaccard similarity."""
+    return _signs((hashes[i : i + 65536] for i in range(0, len(hashes), 65536)), words64)
+
+
 def fingerprints(docs: DataFrame, shingle: int = 5, words64: int = 1, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id and fp, fp1, ... (the fingerprint as signed longs) of each row; nothing is shuffled."""
     ship(docs.sparkSession)
@@ -75,21 +96,23 @@ def _near(x: np.ndarray, y: np.ndarray, distance: int) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64) <= distance
 
 
-def _forest(x: np.ndarray, distance: int) -> list[tuple[int, int]]:
+def _forest(x: np.ndarray, distance: int, direct: bool = False) -> list[tuple[int, int]]:
     """Links (places in x) from the first place of each group to all others that the distance connects to it.
 
     Breadth first: each place reached is compared with all not reached yet, so a dense group costs
     little more than its size. Few but far values are compared with each other. Stars with the
     smallest place in the middle are much the same for each key, so that few links are left in all.
+    With direct, links start at the place that reached the other, so that their ends are within the distance.
     """
     out, left = [], np.arange(len(x))
     while len(left):
         first, queue, left = int(left[0]), [int(left[0])], left[1:]
         while queue and len(left):
-            hit = _near(x[left], x[queue.pop()], distance)
+            at = queue.pop()
+            hit = _near(x[left], x[at], distance)
             if hit.any():
                 reached = left[hit].tolist()
-                out += [(first, j) for j in reached]
+                out += [(at if direct else first, j) for j in reached]
                 queue += reached
                 left = left[~hit]
     return out
@@ -122,7 +145,7 @@ def _links(key: np.ndarray, x: np.ndarray, distance: int) -> tuple[np.ndarray, n
             closed = {bit for k in PAIRS[int(key[s]) >> 26] for bit in range(LOW[k], LOW[k] + BLOCKS[k])}
             found = _dense(x[s : s + n], [bit for bit in range(64) if bit not in closed], distance)
         else:
-            found = _forest(x[s : s + n], distance)
+            found = _forest(x[s : s + n], distance, direct=True)
         if found:
             i, j = np.array(found).T
             a.append(i + s)
@@ -148,56 +171,125 @@ def _block_keys() -> list[Column]:
     return [F.lit(n << 26).bitwiseOR(F.shiftleft(block[i], 13)).bitwiseOR(block[j]) for n, (i, j) in enumerate(PAIRS)]
 
 
-def _wide_keys(fps: DataFrame, words: list[str], node: str, tables: int, width: int) -> DataFrame:
-    """key, _node and words for each table: the bits, shuffled anew as often as needed, in blocks of width."""
+def _wide_keys(nodes: DataFrame, words: list[str], tables: range, width: int) -> DataFrame:
+    """key, _node, words and label for each table: the bits, shuffled anew as often as needed, in blocks of width."""
     shuffled, rng = [], np.random.default_rng(8)
-    while len(shuffled) < tables:
+    while len(shuffled) < tables.stop:
         order = rng.permutation(64 * len(words))
         shuffled += [order[i : i + width] for i in range(0, len(order) - width + 1, width)]
-    chosen = np.stack(shuffled[:tables])
+    chosen, n, number = np.stack(shuffled[tables.start : tables.stop]), len(tables), np.arange(tables.start, tables.stop)
+    columns = ["_node", *words, "label"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 800):
                 b = whole.slice(at, 800)
-                x = np.stack([c.to_numpy() for c in b.columns[1:]], axis=1)
+                x = np.stack([c.to_numpy() for c in b.columns[1:-1]], axis=1)
                 bits = np.unpackbits(np.ascontiguousarray(x).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
-                key = (bits[:, chosen] << np.arange(width)).sum(axis=2) | (np.arange(tables) << 32)
-                rows = np.repeat(np.arange(b.num_rows), tables)
-                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), *[pa.array(c.to_numpy()[rows]) for c in b.columns]], ["key", "_node", *words])
+                key = (bits[:, chosen] << np.arange(width)).sum(axis=2) | (number << 32)
+                rows = np.repeat(np.arange(b.num_rows), n)
+                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), *[pa.array(c.to_numpy()[rows]) for c in b.columns]], ["key", *columns])
 
-    return fps.select(F.col(node).alias("_node"), *words).mapInArrow(run, "key long, _node long, " + ", ".join(f"{c} long" for c in words))
+    return nodes.select(*columns).mapInArrow(run, "key long, " + ", ".join(f"{c} long" for c in columns))
 
 
-def links(keyed: DataFrame, distance: int) -> DataFrame:
-    """a, b: links between the nodes of (key, _node, words of the fingerprint) that share a key.
+def _across(key: np.ndarray, x: np.ndarray, label: np.ndarray, distance: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (places in x) within runs of equal keys that are near but have different labels, and whether some were left out.
+
+    Of a run of more than 2 * FEW, each place outside its most common label gives the nearest most of its pairs;
+    every such pair has an end outside that label, so what is not left out is complete.
+    """
+    starts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
+    sizes = np.diff(np.concatenate((starts, [len(key)])))
+    mixed = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
+    few = 2 * FEW
+    a, b, more = [], [], []
+    for s, n in zip(starts[mixed & (sizes > few)].tolist(), sizes[mixed & (sizes > few)].tolist(), strict=True):
+        y, own = x[s : s + n], label[s : s + n]
+        values, times = np.unique(own, return_counts=True)
+        outer = np.flatnonzero(own != values[times.argmax()])
+        step = max(1, 1_000_000 // n)
+        for at in range(0, len(outer), step):
+            i = outer[at : at + step]
+            d = np.bitwise_count(y[i][:, None] ^ y[None]).sum(axis=-1, dtype=np.int64)
+            d[own[i][:, None] == own[None]] = distance + 1
+            hits = (d <= distance).sum(axis=1)
+            for k in np.flatnonzero(hits).tolist():
+                found = np.argsort(d[k], kind="stable")[: min(most, int(hits[k]))]
+                a.append(np.full(len(found), s + i[k]))
+                b.append(found + s)
+                more.append(np.full(len(found), hits[k] > most))
+    small = np.flatnonzero(np.repeat(mixed & (sizes <= few), sizes))
+    key, x, label = key[small], x[small], label[small]
+    for lag in range(1, min(few, len(key))):
+        hit = np.flatnonzero((key[lag:] == key[:-lag]) & (label[lag:] != label[:-lag]))
+        hit = hit[_near(x[hit + lag], x[hit], distance)]
+        a.append(small[hit])
+        b.append(small[hit + lag])
+        more.append(np.zeros(len(hit), bool))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b]), np.concatenate([none.astype(bool), *more])
+
+
+def _by_key(keyed: DataFrame, some: Callable[[tuple], pa.RecordBatch], schema: str) -> DataFrame:
+    """What some makes of the columns of keyed, given as arrays that hold their keys whole and sorted.
 
     One shuffle and a sort; each task reads its keys as a stream and holds one batch and the key at its end.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from loomstone.llm.simhash import _links
+        held: list[tuple] = []
 
-        def some(parts: list[tuple]) -> pa.RecordBatch:
-            key, node, x = (np.concatenate([p[k] for p in parts]) for k in range(3))
-            a, b = _links(key, x, distance)
-            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+        def joined(parts: list[tuple]) -> tuple:
+            return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
-        held: list[tuple] = []
         for t in batches:
             if not t.num_rows:
                 continue
-            key, node = t.column(0).to_numpy(), t.column(1).to_numpy()
-            x = np.stack([c.to_numpy() for c in t.columns[2:]], axis=1).view(np.uint64)
+            columns = [c.to_numpy() for c in t.columns]
+            key = columns[0]
             last = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
             if last or (held and held[-1][0][-1] != key[0]):
-                yield some([*held, (key[:last], node[:last], x[:last])])
+                yield some(joined([*held, tuple(c[:last] for c in columns)]))
                 held = []
-            held.append((key[last:], node[last:], x[last:]))
+            held.append(tuple(c[last:] for c in columns))
         if held:
-            yield some(held)
+            yield some(joined(held))
 
-    return keyed.repartition("key").sortWithinPartitions("key", "_node").mapInArrow(run, "a long, b long")
+    return keyed.repartition("key").sortWithinPartitions("key", "_node").mapInArrow(run, schema)
+
+
+def links(keyed: DataFrame, distance: int) -> DataFrame:
+    """a, b: links between the nodes of (key, _node, words of the fingerprint) that share a key."""
+
+    def some(columns: tuple) -> pa.RecordBatch:
+        from loomstone.llm.simhash import _links
+
+        key, node, *words = columns
+        a, b = _links(key, np.stack(words, axis=1).view(np.uint64), distance)
+        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+
+    return _by_key(keyed, some, "a long, b long")
+
+
+def _candidates(keyed: DataFrame, distance: int, most: int | None) -> DataFrame:
+    """a, b, la, lb, key, more: pairs of _wide_keys' nodes with different labels. Without most, only a forest of each key."""
+
+    def some(columns: tuple) -> pa.RecordBatch:
+        from loomstone.llm.simhash import _across, _links
+
+        key, node, *words, label = columns
+        x = np.stack(words, axis=1).view(np.uint64)
+        if most is None:
+            a, b = _links(key, x, distance)
+            more = np.ones(len(a), bool)
+        else:
+            a, b, more = _across(key, x, label, distance, most)
+        swap = node[a] > node[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (node[a], node[b], label[a], label[b], key[a], more)], ["a", "b", "la", "lb", "key", "more"])
+
+    return _by_key(keyed, some, "a long, b long, la long, lb long, key long, more boolean")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 3, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -220,26 +312,100 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 3, id: st
     return own.join(groups, "fp").select(id, "fp", "component_id")
 
 
-#: For similarity: words of 64 bits, tables, bits of a key, and the share of bits that may differ.
-WIDE = {"words64": 2, "tables": 192, "width": 20, "differ": 0.1875}
+#: For similarity: words of 64 bits, ends of the ranges of tables (one pass each), bits of a key, and the bits that may differ.
+WIDE = {"words64": 2, "passes": (8, 48, 192), "width": 20, "differ": 24}
+#: Jaccard similarity of near copies, as a fraction.
+SIMILAR = (4, 5)
+#: Pairs that a node gives for a key at first; where it has more, eight times as many in each further round.
+NEAREST = 2
+
+
+def _set_sketches(docs: DataFrame, shingle: int, id: str, text: str, words: list[str]) -> DataFrame:
+    """id, _node (a hash of the set of shingles) and words of its fingerprint, for texts with words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        from loomstone.llm.simhash import set_fingerprint, shingle_set
+
+        for b in batches:
+            sets = [shingle_set(t.as_py(), shingle) for t in b.column(1)]
+            some = np.array([len(s) > 0 for s in sets], bool)
+            rows = [[xxhash.xxh64_intdigest(s.tobytes()), *set_fingerprint(s, len(words))] for s in sets if len(s)]
+            x = np.array(rows, np.uint64).view(np.int64).reshape(-1, len(words) + 1)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(some)), *[pa.array(x[:, k].copy()) for k in range(len(words) + 1)]], ["doc_id", "_node", *words])
+
+    ship(docs.sparkSession)
+    return like(docs, [id, text]).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id]}, _node long, " + ", ".join(f"{c} long" for c in words)).withColumnRenamed("doc_id", id)
+
+
+def _sets(docs: DataFrame, shingle: int, text: str) -> DataFrame:
+    """_node and the hashes of its shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        from loomstone.llm.simhash import shingle_set
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                sets = [shingle_set(t.as_py(), shingle) for t in whole.column(0).slice(at, 200)]
+                node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["_node", "_set"])
+
+    return like(docs, [text]).mapInArrow(run, "_node long, _set array<long>")
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, id: str, text: str) -> DataFrame:
+    """The pairs (a, b, ...) whose sets of shingles are as similar as SIMILAR says; only their texts are read again."""
+    need = pairs.select(F.col("a").alias("_node")).unionByName(pairs.select(F.col("b").alias("_node"))).distinct()
+    ids = nodes.join(need, "_node", "left_semi").select(F.col("_least").alias("_id")).distinct()
+    texts = docs.join(ids, F.col(f"`{id}`") == F.col("_id"), "left_semi")
+    sets = cut(_sets(texts, shingle, text).join(need, "_node", "left_semi").dropDuplicates(["_node"]))
+    both = pairs.join(sets.select(F.col("_node").alias("b"), F.col("_set").alias("_y")), "b").join(sets.select(F.col("_node").alias("a"), F.col("_set").alias("_x")), "a")
+    of, whole = SIMILAR
+    shared = F.size(F.array_intersect("_x", "_y"))
+    return both.where(shared * (of + whole) >= (F.size("_x") + F.size("_y")) * of).drop("_x", "_y")
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, component_id of the documents that have near copies (Jaccard similarity about 0.8 or more).
+    """id, component_id of the documents that have near copies (Jaccard similarity of sets of shingles 0.8 or more).
 
-    Three bits of 64 are for all but equal texts: sets of shingles with similarity 0.8 have vectors 27
-    degrees apart and differ in 15 % of all bits. So here fingerprints have 128 bits, 24 of which may
-    differ, and keys are 192 blocks of 20 bits over several shuffles of the bits; a pair that differs in all 24
-    shares a block with a probability of 0.95, one in 15 % of the bits with more than 0.999. Equal fingerprints are
+    Candidates come from fingerprints of 128 bits, WIDE["differ"] of which may differ, that agree on one of many
+    blocks of bits; then the sets themselves (as hashes of 64 bits) decide, and only pairs at SIMILAR are links.
+    A pass takes some of the tables. The first looks at a forest of each key; all others, and the rounds of a pass,
+    only at pairs that no links connect yet, and a pass ends when no key has such a pair that was not
+    compared. So a dense group is not listed pair by pair, and no link among candidates is lost. Equal sets are
     one node. Null or empty texts belong to no group.
     """
-    own = cut(fingerprints(docs.where(F.length(F.trim(F.col(f"`{text}`"))) > 0), shingle, WIDE["words64"], id, text))
-    words = [c for c in own.columns if c != id]
-    nodes = own.groupBy(*words).agg(F.min(id).alias("_least"), F.count("*").alias("_n")).where("_least IS NOT NULL")
-    keyed = _wide_keys(nodes, words, "_least", WIDE["tables"], WIDE["width"])
-    roots = components(links(keyed, int(WIDE["differ"] * 64 * WIDE["words64"])))
-    some = nodes.join(roots.withColumnRenamed("node", "_least"), "_least", "left").where("root IS NOT NULL OR _n > 1")
-    return own.join(some.select(*words, F.coalesce("root", "_least").alias("component_id")), words).select(id, "component_id")
+    words = ["fp", *[f"fp{k}" for k in range(1, WIDE["words64"])]]
+    own = cut(_set_sketches(docs, shingle, id, text, words))
+    nodes = cut(own.groupBy("_node", *words).agg(F.min(id).alias("_least"), F.count("*").alias("_n")).where("_least IS NOT NULL"))
+    labels = nodes.select("_node", *words, F.col("_node").alias("label"))
+    tested, start = None, 0
+    for stop in WIDE["passes"]:
+        most, open_keys = (NEAREST if start else None), None
+        while True:
+            keyed = _wide_keys(labels, words, range(start, stop), WIDE["width"])
+            if open_keys is not None:
+                keyed = keyed.join(open_keys, "key", "left_semi")
+            found = cut(_candidates(keyed, WIDE["differ"], most))
+            pairs = found.groupBy("a", "b").agg(F.first("la").alias("la"), F.first("lb").alias("lb"))
+            pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+            seen = pairs.select("a", "b")
+            tested = seen if tested is None else tested.unionByName(seen)
+            edges = cut(_confirmed(pairs, nodes, docs, shingle, id, text).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+            if not edges.isEmpty():
+                roots = components(edges).select(F.col("node").alias("label"), "root")
+                labels = cut(labels.join(roots, "label", "left").select("_node", *words, F.coalesce("root", "label").alias("label")))
+            open_keys = found.where("more").select("key").distinct()
+            if open_keys.isEmpty():
+                break
+            most = NEAREST if most is None else most * 8
+        start = stop
+    least = labels.join(nodes.select("_node", "_least", "_n"), "_node").groupBy("label").agg(F.min("_least").alias("component_id"), F.sum("_n").alias("_all"))
+    groups = labels.join(least.where("_all > 1"), "label").select("_node", "component_id")
+    return own.join(groups, "_node").select(id, "component_id")
 
 
 def drop_similar(docs: DataFrame, shingle: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:

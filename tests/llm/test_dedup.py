@@ -121,6 +121,50 @@ def test_similar_documents_are_found(spark):
     assert len(left) <= 30 + 3 + 4
 
 
+def similar_brute(rows):
+    """The least id of each row's group, by links of sets of five-word shingles at 0.8."""
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, t.lower().split()) for i, t in rows)}
+    root = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if j < i and 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if r == b else r for k, r in root.items()}
+    return root
+
+
+def test_only_similar_documents_go(spark):
+    rng = random.Random(5)
+    words = lambda n: [f"u{rng.randrange(9000)}" for _ in range(n)]
+    rows = []
+    # near 0.7, far within the Hamming limit; one line repeated, with other words around it
+    for g in range(40):
+        base = words(200)
+        rows += [(10 * g, " ".join(base)), (10 * g + 1, " ".join(base[:165] + words(35)))]
+    line = words(12)
+    rows += [(500 + g, " ".join(line * 40 + words(60))) for g in range(6)]
+    # a dense group whose smallest member is too far from most, which others connect; and a chain
+    base = words(300)
+    rows += [(1000, " ".join(words(40) + base[40:]))]
+    rows += [(1001 + k, " ".join(base[: 7 * k] + words(5) + base[7 * k + 5 :])) for k in range(30)]
+    chain = words(400)
+    rows += [(2000 + k, " ".join(chain[15 * k : 15 * k + 250])) for k in range(10)]
+    want = similar_brute(rows)
+    left = {r["doc_id"] for r in simhash.drop_similar(frame(spark, rows)).collect()}
+    assert left == {i for i, r in want.items() if i == r} and 500 in left and 505 in left
+
+
+def test_pairs_across_labels_are_complete():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 2**63, (1, 2), dtype=np.uint64) ^ (np.uint64(1) << rng.integers(0, 64, (60, 2), dtype=np.uint64))
+    key, label = np.repeat([1, 2, 3], [40, 15, 5]), rng.integers(0, 4, 60)
+    want = {(i, j) for i in range(60) for j in range(i) if key[i] == key[j] and label[i] != label[j] and np.bitwise_count(x[i] ^ x[j]).sum() <= 3}
+    a, b, more = simhash._across(key, x, label, 3, 60)
+    assert {(max(p), min(p)) for p in zip(a.tolist(), b.tolist(), strict=True)} == want and not more.any()
+    a, b, more = simhash._across(key, x, label, 3, 1)
+    assert {(max(p), min(p)) for p in zip(a.tolist(), b.tolist(), strict=True)} < want and more.any()
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 101), (None, 3)], "a long, b long")
     got = {r["node"]: r["root"] for r in graph.components(edges).collect()}
