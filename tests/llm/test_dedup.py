@@ -1,6 +1,7 @@
 """Exact and near duplicates against brute force, on odd rows."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -165,6 +166,13 @@ def test_pairs_across_labels_are_complete():
     assert {(max(p), min(p)) for p in zip(a.tolist(), b.tolist(), strict=True)} < want and more.any()
 
 
+def test_similar_pairs_are_rarely_missed():
+    bits, width, tables = 64 * simhash.WIDE["words64"], simhash.WIDE["width"], simhash.WIDE["passes"][-1]
+    p = math.acos(0.8 / 0.9) / math.pi  # of equal sets at 0.8
+    missed = lambda d: (1 - math.comb(bits - d, width) / math.comb(bits, width)) ** tables if d <= simhash.WIDE["differ"] else 1.0
+    assert sum(math.comb(bits, d) * p**d * (1 - p) ** (bits - d) * missed(d) for d in range(bits + 1)) < 0.01
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 101), (None, 3)], "a long, b long")
     got = {r["node"]: r["root"] for r in graph.components(edges).collect()}
