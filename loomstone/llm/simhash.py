@@ -9,6 +9,7 @@ forest of links goes on, never all pairs. Components of the links are the groups
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
@@ -26,6 +27,8 @@ BLOCKS = (13, 13, 13, 13, 12)
 DENSE = 4096
 #: Rows of a key whose pairs are all looked at in one sweep over many keys.
 FEW = 4
+#: Rows of a key that one task should get at most, about; a key with more is split.
+BUSY = 8192
 
 
 def _hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
@@ -58,6 +61,25 @@ def _signs(parts: Iterable[np.ndarray], words64: int) -> list[int]:
     return [int.from_bytes(np.packbits(c * 2 > total, bitorder="little").tobytes(), "little") for c in counts]
 
 
+#: An odd factor for each word of a wide fingerprint.
+ODD = np.random.default_rng(8).integers(0, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def set_fingerprint(hashes: np.ndarray, words64: int) -> list[int]:
+    """words64 numbers of 64 bits: the majority, bit by bit, of hashes mixed anew for each word. Each shingle counts once, as in Jaccard similarity."""
+    counts, n = np.zeros(64 * words64, np.int64), len(hashes)
+    step = max(1, (1 << 20) // (64 * words64))
+    for at in range(0, n, step):
+        h = hashes[at : at + step, None] * ODD[None, :words64]
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        bits = np.unpackbits(h.view(np.uint8), axis=1, bitorder="little")
+        for k in range(0, len(bits), 255):  # sums of 255 bits fit a byte, which adds up fastest
+            counts += np.add.reduce(bits[k : k + 255], axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > n, bitorder="little").view("<u8").tolist()
+
+
 def fingerprint(text: str | None, shingle: int = 5, words64: int = 1) -> list[int]:
     """words64 unsigned numbers of 64 bits; zero if there are no words.
 
@@ -71,11 +93,6 @@ def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *_hashes(text, shingle)]))
 
 
-def set_fingerprint(hashes: np.ndarray, words64: int = 1) -> list[int]:
-    """As fingerprint, but each shingle counts once, as it does in Jaccard similarity."""
-    return _signs((hashes[i : i + 65536] for i in range(0, len(hashes), 65536)), words64)
-
-
 def fingerprints(docs: DataFrame, shingle: int = 5, words64: int = 1, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id and fp, fp1, ... (the fingerprint as signed longs) of each row; nothing is shuffled."""
     ship(docs.sparkSession)
@@ -142,7 +159,7 @@ def _links(key: np.ndarray, x: np.ndarray, distance: int) -> tuple[np.ndarray, n
     a, b = [], []
     for s, n in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
         if x.shape[1] == 1:
-            closed = {bit for k in PAIRS[int(key[s]) >> 26] for bit in range(LOW[k], LOW[k] + BLOCKS[k])}
+            closed = {bit for k in PAIRS[(int(key[s]) >> 26) & 15] for bit in range(LOW[k], LOW[k] + BLOCKS[k])}
             found = _dense(x[s : s + n], [bit for bit in range(64) if bit not in closed], distance)
         else:
             found = _forest(x[s : s + n], distance, direct=True)
@@ -171,28 +188,6 @@ def _block_keys() -> list[Column]:
     return [F.lit(n << 26).bitwiseOR(F.shiftleft(block[i], 13)).bitwiseOR(block[j]) for n, (i, j) in enumerate(PAIRS)]
 
 
-def _wide_keys(nodes: DataFrame, words: list[str], tables: range, width: int) -> DataFrame:
-    """key, _node, words and label for each table: the bits, shuffled anew as often as needed, in blocks of width."""
-    shuffled, rng = [], np.random.default_rng(8)
-    while len(shuffled) < tables.stop:
-        order = rng.permutation(64 * len(words))
-        shuffled += [order[i : i + width] for i in range(0, len(order) - width + 1, width)]
-    chosen, n, number = np.stack(shuffled[tables.start : tables.stop]), len(tables), np.arange(tables.start, tables.stop)
-    columns = ["_node", *words, "label"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 800):
-                b = whole.slice(at, 800)
-                x = np.stack([c.to_numpy() for c in b.columns[1:-1]], axis=1)
-                bits = np.unpackbits(np.ascontiguousarray(x).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
-                key = (bits[:, chosen] << np.arange(width)).sum(axis=2) | (number << 32)
-                rows = np.repeat(np.arange(b.num_rows), n)
-                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), *[pa.array(c.to_numpy()[rows]) for c in b.columns]], ["key", *columns])
-
-    return nodes.select(*columns).mapInArrow(run, "key long, " + ", ".join(f"{c} long" for c in columns))
-
-
 def _across(key: np.ndarray, x: np.ndarray, label: np.ndarray, distance: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (places in x) within runs of equal keys that are near but have different labels, and whether some were left out.
 
@@ -231,8 +226,8 @@ def _across(key: np.ndarray, x: np.ndarray, label: np.ndarray, distance: int, mo
     return np.concatenate([none, *a]), np.concatenate([none, *b]), np.concatenate([none.astype(bool), *more])
 
 
-def _by_key(keyed: DataFrame, some: Callable[[tuple], pa.RecordBatch], schema: str) -> DataFrame:
-    """What some makes of the columns of keyed, given as arrays that hold their keys whole and sorted.
+def _by_key(keyed: DataFrame, some: Callable[[tuple], pa.RecordBatch], schema: str, by: str = "key") -> DataFrame:
+    """What some makes of the columns of keyed (by is the first), given as arrays that hold their keys whole and sorted.
 
     One shuffle and a sort; each task reads its keys as a stream and holds one batch and the key at its end.
     """
@@ -256,7 +251,7 @@ def _by_key(keyed: DataFrame, some: Callable[[tuple], pa.RecordBatch], schema: s
         if held:
             yield some(joined(held))
 
-    return keyed.repartition("key").sortWithinPartitions("key", "_node").mapInArrow(run, schema)
+    return keyed.repartition(by).sortWithinPartitions(by, "_node").mapInArrow(run, schema)
 
 
 def links(keyed: DataFrame, distance: int) -> DataFrame:
@@ -272,24 +267,43 @@ def links(keyed: DataFrame, distance: int) -> DataFrame:
     return _by_key(keyed, some, "a long, b long")
 
 
-def _candidates(keyed: DataFrame, distance: int, most: int | None) -> DataFrame:
-    """a, b, la, lb, key, more: pairs of _wide_keys' nodes with different labels. Without most, only a forest of each key."""
+def _candidates(keyed: DataFrame, words: list[str], distance: int, most: int) -> DataFrame:
+    """a, b, la, lb, key, more: pairs of nodes that share a run and have different labels, each node's nearest ones."""
 
     def some(columns: tuple) -> pa.RecordBatch:
-        from loomstone.llm.simhash import _across, _links
+        from loomstone.llm.simhash import _across
 
-        key, node, *words, label = columns
-        x = np.stack(words, axis=1).view(np.uint64)
-        if most is None:
-            a, b = _links(key, x, distance)
-            more = np.ones(len(a), bool)
-        else:
-            a, b, more = _across(key, x, label, distance, most)
+        run, node, label, key, *fp = columns
+        a, b, more = _across(run, np.stack(fp, axis=1).view(np.uint64), label, distance, most)
         swap = node[a] > node[b]
+        own = key[a]
         a, b = np.where(swap, b, a), np.where(swap, a, b)
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in (node[a], node[b], label[a], label[b], key[a], more)], ["a", "b", "la", "lb", "key", "more"])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (node[a], node[b], label[a], label[b], own, more)], ["a", "b", "la", "lb", "key", "more"])
 
-    return _by_key(keyed, some, "a long, b long, la long, lb long, key long, more boolean")
+    rows = keyed.select("run", "_node", "label", "key", *words)
+    return _by_key(rows, some, "a long, b long, la long, lb long, key long, more boolean", "run")
+
+
+def _thinned(keyed: DataFrame, distance: int) -> DataFrame:
+    """keyed, where rows of a key with more than BUSY of them (by a sample of a 16th) have several narrower keys.
+
+    By the same principle once more: of distance + 1 parts of the bits that the key leaves open, two near
+    fingerprints agree on one. Rows of any other key stay as they are.
+    """
+    sample = keyed.where(F.pmod(F.xxhash64(F.lit("busy"), "_node"), F.lit(16)) == 0)
+    busy = cut(sample.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > BUSY // 16).select("key", F.lit(True).alias("_busy")))
+    if busy.isEmpty():
+        return keyed
+    parts = []
+    for pair in PAIRS:
+        closed = {bit for k in pair for bit in range(LOW[k], LOW[k] + BLOCKS[k])}
+        parts.append([sum(1 << int(b) for b in p) for p in np.array_split(np.array([b for b in range(64) if b not in closed]), distance + 1)])
+    # the number of the pair of blocks stands above bit 26 of a key; the narrower key keeps it, so that _links knows the open bits
+    masks = F.array(*[F.array(*[F.lit(m - (1 << 64) if m >= 1 << 63 else m) for m in p]) for p in parts])
+    own = F.get(masks, F.shiftright("key", 26).cast("int"))
+    narrow = F.transform(own, lambda m, i: F.shiftleft(F.pmod(F.xxhash64("key", i, F.col("fp").bitwiseAND(m)), F.lit(1 << 30)), 32).bitwiseOR(F.col("key")))
+    marked = keyed.join(busy, "key", "left")
+    return marked.select(F.explode(F.when(F.col("_busy"), narrow).otherwise(F.array("key"))).alias("key"), "_node", "fp")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 3, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -305,21 +319,50 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 3, id: st
     own = cut(fingerprints(docs, shingle, 1, id, text))
     nodes = own.groupBy("fp").agg(F.min(id).alias("_least"))
     keyed = nodes.select(F.explode(F.array(*_block_keys())).alias("key"), F.col("fp").alias("_node"), "fp")
-    roots = components(links(keyed, distance))
+    roots = components(links(_thinned(keyed, distance), distance))
     nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = nodes.groupBy("root").agg(F.min("_least").alias("component_id"))
     groups = nodes.select("fp", "root").join(least, "root").select("fp", "component_id")
     return own.join(groups, "fp").select(id, "fp", "component_id")
 
 
-#: For similarity: words of 64 bits, ends of the ranges of tables (one pass each), bits of a key, and the bits that may differ.
-#: A pair at d of 128 bits shares none of the blocks with (1 - C(128 - d, 18) / C(128, 18)) ** 320. With d spread binomially,
-#: all misses together are 0.006 at similarity 0.8 and 0.001 at 0.85; tests hold the figure at 0.8 below 0.01.
-WIDE = {"words64": 2, "passes": (8, 64, 320), "width": 18, "differ": 36}
 #: Jaccard similarity of near copies, as a fraction.
 SIMILAR = (4, 5)
-#: Pairs that a node gives for a key at first; where it has more, eight times as many in each further round.
-NEAREST = 2
+#: Pairs that a node gives for a key at first; where it has more, the numbers of a second round, and the growth of all others.
+NEAREST, SECOND, GROWTH = 2, 64, 16
+#: Tables of a first pass, after which nodes are labelled.
+FIRST = 8
+#: Words of 64 bits that go with every key, and bits of them, and of every 64 of the whole fingerprint, that may differ.
+CARRIED, DIFFER, DIFFER_OF_64 = 4, 56, 12
+
+
+def table_sizes(nodes: int, missed: float = 0.0065) -> tuple[int, int, int]:
+    """Bits of a block, blocks, and words of 64 bits, for so many different texts.
+
+    Sets at similarity 0.8 differ in a share of acos(0.8 / 0.9) / pi = 0.15 of their bits, so they agree on a block
+    with 0.85 ** bits. There are as many blocks as leave all of them different with the probability missed. Blocks grow
+    with the logarithm of the number of texts, so that unlike texts seldom share one; what is missed stays the same.
+    """
+    of, whole = SIMILAR
+    same = 1 - math.acos(2 * of / (of + whole)) / math.pi
+    width = max(16, math.ceil(math.log2(max(1, nodes))) - 6)
+    blocks = math.ceil(math.log(missed) / math.log1p(-(same**width)))
+    return width, blocks, -(-blocks // (64 // width))
+
+
+def _table_keys(words: list[str], width: int, tables: range) -> Column:
+    """The number of each table above its block of the fingerprint; no block lies across two words."""
+    per = 64 // width
+    block = [F.shiftrightunsigned(words[t // per], width * (t % per)).bitwiseAND((1 << width) - 1) for t in tables]
+    return F.array(*[F.lit(t << 40).bitwiseOR(x) for t, x in zip(tables, block, strict=True)])
+
+
+def _differing(words: list[str], x: str, y: str) -> Column:
+    """Bits in which the words of x and y (prefixes of columns) differ."""
+    out = F.lit(0)
+    for w in words:
+        out = out + F.bit_count(F.col(x + w).bitwiseXOR(F.col(y + w)))
+    return out
 
 
 def _set_sketches(docs: DataFrame, shingle: int, id: str, text: str, words: list[str]) -> DataFrame:
@@ -358,52 +401,113 @@ def _sets(docs: DataFrame, shingle: int, text: str) -> DataFrame:
     return like(docs, [text]).mapInArrow(run, "_node long, _set array<long>")
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, id: str, text: str) -> DataFrame:
-    """The pairs (a, b, ...) whose sets of shingles are as similar as SIMILAR says; only their texts are read again."""
-    need = pairs.select(F.col("a").alias("_node")).unionByName(pairs.select(F.col("b").alias("_node"))).distinct()
+def _confirmed(pairs: DataFrame, nodes: DataFrame, words: list[str], docs: DataFrame, shingle: int, id: str, text: str) -> DataFrame:
+    """The pairs (a, b, ...) that are as similar as SIMILAR says: by whole fingerprints first, then by the sets themselves.
+
+    Only the texts of pairs that the fingerprints let pass are read again.
+    """
+    side = lambda c: nodes.select(F.col("_node").alias(c), *[F.col(w).alias(c + w) for w in words])
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(_differing(words, "a", "b") <= DIFFER_OF_64 * len(words))
+    near = cut(near.select(*pairs.columns))
+    need = near.select(F.col("a").alias("_node")).unionByName(near.select(F.col("b").alias("_node"))).distinct()
     ids = nodes.join(need, "_node", "left_semi").select(F.col("_least").alias("_id")).distinct()
     texts = docs.join(ids, F.col(f"`{id}`") == F.col("_id"), "left_semi")
     sets = cut(_sets(texts, shingle, text).join(need, "_node", "left_semi").dropDuplicates(["_node"]))
-    both = pairs.join(sets.select(F.col("_node").alias("b"), F.col("_set").alias("_y")), "b").join(sets.select(F.col("_node").alias("a"), F.col("_set").alias("_x")), "a")
+    both = near.join(sets.select(F.col("_node").alias("b"), F.col("_set").alias("_y")), "b").join(sets.select(F.col("_node").alias("a"), F.col("_set").alias("_x")), "a")
     of, whole = SIMILAR
     shared = F.size(F.array_intersect("_x", "_y"))
     return both.where(shared * (of + whole) >= (F.size("_x") + F.size("_y")) * of).drop("_x", "_y")
 
 
+def _busy_keys(keyed: DataFrame, words: list[str], turn: int) -> DataFrame:
+    """key, top (its most common label), pieces, and a node outside that label, of keys with more than BUSY rows (by a sample of a 16th)."""
+    sample = keyed.where(F.pmod(F.xxhash64(F.lit("busy"), "_node"), F.lit(16)) == 0)
+    own = F.struct("_node", "label", *words)
+    per = sample.groupBy("key", "label").agg(F.count("*").alias("n"), F.min(own).alias("one"))
+    by = F.xxhash64(F.lit(turn), "label")
+    keys = per.groupBy("key").agg(
+        F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.min_by("one", by).alias("x"), F.max_by("one", by).alias("y")
+    )
+    centre = F.when(F.col("x.label") != F.col("top.label"), F.col("x")).otherwise(F.col("y"))
+    pieces = F.ceil(F.col("n") * 16 / BUSY).cast("int")
+    return cut(keys.where(F.col("n") > BUSY // 16).select("key", F.col("top.label").alias("top"), pieces.alias("pieces"), (F.col("n") - F.col("top.n")).alias("outside"), centre.alias("centre")))
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, component_id of the documents that have near copies (Jaccard similarity of sets of shingles 0.8 or more).
 
-    Candidates come from fingerprints of 128 bits, 36 of which may differ, that agree on one of 320 blocks of 18
-    bits (sets at 0.8 have vectors 27 degrees apart and differ in 15 % of all bits); then the sets themselves (as hashes of 64 bits) decide, and only pairs at SIMILAR are links.
-    A pass takes some of the tables. The first looks at a forest of each key; all others, and the rounds of a pass,
-    only at pairs that no links connect yet, and a pass ends when no key has such a pair that was not
-    compared. So a dense group is not listed pair by pair, and no link among candidates is lost. Equal sets are
-    one node. Null or empty texts belong to no group.
+    A fingerprint of the set of shingles is split into blocks (table_sizes), and texts meet that agree on one. Their
+    Hamming distance is verified on a few words, then on all, and then the sets themselves (as hashes of 64 bits)
+    decide: only pairs at SIMILAR are links. A pass takes some of the blocks and looks only at pairs that no links
+    connect yet; it ends when no key has such a pair that was not compared. So a dense group is not listed pair by
+    pair, and no link among candidates is lost. Keys with more rows than a task should get are dealt in pieces, once
+    their rows are linked to one in the middle (the most common label is dealt, all others are in every piece).
+
+    Equal sets are one node. Null texts and texts without words belong to no group, rows with a null id to none unless
+    their set is also another row's; repeated rows are a group, as equal texts are; an empty table gives no row. Texts may be
+    of any length. Other columns are ignored. Ids may be of any type that has an order.
     """
-    words = ["fp", *[f"fp{k}" for k in range(1, WIDE["words64"])]]
+    count = docs.count()
+    width, blocks, n_words = table_sizes(count)
+    words = [f"fp{k}" for k in range(n_words)]
+    few = words[:CARRIED]
     own = cut(_set_sketches(docs, shingle, id, text, words))
     nodes = cut(own.groupBy("_node", *words).agg(F.min(id).alias("_least"), F.count("*").alias("_n")).where("_least IS NOT NULL"))
-    labels = nodes.select("_node", *words, F.col("_node").alias("label"))
+    labels = nodes.select("_node", F.col("_node").alias("label"))
+
+    def contracted(pairs: DataFrame) -> DataFrame | None:
+        """labels after the links among pairs, or None if there are none."""
+        edges = cut(_confirmed(pairs, nodes, words, docs, shingle, id, text).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+        if edges.isEmpty():
+            return None
+        roots = components(edges).select(F.col("node").alias("label"), "root")
+        return cut(labels.join(roots, "label", "left").select("_node", F.coalesce("root", "label").alias("label")))
+
+    def keyed(tables: range, carry: list[str]) -> DataFrame:
+        rows = nodes.join(labels, "_node")
+        return rows.select(F.explode(_table_keys(words, width, tables)).alias("key"), "_node", "label", *carry)
+
+    # the middle of each busy key of the first tables
+    fruitless, turn = 0, 0
+    while fruitless < 3:
+        rows = keyed(range(min(FIRST, blocks)), few)
+        busy = _busy_keys(rows, few, turn).where(F.col("outside") > BUSY // 16).select("key", "centre")
+        if busy.isEmpty():
+            break
+        met = rows.join(busy, "key").where(F.col("label") != F.col("centre.label"))
+        flat = met.select("_node", "label", *[F.col(w).alias("x" + w) for w in few], F.col("centre._node").alias("b"), F.col("centre.label").alias("lb"), *[F.col(f"centre.{w}").alias("y" + w) for w in few])
+        stars = cut(flat.where(_differing(few, "x", "y") <= DIFFER).select(F.col("_node").alias("a"), "b", F.col("label").alias("la"), "lb").distinct())
+        new = contracted(stars)
+        labels, fruitless, turn = (labels, fruitless + 1, turn + 1) if new is None else (new, 0, turn + 1)
+
     tested, start = None, 0
-    for stop in WIDE["passes"]:
-        most, open_keys = (NEAREST if start else None), None
+    for stop in sorted({min(FIRST, blocks), blocks}):
+        most, open_keys, tables = NEAREST, None, range(start, stop)
         while True:
-            keyed = _wide_keys(labels, words, range(start, stop), WIDE["width"])
+            # whole fingerprints go only with the few keys that are still open
+            carry, differ = (few, DIFFER) if open_keys is None else (words, DIFFER_OF_64 * n_words)
+            rows = keyed(tables, carry)
             if open_keys is not None:
-                keyed = keyed.join(open_keys, "key", "left_semi")
-            found = cut(_candidates(keyed, WIDE["differ"], most))
+                rows = rows.join(open_keys, "key", "left_semi")
+            busy = _busy_keys(rows, carry, 0).select("key", "top", "pieces")
+            if busy.isEmpty():
+                rows = rows.withColumn("run", F.col("key"))
+            else:
+                dealt = F.when(F.col("label") == F.col("top"), F.array(F.pmod(F.hash("_node"), F.col("pieces")))).otherwise(F.sequence(F.lit(0), F.col("pieces") - 1))
+                piece = F.explode(F.when(F.col("pieces").isNull(), F.array(F.lit(0))).otherwise(dealt))
+                rows = rows.join(busy, "key", "left").withColumn("piece", piece).withColumn("run", F.xxhash64("key", "piece"))
+            found = cut(_candidates(rows, carry, differ, most))
             pairs = found.groupBy("a", "b").agg(F.first("la").alias("la"), F.first("lb").alias("lb"))
             pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
             seen = pairs.select("a", "b")
             tested = seen if tested is None else tested.unionByName(seen)
-            edges = cut(_confirmed(pairs, nodes, docs, shingle, id, text).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
-            if not edges.isEmpty():
-                roots = components(edges).select(F.col("node").alias("label"), "root")
-                labels = cut(labels.join(roots, "label", "left").select("_node", *words, F.coalesce("root", "label").alias("label")))
-            open_keys = found.where("more").select("key").distinct()
-            if open_keys.isEmpty():
+            new = None if pairs.isEmpty() else contracted(pairs)
+            labels = labels if new is None else new
+            more = found.where("more").select("key").distinct()
+            if more.isEmpty():
                 break
-            most = NEAREST if most is None else most * 8
+            most = SECOND if open_keys is None else most * GROWTH
+            open_keys = cut(more)
         start = stop
     least = labels.join(nodes.select("_node", "_least", "_n"), "_node").groupBy("label").agg(F.min("_least").alias("component_id"), F.sum("_n").alias("_all"))
     groups = labels.join(least.where("_all > 1"), "label").select("_node", "component_id")

@@ -167,10 +167,41 @@ def test_pairs_across_labels_are_complete():
 
 
 def test_similar_pairs_are_rarely_missed():
-    bits, width, tables = 64 * simhash.WIDE["words64"], simhash.WIDE["width"], simhash.WIDE["passes"][-1]
-    p = math.acos(0.8 / 0.9) / math.pi  # of equal sets at 0.8
-    missed = lambda d: (1 - math.comb(bits - d, width) / math.comb(bits, width)) ** tables if d <= simhash.WIDE["differ"] else 1.0
-    assert sum(math.comb(bits, d) * p**d * (1 - p) ** (bits - d) * missed(d) for d in range(bits + 1)) < 0.01
+    p = math.acos(0.8 / 0.9) / math.pi  # share of bits in which equally large sets at 0.8 differ
+    above = lambda n, d: sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(d + 1, n + 1))
+    for rows in (1, 50_000, 15_000_000, 50_000_000_000):
+        width, blocks, words = simhash.table_sizes(rows)
+        assert blocks <= words * (64 // width)
+        no_block = (1 - (1 - p) ** width) ** blocks
+        assert no_block + above(64 * simhash.CARRIED, simhash.DIFFER) + above(1024, simhash.DIFFER_OF_64 * 16) < 0.011
+
+
+def test_busy_keys_are_split(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUSY", 32)
+    rng = random.Random(6)
+    rows, words = [], lambda n: [f"b{rng.randrange(9000)}" for _ in range(n)]
+    base = words(300)
+    for k in range(300):
+        own = list(base)
+        for _ in range(rng.randrange(1, 9)):
+            own[rng.randrange(300)] = f"e{rng.randrange(9000)}"
+        rows.append((k, " ".join(own)))
+    rows += [(1000 + k, " ".join(words(120))) for k in range(100)]
+    want = similar_brute(rows)
+    left = {r["doc_id"] for r in simhash.drop_similar(frame(spark, rows)).collect()}
+    assert left == {i for i, r in want.items() if i == r}
+    out = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(frame(spark, rows).drop("fp"), shingle=5).collect()}
+    fps, group = brute(rows, 5)
+    least = {g: min(i for (i, _), h in zip(fps, group, strict=True) if h == g) for g in set(group)}
+    assert out == {i: least[g] for (i, _), g in zip(fps, group, strict=True)}
+
+
+def test_similar_with_string_ids_and_blank_texts(spark):
+    base = " ".join(f"q{k}" for k in range(80))
+    rows = [("b", base), ("a", base + " tail"), ("c", "\t"), ("d", "\n"), ("e", None), (None, base), ("f", base.upper())]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    left = sorted((r["doc_id"] or "", r["text"]) for r in simhash.drop_similar(df).collect())
+    assert [i for i, _ in left] == ["", "a", "c", "d", "e"]
 
 
 def test_components_of_a_chain(spark):
