@@ -52,6 +52,108 @@ def chunks(c: Column, size: int) -> Column:
 
 
 def number(c: Column) -> Column:
-    """A number written 1.234.567, 1,234,567.8 or plain; null otherwise."""
-    dotted, comma, plain = r"^[0-9]{1,3}(\.[0-9]{3}){2,}$", r"^[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?$", r"^[0-9]+(\.[0-9]+)?$"
+    """A number written 1.234.567, 1.234, 1,234,567.8 or plain; null otherwise. One dot before three digits groups thousands, too."""
+    dotted, comma, plain = r"^[0-9]{1,3}(\.[0-9]{3})+$", r"^[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?$", r"^[0-9]+(\.[0-9]+)?$"
     return F.when(c.rlike(dotted), F.replace(c, F.lit("."), F.lit(""))).when(c.rlike(comma), F.replace(c, F.lit(","), F.lit(""))).when(c.rlike(plain), c).try_cast("double")
+
+
+def source_url(url: Column) -> Column:
+    """normal_url where there are scheme and host, else the text without spaces around it, in lower case; empty for null."""
+    trimmed = F.trim(url)
+    return F.coalesce(F.when(trimmed.rlike("^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+"), normal_url(trimmed)).otherwise(F.lower(trimmed)), F.lit(""))
+
+
+def wiki_slug(url: Column) -> Column:
+    """What follows /wiki/ in the address of an encyclopedia's page, decoded, underscores as spaces; null elsewhere."""
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z]+://([^/?#]*)", 1))
+    slug = F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]*[^?#]*/wiki/([^?#]*)", 1)
+    there = (host.contains("wikipedia.org") | host.contains("wikidata.org")) & url.rlike(r"^[A-Za-z]+://[^/?#]*[^?#]*/wiki/")
+    # a plus sign is no space in a path
+    decoded = F.coalesce(F.try_url_decode(F.replace(slug, F.lit("+"), F.lit("%2B"))), slug)
+    return F.when(there, F.trim(F.replace(decoded, F.lit("_"), F.lit(" "))))
+
+
+def has_token(text: Column, token: str) -> Column:
+    """Whether text has token as a word of its own; a token of several words only has to stand in it."""
+    return F.contains(text, F.lit(token)) if " " in token else F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.lit(f" {token} "))
+
+
+def maps_link(name: Column, city: Column, country: Column) -> Column:
+    """A search link for a map, of the parts that are there."""
+    parts = F.filter(F.array(name, city, country), lambda p: F.coalesce(F.trim(p), F.lit("")) != "")
+    asked = F.url_encode(F.array_join(F.transform(parts, lambda p: F.trim(p)), ", "))
+    return F.concat(F.lit("https://www.google.com/maps/search/?api=1&query="), F.replace(asked, F.lit("+"), F.lit("%20")))
+
+
+#: What a vague next action says, and what a concrete one does.
+VAGUE = ("待研究", "待定", "tbd", "todo", "进一步研究")
+VERBS = ("补查", "查询", "核验", "核查", "确认", "比对", "检查")
+
+
+def concrete(action: Column) -> Column:
+    """Whether a next action says what to do: eight characters or more, one of VERBS, none of VAGUE."""
+    flat = F.lower(F.trim(F.coalesce(action, F.lit(""))))
+    vague, verb = F.lit(False), F.lit(False)
+    for w in VAGUE:
+        vague = vague | F.contains(flat, F.lit(w))
+    for w in VERBS:
+        verb = verb | F.contains(flat, F.lit(w))
+    return (F.length(flat) >= 8) & ~vague & verb
+
+
+#: Words of Chinese prose about places.
+PROSE = "补查|补采|补充|核验|复核|推荐|优先|确认|进入|主指标|下一步|来源|年度|客流|方案|依据|该物业|该场馆|该机场|该校区"
+
+
+def _counts(c: Column) -> tuple[Column, Column, Column]:
+    """Chinese characters, Latin words of two letters or more, and the letters of those."""
+    n = lambda p: F.coalesce(F.regexp_count(c, F.lit(p)), F.lit(0))
+    words = F.coalesce(F.regexp_extract_all(c, F.lit("[A-Za-z]{2,}"), 0), F.array().cast("array<string>"))
+    return n("[\u4E00-\u9FFF]"), F.size(words), F.length(F.array_join(words, ""))
+
+
+def locale(c: Column) -> Column:
+    """zh, en or mixed, by the letters of a text; text without letters is en."""
+    cjk, words, letters = _counts(c)
+    after_de = F.element_at(F.split(c, "的"), -1)
+    prose = (cjk >= 4) & c.rlike(PROSE)
+    foreign = c.rlike("(^|[^A-Za-z0-9_])[a-z]{3,}($|[^A-Za-z0-9_])")
+    both = (
+        F.when(prose & F.contains(c, F.lit("的")) & ~after_de.rlike("[A-Za-z]{2,}"), "zh")
+        .when(prose, F.when(foreign, "mixed").otherwise("zh"))
+        .when(cjk >= F.greatest(F.lit(12), words * 4), "zh")
+        .when(letters >= F.greatest(F.lit(24), cjk * 4), "en")
+        .otherwise("mixed")
+    )
+    return F.when((cjk > 0) & (letters > 0), both).when(cjk > 0, "zh").otherwise("en")
+
+
+def usable_translation(source: Column, translated: Column, source_locale: Column, target_locale: Column, status: Column, good: tuple[str, ...] = ("ok", "translated")) -> Column:
+    """Whether a translation may be shown: a good status, a text, and more of the target's letters, or fewer of the source's, than before.
+
+    A translation that repeats its source is usable only if the source has no words that need one.
+    """
+    flat = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    cjk = lambda c: F.coalesce(F.regexp_count(c, F.lit("[\u4E00-\u9FFF]")), F.lit(0))
+    latin = lambda c: F.coalesce(F.regexp_count(c, F.lit("[A-Za-z]{3,}")), F.lit(0))
+    to_zh = (latin(source) == 0) | (latin(translated) < latin(source)) | (cjk(translated) > cjk(source))
+    to_en = (cjk(source) == 0) | (cjk(translated) < cjk(source)) | (latin(translated) > latin(source))
+    aligned = F.when((target_locale == "zh") & source_locale.isin("en", "mixed"), to_zh).when((target_locale == "en") & source_locale.isin("zh", "mixed"), to_en).otherwise(True)
+    bearing = F.when(target_locale == "en", cjk(source) > 0).when(target_locale == "zh", source.rlike("(^|[^A-Za-z0-9_])[a-z]{3,}($|[^A-Za-z0-9_])")).otherwise(True)
+    same = flat(source) == flat(translated)
+    ok = F.when(source_locale == target_locale, True).when(same, ~bearing).otherwise(aligned)
+    return F.coalesce(F.lower(status).isin(*good) & (flat(translated) != "") & ok, F.lit(False))
+
+
+def place_aliases(name: Column) -> Column:
+    """The name, what it has outside and inside parentheses, and its parts between slashes; each once, in this order."""
+    outside, inside = F.regexp_replace(name, r"\s*\([^)]*\)\s*", " "), F.regexp_extract_all(name, F.lit(r"\(([^)]*)\)"), 1)
+    parts = F.flatten(F.transform(F.concat(F.array(name, outside), inside), lambda p: F.concat(F.array(p), F.split(p, "/"))))
+    return F.array_distinct(F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != ""))
+
+
+def degrees(c: Column) -> Column:
+    """Struct (lat, lon) of DDMM[NS] DDDMM[EW]; null if it is not written so."""
+    at = lambda i: F.regexp_extract(c, r"^\s*(\d{2})(\d{2})([NS])\s+(\d{3})(\d{2})([EW])\s*$", i)
+    one = lambda d, m, side, minus: (at(d).try_cast("double") + at(m).try_cast("double") / 60) * F.when(at(side) == minus, -1.0).otherwise(1.0)
+    return F.when(at(1) != "", F.struct(one(1, 2, 3, "S").alias("lat"), one(4, 5, 6, "W").alias("lon")))

@@ -1,9 +1,9 @@
 """Percentiles, trends, rollups with freshness, calibration, recommendations, queues."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loomstone.operators.latest import rank_percentile, ranked
+from loomstone.operators import visits
+from loomstone.operators.ranks import percentiles, row_numbers, share_below
 from loomstone.plans.registry import Tables, query
 
 _QUARTER = "year(l_shipdate) * 4 + quarter(l_shipdate) - 1"
@@ -21,8 +21,7 @@ def _panel(t: Tables):
 SELECT supp, q, CASE WHEN speed <= s20 OR latency >= l80 THEN 'poor' WHEN speed <= s40 OR latency >= l60 THEN 'moderate' ELSE 'good' END AS class FROM p JOIN c USING (nation, q)""")
 def performance_class(t: Tables):
     p = _panel(t)
-    at = lambda c, x: F.percentile(c, x)
-    c = p.groupBy("nation", "q").agg(at("speed", 0.2).alias("s20"), at("speed", 0.4).alias("s40"), at("latency", 0.6).alias("l60"), at("latency", 0.8).alias("l80"))
+    c = percentiles(p, ["nation", "q"], "speed", {"s20": 0.2, "s40": 0.4}).join(percentiles(p, ["nation", "q"], "latency", {"l60": 0.6, "l80": 0.8}), ["nation", "q"])
     kind = F.when((F.col("speed") <= F.col("s20")) | (F.col("latency") >= F.col("l80")), "poor").when((F.col("speed") <= F.col("s40")) | (F.col("latency") >= F.col("l60")), "moderate").otherwise("good")
     return p.join(c, ["nation", "q"]).select("supp", F.col("q").cast("long"), kind.alias("class"))
 
@@ -30,7 +29,7 @@ def performance_class(t: Tables):
 @query("""SELECT p_partkey, round(CASE WHEN n <= 1 THEN 0.5 ELSE (r - 1) / (n - 1) END, 6) AS pct FROM (SELECT p_partkey, count(*) OVER (PARTITION BY p_brand) AS n,
   (count(*) OVER (PARTITION BY p_brand ORDER BY p_size))::DOUBLE AS r FROM part)""")
 def rank_percentile_with_ties(t: Tables):
-    return t.part.select("p_partkey", F.round(rank_percentile("p_size", ["p_brand"]), 6).alias("pct"))
+    return share_below(t.part.select("p_partkey", "p_brand", "p_size"), ["p_brand"], "p_size", "pct").select("p_partkey", F.round("pct", 6).alias("pct"))
 
 
 @query(f"""WITH p AS (SELECT supp, q, speed FROM ({_PANEL}))
@@ -42,35 +41,6 @@ def previous_quarter_trend(t: Tables):
     return p.join(b, ["supp", "q"], "left").select("supp", "q", F.round("speed", 4).alias("speed"), F.round("before", 4).alias("previous"), F.round((F.col("speed") - F.col("before")) / F.col("before"), 6).alias("trend"))
 
 
-@query(f"""WITH n AS (SELECT max(ts) AS now FROM events),
-e AS (SELECT user_id, event_type, ts, (epoch_us(now) - epoch_us(ts)) // 86400000000 AS age, CASE event_type WHEN 'error' THEN 1.0 WHEN 'purchase' THEN 0.8 WHEN 'click' THEN 0.5 ELSE 0.2 END AS sev, event_id % 97 AS h FROM events, n),
-d AS (SELECT * FROM e WHERE age <= 365 QUALIFY row_number() OVER (PARTITION BY user_id, event_type, h ORDER BY ts DESC) = 1)
-SELECT user_id, count(*) AS n, round(sum(sev::DOUBLE * CASE WHEN age <= 7 THEN 1.0 WHEN age <= 14 THEN 0.6 ELSE 0.3 END::DOUBLE), 4) AS pressure, count(DISTINCT event_type) AS kinds,
-  CASE WHEN count(*) >= 10 THEN 'high' WHEN count(*) >= 3 THEN 'medium' ELSE 'low' END AS confidence FROM d GROUP BY 1""")
-def complaint_rollup(t: Tables):
-    """Observations weighed by severity and freshness, one per content hash, age in whole days of 24 hours."""
-    now = t.events.agg(F.max("ts").alias("now"))
-    sev = F.when(F.col("event_type") == "error", 1.0).when(F.col("event_type") == "purchase", 0.8).when(F.col("event_type") == "click", 0.5).otherwise(0.2)
-    age = F.floor((F.unix_micros(F.col("now").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 86_400_000_000)
-    e = t.events.crossJoin(F.broadcast(now)).select("user_id", "event_type", "ts", age.alias("age"), sev.alias("sev"), (F.col("event_id") % 97).alias("h")).where("age <= 365")
-    from loomstone.operators.latest import first_per_key
-
-    d = first_per_key(e, ["user_id", "event_type", "h"], [F.desc("ts")])
-    fresh = F.when(F.col("age") <= 7, 1.0).when(F.col("age") <= 14, 0.6).otherwise(0.3)
-    n = F.count("*")
-    return d.groupBy("user_id").agg(n.alias("n"), F.round(F.sum(F.col("sev") * fresh), 4).alias("pressure"), F.count_distinct("event_type").alias("kinds"), F.when(n >= 10, "high").when(n >= 3, "medium").otherwise("low").alias("confidence"))
-
-
-@query("""WITH u AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) >= 3)
-SELECT user_id, event_type, round(CASE WHEN count(*) OVER w = 1 THEN 0.5 ELSE (row_number() OVER (PARTITION BY event_type ORDER BY n, user_id) - 1)::DOUBLE / (count(*) OVER w - 1) END, 6) AS pct FROM u WINDOW w AS (PARTITION BY event_type)""")
-def complaint_percentile(t: Tables):
-    """Place in a total order, so equal counts get different ranks."""
-    u = t.events.groupBy("user_id", "event_type").agg(F.count("*").alias("n")).where("n >= 3")
-    n = F.count("*").over(Window.partitionBy("event_type"))
-    k = F.row_number().over(Window.partitionBy("event_type").orderBy("n", "user_id"))
-    return u.select("user_id", "event_type", F.round(F.when(n == 1, 0.5).otherwise((k - 1) / (n - 1)), 6).alias("pct"))
-
-
 @query("""WITH s AS (SELECT p_type AS scene, p_retailprice AS actual, p_retailprice * (1 + (p_partkey % 7 - 3) / 20.0::DOUBLE) AS v1, p_retailprice * (1 + (p_partkey % 5 - 2) / 50.0::DOUBLE) AS v2 FROM part),
 a AS (SELECT scene, count(*) AS n, avg(abs(v1 - actual) / actual) AS mape1, avg(abs(v2 - actual) / actual) AS mape2, median(abs(v2 - actual) / actual) AS mdape FROM s GROUP BY 1)
 SELECT scene, n, round(mape1, 6) AS mape1, round(mape2, 6) AS mape2, round(mdape, 6) AS mdape, round((mape1 - mape2) / mape1, 6) AS gain, n >= 30 AND (mape1 - mape2) / mape1 >= 0.2 AS passed FROM a""")
@@ -83,15 +53,17 @@ def calibration(t: Tables):
     return a.select("scene", "n", F.round("m1", 6).alias("mape1"), F.round("m2", 6).alias("mape2"), F.round("md", 6).alias("mdape"), F.round(gain, 6).alias("gain"), ((F.col("n") >= 30) & (gain >= 0.2)).alias("passed"))
 
 
-@query("""WITH r AS (SELECT c_custkey, c_nationkey, c_mktsegment, c_acctbal, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_acctbal DESC, c_name) AS rk,
+@query("""WITH r AS (SELECT c_custkey, c_nationkey, c_mktsegment, c_acctbal, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS rk,
   count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) AS n FROM customer),
 g AS (SELECT *, max(CASE WHEN rk = least(10, n) THEN c_acctbal END) OVER (PARTITION BY c_nationkey, c_mktsegment) AS gate FROM r)
 SELECT c_custkey, rk, gate, c_acctbal >= gate AS recommended FROM g""")
 def recommendation_threshold(t: Tables):
-    own = Window.partitionBy("c_nationkey", "c_mktsegment")
-    r = ranked(t.customer, ["c_nationkey", "c_mktsegment"], [F.desc("c_acctbal"), F.col("c_name")], "rk").withColumn("n", F.count("*").over(own))
-    g = r.withColumn("gate", F.max(F.when(F.col("rk") == F.least(F.lit(10), F.col("n")), F.col("c_acctbal"))).over(own))
-    return g.select("c_custkey", "rk", "gate", (F.col("c_acctbal") >= F.col("gate")).alias("recommended"))
+    """The gate is the value at rank ten, or at the last one; ties with it are in."""
+    keys = ["c_nationkey", "c_mktsegment"]
+    rows = t.customer.select("c_custkey", *keys, "c_acctbal", (-F.col("c_acctbal")).alias("down"))
+    r = row_numbers(rows, keys, "down", "c_custkey", "rk")
+    gates = r.where("rk <= 10").groupBy(*keys).agg(F.min("c_acctbal").alias("gate"))
+    return r.join(gates, keys).select("c_custkey", "rk", "gate", (F.col("c_acctbal") >= F.col("gate")).alias("recommended"))
 
 
 @query("""WITH q AS (SELECT o_orderkey AS id, o_orderdate AS due, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 ELSE 3 END AS prio, o_orderstatus AS status FROM orders)
@@ -109,12 +81,11 @@ def hourly_windows(t: Tables):
     return t.events.groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select("event_type", F.col("w.start").cast("timestamp_ntz").alias("start"), "n", "total")
 
 
-@query("""SELECT c_custkey, value_class FROM (SELECT c_custkey, CASE WHEN v >= 1000000 THEN 'S' WHEN v >= 500000 THEN 'A' WHEN v >= 100000 THEN 'B' WHEN v > 0 THEN 'C' ELSE 'unknown' END AS value_class
+@query("""SELECT c_custkey, value_class FROM (SELECT c_custkey, CASE WHEN v >= 10000000 THEN 'National Flagship' WHEN v >= 1000000 THEN 'City Core' WHEN v >= 250000 THEN 'Regional Anchor' WHEN v > 0 THEN 'Local Candidate' ELSE 'Observation' END AS value_class
 FROM customer LEFT JOIN (SELECT o_custkey, sum(o_totalprice) AS v FROM orders GROUP BY 1) ON o_custkey = c_custkey)""")
 def value_class(t: Tables):
     v = t.orders.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("v"))
-    band = F.when(F.col("v") >= 1_000_000, "S").when(F.col("v") >= 500_000, "A").when(F.col("v") >= 100_000, "B").when(F.col("v") > 0, "C").otherwise("unknown")
-    return t.customer.join(v, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", band.alias("value_class"))
+    return t.customer.join(v, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", visits.value_class(F.col("v")).alias("value_class"))
 
 
 @query("""WITH r AS (SELECT user_id, event_type, max(ts) AS last, count(*) AS n FROM events WHERE event_type IN ('click', 'purchase') GROUP BY 1, 2)

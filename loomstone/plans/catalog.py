@@ -1,6 +1,6 @@
 """All queries of the library over the given tables."""
 
-from loomstone.plans import analytics, extraction, geography, matching, modelling, outputs, relational, summaries, texts  # noqa: F401
+from loomstone.plans import analytics, complaints, extraction, geography, identities, matching, modelling, outputs, relational, summaries, texts, visits  # noqa: F401
 from loomstone.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

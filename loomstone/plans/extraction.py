@@ -50,13 +50,13 @@ def plain_names(t: Tables):
 
 
 @query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM documents),
-h AS (SELECT doc_id, (instr('0123456789abcdef', substr(sha256(w), 1, 1)) - 1) % 8 AS d, sum(CASE WHEN instr('0123456789abcdef', substr(sha256(w), 2, 1)) > 8 THEN 1 ELSE -1 END)::DOUBLE AS n FROM w GROUP BY 1, 2),
+h AS (SELECT doc_id, ('0x' || substr(sha256(w), 1, 8))::BIGINT % 8 AS d, sum(CASE WHEN ('0x' || substr(sha256(w), 9, 2))::BIGINT % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS n FROM w GROUP BY 1, 2),
 s AS (SELECT doc_id, d, n, sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS norm FROM h),
 a AS (SELECT doc_id, i AS dim FROM documents, range(8) r(i))
 SELECT a.doc_id, dim::INT AS dim, round(coalesce(CASE WHEN norm > 0 THEN n / norm END, 0), 6) AS x FROM a LEFT JOIN s ON a.doc_id = s.doc_id AND dim = d""")
 def hash_embedding(t: Tables):
     """Signed word counts by hash, normalised; all within the row, without a shuffle."""
-    v = hash_vector(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    v = hash_vector(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), 8)
     return t.documents.select("doc_id", F.posexplode(v).alias("dim", "x")).select("doc_id", "dim", F.round("x", 6).alias("x"))
 
 

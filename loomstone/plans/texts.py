@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from loomstone.functions import text
+from loomstone.operators.passages import contained
 from loomstone.plans.registry import Tables, query
 
 
@@ -43,12 +44,12 @@ def identity_key(t: Tables):
     return t.part.select("p_partkey", F.concat_ws("|", text.key_text(F.col("p_type")), F.lower(F.trim("p_brand"))).alias("identity"))
 
 
-@query(r"""WITH s AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN floor(o_totalprice)::BIGINT::VARCHAR WHEN 1 THEN '1.234.' || lpad((o_orderkey % 1000)::VARCHAR, 3, '0') WHEN 2 THEN '12,' || lpad((o_orderkey % 1000)::VARCHAR, 3, '0') || '.5' ELSE 'n/a' END AS x FROM orders)
-SELECT o_orderkey, CASE WHEN regexp_matches(x, '^[0-9]{1,3}(\.[0-9]{3}){2,}$') THEN replace(x, '.', '')::DOUBLE WHEN regexp_matches(x, '^[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?$') THEN replace(x, ',', '')::DOUBLE WHEN regexp_matches(x, '^[0-9]+(\.[0-9]+)?$') THEN x::DOUBLE END AS value FROM s""")
+@query(r"""WITH s AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN floor(o_totalprice)::BIGINT::VARCHAR WHEN 1 THEN CASE WHEN o_orderkey % 8 = 1 THEN '1.234.' ELSE '7.' END || lpad((o_orderkey % 1000)::VARCHAR, 3, '0') WHEN 2 THEN '12,' || lpad((o_orderkey % 1000)::VARCHAR, 3, '0') || '.5' ELSE 'n/a' END AS x FROM orders)
+SELECT o_orderkey, CASE WHEN regexp_matches(x, '^[0-9]{1,3}(\.[0-9]{3})+$') THEN replace(x, '.', '')::DOUBLE WHEN regexp_matches(x, '^[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?$') THEN replace(x, ',', '')::DOUBLE WHEN regexp_matches(x, '^[0-9]+(\.[0-9]+)?$') THEN x::DOUBLE END AS value FROM s""")
 def number_grammar(t: Tables):
     k = F.col("o_orderkey")
     three = F.lpad((k % 1000).cast("string"), 3, "0")
-    x = F.when(k % 4 == 0, F.floor("o_totalprice").cast("string")).when(k % 4 == 1, F.concat(F.lit("1.234."), three)).when(k % 4 == 2, F.concat(F.lit("12,"), three, F.lit(".5"))).otherwise("n/a")
+    x = F.when(k % 4 == 0, F.floor("o_totalprice").cast("string")).when(k % 4 == 1, F.concat(F.when(k % 8 == 1, "1.234.").otherwise("7."), three)).when(k % 4 == 2, F.concat(F.lit("12,"), three, F.lit(".5"))).otherwise("n/a")
     return t.orders.select("o_orderkey", x.alias("x")).select("o_orderkey", text.number(F.col("x")).alias("value"))
 
 
@@ -69,15 +70,9 @@ def domain_allow_list(t: Tables):
 
 @query("""SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
 def passage_containment(t: Tables):
-    """Documents that hold a passage whole: eight-word shingles meet by hash, then the text decides."""
-    words = lambda c: F.filter(F.split(c, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    first = lambda w: F.array_join(F.slice(w, 2, 6), " ")
-    # the passage's own second to seventh words stand whole in any text that holds it
-    b = t.benchmark.withColumn("w", words(F.col("text"))).where(F.size("w") >= 8).select("item_id", F.col("text").alias("passage"), F.xxhash64(first(F.col("w"))).alias("h"))
-    d = t.documents.withColumn("w", words(F.col("text")))
-    hashes = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 5)), lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i, 6), " "))))
-    near = d.select("doc_id", F.explode(hashes).alias("h")).join(b, "h").select("doc_id", "item_id", "passage").distinct()
-    return near.join(t.documents.select("doc_id", "text"), "doc_id").where(F.contains("text", "passage")).select("doc_id", "item_id")
+    """Documents that hold a passage whole, however short it is."""
+    b = t.benchmark.select("item_id", F.col("text").alias("passage"))
+    return contained(t.documents, "doc_id", "text", b, "passage").join(b, "passage").select("doc_id", "item_id")
 
 
 @query("""WITH a AS (SELECT event_id, TRY_CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) SELECT event_id, k, coalesce(k, 0) % 10 AS bucket FROM a""")

@@ -112,7 +112,7 @@ def test_names(spark):
 
 def test_hash_vector(spark):
     df = spark.createDataFrame([(["a", "b", "a"],), ([],), (None,)], "w array<string>")
-    a, b, c = (r[0] for r in df.select(names.hash_vector(F.col("w"))).collect())
+    a, b, c = (r[0] for r in df.select(names.hash_vector(F.col("w"), 8)).collect())
     assert abs(sum(x * x for x in a) - 1) < 1e-9 and b == [0.0] * 8 and c == [0.0] * 8
 
 
