@@ -9,7 +9,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 _other = re.compile(r"[^a-z0-9]+")
 
@@ -82,6 +82,11 @@ def _udf(f):
     return of
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def quality_list(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda xs: [quality(x or "") for x in xs], na_action="ignore")
+
+
 identity_text, entity_name, quality_text, search_text, flat_text = map(_udf, (identity, entity, quality, search_form, flat))
 
 
