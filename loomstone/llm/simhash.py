@@ -330,6 +330,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 3, id: st
 SIMILAR = (4, 5)
 #: Pairs that a node gives for a key at first; where it has more, the numbers of a second round, and the growth of all others.
 NEAREST, SECOND, GROWTH = 2, 64, 16
+#: Keys that a broadcast may hold, at most 4 MB; more are joined by a shuffle.
+SMALL = 500_000
 #: Tables of a first pass, after which nodes are labelled.
 FIRST = 8
 #: Words of 64 bits that go with every key, and bits of them, and of every 64 of the whole fingerprint, that may differ.
@@ -484,11 +486,12 @@ def similar_groups(docs: DataFrame, shingle: int = 5, id: str = "doc_id", text:
     for stop in sorted({min(FIRST, blocks), blocks}):
         most, open_keys, tables = NEAREST, None, range(start, stop)
         while True:
-            # whole fingerprints go only with the few keys that are still open
-            carry, differ = (few, DIFFER) if open_keys is None else (words, DIFFER_OF_64 * n_words)
-            rows = keyed(tables, carry)
-            if open_keys is not None:
-                rows = rows.join(open_keys, "key", "left_semi")
+            if open_keys is None:
+                carry, differ, rows = few, DIFFER, keyed(tables, few)
+            else:
+                # whole fingerprints go only with the few keys that are still open
+                slim = nodes.select(F.explode(_table_keys(words, width, tables)).alias("key"), "_node").join(open_keys, "key", "left_semi")
+                carry, differ, rows = words, DIFFER_OF_64 * n_words, slim.join(nodes.join(labels, "_node").select("_node", "label", *words), "_node")
             busy = _busy_keys(rows, carry, 0).select("key", "top", "pieces")
             if busy.isEmpty():
                 rows = rows.withColumn("run", F.col("key"))
@@ -503,11 +506,12 @@ def similar_groups(docs: DataFrame, shingle: int = 5, id: str = "doc_id", text:
             tested = seen if tested is None else tested.unionByName(seen)
             new = None if pairs.isEmpty() else contracted(pairs)
             labels = labels if new is None else new
-            more = found.where("more").select("key").distinct()
-            if more.isEmpty():
+            more = cut(found.where("more").select("key").distinct())
+            left = more.count()
+            if not left:
                 break
             most = SECOND if open_keys is None else most * GROWTH
-            open_keys = cut(more)
+            open_keys = F.broadcast(more) if left <= SMALL else more
         start = stop
     least = labels.join(nodes.select("_node", "_least", "_n"), "_node").groupBy("label").agg(F.min("_least").alias("component_id"), F.sum("_n").alias("_all"))
     groups = labels.join(least.where("_all > 1"), "label").select("_node", "component_id")
