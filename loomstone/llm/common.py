@@ -35,14 +35,30 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(str(out))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir. Without it only a local session gets one of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="ckpt-")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df and cut its lineage, in the folder that the cluster names in spark.checkpoint.dir."""
+    """Materialise df and cut its lineage, in the shared folder."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
+def sampled(seed: str, key: str, rows: int, total: int) -> Column:
+    """About rows of total rows, by a hash of key. Of 2 ** 62 steps, so that the share is never rounded to none."""
+    share = min(1 << 62, (rows << 62) // max(1, total))
+    return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 62)) < F.lit(max(1, share))
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; null ids fall into fold 0."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)), F.lit(0))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomstone.llm.common import SPACES, ship
+from loomstone.llm.common import SPACES, cut, ship
 
 #: Characters of the normalised text that lead the sort.
 LEAD = 32
@@ -109,7 +109,7 @@ def _sorted_runs(docs: DataFrame, id: str, text: str, others: list[str], whole:
     flat = F.regexp_replace(F.coalesce(F.col(f"`{text}`"), F.lit("")), SPACES, " ")
     rows = docs.select(F.col(f"`{id}`"), *[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").alias("_text"), F.sha2(flat.cast("binary"), 256).alias("_sha"), F.substring(flat, 1, LEAD).alias("_lead"))
     by = ["_lead", "_sha", F.col(f"`{id}`").asc_nulls_last()]
-    # a given number of partitions is never merged at run time: both readers of the runs see the same edges
+    # written once, so that both readers of the runs see the same edges of partitions
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by)
     fields = {f.name: f.dataType for f in docs.schema.fields}
@@ -126,7 +126,7 @@ def _sorted_runs(docs: DataFrame, id: str, text: str, others: list[str], whole:
 
         return _runs(batches, whole, TaskContext.get().partitionId())
 
-    return ordered.drop("_lead").select(id, *others, "_text", "_sha").mapInArrow(run, out)
+    return cut(ordered.drop("_lead").select(id, *others, "_text", "_sha").mapInArrow(run, out))
 
 
 def _settled(runs: DataFrame) -> DataFrame:
