@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import cut, ship
+from loomstone.llm.common import cut, sampled, ship
 
 #: Curves, projected dimensions, bits of a coordinate.
 CURVES, DIMS, BITS = 3, 6, 8
@@ -79,7 +79,7 @@ class Curves:
             self.low.append(lo)
             self.scale.append(np.maximum(hi - lo, 1e-12))
         for c in range(CURVES):
-            keys = np.sort(self.keys(long, c))
+            keys = np.sort(self.keys(long, sample, c))
             self.splitters.append(keys[np.arange(1, blocks) * len(keys) // blocks] if blocks > 1 else keys[:0])
 
     def lengthened(self, x: np.ndarray, rows: bool) -> np.ndarray:
@@ -90,15 +90,17 @@ class Curves:
             return np.column_stack([x, np.sqrt(np.maximum(0, 1 - size))])
         return np.column_stack([x / np.sqrt(np.maximum(size, 1e-300))[:, None], np.zeros(len(x))])
 
-    def keys(self, long: np.ndarray, c: int) -> np.ndarray:
-        """Shifted grid cells: half the grid is room for the shift."""
+    def keys(self, long: np.ndarray, x: np.ndarray, c: int) -> np.ndarray:
+        """Shifted grid cells (half the grid is room for the shift), then 16 bits of a hash, so that a full cell can be cut, too."""
         unit = np.clip((long @ self.bases[c] - self.low[c]) / self.scale[c], 0, 1)
-        return hilbert(np.minimum((unit + self.shifts[c]) * (1 << (BITS - 1)), (1 << BITS) - 1), BITS)
+        cell = hilbert(np.minimum((unit + self.shifts[c]) * (1 << (BITS - 1)), (1 << BITS) - 1), BITS)
+        bits = np.ascontiguousarray(x, np.float64).view(np.uint64) * np.arange(1, 2 * x.shape[1], 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (cell << np.uint64(16)) | (np.bitwise_xor.reduce(bits, axis=1) >> np.uint64(48))
 
     def blocks(self, x: np.ndarray, rows: bool) -> np.ndarray:
         """Per row the number of its block on each curve."""
         long = self.lengthened(x, rows)
-        return np.column_stack([np.searchsorted(self.splitters[c], self.keys(long, c), side="right") for c in range(CURVES)])
+        return np.column_stack([np.searchsorted(self.splitters[c], self.keys(long, x, c), side="right") for c in range(CURVES)])
 
 
 def _matrix(s: pd.Series) -> np.ndarray:
@@ -151,7 +153,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id: str = "vec_id",
     entries = cut(numbered.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")))
     n = entries.count()
     blocks = 1 if n <= 16 * k else max(16, -(-n // BLOCK_ROWS))
-    sample = entries.select("v", F.col("ids")[0].alias("id")).where(F.pmod(F.xxhash64(F.lit("fit"), "ids"), F.lit(1 << 20)) < int(min(1.0, FIT_ROWS / n) * (1 << 20))).toPandas() if n > k else entries.select("v", F.col("ids")[0].alias("id")).toPandas()
+    sample = entries.where(sampled("fit", "ids", FIT_ROWS, n)).select("v").toPandas()
     curves = spark.sparkContext.broadcast(Curves(_matrix(sample["v"]), float(lengths["longest"]), blocks))
 
     def numbers(rows_not_queries: bool):
@@ -169,6 +171,10 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id: str = "vec_id",
     windows = F.explode(F.expr("flatten(transform(at, (b, c) -> transform(sequence(greatest(0, b - %d), least(%d, b + %d)), x -> struct(c AS curve, x AS block))))" % (reach, blocks - 1, reach)))
     asked = placed.withColumn("w", windows).select("query_id", F.col("v").alias("q"), "w.curve", "w.block")
     held = entries.select("v", "ids", F.posexplode(numbers(True)).alias("curve", "block"))
+    # a block's queries are dealt over as many pieces as leave each with about BLOCK_ROWS; its rows go to every piece
+    pieces = max(1, -(-min(blocks, 2 * reach + 1) * placed.count() // (blocks * BLOCK_ROWS)))
+    asked = asked.withColumn("piece", F.pmod(F.xxhash64("query_id"), F.lit(pieces)).cast("int"))
+    held = held.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
 
     def near(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
@@ -181,7 +187,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id: str = "vec_id",
         found = found[found.query_id != found.vec_id].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
         return found.groupby("query_id", sort=False).head(k)
 
-    pairs = asked.groupBy("curve", "block").cogroup(held.groupBy("curve", "block")).applyInPandas(near, "query_id long, vec_id long, score double")
+    pairs = asked.groupBy("curve", "block", "piece").cogroup(held.groupBy("curve", "block", "piece")).applyInPandas(near, "query_id long, vec_id long, score double")
     best = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -194,9 +200,11 @@ def _reach(entries: DataFrame, placed: DataFrame, blocks: int, k: int) -> int:
     """
     spark = entries.sparkSession
     total = placed.count()
-    some = placed.where(F.pmod(F.xxhash64(F.lit("reach"), "query_id"), F.lit(1 << 20)) < int(min(1.0, FIT_QUERIES / max(1, total)) * (1 << 20))).orderBy("query_id").limit(2 * FIT_QUERIES).toPandas()
+    some = placed.where(sampled("reach", "query_id", FIT_QUERIES, total)).orderBy("query_id").limit(2 * FIT_QUERIES).toPandas()
+    if not len(some):  # only if there are no queries, or next to none
+        some = placed.orderBy("query_id").limit(FIT_QUERIES).toPandas()
     if not len(some):
-        return blocks
+        return 0
     shared = spark.sparkContext.broadcast((some["query_id"].to_numpy(), _matrix(some["v"]), np.stack(some["at"].to_numpy())))
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -212,4 +220,4 @@ def _reach(entries: DataFrame, placed: DataFrame, blocks: int, k: int) -> int:
     found = entries.select("v", "ids", "at").mapInPandas(exact, "q int, score double, away int")
     top = found.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))).where(F.col("_r") <= k)
     away = np.array([r["away"] for r in top.select("away").collect()])  # FIT_QUERIES x 2 x k numbers at most
-    return int(np.sort(away)[min(len(away) - 1, int(np.ceil(RECALL * len(away))))]) if len(away) else blocks
+    return int(np.sort(away)[min(len(away) - 1, int(np.ceil(RECALL * len(away))))]) if len(away) else 0
