@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import like, ship
+from loomstone.llm.common import like, sampled, ship
 
 #: Lengths of the n-grams in bytes; hash places of each; the share of places filled in per language, at most about.
 LENGTHS, HASHES, FILL = (3, 4, 5), 3, 0.15
@@ -86,22 +86,28 @@ class Model:
         return self.langs[best], float(c[best] / c.sum())
 
 
-def train(docs: DataFrame, use: Column, rows: int = TRAIN_ROWS, id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Learn from rows where use holds and neither text nor lang is null: about rows of them at most."""
+def train(docs: DataFrame, use: Column, rows: int = TRAIN_ROWS, most_grams: int | None = GRAMS, id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+    """Learn from rows where use holds and neither text nor lang is null: about rows of them at most.
+
+    The model keeps the most frequent n-grams of a language, most_grams of them at most (None: all that mark a language).
+    Without such rows every text with a letter is "und".
+    """
     ship(docs.sparkSession)
     own = docs.where(use).select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     by_lang = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     total = sum(by_lang.values())
     if total > rows:
-        own = own.where(F.pmod(F.xxhash64(F.lit("train"), "id"), F.lit(1 << 20)) < int(rows / total * (1 << 20)))
+        own = own.where(sampled("train", "id", rows, total))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from loomstone.llm.langid import LENGTHS, grams
 
         for b in batches:
             for name, texts in b.groupby("lang")["text"]:
-                for at in range(0, len(texts), 500):
-                    code, n = np.unique(np.concatenate([grams(t, k) for t in texts.iloc[at : at + 500] for k in LENGTHS]), return_counts=True)
+                # parts of a few megabytes, whatever the lengths of the texts
+                part = (texts.str.len().cumsum() // 1_000_000).to_numpy()
+                for p in np.unique(part):
+                    code, n = np.unique(np.concatenate([grams(t, k) for t in texts[part == p] for k in LENGTHS]), return_counts=True)
                     yield pd.DataFrame({"lang": name, "gram": code.astype(np.int64), "n": n})
 
     counted = own.select("lang", "text").mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -111,8 +117,9 @@ def train(docs: DataFrame, use: Column, rows: int = TRAIN_ROWS, id: str = "doc_i
     from pyspark.sql import Window
 
     members = rate.join(best, "gram").where(F.col("rate") >= RATIO * F.col("_most")).where("n > 1")
-    members = members.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("_k") <= GRAMS)
-    kept = members.select("lang", "gram").toPandas()  # GRAMS of each language at most
+    if most_grams is not None:
+        members = members.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("_k") <= most_grams)
+    kept = members.select("lang", "gram").toPandas()  # n-grams of the bounded sample
     langs = sorted(by_lang)
     own_grams = {k: g.to_numpy().view(np.uint64) for k, g in kept.groupby("lang")["gram"]}
     return Model(langs, {k: own_grams.get(k, np.zeros(0, np.uint64)) for k in langs}, max(langs, key=lambda k: by_lang[k], default="und"))
@@ -124,7 +131,8 @@ def identify(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "tex
     Null texts and texts without a letter are "und" with score 0; a text none of whose n-grams the
     filter knows gets the commonest language of the training rows with score 0. The score is the
     winner's share of all corrected counts; at equal counts the first language by code point wins.
-    Rows keep their partition, repeated ones each give a row, other columns are ignored.
+    Rows keep their partition, repeated ones each give a row, other columns are ignored. Texts may be
+    of any length (n-grams of a text are counted whole); an empty table gives none.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)

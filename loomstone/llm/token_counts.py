@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import like, ship
+from loomstone.llm.common import like, sampled, ship
 
 #: Rows (at most that many characters each) from which the table of frequent pieces is made, and its entries.
 SAMPLE_ROWS, SAMPLE_CHARS, FREQUENT = 512, 20_000, 30_000
@@ -122,8 +122,13 @@ class Lookup:
 
 
 def frequent_pieces(docs: DataFrame, text: str = "text") -> list[str]:
-    """The commonest pieces of a bounded sample of rows: first rows with texts of moderate length."""
-    sample = like(docs, [text]).where(F.length(text) <= SAMPLE_CHARS).head(SAMPLE_ROWS)
+    """The commonest pieces of a bounded sample of rows, taken by a hash from all partitions; of each its first SAMPLE_CHARS.
+
+    Counts do not depend on the sample: it only says which pieces are looked up without being encoded.
+    """
+    own = like(docs, [text]).where(F.col(f"`{text}`").isNotNull())
+    some = own.where(sampled("pieces", text, SAMPLE_ROWS, docs.count()))
+    sample = some.select(F.substring(F.col(f"`{text}`"), 1, SAMPLE_CHARS)).limit(4 * SAMPLE_ROWS).collect()
     seen: Counter = Counter()
     for (x,) in sample:
         seen.update(p for p in x.split(" ")[1:] if p and len(p) <= LONGEST and not p[0].isspace() and not p[-1].isspace())

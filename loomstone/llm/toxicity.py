@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import cut, like, ship
+from loomstone.llm.common import cut, like, sampled, ship
 
 #: Labelled documents to learn from, at most about (a hash of the id picks them); terms of the lexicon.
 TRAIN_ROWS, TERMS = 40_000, 400
@@ -214,17 +214,19 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), len(found)
 
 
-def train(docs: DataFrame, labels: DataFrame, use: Column, rows: int = TRAIN_ROWS, id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, use: Column, rows: int = TRAIN_ROWS, most_terms: int | None = TERMS, id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Model:
     """Learn from documents with a label where use holds: about rows of them at most, equal texts once.
 
-    Without labelled rows, or without a toxic one, the lexicon is empty and every score the bias.
+    The lexicon has at most most_terms terms and stems, those that mark most toxic documents (None: all that qualify).
+    Without labelled rows, or without a toxic one, the lexicon is empty and every score the bias. Rows with a null id, text or
+    label teach nothing; of several labels of one id the greatest holds.
     """
     spark = docs.sparkSession
     ship(spark)
     known = labels.select(F.col(f"`{id}`").alias("id"), F.col(f"`{toxic}`").cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     total = known.count()
     if total > rows:
-        known = known.where(F.pmod(F.xxhash64(F.lit("train"), "id"), F.lit(1 << 20)) < int(rows / total * (1 << 20)))
+        known = known.where(sampled("train", "id", rows, total))
     # at most about rows ids, so a broadcast: texts stay where they are, and only the sample is written
     own = docs.where(use).select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL").join(F.broadcast(known), "id")
     own = cut(own.withColumn("h", F.xxhash64("text")))
@@ -255,7 +257,8 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, rows: int = TRAIN_ROW
     counted = sample.mapInPandas(terms, "term string, p long, n long").groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     odds = F.log((F.col("p") + 0.5) / (pos + 1)) - F.log((F.col("n") + 0.5) / (neg + 1))
     # the best have many toxic documents and next to no others; a stem must add to the words that begin so
-    good = counted.where((F.col("p") >= least) & (F.col("n") <= 0.05 * F.col("p"))).withColumn("s", F.col("p") * odds).orderBy(F.desc("s"), "term").limit(TERMS).collect()
+    good = counted.where((F.col("p") >= least) & (F.col("n") <= 0.05 * F.col("p"))).withColumn("s", F.col("p") * odds).orderBy(F.desc("s"), "term")
+    good = (good if most_terms is None else good.limit(most_terms)).collect()
     p_of = {r["term"]: r["p"] for r in good}
     stems: list[str] = []
     for s in sorted((t[:-1] for t in p_of if t.endswith("*")), key=lambda s: (len(s), s)):
@@ -295,8 +298,8 @@ _scorers: dict = {}
 def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, score, hits of each row, from its whole text.
 
-    Null and empty texts have no hits and the score of the bias. Rows keep their partition, repeated
-    ones each give a row, columns other than id and text are ignored, an empty table gives none.
+    Null and empty texts have no hits and the score of the bias; texts may be of any length, none is
+    cut. Rows keep their partition, repeated ones each give a row, columns other than id and text are ignored, an empty table gives none.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -314,7 +317,10 @@ def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text")
 
 
 def rejected(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text", above: float = 0.5) -> Column:
-    """Whether a text's score reaches above, as a column (a pandas UDF), for filters that keep whole rows."""
+    """Whether a text's score reaches above, as a column (a pandas UDF), for filters that keep whole rows.
+
+    Null and empty texts are not rejected, as the bias is below any such limit; an empty table gives none.
+    """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
