@@ -2,7 +2,7 @@
 
 from loomstone.plans import (  # noqa: F401
     analytics, complaints, extraction, gazetteers, geography, identities, matching, modelling, networks, outputs, publishing,
-    qualities, readmodels, relational, summaries, texts, visits,
+    qualities, readmodels, relational, steps, summaries, texts, visits,
 )
 from loomstone.plans.registry import ORACLES, QUERIES
 
