@@ -123,9 +123,12 @@ FROM n
 """
 
 
-def _terms(terms: tuple[str, ...]) -> str:
-    one = "(CASE WHEN regexp_matches(u, '(^|[^a-z0-9]){}($|[^a-z0-9])') THEN 1 ELSE 0 END)"
-    return "(" + " + ".join(one.format(t) for t in terms) + ")::INT"
+def _terms(strict: bool, weigh: bool = False) -> str:
+    """How many terms of a kind a url has, or what they weigh: its words, looked up in the vocabulary."""
+    own = [(t, w) for t, w in urls.VOCABULARY.items() if (w >= urls.REJECT) == strict]
+    rows = ", ".join(f"('{t}', {w})" for t, w in own)
+    value = "coalesce(sum(w), 0)" if weigh else "count(*)"
+    return f"(SELECT {value} FROM (VALUES {rows}) v(t, w) WHERE list_contains(words, t))::INT"
 
 
 _URLS = f"""
@@ -135,16 +138,17 @@ WITH p AS (
   FROM pages),
 q AS (
   SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, {_terms(urls.STRICT)} AS strict_hits, {_terms(urls.SOFT)} AS soft_hits
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract_all(u, '[a-z0-9]+') AS words
   FROM p),
+s AS (SELECT *, {_terms(True)} AS strict_hits, {_terms(False)} AS soft_hits, {_terms(False, True)} AS soft_weight FROM q),
 r(verdict, rhost, rpath) AS (VALUES {", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in RULES)}),
 fits AS (
   SELECT page_id, arg_max(r, length(rhost || rpath)) AS r
   FROM q JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
-SELECT q.page_id, host, path, fits.r.rhost || fits.r.rpath AS rule,
-       coalesce(fits.r.verdict, CASE WHEN strict_hits >= 1 OR soft_hits >= {urls.SOFT_HITS} THEN 'block' ELSE 'allow' END) AS verdict,
-       strict_hits, soft_hits
-FROM q LEFT JOIN fits USING (page_id)
+SELECT s.page_id, host, path, fits.r.rhost || fits.r.rpath AS rule,
+       coalesce(fits.r.verdict, CASE WHEN strict_hits >= 1 OR soft_hits >= 2 AND soft_weight >= {urls.REJECT} THEN 'block' ELSE 'allow' END) AS verdict,
+       strict_hits, soft_hits, soft_weight
+FROM s LEFT JOIN fits USING (page_id)
 """
 
 ORACLES = {"op7_mixing": _MIXING, "op9_urls": _URLS, "op10_exact_dedup": _DEDUP}
