@@ -8,7 +8,7 @@ words elsewhere gets no weight for them.
 Matching. States of the product of the trie and the automata are sets of (node, errors); they are made
 as they are needed and kept, so a word costs one table lookup a character and most words leave the
 table after a few. A word matches a term within the distance that its length allows, and a stem if
-the word begins so.
+the word begins so; a stem comes before a term, so that all its forms are one.
 
 Context. Each hit's weight is scaled by what stands around it: inside quotation marks, or near words
 that report speech, it counts less; near an address of the reader it counts more.
@@ -138,7 +138,7 @@ class Matcher:
             if i is not None and (cost == 0 or cost <= allowed(len(self.terms[i])) and self.terms[i][0] == start):
                 if best is None or (cost, i) < (best[1], best[0]):
                     best = (i, cost)
-        return best if best and (best[1] == 0 or not stem) else stem or best
+        return stem or best
 
 
 @dataclass
@@ -265,7 +265,8 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, rows: int = TRAIN_ROW
         longest = max((p for t, p in p_of.items() if not t.endswith("*") and t.startswith(s)), default=0)
         if p_of[s + "*"] > 1.2 * longest and not any(s.startswith(x) for x in stems):
             stems.append(s)
-    model = Model([t for t in p_of if not t.endswith("*") and not any(t.startswith(s) for s in stems)], stems)
+    # a term that begins with a stem stays: its misspellings may not
+    model = Model([t for t in p_of if not t.endswith("*")], stems)
     bare = spark.sparkContext.broadcast(model)
 
     def matches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
