@@ -53,10 +53,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def steps_of(rows: int, total: int) -> int:
+    """The share rows / total in 2 ** 62 steps, so that it is not rounded to none below that many rows."""
+    return max(1, min(1 << 62, (rows << 62) // max(1, total)))
+
+
 def sampled(seed: str, key: str, rows: int, total: int) -> Column:
-    """About rows of total rows, by a hash of key. Of 2 ** 62 steps, so that the share is never rounded to none."""
-    share = min(1 << 62, (rows << 62) // max(1, total))
-    return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 62)) < F.lit(max(1, share))
+    """About rows of total rows, by a hash of key."""
+    return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 62)) < F.lit(steps_of(rows, total))
 
 
 def fold(doc_id: Column, folds: int) -> Column:

@@ -75,7 +75,8 @@ def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", **more) -> Da
     """The mix itself, with the columns of docs: a row for each epoch that takes any of its words.
 
     A row that the last epoch cuts has only the words taken (and n_chars of those, if docs has it);
-    words keep the white space between them.
+    words keep the white space between them. Null texts have no words and are not taken; null sources
+    are one source; repeated rows are taken each for itself; an empty table gives none.
     """
     # carried columns get names of their own: docs may have one called size or taken
     own = docs.select(*[F.col(f"`{c}`").alias(c if c in (id, more.get("source", "source")) else f"_own_{c}") for c in docs.columns])

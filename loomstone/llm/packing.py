@@ -145,7 +145,8 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end: int = 1, with_id
 
     A document is its tokens and the id end, so null and empty texts are a single id. Repeated
     rows are documents of their own. Sequence ids are unique, not gapless: a task's number times
-    2^33 and its own count. An empty table gives no rows; other columns are ignored.
+    2^33 and its own count. Texts may be of any length: they are cut into pieces of capacity ids.
+    An empty table gives no rows; other columns are ignored.
     """
     ship(docs.sparkSession)
     enc, special = tokenizer(path)

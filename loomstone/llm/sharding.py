@@ -75,7 +75,8 @@ def assign(docs: DataFrame, nodes: tuple[Shard, ...], grown: tuple[Shard, ...] |
 
     Null texts have size 1 and crc32 zero, like empty ones; repeated rows get slots of their own.
     Slots: rows are numbered within (shard, hash bucket), and buckets of a shard follow one another
-    by prefix sums over at most shards x buckets counts, so no task numbers a whole shard.
+    by prefix sums over at most shards x buckets counts, so no task numbers a whole shard. Texts may
+    be of any length; an empty table gives no rows; other columns are ignored.
     """
     raw = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
     key = F.col(f"`{id}`")

@@ -312,7 +312,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 3, id: st
     Groups are what links of up to distance bits (3 at most) of 64 connect; none is missed. Null and
     empty texts share fingerprint zero and are linked like any others; rows with the same text or id
     stay rows of their own; null ids count only if a group has no other. Other columns are ignored,
-    an empty table gives an empty result.
+    an empty table gives an empty result. Texts may be of any length: shingles are hashed in parts.
     """
     if not 0 <= distance <= 3:
         raise ValueError("five blocks, two of them equal, allow for up to three differing bits")
@@ -519,6 +519,10 @@ def similar_groups(docs: DataFrame, shingle: int = 5, id: str = "doc_id", text:
 
 
 def drop_similar(docs: DataFrame, shingle: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the documents of similar_groups, but for the one with the smallest id of each group."""
+    """docs without the documents of similar_groups, but for the one with the smallest id of each group.
+
+    Rows with null texts, without words or with a null id stay; rows that repeat an id stay or go together; columns of any
+    name are kept; an empty table gives none.
+    """
     gone = similar_groups(docs, shingle, id, text).where(F.col(id) != F.col("component_id")).select(F.col(id).alias("_gone")).distinct()
     return docs.join(gone, F.col(f"`{id}`") == F.col("_gone"), "left_anti")
