@@ -87,6 +87,36 @@ def in_ring(lat: Column, lon: Column, ring: list[tuple[float, float]]) -> Column
     return F.coalesce(odd % 2 == 1, F.lit(False))
 
 
+def in_polygon(lat: Column, lon: Column, rings: list[list[tuple[float, float]]]) -> Column:
+    """Whether a point is inside the first ring and in none of the others, which are its holes."""
+    out = in_ring(lat, lon, rings[0])
+    for hole in rings[1:]:
+        out = out & ~in_ring(lat, lon, hole)
+    return out
+
+
+def tile_polygon(x: Column, y: Column, zoom: int) -> Column:
+    """Closed ring of (lon, lat) around a tile: north-west, north-east, south-east, south-west, and the first again."""
+    n = 1 << zoom
+    lon = lambda c: c / n * 360.0 - 180.0
+    lat = lambda c: F.degrees(F.atan(F.sinh(F.lit(math.pi) * (1 - 2 * c / n))))
+    west, east, north, south = lon(x), lon(x + 1), lat(y), lat(y + 1)
+    return F.array(F.array(west, north), F.array(east, north), F.array(east, south), F.array(west, south), F.array(west, north))
+
+
+def radius_cover(lat: Column, lon: Column, radius_m: float, zoom: int) -> Column:
+    """Structs (x, y) of all tiles whose centre is within radius_m; the window is as wide as the radius needs at this latitude."""
+    last = (1 << zoom) - 1
+    x, y = tile_x(lon, zoom), tile_y(lat, zoom)
+    # the narrowest tile that the circle may meet is the one nearest to a pole
+    edge = F.least(F.lit(85.0), F.abs(lat) + math.degrees(radius_m / EARTH_M))
+    width = F.cos(F.radians(edge)) * (2 * math.pi * EARTH_M / (1 << zoom))
+    reach = F.ceil(F.lit(radius_m) / width).cast("long") + 1
+    span = lambda c: F.sequence(F.greatest(F.lit(0), c - reach), F.least(F.lit(last), c + reach))
+    every = F.flatten(F.transform(span(x), lambda i: F.transform(span(y), lambda j: F.struct(i.cast("long").alias("x"), j.cast("long").alias("y")))))
+    return F.filter(every, lambda t: haversine(lat, lon, tile_lat(t["y"], zoom), tile_lon(t["x"], zoom)) <= radius_m)
+
+
 def circle(lat: Column, lon: Column, radius_m: float, steps: int = 24) -> Column:
     """Closed polygon of (lon, lat) around a point."""
     d = math.degrees(radius_m / EARTH_M)

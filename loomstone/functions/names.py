@@ -105,9 +105,9 @@ def edit_ratio(a: Column, b: Column) -> Column:
 def hash_vector(words: Column, dims: int = 64) -> Column:
     """Signed counts of words, normalised: of a word's SHA-256 the first four bytes modulo dims are its place, the fifth its sign.
 
-    An array without words gives zeros.
+    An array without words, or a null one, gives zeros.
     """
-    code = F.transform(words, lambda w: F.sha2(w, 256))
+    code = F.transform(F.coalesce(words, F.array().cast("array<string>")), lambda w: F.sha2(w, 256))
     place = F.transform(code, lambda h: F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(dims)).cast("int"))
     sign = F.transform(code, lambda h: F.when(F.pmod(F.conv(F.substring(h, 9, 2), 16, 10).cast("int"), F.lit(2)) == 0, 1.0).otherwise(-1.0))
     signed = F.zip_with(place, sign, lambda p, s: F.struct(p.alias("p"), s.alias("s")))

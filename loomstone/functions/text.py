@@ -32,6 +32,36 @@ def redact(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"[ \t\n\r]+", " "))
 
 
+def sanitize(c: Column) -> Column:
+    """A leading name before a handle taken out; then mail addresses, handles and phone numbers masked; white space collapsed."""
+    c = F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s*[A-ZÁÉÍÓÚÂÊÔÃÕÇ][A-Za-zÀ-ÖØ-öø-ÿ'-]{2,}\s+(?=@)", "")
+    c = F.regexp_replace(c, r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", "[redacted-email]")
+    c = F.regexp_replace(c, r"(?U)(?<!\w)@[A-Za-z0-9_.-]+", "[redacted-handle]")
+    c = F.regexp_replace(c, r"(?U)(?<!\w)\+?\d[\d\s().-]{7,}\d", "[redacted-phone]")
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
+
+
+#: Cyrillic letters in Latin ones, first those of more than one letter.
+LATIN = (("ж", "zh"), ("х", "kh"), ("ц", "ts"), ("ч", "ch"), ("ш", "sh"), ("щ", "shch"), ("ю", "yu"), ("я", "ya"), ("ё", "yo"), ("ъ", ""), ("ь", ""))
+LATIN_FROM, LATIN_TO = "абвгдезийклмнопрстуфыэ", "abvgdeziyklmnoprstufye"
+
+
+def latin(c: Column) -> Column:
+    """Cyrillic text in Latin letters, in lower case."""
+    out = F.lower(c)
+    for a, b in LATIN:
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return F.translate(out, LATIN_FROM, LATIN_TO)
+
+
+def mentions(c: Column, word: str, around: int = 60) -> Column:
+    """What stands up to around characters on either side of each mention of a word, in lower case."""
+    import re
+
+    p = F.lit(rf"(?s).{{0,{around}}}\b{re.escape(word.lower())}\b.{{0,{around}}}")
+    return F.regexp_extract_all(F.lower(c), p, F.lit(0))
+
+
 def first_class(c: Column, markers: list[tuple[str, tuple[str, ...]]], other: str) -> Column:
     """The first class one of whose markers the text contains."""
     out = F.lit(other)

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from loomstone.functions import text
 from loomstone.functions.names import plain_text
 from loomstone.operators import complaints
 from loomstone.plans.registry import Tables, query
@@ -144,3 +145,30 @@ def network_validation(t: Tables):
         (pick(k % 2, "poor", "good"), pick(k % 5 % 3, "high", "low", "medium")), (pick(k % 11 % 3, "poor", "moderate", None), F.lit("medium")),
     )
     return t.customer.select(k.alias("k"), out.alias("o")).select("k", "o.priority", F.size("o.reasons").alias("reasons"))
+
+
+@query("""WITH e AS (SELECT event_id AS k FROM events) SELECT k, CASE k % 5 WHEN 0 THEN '[redacted-handle] no signal ' || k || ' mail [redacted-email] now' WHEN 1 THEN 'call [redacted-phone] or [redacted-phone]' WHEN 2 THEN 'a@b and [redacted-handle]' WHEN 3 THEN 'Maria says x' ELSE '' END AS clean FROM e""")
+def sanitized_complaints(t: Tables):
+    """Complaints without who wrote them; SQL gives what is left of each."""
+    k = F.col("event_id")
+    raw = (
+        F.when(k % 5 == 0, F.concat(F.lit("  Maria @maria_99 no  signal "), k.cast("string"), F.lit(" mail Ma.Ria@Example.org\nnow"))).when(k % 5 == 1, "call +55 (11) 91234-5678 or 011.4567.8901")
+        .when(k % 5 == 2, "a@b and @x.y").when(k % 5 == 3, "Maria says x")
+    )
+    return t.events.select(k.alias("k"), text.sanitize(raw).alias("clean"))
+
+
+_CITIES = ("Москва", "Санкт-Петербург", "Щёлково", "Ярославль", "Paris", "Южно-Сахалинск")
+_LATIN = "lower(x)"
+for _a, _b in text.LATIN:
+    _LATIN = f"replace({_LATIN}, '{_a}', '{_b}')"
+
+
+@query(f"""WITH c AS (SELECT c_custkey AS k, ([{", ".join(f"'{x}'" for x in _CITIES)}])[(c_custkey % {len(_CITIES)} + 1)::INT] AS x FROM customer) SELECT k, translate({_LATIN}, '{text.LATIN_FROM}', '{text.LATIN_TO}') AS latin,
+  CASE WHEN k % 2 = 0 THEN 2 ELSE 0 END AS mentions FROM c""")
+def romanized_names(t: Tables):
+    """Names in Latin letters, and how often a text mentions them."""
+    k = F.col("c_custkey")
+    name = F.element_at(F.array(*map(F.lit, _CITIES)), (k % len(_CITIES) + 1).cast("int"))
+    said = F.when(k % 2 == 0, F.concat(F.lit("The Arena is new. "), F.repeat(F.lit("x "), F.lit(90)), F.lit("arena, again"))).otherwise("no arenas")
+    return t.customer.select(k.alias("k"), text.latin(name).alias("latin"), F.size(text.mentions(said, "Arena")).alias("mentions"))

@@ -88,6 +88,29 @@ def tile_cover(t: Tables):
     return c.where(geo.haversine(F.col("r_lat"), F.col("r_lon"), geo.tile_lat(F.col("ty"), 6), geo.tile_lon(F.col("tx"), 6)) <= 400_000).select("s", "tx", "ty")
 
 
+_HOLE = [(_RING[0][0] * 0.3, _RING[0][1] * 0.3), (_RING[1][0] * 0.3, _RING[1][1] * 0.3), (_RING[2][0] * 0.3, _RING[2][1] * 0.3)]
+
+
+def _crossed(ring) -> str:
+    edges = zip(ring, [*ring[1:], ring[0]], strict=True)
+    return " + ".join(f"CASE WHEN (({a}::DOUBLE > la) <> ({b}::DOUBLE > la)) AND lo < (la - ({a})::DOUBLE) * {(bo - ao) / (b - a)}::DOUBLE + ({ao})::DOUBLE THEN 1 ELSE 0 END" for (a, ao), (b, bo) in edges if a != b)
+
+
+@query(f"SELECT k, ({_crossed(_RING)}) % 2 = 1 AND NOT (({_crossed(_HOLE)}) % 2 = 1) AS inside FROM ({_C})")
+def point_in_polygon_with_hole(t: Tables):
+    return _customers(t).select("k", geo.in_polygon(F.col("l_lat"), F.col("l_lon"), [_RING, _HOLE]).alias("inside"))
+
+
+@query(f"""WITH e AS (SELECT s AS k, ra AS la, ro AS lo FROM ({_S})), c AS (SELECT k, la, lo, x::BIGINT AS tx, y::BIGINT AS ty FROM e, range(64) a(x), range(64) b(y)),
+p AS (SELECT *, degrees(atan(sinh(pi() * (1 - 2 * (ty + 0.5) / 64)))) AS ra, (tx + 0.5) / 64 * 360.0 - 180.0 AS ro FROM c WHERE abs((tx + 0.5) / 64 * 360.0 - 180.0 - lo) < 180)
+SELECT k AS s, tx, ty, round(tx / 64.0::DOUBLE * 360.0 - 180.0, 6) AS west, round(degrees(atan(sinh(pi() * (1 - 2 * ty / 64.0::DOUBLE)))), 6) AS north FROM p WHERE {_D} <= 1500000""")
+def radius_cover(t: Tables):
+    """All tiles whose centre is within 1500 km, however many tiles away, with a corner of each; the window does not wrap."""
+    c = _suppliers(t).withColumn("n", F.explode(geo.radius_cover(F.col("r_lat"), F.col("r_lon"), 1_500_000.0, 6))).select("s", F.col("n.x").alias("tx"), F.col("n.y").alias("ty"), "r_lon")
+    corner = geo.tile_polygon(F.col("tx"), F.col("ty"), 6)[0]
+    return c.where(F.abs(geo.tile_lon(F.col("tx"), 6) - F.col("r_lon")) < 180).select("s", "tx", "ty", F.round(corner[0], 6).alias("west"), F.round(corner[1], 6).alias("north"))
+
+
 @query("""SELECT o_orderkey, year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) AS rank, 'Q' || quarter(o_orderdate) AS quarter,
   CASE o_orderstatus WHEN 'F' THEN o_orderdate + INTERVAL 30 MINUTE WHEN 'O' THEN o_orderdate + INTERVAL 1 HOUR WHEN 'P' THEN o_orderdate + INTERVAL 7 DAY ELSE o_orderdate + INTERVAL 6 HOUR END AS retry_at FROM orders""")
 def dates_and_backoff(t: Tables):

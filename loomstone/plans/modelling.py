@@ -72,28 +72,21 @@ def search_ranking(t: Tables):
     return t.part.select("p_partkey", "p_name", rk.alias("rk")).where("rk < 9").orderBy("rk", F.length("p_name"), "p_name", "p_partkey").limit(25).select("p_partkey", "rk")
 
 
-@query("""WITH q AS (SELECT vec_id AS q, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IN (1, 2, 3)), c AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
-s AS (SELECT q, vec_id, round(list_cosine_similarity(q.e, c.e) + CASE WHEN label = 1 THEN 0.08 WHEN label = 2 THEN 0.04 ELSE 0 END, 6) AS score FROM q, c WHERE q <> vec_id)
-SELECT q, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) <= 10""")
-def chunk_retrieval(t: Tables):
-    """Cosine and a boost by tier, the ten best chunks of each of three fixed queries; chunk_retrieval_all asks for all."""
-    v = F.transform("embedding", lambda x: x.cast("double"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    c = t.embeddings.select("vec_id", "label", v.alias("e"))
-    q = F.broadcast(c.where("vec_id IN (1, 2, 3)").select(F.col("vec_id").alias("q"), F.col("e").alias("qe")))
-    boost = F.when(F.col("label") == 1, 0.08).when(F.col("label") == 2, 0.04).otherwise(0.0)
-    cos = dot(F.col("e"), F.col("qe")) / F.sqrt(dot(F.col("e"), F.col("e")) * dot(F.col("qe"), F.col("qe")))
-    s = c.join(q, F.col("q") != F.col("vec_id")).select("q", "vec_id", F.round(cos + boost, 6).alias("score"))
-    return first_per_key(s, ["q"], [F.desc("score"), F.col("vec_id")], 10)
+#: What a chunk gains for a field that the question mentions, and for the question's own place.
+MENTIONED, SAME_PLACE = 0.05, 0.02
 
 
 def nearest_of_all(chunks: DataFrame, every: int = 50, k: int = 10, block: int = 2048) -> DataFrame:
     """q, vec_id, score: the k best of all other chunks for each chunk whose id is divisible by every, exactly.
 
-    chunks: vec_id, boost, e (doubles, equally many in each row); rows without a vector, or with a zero one, have no cosine
-    and are left out. Queries and chunks are packed into blocks of bounded size, every two blocks meet in a matrix
+    chunks: vec_id, boost, e (doubles, equally many in each row), and, if there are, field and place (numbers): a chunk of
+    the question's field or place gains MENTIONED or SAME_PLACE. Rows without a vector, or with a zero one, have no cosine
+    and are left out; a null boost, field or place gains nothing. Queries and chunks are packed into blocks of bounded size, every two blocks meet in a matrix
     product, and a task keeps k rows for each of its queries before the merge.
     """
+    for c in ("field", "place"):
+        chunks = chunks.withColumn(c, F.col(c).cast("double") if c in chunks.columns else F.lit(None).cast("double"))
+    chunks = chunks.withColumn("boost", F.coalesce("boost", F.lit(0.0)))
     chunks = chunks.where("vec_id IS NOT NULL AND e IS NOT NULL AND exists(e, x -> x <> 0)")
     asked = chunks.where(F.col("vec_id") % every == 0)
     parts = lambda n, size: max(1, -(-n // size))
@@ -102,20 +95,23 @@ def nearest_of_all(chunks: DataFrame, every: int = 50, k: int = 10, block: int =
         for whole in batches:
             for at in range(0, whole.num_rows, block):
                 b = whole.slice(at, block)
-                columns = [b.column(0), b.column(1), b.column(2).flatten()]
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(c)], c) for c in columns], ["ids", "boosts", "flat"])
+                columns = [b.column(0), b.column(1), b.column(2), b.column(3), b.column(4).flatten()]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(c)], c) for c in columns], ["ids", "boosts", "fields", "places", "flat"])
 
     def packed(rows: DataFrame, n: int, names: list[str]) -> DataFrame:
-        return rows.select("vec_id", "boost", "e").repartition(n).mapInArrow(pack, "ids array<long>, boosts array<double>, flat array<double>").toDF(*names)
+        schema = "ids array<long>, boosts array<double>, fields array<double>, places array<double>, flat array<double>"
+        return rows.select("vec_id", "boost", "field", "place", "e").repartition(n).mapInArrow(pack, schema).toDF(*names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
             for n in range(b.num_rows):
-                q, qx, c, boost, cx = (b.column(m)[n].values.to_numpy() for m in range(5))
+                q, q_field, q_place, qx, c, boost, field, place, cx = (b.column(m)[n].values.to_numpy(zero_copy_only=False) for m in range(9))
                 qx, cx = qx.reshape(len(q), -1), cx.reshape(len(c), -1)
                 dots = qx @ cx.T
-                scores = np.round(dots / np.sqrt((qx * qx).sum(axis=1)[:, None] * (cx * cx).sum(axis=1)) + boost, 6)
+                # nulls are not equal to anything here
+                gain = MENTIONED * (q_field[:, None] == field[None]) + SAME_PLACE * (q_place[:, None] == place[None])
+                scores = np.round(dots / np.sqrt((qx * qx).sum(axis=1)[:, None] * (cx * cx).sum(axis=1)) + boost + gain, 6)
                 for i, one in enumerate(q.tolist()):
                     s, ids = scores[i], c
                     if len(s) > k + 1:
@@ -130,8 +126,8 @@ def nearest_of_all(chunks: DataFrame, every: int = 50, k: int = 10, block: int =
         for one, (s, ids) in best.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), one)), pa.array(ids), pa.array(s)], ["q", "vec_id", "score"])
 
-    left = packed(asked, parts(asked.count(), 2 * block), ["q", "_unused", "qx"]).drop("_unused")
-    right = packed(chunks, max(6, parts(chunks.count(), 8 * block)), ["c", "boost", "cx"])
+    left = packed(asked, parts(asked.count(), 2 * block), ["q", "_boost", "q_field", "q_place", "qx"]).drop("_boost")
+    right = packed(chunks, max(6, parts(chunks.count(), 8 * block)), ["c", "boost", "field", "place", "cx"])
     # no broadcast: the queries grow with the table
     met = left.hint("shuffle_replicate_nl").crossJoin(right).mapInArrow(meet, "q long, vec_id long, score double")
     return first_per_key(met, ["q"], [F.desc("score"), F.col("vec_id")], k)
@@ -141,6 +137,16 @@ def nearest_of_all(chunks: DataFrame, every: int = 50, k: int = 10, block: int =
 s AS (SELECT q, vec_id, round(list_cosine_similarity(q.e, c.e) + CASE WHEN label = 1 THEN 0.08 WHEN label = 2 THEN 0.04 ELSE 0 END, 6) AS score FROM q, c WHERE q <> vec_id)
 SELECT q, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) <= 10""")
 def chunk_retrieval_all(t: Tables):
-    """chunk_retrieval for every row whose id is divisible by 50, against all rows."""
+    """Cosine and a boost by tier, the ten best chunks for every row whose id is divisible by 50, against all rows."""
     boost = F.when(F.col("label") == 1, 0.08).when(F.col("label") == 2, 0.04).otherwise(0.0)
     return nearest_of_all(t.embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), boost.alias("boost"), F.col("embedding").cast("array<double>").alias("e")))
+
+
+@query(f"""WITH c AS (SELECT vec_id, label, vec_id % 7 AS field, vec_id % 11 AS place, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT vec_id AS q, field AS f, place AS p, e AS qe FROM c WHERE vec_id % 50 = 0),
+s AS (SELECT q, vec_id, round(list_cosine_similarity(qe, e) + CASE WHEN label = 1 THEN 0.08 WHEN label = 2 THEN 0.04 ELSE 0 END + CASE WHEN f = field THEN {MENTIONED} ELSE 0 END + CASE WHEN p = place THEN {SAME_PLACE} ELSE 0 END, 6) AS score FROM q, c WHERE q <> vec_id)
+SELECT q, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) <= 10""")
+def chunk_retrieval(t: Tables):
+    """As chunk_retrieval_all, with what a chunk gains for the question's field and place."""
+    boost = F.when(F.col("label") == 1, 0.08).when(F.col("label") == 2, 0.04).otherwise(0.0)
+    k = F.col("vec_id").cast("long")
+    return nearest_of_all(t.embeddings.select(k.alias("vec_id"), boost.alias("boost"), (k % 7).alias("field"), (k % 11).alias("place"), F.col("embedding").cast("array<double>").alias("e")))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from loomstone.operators import changes, latest
+from loomstone.operators import changes, filters, latest
 from loomstone.plans.registry import Tables, query
 
 _LATEST = "row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC)"
@@ -53,12 +53,24 @@ def filter_after_latest(t: Tables):
 @query("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment::VARCHAR = 'BUILDING' AND c_nationkey::VARCHAR = '7'")
 def equality_filters(t: Tables):
     """Values are compared as strings; empty ones are no filter."""
-    wanted = {"c_mktsegment": "BUILDING", "c_nationkey": 7, "c_name": "", "c_acctbal": None}
-    out = t.customer
-    for c, v in wanted.items():
-        if v not in (None, ""):
-            out = out.where(F.col(c).cast("string") == str(v))
-    return out.select("c_custkey", "c_name")
+    return filters.equal(t.customer, {"c_mktsegment": "BUILDING", "c_nationkey": 7, "c_name": "", "c_acctbal": None}).select("c_custkey", "c_name")
+
+
+@query("""SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 2 = 0 AND o_totalprice > 100000""")
+def read_model_filter(t: Tables):
+    """Wishes, flags and a surface together."""
+    o = t.orders.withColumn("even", F.col("o_orderkey") % 2 == 0).withColumn("map_ready", F.col("o_totalprice") > 100_000).withColumn("urgent", F.lit(None).cast("boolean"))
+    return filters.read_model(o, {"o_orderstatus": "O", "o_orderpriority": ""}, {"even": True, "urgent": False}, "map").select("o_orderkey")
+
+
+@query("""WITH p AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'http://localhost/x' WHEN 1 THEN 'ftp://a.org' WHEN 2 THEN 'https://192.168.0.1/a' WHEN 3 THEN NULL ELSE url END AS url, (page_id * 2 % 200 - 100)::DOUBLE AS lat, CASE WHEN page_id % 5 <> 0 THEN (page_id % 400)::DOUBLE END AS lon, (page_id % 7 - 1) AS annual, CASE WHEN page_id % 4 = 0 THEN ' ' ELSE 'x' END AS name FROM pages)
+SELECT page_id, concat_ws('; ', CASE WHEN name = ' ' THEN 'name missing' END, CASE WHEN NOT lat BETWEEN -90 AND 90 THEN 'lat out of range' END, CASE WHEN NOT coalesce(lon BETWEEN -180 AND 180, false) THEN 'lon out of range' END, CASE WHEN annual <= 0 THEN 'annual not positive' END, CASE WHEN page_id % 6 < 4 THEN 'url not public' END) AS issues FROM p""")
+def row_issues(t: Tables):
+    """Strings, degrees, visits and addresses of a row."""
+    k = F.col("page_id")
+    url = F.when(k % 6 == 0, "http://localhost/x").when(k % 6 == 1, "ftp://a.org").when(k % 6 == 2, "https://192.168.0.1/a").when(k % 6 > 3, F.col("url"))
+    rows = t.pages.select(k, url.alias("url"), (k * 2 % 200 - 100).cast("double").alias("lat"), F.when(k % 5 != 0, (k % 400).cast("double")).alias("lon"), (k % 7 - 1).alias("annual"), F.when(k % 4 == 0, " ").otherwise("x").alias("name"))
+    return rows.select("page_id", F.array_join(filters.row_issues("lat", "lon", "annual", ["name"], "url"), "; ").alias("issues"))
 
 
 @query("""SELECT c_custkey, array_to_string(list_filter([CASE WHEN c_acctbal < 0 THEN 'negative balance' END, CASE WHEN c_nationkey IS NULL THEN 'no nation' END,

@@ -5,8 +5,11 @@ from pyspark.sql import functions as F
 
 from loomstone.operators import latest
 from loomstone.operators.complaints import input_hash
+from loomstone.operators.network import map_ready
 from loomstone.plans.registry import Tables, query
 
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
 
 @query("""SELECT l_orderkey, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers, arg_min(l_linestatus, (l_shipdate, l_linenumber, l_partkey, l_linestatus)) AS main_status,
   array_to_string(list_sort(list(DISTINCT l_returnflag)), ',') AS flags FROM lineitem GROUP BY l_orderkey""")
@@ -17,13 +20,14 @@ def evidence_per_entity(t: Tables):
     )
 
 
-@query("""WITH c AS (SELECT *, (c_custkey % 140) - 70 AS lat, (c_custkey * 7 % 360) - 180 AS lon, c_custkey % 3 = 0 AS ready FROM customer)
+@query("""WITH c AS (SELECT *, (c_custkey % 140) - 70 AS lat, (c_custkey * 7 % 360) - 180 AS lon, (['Verified', 'Geocoded', 'Guessed', 'Cross-Checked', NULL])[(c_custkey % 5 + 1)::INT] IN ('Verified', 'Geocoded', 'Cross-Checked') AS ready FROM customer)
 SELECT lower(trim(n_name)) || '::' || lower(trim(c_mktsegment)) AS city_key, count(*) AS n, count(*) FILTER (ready) AS map_points,
   round(coalesce(avg(lat) FILTER (ready), avg(lat)), 6) AS lat, round(coalesce(avg(lon) FILTER (ready), avg(lon)), 6) AS lon,
   CASE WHEN count(*) FILTER (ready) > 0 THEN 'map ready' ELSE 'all' END AS position_source, count(DISTINCT c_custkey % 11) AS localities
 FROM c JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
 def city_summary(t: Tables):
-    c = t.customer.withColumn("lat", F.col("c_custkey") % 140 - 70).withColumn("lon", F.col("c_custkey") * 7 % 360 - 180).withColumn("ready", F.col("c_custkey") % 3 == 0)
+    c = t.customer.withColumn("lat", F.col("c_custkey") % 140 - 70).withColumn("lon", F.col("c_custkey") * 7 % 360 - 180).withColumn("status", F.element_at(F.array(*map(F.lit, ("Verified", "Geocoded", "Guessed", "Cross-Checked", None))), (F.col("c_custkey") % 5 + 1).cast("int")))
+    c = c.withColumn("ready", map_ready(F.col("lat"), F.col("lon"), F.col("status")))
     c = c.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
     key = F.concat(F.lower(F.trim("n_name")), F.lit("::"), F.lower(F.trim("c_mktsegment")))
     centre = lambda x: F.round(F.coalesce(F.avg(F.when(F.col("ready"), F.col(x))), F.avg(x)), 6).alias(x)
@@ -31,12 +35,12 @@ def city_summary(t: Tables):
     return c.groupBy(key.alias("city_key")).agg(F.count("*").alias("n"), ready.alias("map_points"), centre("lat"), centre("lon"), F.when(ready > 0, "map ready").otherwise("all").alias("position_source"), F.count_distinct(F.col("c_custkey") % 11).alias("localities"))
 
 
-@query("""SELECT n_name, count(*) FILTER (c_mktsegment = 'AUTOMOBILE') AS automobile, count(*) FILTER (c_mktsegment = 'BUILDING') AS building,
-  count(*) FILTER (c_mktsegment = 'MACHINERY') AS machinery FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
+@query("""SELECT n_name, count(*) FILTER (c_mktsegment = 'AUTOMOBILE') AS automobile, count(*) FILTER (c_mktsegment = 'BUILDING') AS building, count(*) FILTER (c_mktsegment = 'FURNITURE') AS furniture,
+  count(*) FILTER (c_mktsegment = 'HOUSEHOLD') AS household, count(*) FILTER (c_mktsegment = 'MACHINERY') AS machinery FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
 def country_segment_pivot(t: Tables):
     rows = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
-    out = rows.groupBy("n_name").pivot("c_mktsegment", ["AUTOMOBILE", "BUILDING", "MACHINERY"]).count().fillna(0)
-    return out.select("n_name", *[F.col(c).alias(c.lower()) for c in ("AUTOMOBILE", "BUILDING", "MACHINERY")])
+    out = rows.groupBy("n_name").pivot("c_mktsegment", SEGMENTS).count().fillna(0)
+    return out.select("n_name", *[F.col(c).alias(c.lower()) for c in SEGMENTS])
 
 
 @query("SELECT c_nationkey, c_mktsegment, round(c_acctbal / 1000)::BIGINT AS bal, count(*) AS n FROM customer GROUP BY ALL HAVING count(*) > 1")

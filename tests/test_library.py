@@ -155,3 +155,26 @@ def test_code_lists(spark, tmp_path):
     names_ = spark.createDataFrame([(1, "V", 1, "b"), (1, "N", 2, "a"), (1, "N", 3, "b"), (2, None, 4, "z")], "f int, nt string, line int, name string")
     got = {r["f"]: (r["name"], r["names"]) for r in readers.one_row_per_feature(names_, "f", "nt", "line", "name").collect()}
     assert got == {1: ("a", ["b", "a"]), 2: ("z", ["z"])}
+
+
+def test_nested_and_manifests(spark, tmp_path):
+    one = {"results": [{"id": "a", "mobile": {"speed": 1.5, "distance_m": 10}, "fixed": {"speed": 2.0, "distance_m": 5000}}, {"id": "b", "fixed": {"speed": 3.0, "distance_m": 1000}}]}
+    (tmp_path / "n.json").write_text(json.dumps(one, indent=1))
+    got = readers.nested_results(spark, str(tmp_path / "n.json"), "id", ["mobile", "fixed"], "speed: double")
+    assert sorted((r["id"], r["service"], r["speed"]) for r in got.collect()) == [("a", "mobile", 1.5), ("b", "fixed", 3.0)]
+    folder = tmp_path / "m"
+    folder.mkdir()
+    (folder / "a.json").write_text(json.dumps([{"title": "t", "url": "u"}, {"title": " ", "url": "v"}]))
+    (folder / "b.json").write_text("not json")
+    good, bad = readers.manifest_rows(spark, str(folder), "title string, url string", ["title", "url"])
+    assert [r["url"] for r in good.cache().collect()] == ["u"] and len(bad.cache().collect()) == 2
+    with pytest.raises(ValueError):
+        readers.manifest_rows(spark, str(folder), "title string, url string", ["title"], strict=True)
+
+
+def test_registry_overlay(spark, tmp_path):
+    (tmp_path / "base.json").write_text('{"k": 1, "v": "a"}\n{"k": 2, "v": "b"}\n')
+    (tmp_path / "over.json").write_text('{"k": 2, "v": "c"}\nbroken\n{"k": 3, "v": null}\n')
+    read = lambda over: sorted((r["k"], r["v"]) for r in readers.registry(spark, str(tmp_path / "base.json"), str(tmp_path / over), "k int, v string", "k", ["v"]).collect())
+    assert read("over.json") == [(1, "a"), (2, "c"), (3, None)]
+    assert read("none.json") == [(1, "a"), (2, "b")]
