@@ -329,7 +329,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 3, id: st
 #: Jaccard similarity of near copies, as a fraction.
 SIMILAR = (4, 5)
 #: Pairs that a node gives for a key at first; where it has more, the numbers of a second round, and the growth of all others.
-NEAREST, SECOND, GROWTH = 2, 64, 16
+NEAREST, SECOND, GROWTH = 2, 1024, 16
 #: Keys that a broadcast may hold, at most 4 MB; more are joined by a shuffle.
 SMALL = 500_000
 #: Tables of a first pass, after which nodes are labelled.
