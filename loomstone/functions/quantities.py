@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fields by what their texts count.
@@ -228,3 +228,39 @@ def indicators(c: Column, patterns: Sequence[tuple[str, str]], around: int = 140
         context = F.zip_with(F.zip_with(before, match, lambda a, b: F.concat(a, b)), after, lambda a, b: F.trim(F.regexp_replace(F.concat(a, b), r"\s+", " ")))
         found.append(F.zip_with(values, context, lambda v, x: F.struct(F.lit(name).alias("name"), F.trim(v).alias("value"), x.alias("context"))))  # noqa: B023
     return F.flatten(F.array(*found))
+
+
+def cleaned(rows: DataFrame, field: str, raw: str, context: str) -> DataFrame:
+    """rows with decision, reason, value, unit of a raw metric: accepted, rejected, or needs_review where the rules cannot tell.
+
+    Text without a digit, a yearly field's value of another period and shares beyond a hundred are rejected; a text whose
+    number no parser finds, or which has a sign of doubt, needs a look.
+    """
+    c = F.col(raw)
+    # a column of its own, so that it is computed once
+    rows = rows.withColumn("_v", value_and_unit(F.col(field), c)).withColumn("_issue", period_issue(F.col(field), c, F.col(context)))
+    v, issue = F.col("_v"), F.col("_issue")
+    doubt = F.lower(F.concat_ws(" ", c, F.col(context))).rlike(r"\b(?:about to|planned|proposed|target|up to|estimated?|projected|expected)\b")
+    share = (v["unit"] == "percent") & (v["value"] > 100)
+    decision = (
+        F.when(~F.coalesce(c.rlike(r"\d"), F.lit(False)), "rejected").when(issue.isNotNull() | F.coalesce(share, F.lit(False)), "rejected")
+        .when(v["value"].isNull() | doubt, "needs_review").otherwise("accepted")
+    )
+    reason = (
+        F.when(~F.coalesce(c.rlike(r"\d"), F.lit(False)), "no number").when(issue.isNotNull(), issue).when(F.coalesce(share, F.lit(False)), "share beyond 100")
+        .when(v["value"].isNull(), "no parser").when(doubt, "doubtful")
+    )
+    return rows.withColumns({"decision": decision, "reason": reason, "value": v["value"], "unit": v["unit"]}).drop("_v", "_issue")
+
+
+def infobox(c: Column, fields: dict[str, str]) -> Column:
+    """Structs (metric, value) of the lines "| key = number" of an infobox whose key is one of fields (key to metric), in the text's order.
+
+    References, comments and templates around a value are left out; what is no number gives nothing.
+    """
+    line = F.lit(r"(?m)^[ \t]*\|[ \t]*([\w ]+?)[ \t]*=[ \t]*(.*)$")
+    keys, raw = F.regexp_extract_all(c, line, 1), F.regexp_extract_all(c, line, 2)
+    bare = F.transform(raw, lambda r: F.regexp_replace(r, r"(?s)<ref[^>]*/>|<ref.*?</ref>|<!--.*?-->|\{\{[^}]*\}\}|\[\[|\]\]", ""))
+    known = F.create_map(*[F.lit(x) for kv in fields.items() for x in kv])
+    every = F.zip_with(keys, bare, lambda k, r: F.struct(F.try_element_at(known, F.lower(k)).alias("metric"), parsed(F.regexp_extract(r, r"(\d[\d,.]*)", 1)).alias("value")))
+    return F.filter(every, lambda x: x["metric"].isNotNull() & x["value"].isNotNull())

@@ -124,3 +124,10 @@ def source_documents(cache: DataFrame, evidence: DataFrame, raw: DataFrame, plac
         c = c.join(there, "url", "left_semi")
     out = c.join(e, "url", "left").join(r, "url", "left").withColumn("pid", F.coalesce("_e", "_r"))
     return out.join(places.select("pid", "country"), "pid", "left").select("url", "text", "pid", "country", "tier")
+
+
+def mix(rows: DataFrame, keys: Sequence[str], kind: str) -> DataFrame:
+    """keys, kind, n and its share of all rows of the keys."""
+    part = rows.groupBy(*keys, kind).agg(F.count("*").alias("n"))
+    total = part.groupBy(*keys).agg(F.sum("n").alias("_all"))
+    return part.join(total, list(keys)).select(*keys, kind, "n", (F.col("n") / F.col("_all")).alias("share"))

@@ -373,3 +373,18 @@ def implausible_metric(scene: Column, metric: Column, unit: Column, value: Colum
     out = out.when(office & some_unit & ~unit.isin(*AREA_UNITS), "office area in another unit").when(office & (value > 5_000_000), "office area beyond 5000000")
     area = metric.isin("gla", "nla", "exhibition_area", "meeting_area", "mosque_area")
     return out.when(area & some_unit & unit.isin(*PEOPLE_UNITS), "area in a unit of people")
+
+
+def benchmark(metrics: DataFrame, key: str, scenes: Mapping[str, Scene] = SCENES, bounds: Mapping[str, tuple[float, float]] = BOUNDS) -> DataFrame:
+    """Samples (key, scene, actual, v1, v2) for calibration: places that have a direct yearly number and other metrics, too.
+
+    actual is the direct number; v1 is what the older rule makes of the greatest other metric it knows; v2 is the model's
+    middle estimate without any direct number.
+    """
+    direct = F.col("metric").isin(*ANNUAL_KEYS, *DAILY_KEYS)
+    rest = metrics.where(~direct)
+    known = estimate(metrics, key, scenes, bounds).where("method = 'direct_annual'").select(key, "scene", F.col("annual")[1].alias("actual"))
+    old = rest.withColumn("_p", annual_proxy(F.col("scene"), F.col("metric"), F.col("value"), F.col("unit"))["visits"]).where("_p > 0")
+    v1 = old.groupBy(key, "scene").agg(F.min_by("_p", F.struct(-F.col("value"), F.col("metric"), F.col("evidence"))).alias("v1"))
+    v2 = estimate(rest, key, scenes, bounds).where("method <> 'insufficient'").select(key, "scene", F.col("annual")[1].alias("v2"))
+    return known.join(v1, [key, "scene"]).join(v2, [key, "scene"])

@@ -169,3 +169,30 @@ def page_indicators(t: Tables):
     found = F.filter(quantities.indicators(F.coalesce("text", F.lit("")), _PATTERNS, 20), lambda x: x["name"] == "number")
     rows = t.documents.select("doc_id", found.alias("f"))
     return rows.select("doc_id", F.size("f").cast("long").alias("numbers"), F.get("f", F.lit(0))["value"].alias("first_number"))
+
+
+_RAW = ("12,000 seats", "seats", "up to 45,000 seats", "Q1: 900,000", "120 %", "planned")
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'accepted' WHEN 2 THEN 'needs_review' ELSE 'rejected' END AS decision, CASE o_orderkey % 6 WHEN 1 THEN 'no number' WHEN 2 THEN 'doubtful' WHEN 3 THEN 'non-annual period' WHEN 4 THEN 'share beyond 100' WHEN 5 THEN 'no number' END AS reason,
+  CASE o_orderkey % 6 WHEN 0 THEN 12000::DOUBLE WHEN 2 THEN 45000::DOUBLE WHEN 4 THEN 120::DOUBLE END AS value FROM orders""")
+def cleaned_metrics(t: Tables):
+    """What the rules make of a raw metric."""
+    k = F.col("o_orderkey") % 6
+    field = F.when(k == 3, "annual_visits").when(k == 4, "international_share").otherwise("seat_count")
+    rows = t.orders.select("o_orderkey", field.alias("field"), _pick(F.col("o_orderkey"), *_RAW).alias("raw"), F.lit(None).cast("string").alias("context"))
+    # of a quarter's value the parser may still read a number
+    return quantities.cleaned(rows, "field", "raw", "context").select("o_orderkey", "decision", "reason", F.when(k != 3, F.col("value")).alias("value"))
+
+
+@query("""SELECT p_partkey AS k, 'annual_passenger_throughput:' || (p_partkey * 1000) || ',runways:' || (p_size % 4 + 1) || CASE WHEN p_partkey % 2 = 0 THEN ',elevation:' || p_size ELSE '' END AS metrics FROM part""")
+def infobox_metrics(t: Tables):
+    """Numbers out of an infobox; the text around them is made of the part's columns."""
+    k, s = F.col("p_partkey"), lambda x: x.cast("string")
+    grouped = F.concat(s(k), F.lit(",000"))
+    box = F.concat(
+        F.lit("{{Infobox airport\n| name = A 1\n| Stat-year = x\n| passengers = "), grouped, F.lit("<ref>2019</ref>\n|runways={{nowrap|2020}} "), s(F.col("p_size") % 4 + 1),
+        F.when(k % 2 == 0, F.concat(F.lit("\n | elevation = [["), s(F.col("p_size")), F.lit("]] m"))).otherwise("\n| elevation = high"), F.lit("\n}}"),
+    )
+    found = quantities.infobox(box, {"passengers": "annual_passenger_throughput", "runways": "runways", "elevation": "elevation"})
+    return t.part.select(k.alias("k"), F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["metric"], x["value"].cast("long").cast("string"))), ",").alias("metrics"))

@@ -106,3 +106,9 @@ def source_documents(t: Tables):
     raw = t.orders.select((c("o_orderkey") % 800).alias("url"), c("o_custkey").alias("pid"), c("o_orderdate").alias("stamp"), c("o_orderkey").alias("id"))
     places = t.customer.select(c("c_custkey").alias("pid"), c("c_nationkey").alias("country"))
     return readmodel.source_documents(cache, e, raw, places).select("url", "pid", "country", "tier")
+
+
+@query("SELECT o_orderpriority, o_orderstatus, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY o_orderpriority), 6) AS share FROM orders GROUP BY 1, 2")
+def recommendation_mix(t: Tables):
+    """How the rows of a group divide."""
+    return readmodel.mix(t.orders, ["o_orderpriority"], "o_orderstatus").withColumn("share", F.round("share", 6))

@@ -167,3 +167,18 @@ def activated_values(t: Tables):
     rows = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("shown"), (F.col("l_quantity") * 2).alias("new"), "l_returnflag")
     out = visits.active_values(rows, F.col("l_returnflag") == "A", ["shown"], ["new"])
     return out.select("l_orderkey", "l_linenumber", "shown", F.col("shown_kept").alias("kept"))
+
+
+_REST = _ESTIMATE.replace("END AS unit FROM m0)", f"END AS unit FROM m0 WHERE metric NOT IN {_DIRECT})")
+_OLD = " ".join(f"WHEN scene = '{name}'" + (" AND metric <> 'line_count'" if name == "transport_hub" else "" if keys == ("*",) else f" AND metric IN {_in(keys)}") + f" THEN value * {float(f)}::DOUBLE" for name, keys, f in visits.YEARLY)
+
+
+@query(f"""WITH {_REST}, full_rows AS (SELECT *, CASE WHEN line = 6 THEN NULL WHEN metric IN {_DIRECT} THEN CASE WHEN evidence % 2 = 0 THEN 'visits/year' ELSE 'visits/day' END ELSE 'units' END AS unit FROM m0),
+known AS (SELECT k, f.scene, arg_min(value, (-value, f.metric, evidence)) AS actual FROM full_rows f LEFT JOIN me ON me.scene = f.scene AND me.metric = f.metric JOIN sc ON sc.scene = f.scene
+  WHERE f.metric IN {_DIRECT} AND unit = 'visits/year' AND covers AND value > 0 AND NOT value BETWEEN 1900 AND 2100 AND coalesce(value BETWEEN low AND high, true) GROUP BY 1, 2),
+old AS (SELECT k, scene, arg_min(p, (-value, metric, evidence)) AS v1 FROM (SELECT *, CASE {_OLD} END AS p FROM m1) WHERE p > 0 GROUP BY 1, 2)
+SELECT k, scene, round(actual, 4) AS actual, round(v1, 4) AS v1, round(y2, 4) AS v2 FROM known JOIN old USING (k, scene) JOIN r USING (k, scene) WHERE method <> 'insufficient'""")
+def benchmark_samples(t: Tables):
+    """Places whose visits are known, with what both models make of their other metrics."""
+    b = visits.benchmark(_metrics(t), "k")
+    return b.select("k", "scene", F.round("actual", 4).alias("actual"), F.round("v1", 4).alias("v1"), F.round("v2", 4).alias("v2"))
