@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomstone.functions.text import chunks as text_chunks
 from loomstone.operators import visits
 from loomstone.operators.latest import first_per_key
 
@@ -106,3 +107,42 @@ def snapshot_state(manifest: DataFrame, seen: DataFrame) -> DataFrame:
     now, before = manifest.select("name", F.col("hash").alias("_now")), seen.select("name", F.col("hash").alias("_before"))
     action = F.when(F.col("_now").isNull(), "drop").when(F.col("_now") == F.col("_before"), "skip").otherwise("load")
     return now.join(before, "name", "full_outer").select("name", action.alias("action"))
+
+
+#: Groups, scenes and kinds of sources that must all be exhausted before a country counts as nearly done.
+SATURATED = (12, 6, 2)
+
+
+def maturity(summaries: DataFrame, progress: DataFrame) -> DataFrame:
+    """country, level, basis, density, groups, exhausted, rounds of summaries (country, n, scenes, sources) and progress
+    (country, scene, source, status, cycle): seed_scan, deep_expansion or near_saturation; how many candidates there are
+    says nothing of how many there could be.
+    """
+    some = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c))
+    p = progress.groupBy("country").agg(
+        F.count("*").alias("groups"), F.count_distinct(some("scene")).alias("_scenes"), F.count_distinct(some("source")).alias("_kinds"),
+        F.count_if(F.col("status") == "exhausted").alias("exhausted"), F.max(F.coalesce("cycle", F.lit(0))).alias("rounds"),
+    )
+    r = summaries.join(p, "country", "left").fillna(0, ["groups", "_scenes", "_kinds", "exhausted", "rounds"])
+    density = F.when(F.col("n") > 0, F.bround(F.col("sources") / F.col("n"), 2)).otherwise(0.0)
+    r = r.withColumn("density", density)
+    groups, scenes, kinds = SATURATED
+    full = (F.col("groups") >= groups) & (F.col("_scenes") >= scenes) & (F.col("_kinds") >= kinds) & (F.col("exhausted") == F.col("groups"))
+    tracked = (F.col("rounds") >= 2) & (F.col("_scenes") >= 4) & (F.col("_kinds") >= 2)
+    dense = ((F.col("n") >= 100) & (F.col("density") >= 1.2)) | ((F.col("n") >= 50) & (F.col("density") >= 1.5))
+    inferred = (F.col("scenes") >= 6) & dense
+    level = F.when(full, "near_saturation").when(tracked | inferred, "deep_expansion").otherwise("seed_scan")
+    basis = F.when(full, "tracked_exhaustion").when(tracked, "tracked_rounds").otherwise("active_coverage")
+    return r.select("country", level.alias("level"), basis.alias("basis"), "density", "groups", "exhausted", "rounds")
+
+
+def rechunked(chunks: DataFrame, docs: DataFrame, size: int = 1200) -> DataFrame:
+    """chunks (doc_id, content_hash, pos, chunk, origin) after docs (doc_id, text) came: those of unchanged documents are kept,
+    changed and new ones are cut anew, those of documents that are gone go. Only texts whose hash is not known are cut.
+    """
+    now = docs.where("text IS NOT NULL").select("doc_id", "text", F.sha2("text", 256).alias("content_hash"))
+    known = chunks.select("doc_id", "content_hash").distinct()
+    kept = chunks.join(now.select("doc_id", "content_hash"), ["doc_id", "content_hash"], "left_semi").select("doc_id", "content_hash", "pos", "chunk", F.lit("kept").alias("origin"))
+    new = now.join(known, ["doc_id", "content_hash"], "left_anti")
+    cut = new.select("doc_id", "content_hash", F.posexplode(text_chunks(F.col("text"), size)).alias("pos", "chunk"))
+    return kept.unionByName(cut.withColumn("origin", F.lit("new")))

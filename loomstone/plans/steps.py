@@ -150,3 +150,40 @@ def json_packets(t: Tables):
 def source_text_hashes(t: Tables):
     """The key under which a translation of a text is kept."""
     return t.documents.where("text IS NOT NULL").select("doc_id", F.sha2(names.flat_text("text"), 256).alias("h"))
+
+
+@query("""WITH s AS (SELECT c_nationkey AS country, count(*) AS n, count(DISTINCT c_custkey % 8) AS scenes, sum(1 + c_custkey % 3)::BIGINT AS sources FROM customer GROUP BY 1),
+g AS (SELECT s_nationkey AS country, CASE WHEN s_suppkey % 9 = 0 THEN '' ELSE 's' || (s_suppkey % 6) END AS scene, 'k' || (s_suppkey % 5) AS source, CASE WHEN s_nationkey % 2 = 0 OR s_suppkey % 3 = 0 THEN 'exhausted' ELSE 'active' END AS status, s_suppkey % 4 AS cycle FROM supplier
+  UNION ALL SELECT 3, 's' || (i % 6), 'k' || (i % 5), 'exhausted', 1 FROM range(40) r(i)),
+p AS (SELECT country, count(*) AS groups, count(DISTINCT nullif(scene, '')) AS sc, count(DISTINCT source) AS ki, count(*) FILTER (status = 'exhausted') AS exhausted, max(cycle) AS rounds FROM g WHERE country <> 3 OR status = 'exhausted' GROUP BY 1),
+r AS (SELECT s.*, coalesce(groups, 0) AS groups, coalesce(sc, 0) AS sc, coalesce(ki, 0) AS ki, coalesce(exhausted, 0) AS exhausted, coalesce(rounds, 0) AS rounds, round_even(sources / n, 2) AS density FROM s LEFT JOIN p USING (country)),
+f AS (SELECT *, groups >= 12 AND sc >= 6 AND ki >= 2 AND exhausted = groups AS full_, rounds >= 2 AND sc >= 4 AND ki >= 2 AS tracked, scenes >= 6 AND (n >= 100 AND density >= 1.2 OR n >= 50 AND density >= 1.5) AS inferred FROM r)
+SELECT country, CASE WHEN full_ THEN 'near_saturation' WHEN tracked OR inferred THEN 'deep_expansion' ELSE 'seed_scan' END AS level, CASE WHEN full_ THEN 'tracked_exhaustion' WHEN tracked THEN 'tracked_rounds' ELSE 'active_coverage' END AS basis, density, groups, exhausted, rounds FROM f""")
+def country_maturity(t: Tables):
+    """How far a country has been searched, by what its tasks and its sources say."""
+    c, s = F.col("c_custkey"), F.col("s_suppkey")
+    rows = t.customer.groupBy(F.col("c_nationkey").alias("country")).agg(F.count("*").alias("n"), F.count_distinct(c % 8).alias("scenes"), F.sum(c % 3 + 1).alias("sources"))
+    label = lambda x, k: F.concat(F.lit(x), k.cast("string"))
+    status = F.when((F.col("s_nationkey") % 2 == 0) | (s % 3 == 0), "exhausted").otherwise("active")
+    g = t.supplier.select(F.col("s_nationkey").alias("country"), F.when(s % 9 == 0, "").otherwise(label("s", s % 6)).alias("scene"), label("k", s % 5).alias("source"), status.alias("status"), (s % 4).alias("cycle"))
+    more = t.spark.range(40).select(F.lit(3).alias("country"), label("s", F.col("id") % 6).alias("scene"), label("k", F.col("id") % 5).alias("source"), F.lit("exhausted").alias("status"), F.lit(1).cast("long").alias("cycle"))
+    return derive.maturity(rows, g.where("country <> 3 OR status = 'exhausted'").unionByName(more))
+
+
+@query(r"""WITH d AS (SELECT doc_id, trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g')) AS t, sha256(text) AS h FROM documents WHERE text IS NOT NULL AND doc_id % 11 <> 0),
+e AS (SELECT doc_id, h, unnest(list_filter(list_transform(range(0, ((length(t) + 1199) // 1200)::BIGINT), lambda i: trim(substr(t, (i * 1200 + 1)::BIGINT, 1200))), lambda p: p <> '')) AS chunk, generate_subscripts(list_filter(list_transform(range(0, ((length(t) + 1199) // 1200)::BIGINT), lambda i: trim(substr(t, (i * 1200 + 1)::BIGINT, 1200))), lambda p: p <> ''), 1) - 1 AS pos FROM d)
+SELECT doc_id, pos, sha256(chunk) AS h, CASE WHEN doc_id % 7 <> 0 AND doc_id % 5 <> 0 THEN 'kept' ELSE 'new' END AS origin FROM e""")
+def rechunked_documents(t: Tables):
+    """An index after an update: unchanged documents keep their chunks."""
+    d = t.documents.select("doc_id", "text")
+    before = d.where("doc_id % 7 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    chunks = derive.rechunked(d.limit(0).select("doc_id", F.lit("").alias("content_hash"), F.lit(0).alias("pos"), F.col("text").alias("chunk")), before).drop("origin")
+    out = derive.rechunked(chunks, d.where("doc_id % 11 <> 0"))
+    return out.select("doc_id", F.col("pos").cast("long").alias("pos"), F.sha2("chunk", 256).alias("h"), "origin")
+
+
+@query("""SELECT l_orderkey, l_linenumber FROM lineitem WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_custkey % 100 = l_suppkey % 100 AND o_totalprice > 50000)""")
+def reviews_of_pairs(t: Tables):
+    """Rows whose pair of keys is among the candidates': both must match in one of them."""
+    pairs = t.orders.where("o_totalprice > 50000").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 100).alias("run"))
+    return t.lineitem.withColumn("run", F.col("l_suppkey") % 100).join(pairs, ["l_orderkey", "run"], "left_semi").select("l_orderkey", "l_linenumber")
