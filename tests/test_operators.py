@@ -261,3 +261,51 @@ def test_pages_and_packets(spark):
     assert (got[1]["t"], got[1]["i"]) == (None, None)
     slug = spark.createDataFrame([("https://en.wikipedia.org/wiki/S%C3%A3o_Paulo?x=1",), ("https://x.org/wiki/A",), (None,)], "u string").select(text.wiki_slug(F.col("u"))).collect()
     assert [r[0] for r in slug] == ["São Paulo", None, None]
+
+
+def test_filters(spark):
+    from loomstone.operators import filters
+
+    df = spark.createDataFrame([(1, "a", True, True), (2, "a", None, True), (3, "b", True, False)], "k int, c string, f boolean, map_ready boolean")
+    assert rows(filters.read_model(df, {"c": "a", "k": ""}, {"f": True}, "map"), "k") == [(1,)]
+    assert rows(filters.read_model(df, {}, {"f": False}), "k") == [(2,)] and filters.equal(df, {"f": True}).count() == 2
+    with pytest.raises(ValueError):
+        filters.equal(df, {"nothing": 1})
+
+
+def test_covers_and_holes(spark):
+    import math
+
+    from loomstone.functions import geo
+
+    df = spark.createDataFrame([(0.0, 0.0), (60.2, 24.9), (-84.0, 100.0), (51.5, 179.9)], "la double, lo double")
+    got = df.select("la", "lo", geo.radius_cover(F.col("la"), F.col("lo"), 90_000.0, 9).alias("t")).collect()
+
+    def metres(a, b, c, d):
+        x = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+        return 2 * geo.EARTH_M * math.asin(math.sqrt(x))
+
+    for r in got:
+        want = set()
+        for x in range(512):
+            for y in range(512):
+                la, lo = math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * (y + 0.5) / 512)))), (x + 0.5) / 512 * 360 - 180
+                if abs(lo - r["lo"]) < 180 and metres(r["la"], r["lo"], la, lo) <= 90_000:
+                    want.add((x, y))
+        assert {(t["x"], t["y"]) for t in r["t"]} == want
+    ring, hole = [(-4.0, -4.0), (-4.0, 4.0), (4.0, 4.0), (4.0, -4.0)], [(-1.0, -1.0), (-1.0, 1.0), (1.0, 1.0), (1.0, -1.0)]
+    points = spark.createDataFrame([(0.0, 0.0), (2.0, 2.0), (5.0, 0.0), (None, 0.0)], "la double, lo double")
+    assert [r[0] for r in points.select(geo.in_polygon(F.col("la"), F.col("lo"), [ring, hole])).collect()] == [False, True, False, False]
+
+
+def test_maturity_and_chunks(spark):
+    from loomstone.operators import derive
+
+    s = spark.createDataFrame([("A", 200, 6, 300), ("B", 60, 6, 90), ("C", 60, 5, 90), ("D", 0, 0, 0), ("E", 5, 1, 5)], "country string, n int, scenes int, sources int")
+    p = spark.createDataFrame([("D", f"s{i % 6}", f"k{i % 2}", "exhausted", 1) for i in range(12)] + [("E", f"s{i}", f"k{i % 2}", "active", 2) for i in range(4)], "country string, scene string, source string, status string, cycle int")
+    want = [("A", "deep_expansion", "active_coverage"), ("B", "deep_expansion", "active_coverage"), ("C", "seed_scan", "active_coverage"), ("D", "near_saturation", "tracked_exhaustion"), ("E", "deep_expansion", "tracked_rounds")]
+    assert rows(derive.maturity(s, p), "country", "level", "basis") == want
+    none = spark.createDataFrame([], "doc_id int, content_hash string, pos int, chunk string")
+    first = derive.rechunked(none, spark.createDataFrame([(1, "abcdef"), (2, "xy"), (3, None), (4, "")], "doc_id int, text string"), 4)
+    then = derive.rechunked(first.drop("origin"), spark.createDataFrame([(1, "abcdef"), (2, "xyz")], "doc_id int, text string"), 4)
+    assert rows(then, "doc_id", "pos", "chunk", "origin") == [(1, 0, "abcd", "kept"), (1, 1, "ef", "kept"), (2, 0, "xyz", "new")]
