@@ -330,7 +330,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 3, id: st
 SIMILAR = (4, 5)
 #: Pairs that a node gives for a key at first; where it has more, the numbers of a second round, and the growth of all others.
 NEAREST, SECOND, GROWTH = 2, 1024, 16
-#: Keys that a broadcast may hold, at most 4 MB; more are joined by a shuffle.
+#: Keys or ids that a broadcast may hold (4 MB of numbers); more are joined by a shuffle.
 SMALL = 500_000
 #: Tables of a first pass, after which nodes are labelled.
 FIRST = 8
@@ -403,6 +403,12 @@ def _sets(docs: DataFrame, shingle: int, text: str) -> DataFrame:
     return like(docs, [text]).mapInArrow(run, "_node long, _set array<long>")
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """rows, cut, and broadcast if they are few, so that what they are joined to is not shuffled; many are joined by a shuffle."""
+    rows = cut(rows)
+    return F.broadcast(rows) if rows.count() <= SMALL else rows
+
+
 def _confirmed(pairs: DataFrame, nodes: DataFrame, words: list[str], docs: DataFrame, shingle: int, id: str, text: str) -> DataFrame:
     """The pairs (a, b, ...) that are as similar as SIMILAR says: by whole fingerprints first, then by the sets themselves.
 
@@ -412,7 +418,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, words: list[str], docs: DataF
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(_differing(words, "a", "b") <= DIFFER_OF_64 * len(words))
     near = cut(near.select(*pairs.columns))
     need = near.select(F.col("a").alias("_node")).unionByName(near.select(F.col("b").alias("_node"))).distinct()
-    ids = nodes.join(need, "_node", "left_semi").select(F.col("_least").alias("_id")).distinct()
+    ids = _small(nodes.join(need, "_node", "left_semi").select(F.col("_least").alias("_id")).distinct())
     texts = docs.join(ids, F.col(f"`{id}`") == F.col("_id"), "left_semi")
     sets = cut(_sets(texts, shingle, text).join(need, "_node", "left_semi").dropDuplicates(["_node"]))
     both = near.join(sets.select(F.col("_node").alias("b"), F.col("_set").alias("_y")), "b").join(sets.select(F.col("_node").alias("a"), F.col("_set").alias("_x")), "a")
@@ -506,12 +512,11 @@ def similar_groups(docs: DataFrame, shingle: int = 5, id: str = "doc_id", text:
             tested = seen if tested is None else tested.unionByName(seen)
             new = None if pairs.isEmpty() else contracted(pairs)
             labels = labels if new is None else new
-            more = cut(found.where("more").select("key").distinct())
-            left = more.count()
-            if not left:
+            more = found.where("more").select("key").distinct()
+            if more.isEmpty():
                 break
             most = SECOND if open_keys is None else most * GROWTH
-            open_keys = F.broadcast(more) if left <= SMALL else more
+            open_keys = _small(more)
         start = stop
     least = labels.join(nodes.select("_node", "_least", "_n"), "_node").groupBy("label").agg(F.min("_least").alias("component_id"), F.sum("_n").alias("_all"))
     groups = labels.join(least.where("_all > 1"), "label").select("_node", "component_id")
@@ -524,5 +529,5 @@ def drop_similar(docs: DataFrame, shingle: int = 5, id: str = "doc_id", text: st
     Rows with null texts, without words or with a null id stay; rows that repeat an id stay or go together; columns of any
     name are kept; an empty table gives none.
     """
-    gone = similar_groups(docs, shingle, id, text).where(F.col(id) != F.col("component_id")).select(F.col(id).alias("_gone")).distinct()
+    gone = _small(similar_groups(docs, shingle, id, text).where(F.col(id) != F.col("component_id")).select(F.col(id).alias("_gone")).distinct())
     return docs.join(gone, F.col(f"`{id}`") == F.col("_gone"), "left_anti")
