@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -53,6 +54,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver collect frames that are out of use, so that Spark's cleaner removes their shuffle files at once."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def steps_of(rows: int, total: int) -> int:
     """The share rows / total in 2 ** 62 steps, so that it is not rounded to none below that many rows."""
     return max(1, min(1 << 62, (rows << 62) // max(1, total)))

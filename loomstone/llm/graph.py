@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import cut
+from loomstone.llm.common import cut, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -37,6 +37,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         mark = seen
         now = cut(_small_star(_large_star(now)))
+        release(now.sparkSession)
     else:
         raise RuntimeError(f"components did not converge in {most_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

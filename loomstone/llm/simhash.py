@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import cut, like, ship
+from loomstone.llm.common import cut, like, release, ship
 from loomstone.llm.graph import components
 
 #: Widths of the blocks, from bit 0; they and the distance fit by the pigeonhole principle.
@@ -469,6 +469,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, id: str = "doc_id", text:
         if edges.isEmpty():
             return None
         roots = components(edges).select(F.col("node").alias("label"), "root")
+        release(docs.sparkSession)
         return cut(labels.join(roots, "label", "left").select("_node", F.coalesce("root", "label").alias("label")))
 
     def keyed(tables: range, carry: list[str]) -> DataFrame:
@@ -512,6 +513,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, id: str = "doc_id", text:
             tested = seen if tested is None else tested.unionByName(seen)
             new = None if pairs.isEmpty() else contracted(pairs)
             labels = labels if new is None else new
+            release(docs.sparkSession)
             more = found.where("more").select("key").distinct()
             if more.isEmpty():
                 break
