@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -36,6 +36,9 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(str(out))
 
 
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir. Without it only a local session gets one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -43,21 +46,73 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="ckpt-")
+    return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="ckpt-"))
+
+
+#: Spark removes the shuffle files of a write as soon as it ends, where this is set.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+class Tables:
+    """Tables written below one folder of the shared one, which cut lineage.
+
+    drop() removes tables that nothing reads any more, at once; what is left goes when the session's JVM ends, since
+    results still read it. Shuffle files of a write are removed when it ends.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+        self.at: dict[int, tuple[DataFrame, str]] = {}
+        path, fs = self._path(self.folder)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """df, written and read again."""
+        path = f"{self.folder}/{uuid.uuid4().hex[:12]}"
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.at[id(out)] = (out, path)
+        return out
+
+    def drop(self, *frames: DataFrame | None) -> None:
+        """Remove these tables; frames that cut() did not give are left alone."""
+        for f in frames:
+            _, name = self.at.pop(id(f), (None, None))
+            if name:
+                path, fs = self._path(name)
+                fs.delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df and cut its lineage, in the shared folder."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+    """df as a table in the shared folder, which stays until the session ends."""
+    return Tables(df.sparkSession).cut(df)
+
+
+#: Keys with this share of all rows, or more, are looked up by a broadcast; there are at most as many of them.
+HOT = 4096
+
 
+def join_hot(rows: DataFrame, per_key: DataFrame, key: list[str], n: str) -> DataFrame:
+    """rows joined with per_key, which has one row for each key and in column n how many rows have it.
 
-def release(spark: SparkSession) -> None:
-    """Let the driver collect frames that are out of use, so that Spark's cleaner removes their shuffle files at once."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    The keys with a 4096th of all rows or more, of which there are 4096 at most, go to the rows by a broadcast, so no task
+    gets all rows of a hot key; all other keys meet by a shuffle. Keys are not null. rows is read twice.
+    """
+    total = per_key.agg(F.sum(n).alias("t")).first()["t"] or 0
+    hot = per_key.where(F.col(n) >= max(1000, total // HOT))
+    names = hot.select(*key).withColumn("_hot", F.lit(True))
+    cold = rows.join(F.broadcast(names), key, "left_anti").join(per_key.where(F.col(n) < max(1000, total // HOT)), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
 
 
 def steps_of(rows: int, total: int) -> int:

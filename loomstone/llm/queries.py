@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import ann, exact_dedup, langid, mixing, packing, sharding, simhash, token_counts, toxicity, urls
+from loomstone.llm import ann, exact_dedup, fim, langid, minhash, mixing, packing, sharding, simhash, token_counts, toxicity, urls, whitening
 from loomstone.llm.common import fold, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -74,6 +74,20 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), most=16, step=64.0, offset=1_000_000)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.transform(table(spark, sf_dir, "documents"), seed=42, rate=50, spm=80, unit="token")
+    digests = fim.sha256(F.col("output")), fim.sha256(fim.restored(F.col("output"), F.col("form")))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digests[0].alias("output_sha256"), digests[1].alias("restored_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,8 +95,24 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_packing, op4_nearest, op5_sharding, op6_language, op7_mixing, op8_simhash, op9_urls, op10_exact_dedup, pipeline)
-}
+    f.__name__: f
+    for f in (
+        op1_toxicity,
+        op2_token_counts,
+        op3_packing,
+        op4_nearest,
+        op5_sharding,
+        op6_language,
+        op7_mixing,
+        op8_simhash,
+        op9_urls,
+        op10_exact_dedup,
+        op11_minhash,
+        op12_whitening,
+        op13_fill_in_middle,
+        pipeline,
+    )
+}
 
 _WORDS = r"len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))"
 
@@ -151,4 +181,56 @@ SELECT s.page_id, host, path, fits.r.rhost || fits.r.rpath AS rule,
 FROM s LEFT JOIN fits USING (page_id)
 """
 
-ORACLES = {"op7_mixing": _MIXING, "op9_urls": _URLS, "op10_exact_dedup": _DEDUP}
+#: Near copies of whole texts by their shingles; components by the smallest id that is reached.
+_MINHASH = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y
+  WHERE 100 * shared.n >= 80 * (a.n + b.n - shared.n)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached AS (SELECT x AS doc_id, x AS other FROM both_ways UNION SELECT r.doc_id, e.y FROM reached r JOIN both_ways e ON e.x = r.other)
+SELECT d.doc_id, coalesce(any_value(s.n), 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(min(r.other), d.doc_id)) AS component_id,
+       least(d.doc_id, coalesce(min(r.other), d.doc_id)) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN reached r USING (doc_id) GROUP BY d.doc_id
+"""
+
+#: Cuts, forms and digests; the text itself is what an output has to give back.
+_FIM = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+         sha256('42:' || doc_id::VARCHAR) AS h
+  FROM documents),
+e AS (
+  SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4
+  FROM d),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+              WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM e),
+p AS (
+  SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre)::BIGINT END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(mid)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+              ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+ORACLES = {
+    "op7_mixing": _MIXING,
+    "op9_urls": _URLS,
+    "op10_exact_dedup": _DEDUP,
+    "op11_minhash": _MINHASH,
+    "op13_fill_in_middle": _FIM,
+}

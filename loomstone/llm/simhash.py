@@ -10,7 +10,7 @@ forest of links goes on, never all pairs. Components of the links are the groups
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -18,17 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import cut, like, release, ship
+from loomstone.llm import near
+from loomstone.llm.common import Tables, cut, join_hot, like, ship
 from loomstone.llm.graph import components
+from loomstone.llm.near import BUSY, FEW
 
 #: Widths of the blocks, from bit 0; they and the distance fit by the pigeonhole principle.
 BLOCKS = (13, 13, 13, 13, 12)
 #: Rows of a key that are compared all at once; more are first split on the bits that the key leaves open.
 DENSE = 4096
-#: Rows of a key whose pairs are all looked at in one sweep over many keys.
-FEW = 4
-#: Rows of a key that one task should get at most, about; a key with more is split.
-BUSY = 8192
 
 
 def _hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
@@ -108,11 +106,6 @@ def fingerprints(docs: DataFrame, shingle: int = 5, words64: int = 1, id: str =
     return like(docs, [id, text]).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id]}, " + ", ".join(f"{c} long" for c in names)).withColumnRenamed("doc_id", id)
 
 
-def _near(x: np.ndarray, y: np.ndarray, distance: int) -> np.ndarray:
-    """x and y: one row of 64-bit words for each fingerprint."""
-    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64) <= distance
-
-
 def _forest(x: np.ndarray, distance: int, direct: bool = False) -> list[tuple[int, int]]:
     """Links (places in x) from the first place of each group to all others that the distance connects to it.
 
@@ -126,7 +119,7 @@ def _forest(x: np.ndarray, distance: int, direct: bool = False) -> list[tuple[in
         first, queue, left = int(left[0]), [int(left[0])], left[1:]
         while queue and len(left):
             at = queue.pop()
-            hit = _near(x[left], x[at], distance)
+            hit = near.within(x[left], x[at], distance)
             if hit.any():
                 reached = left[hit].tolist()
                 out += [(at if direct else first, j) for j in reached]
@@ -171,7 +164,7 @@ def _links(key: np.ndarray, x: np.ndarray, distance: int) -> tuple[np.ndarray, n
     key, x = key[small], x[small]
     for lag in range(1, min(FEW, int(sizes[sizes <= FEW].max(initial=0)))):
         hit = np.flatnonzero(key[lag:] == key[:-lag])
-        hit = hit[_near(x[hit + lag], x[hit], distance)]
+        hit = hit[near.within(x[hit + lag], x[hit], distance)]
         a.append(small[hit])
         b.append(small[hit + lag])
     none = np.zeros(0, np.int64)
@@ -188,72 +181,6 @@ def _block_keys() -> list[Column]:
     return [F.lit(n << 26).bitwiseOR(F.shiftleft(block[i], 13)).bitwiseOR(block[j]) for n, (i, j) in enumerate(PAIRS)]
 
 
-def _across(key: np.ndarray, x: np.ndarray, label: np.ndarray, distance: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (places in x) within runs of equal keys that are near but have different labels, and whether some were left out.
-
-    Of a run of more than 2 * FEW, each place outside its most common label gives the nearest most of its pairs;
-    every such pair has an end outside that label, so what is not left out is complete.
-    """
-    starts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
-    sizes = np.diff(np.concatenate((starts, [len(key)])))
-    mixed = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
-    few = 2 * FEW
-    a, b, more = [], [], []
-    for s, n in zip(starts[mixed & (sizes > few)].tolist(), sizes[mixed & (sizes > few)].tolist(), strict=True):
-        y, own = x[s : s + n], label[s : s + n]
-        values, times = np.unique(own, return_counts=True)
-        outer = np.flatnonzero(own != values[times.argmax()])
-        step = max(1, 1_000_000 // n)
-        for at in range(0, len(outer), step):
-            i = outer[at : at + step]
-            d = np.bitwise_count(y[i][:, None] ^ y[None]).sum(axis=-1, dtype=np.int64)
-            d[own[i][:, None] == own[None]] = distance + 1
-            hits = (d <= distance).sum(axis=1)
-            for k in np.flatnonzero(hits).tolist():
-                found = np.argsort(d[k], kind="stable")[: min(most, int(hits[k]))]
-                a.append(np.full(len(found), s + i[k]))
-                b.append(found + s)
-                more.append(np.full(len(found), hits[k] > most))
-    small = np.flatnonzero(np.repeat(mixed & (sizes <= few), sizes))
-    key, x, label = key[small], x[small], label[small]
-    for lag in range(1, min(few, len(key))):
-        hit = np.flatnonzero((key[lag:] == key[:-lag]) & (label[lag:] != label[:-lag]))
-        hit = hit[_near(x[hit + lag], x[hit], distance)]
-        a.append(small[hit])
-        b.append(small[hit + lag])
-        more.append(np.zeros(len(hit), bool))
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *a]), np.concatenate([none, *b]), np.concatenate([none.astype(bool), *more])
-
-
-def _by_key(keyed: DataFrame, some: Callable[[tuple], pa.RecordBatch], schema: str, by: str = "key") -> DataFrame:
-    """What some makes of the columns of keyed (by is the first), given as arrays that hold their keys whole and sorted.
-
-    One shuffle and a sort; each task reads its keys as a stream and holds one batch and the key at its end.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def joined(parts: list[tuple]) -> tuple:
-            return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
-
-        for t in batches:
-            if not t.num_rows:
-                continue
-            columns = [c.to_numpy() for c in t.columns]
-            key = columns[0]
-            last = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
-            if last or (held and held[-1][0][-1] != key[0]):
-                yield some(joined([*held, tuple(c[:last] for c in columns)]))
-                held = []
-            held.append(tuple(c[last:] for c in columns))
-        if held:
-            yield some(joined(held))
-
-    return keyed.repartition(by).sortWithinPartitions(by, "_node").mapInArrow(run, schema)
-
-
 def links(keyed: DataFrame, distance: int) -> DataFrame:
     """a, b: links between the nodes of (key, _node, words of the fingerprint) that share a key."""
 
@@ -264,24 +191,7 @@ def links(keyed: DataFrame, distance: int) -> DataFrame:
         a, b = _links(key, np.stack(words, axis=1).view(np.uint64), distance)
         return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
-    return _by_key(keyed, some, "a long, b long")
-
-
-def _candidates(keyed: DataFrame, words: list[str], distance: int, most: int) -> DataFrame:
-    """a, b, la, lb, key, more: pairs of nodes that share a run and have different labels, each node's nearest ones."""
-
-    def some(columns: tuple) -> pa.RecordBatch:
-        from loomstone.llm.simhash import _across
-
-        run, node, label, key, *fp = columns
-        a, b, more = _across(run, np.stack(fp, axis=1).view(np.uint64), label, distance, most)
-        swap = node[a] > node[b]
-        own = key[a]
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in (node[a], node[b], label[a], label[b], own, more)], ["a", "b", "la", "lb", "key", "more"])
-
-    rows = keyed.select("run", "_node", "label", "key", *words)
-    return _by_key(rows, some, "a long, b long, la long, lb long, key long, more boolean", "run")
+    return near.by_key(keyed, some, "a long, b long")
 
 
 def _thinned(keyed: DataFrame, distance: int) -> DataFrame:
@@ -317,25 +227,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 3, id: st
     if not 0 <= distance <= 3:
         raise ValueError("five blocks, two of them equal, allow for up to three differing bits")
     own = cut(fingerprints(docs, shingle, 1, id, text))
-    nodes = own.groupBy("fp").agg(F.min(id).alias("_least"))
+    nodes = own.groupBy("fp").agg(F.min(id).alias("_least"), F.count("*").alias("_n"))
     keyed = nodes.select(F.explode(F.array(*_block_keys())).alias("key"), F.col("fp").alias("_node"), "fp")
     roots = components(links(_thinned(keyed, distance), distance))
     nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = nodes.groupBy("root").agg(F.min("_least").alias("component_id"))
-    groups = nodes.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return own.join(groups, "fp").select(id, "fp", "component_id")
+    groups = cut(nodes.select("fp", "root", "_n").join(least, "root").select("fp", "component_id", "_n"))
+    return join_hot(own, groups, ["fp"], "_n").select(id, "fp", "component_id")
 
 
-#: Jaccard similarity of near copies, as a fraction.
-SIMILAR = (4, 5)
-#: Pairs that a node gives for a key at first; where it has more, the numbers of a second round, and the growth of all others.
-NEAREST, SECOND, GROWTH = 2, 1024, 16
-#: Keys or ids that a broadcast may hold (4 MB of numbers); more are joined by a shuffle.
-SMALL = 500_000
-#: Tables of a first pass, after which nodes are labelled.
-FIRST = 8
-#: Words of 64 bits that go with every key, and bits of them, and of every 64 of the whole fingerprint, that may differ.
-CARRIED, DIFFER, DIFFER_OF_64 = 4, 56, 12
+#: Bits of the 128 carried ones that near copies may differ in: 19 are expected at similarity 0.8, with a deviation of 4.
+DIFFER = 36
 
 
 def table_sizes(nodes: int, missed: float = 0.0065) -> tuple[int, int, int]:
@@ -345,7 +247,7 @@ def table_sizes(nodes: int, missed: float = 0.0065) -> tuple[int, int, int]:
     with 0.85 ** bits. There are as many blocks as leave all of them different with the probability missed. Blocks grow
     with the logarithm of the number of texts, so that unlike texts seldom share one; what is missed stays the same.
     """
-    of, whole = SIMILAR
+    of, whole = near.SIMILAR
     same = 1 - math.acos(2 * of / (of + whole)) / math.pi
     width = max(16, math.ceil(math.log2(max(1, nodes))) - 6)
     blocks = math.ceil(math.log(missed) / math.log1p(-(same**width)))
@@ -359,14 +261,6 @@ def _table_keys(words: list[str], width: int, tables: range) -> Column:
     return F.array(*[F.lit(t << 40).bitwiseOR(x) for t, x in zip(tables, block, strict=True)])
 
 
-def _differing(words: list[str], x: str, y: str) -> Column:
-    """Bits in which the words of x and y (prefixes of columns) differ."""
-    out = F.lit(0)
-    for w in words:
-        out = out + F.bit_count(F.col(x + w).bitwiseXOR(F.col(y + w)))
-    return out
-
-
 def _set_sketches(docs: DataFrame, shingle: int, id: str, text: str, words: list[str]) -> DataFrame:
     """id, _node (a hash of the set of shingles) and words of its fingerprint, for texts with words."""
 
@@ -380,149 +274,43 @@ def _set_sketches(docs: DataFrame, shingle: int, id: str, text: str, words: list
             some = np.array([len(s) > 0 for s in sets], bool)
             rows = [[xxhash.xxh64_intdigest(s.tobytes()), *set_fingerprint(s, len(words))] for s in sets if len(s)]
             x = np.array(rows, np.uint64).view(np.int64).reshape(-1, len(words) + 1)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(some)), *[pa.array(x[:, k].copy()) for k in range(len(words) + 1)]], ["doc_id", "_node", *words])
+            columns = [b.column(0).filter(pa.array(some)), *[pa.array(x[:, k].copy()) for k in range(len(words) + 1)]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "_node", *words])
 
     ship(docs.sparkSession)
-    return like(docs, [id, text]).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id]}, _node long, " + ", ".join(f"{c} long" for c in words)).withColumnRenamed("doc_id", id)
-
-
-def _sets(docs: DataFrame, shingle: int, text: str) -> DataFrame:
-    """_node and the hashes of its shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        from loomstone.llm.simhash import shingle_set
+    schema = f"doc_id {dict(docs.dtypes)[id]}, _node long, " + ", ".join(f"{c} long" for c in words)
+    return like(docs, [id, text]).mapInArrow(run, schema).withColumnRenamed("doc_id", id)
 
-        for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                sets = [shingle_set(t.as_py(), shingle) for t in whole.column(0).slice(at, 200)]
-                node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["_node", "_set"])
 
-    return like(docs, [text]).mapInArrow(run, "_node long, _set array<long>")
-
-
-def _small(rows: DataFrame) -> DataFrame:
-    """rows, cut, and broadcast if they are few, so that what they are joined to is not shuffled; many are joined by a shuffle."""
-    rows = cut(rows)
-    return F.broadcast(rows) if rows.count() <= SMALL else rows
-
-
-def _confirmed(pairs: DataFrame, nodes: DataFrame, words: list[str], docs: DataFrame, shingle: int, id: str, text: str) -> DataFrame:
-    """The pairs (a, b, ...) that are as similar as SIMILAR says: by whole fingerprints first, then by the sets themselves.
-
-    Only the texts of pairs that the fingerprints let pass are read again.
-    """
-    side = lambda c: nodes.select(F.col("_node").alias(c), *[F.col(w).alias(c + w) for w in words])
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(_differing(words, "a", "b") <= DIFFER_OF_64 * len(words))
-    near = cut(near.select(*pairs.columns))
-    need = near.select(F.col("a").alias("_node")).unionByName(near.select(F.col("b").alias("_node"))).distinct()
-    ids = _small(nodes.join(need, "_node", "left_semi").select(F.col("_least").alias("_id")).distinct())
-    texts = docs.join(ids, F.col(f"`{id}`") == F.col("_id"), "left_semi")
-    sets = cut(_sets(texts, shingle, text).join(need, "_node", "left_semi").dropDuplicates(["_node"]))
-    both = near.join(sets.select(F.col("_node").alias("b"), F.col("_set").alias("_y")), "b").join(sets.select(F.col("_node").alias("a"), F.col("_set").alias("_x")), "a")
-    of, whole = SIMILAR
-    shared = F.size(F.array_intersect("_x", "_y"))
-    return both.where(shared * (of + whole) >= (F.size("_x") + F.size("_y")) * of).drop("_x", "_y")
-
-
-def _busy_keys(keyed: DataFrame, words: list[str], turn: int) -> DataFrame:
-    """key, top (its most common label), pieces, and a node outside that label, of keys with more than BUSY rows (by a sample of a 16th)."""
-    sample = keyed.where(F.pmod(F.xxhash64(F.lit("busy"), "_node"), F.lit(16)) == 0)
-    own = F.struct("_node", "label", *words)
-    per = sample.groupBy("key", "label").agg(F.count("*").alias("n"), F.min(own).alias("one"))
-    by = F.xxhash64(F.lit(turn), "label")
-    keys = per.groupBy("key").agg(
-        F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.min_by("one", by).alias("x"), F.max_by("one", by).alias("y")
-    )
-    centre = F.when(F.col("x.label") != F.col("top.label"), F.col("x")).otherwise(F.col("y"))
-    pieces = F.ceil(F.col("n") * 16 / BUSY).cast("int")
-    return cut(keys.where(F.col("n") > BUSY // 16).select("key", F.col("top.label").alias("top"), pieces.alias("pieces"), (F.col("n") - F.col("top.n")).alias("outside"), centre.alias("centre")))
-
-
-def similar_groups(docs: DataFrame, shingle: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:
+def similar_groups(
+    docs: DataFrame, shingle: int = 5, id: str = "doc_id", text: str = "text", missed: float = 0.0065, differ: int = DIFFER
+) -> DataFrame:
     """id, component_id of the documents that have near copies (Jaccard similarity of sets of shingles 0.8 or more).
 
-    A fingerprint of the set of shingles is split into blocks (table_sizes), and texts meet that agree on one. Their
-    Hamming distance is verified on a few words, then on all, and then the sets themselves (as hashes of 64 bits)
-    decide: only pairs at SIMILAR are links. A pass takes some of the blocks and looks only at pairs that no links
-    connect yet; it ends when no key has such a pair that was not compared. So a dense group is not listed pair by
-    pair, and no link among candidates is lost. Keys with more rows than a task should get are dealt in pieces, once
-    their rows are linked to one in the middle (the most common label is dealt, all others are in every piece).
+    A fingerprint of the set of shingles is split into blocks (table_sizes), and texts meet that agree on one
+    (near.groups). The Hamming distance of 128 bits is verified where they meet, then the sets themselves (as hashes of
+    64 bits) decide: only pairs at near.SIMILAR are links. missed is the probability that two texts at just 0.8 agree on
+    no block: the smaller, the more blocks; differ bits of 128 may differ (128 compares all that meet).
 
     Equal sets are one node. Null texts and texts without words belong to no group, rows with a null id to none unless
-    their set is also another row's; repeated rows are a group, as equal texts are; an empty table gives no row. Texts may be
-    of any length. Other columns are ignored. Ids may be of any type that has an order.
+    their set is also another row's; repeated rows are a group, as equal texts are; an empty table gives no row. Texts
+    may be of any length. Other columns are ignored. Ids may be of any type that has an order.
     """
-    count = docs.count()
-    width, blocks, n_words = table_sizes(count)
-    words = [f"fp{k}" for k in range(n_words)]
-    few = words[:CARRIED]
-    own = cut(_set_sketches(docs, shingle, id, text, words))
-    nodes = cut(own.groupBy("_node", *words).agg(F.min(id).alias("_least"), F.count("*").alias("_n")).where("_least IS NOT NULL"))
-    labels = nodes.select("_node", F.col("_node").alias("label"))
-
-    def contracted(pairs: DataFrame) -> DataFrame | None:
-        """labels after the links among pairs, or None if there are none."""
-        edges = cut(_confirmed(pairs, nodes, words, docs, shingle, id, text).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
-        if edges.isEmpty():
-            return None
-        roots = components(edges).select(F.col("node").alias("label"), "root")
-        release(docs.sparkSession)
-        return cut(labels.join(roots, "label", "left").select("_node", F.coalesce("root", "label").alias("label")))
-
-    def keyed(tables: range, carry: list[str]) -> DataFrame:
-        rows = nodes.join(labels, "_node")
-        return rows.select(F.explode(_table_keys(words, width, tables)).alias("key"), "_node", "label", *carry)
-
-    # the middle of each busy key of the first tables
-    fruitless, turn = 0, 0
-    while fruitless < 3:
-        rows = keyed(range(min(FIRST, blocks)), few)
-        busy = _busy_keys(rows, few, turn).where(F.col("outside") > BUSY // 16).select("key", "centre")
-        if busy.isEmpty():
-            break
-        met = rows.join(busy, "key").where(F.col("label") != F.col("centre.label"))
-        flat = met.select("_node", "label", *[F.col(w).alias("x" + w) for w in few], F.col("centre._node").alias("b"), F.col("centre.label").alias("lb"), *[F.col(f"centre.{w}").alias("y" + w) for w in few])
-        stars = cut(flat.where(_differing(few, "x", "y") <= DIFFER).select(F.col("_node").alias("a"), "b", F.col("label").alias("la"), "lb").distinct())
-        new = contracted(stars)
-        labels, fruitless, turn = (labels, fruitless + 1, turn + 1) if new is None else (new, 0, turn + 1)
-
-    tested, start = None, 0
-    for stop in sorted({min(FIRST, blocks), blocks}):
-        most, open_keys, tables = NEAREST, None, range(start, stop)
-        while True:
-            if open_keys is None:
-                carry, differ, rows = few, DIFFER, keyed(tables, few)
-            else:
-                # whole fingerprints go only with the few keys that are still open
-                slim = nodes.select(F.explode(_table_keys(words, width, tables)).alias("key"), "_node").join(open_keys, "key", "left_semi")
-                carry, differ, rows = words, DIFFER_OF_64 * n_words, slim.join(nodes.join(labels, "_node").select("_node", "label", *words), "_node")
-            busy = _busy_keys(rows, carry, 0).select("key", "top", "pieces")
-            if busy.isEmpty():
-                rows = rows.withColumn("run", F.col("key"))
-            else:
-                dealt = F.when(F.col("label") == F.col("top"), F.array(F.pmod(F.hash("_node"), F.col("pieces")))).otherwise(F.sequence(F.lit(0), F.col("pieces") - 1))
-                piece = F.explode(F.when(F.col("pieces").isNull(), F.array(F.lit(0))).otherwise(dealt))
-                rows = rows.join(busy, "key", "left").withColumn("piece", piece).withColumn("run", F.xxhash64("key", "piece"))
-            found = cut(_candidates(rows, carry, differ, most))
-            pairs = found.groupBy("a", "b").agg(F.first("la").alias("la"), F.first("lb").alias("lb"))
-            pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-            seen = pairs.select("a", "b")
-            tested = seen if tested is None else tested.unionByName(seen)
-            new = None if pairs.isEmpty() else contracted(pairs)
-            labels = labels if new is None else new
-            release(docs.sparkSession)
-            more = found.where("more").select("key").distinct()
-            if more.isEmpty():
-                break
-            most = SECOND if open_keys is None else most * GROWTH
-            open_keys = _small(more)
-        start = stop
-    least = labels.join(nodes.select("_node", "_least", "_n"), "_node").groupBy("label").agg(F.min("_least").alias("component_id"), F.sum("_n").alias("_all"))
-    groups = labels.join(least.where("_all > 1"), "label").select("_node", "component_id")
-    return own.join(groups, "_node").select(id, "component_id")
+    store = Tables(docs.sparkSession)
+    width, blocks, n_words = table_sizes(docs.count(), missed)
+    words = [f"w{k}" for k in range(n_words)]
+    own = store.cut(_set_sketches(docs, shingle, id, text, words))
+    nodes = store.cut(own.groupBy("_node", *words).agg(F.min(id).alias("_least"), F.count("*").alias("_n")).where("_least IS NOT NULL"))
+    labels = near.groups(
+        nodes,
+        lambda tables: _table_keys(words, width, tables),
+        blocks,
+        differ,
+        lambda pairs: near.confirmed(pairs, nodes, docs, lambda t: shingle_set(t, shingle), id, text, store),
+        store,
+    )
+    groups = store.cut(near.least_of(nodes, labels, store).where("_all > 1").select("_node", "component_id", "_n"))
+    return join_hot(own.select(id, "_node"), groups, ["_node"], "_n").select(id, "component_id")
 
 
 def drop_similar(docs: DataFrame, shingle: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -531,5 +319,5 @@ def drop_similar(docs: DataFrame, shingle: int = 5, id: str = "doc_id", text: st
     Rows with null texts, without words or with a null id stay; rows that repeat an id stay or go together; columns of any
     name are kept; an empty table gives none.
     """
-    gone = _small(similar_groups(docs, shingle, id, text).where(F.col(id) != F.col("component_id")).select(F.col(id).alias("_gone")).distinct())
-    return docs.join(gone, F.col(f"`{id}`") == F.col("_gone"), "left_anti")
+    gone = similar_groups(docs, shingle, id, text).where(F.col(id) != F.col("component_id")).select(F.col(id).alias("_gone")).distinct()
+    return docs.join(near.small(gone, Tables(docs.sparkSession)), F.col(f"`{id}`") == F.col("_gone"), "left_anti")
