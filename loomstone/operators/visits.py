@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.operators.ranks import percentiles
+from loomstone.operators.ranks import join_keys, percentiles
 
 Triple = tuple[float, float, float]
 
@@ -296,7 +296,7 @@ def calibration(samples: DataFrame, scene: str, least: int = 30, gain: float = 0
     err = lambda v: F.abs(F.col(v) - F.col("actual")) / F.col("actual")
     rows = ok.select(scene, err("v1").alias("_e1"), err("v2").alias("_e2"))
     a = rows.groupBy(scene).agg(F.count("*").alias("n"), F.avg("_e1").alias("mape1"), F.avg("_e2").alias("mape2"))
-    a = a.join(percentiles(rows, [scene], "_e2", {"mdape": 0.5}), scene)
+    a = join_keys(a, percentiles(rows, [scene], "_e2", {"mdape": 0.5}), [scene])
     better = F.when(F.col("mape1") > 0, (F.col("mape1") - F.col("mape2")) / F.col("mape1"))
     status = F.when(F.col("n") < least, "uncalibrated_scene").when(better >= gain, "passed").otherwise("failed_improvement_gate")
     return a.withColumn("gain", better).withColumn("status", status)

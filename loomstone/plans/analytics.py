@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from loomstone.operators import visits
-from loomstone.operators.ranks import percentiles, row_numbers, share_below
+from loomstone.operators.network import network_class
+from loomstone.operators.ranks import join_keys, percentiles_of, row_numbers, share_below
 from loomstone.plans.registry import Tables, query
 
 _QUARTER = "year(l_shipdate) * 4 + quarter(l_shipdate) - 1"
@@ -20,10 +21,11 @@ def _panel(t: Tables):
 @query(f"""WITH p AS ({_PANEL}), c AS (SELECT nation, q, quantile_cont(speed, 0.2) AS s20, quantile_cont(speed, 0.4) AS s40, quantile_cont(latency, 0.6) AS l60, quantile_cont(latency, 0.8) AS l80 FROM p GROUP BY 1, 2)
 SELECT supp, q, CASE WHEN speed <= s20 OR latency >= l80 THEN 'poor' WHEN speed <= s40 OR latency >= l60 THEN 'moderate' ELSE 'good' END AS class FROM p JOIN c USING (nation, q)""")
 def performance_class(t: Tables):
+    """Both measures' percentiles of each nation and quarter come from one sketch and one exact pass."""
     p = _panel(t)
-    c = percentiles(p, ["nation", "q"], "speed", {"s20": 0.2, "s40": 0.4}).join(percentiles(p, ["nation", "q"], "latency", {"l60": 0.6, "l80": 0.8}), ["nation", "q"])
-    kind = F.when((F.col("speed") <= F.col("s20")) | (F.col("latency") >= F.col("l80")), "poor").when((F.col("speed") <= F.col("s40")) | (F.col("latency") >= F.col("l60")), "moderate").otherwise("good")
-    return p.join(c, ["nation", "q"]).select("supp", F.col("q").cast("long"), kind.alias("class"))
+    c = percentiles_of(p, ["nation", "q"], {"speed": {"p20": 0.2, "p40": 0.4}, "latency": {"p60": 0.6, "p80": 0.8}})
+    kind = network_class(F.col("speed"), F.col("latency"), F.col("p20"), F.col("p40"), F.col("p60"), F.col("p80"))
+    return join_keys(p, c, ["nation", "q"]).select("supp", F.col("q").cast("long"), kind.alias("class"))
 
 
 @query("""SELECT p_partkey, round(CASE WHEN n <= 1 THEN 0.5 ELSE (r - 1) / (n - 1) END, 6) AS pct FROM (SELECT p_partkey, count(*) OVER (PARTITION BY p_brand) AS n,
@@ -35,10 +37,15 @@ def rank_percentile_with_ties(t: Tables):
 @query(f"""WITH p AS (SELECT supp, q, speed FROM ({_PANEL}))
 SELECT a.supp, a.q, round(a.speed, 4) AS speed, round(b.speed, 4) AS previous, round((a.speed - b.speed) / b.speed, 6) AS trend FROM p a LEFT JOIN p b ON a.supp = b.supp AND b.q = a.q - 1""")
 def previous_quarter_trend(t: Tables):
-    """A join with the quarter before: a missing one gives null, which lag() would not."""
+    """Each row goes to its own quarter and, as what was before, to the next: one shuffle of one panel, no join with itself.
+
+    A missing quarter gives null, which lag() would not.
+    """
     p = _panel(t).select("supp", "q", "speed")
-    b = p.select("supp", (F.col("q") + 1).alias("q"), F.col("speed").alias("before"))
-    return p.join(b, ["supp", "q"], "left").select("supp", "q", F.round("speed", 4).alias("speed"), F.round("before", 4).alias("previous"), F.round((F.col("speed") - F.col("before")) / F.col("before"), 6).alias("trend"))
+    sides = F.array(F.struct(F.col("q"), F.col("speed").alias("now"), F.lit(None).cast("double").alias("before")), F.struct((F.col("q") + 1).alias("q"), F.lit(None).cast("double").alias("now"), F.col("speed").alias("before")))
+    rows = p.select("supp", F.explode(sides).alias("s")).groupBy("supp", "s.q").agg(F.max("s.now").alias("speed"), F.max("s.before").alias("before")).where("speed IS NOT NULL")
+    trend = (F.col("speed") - F.col("before")) / F.col("before")
+    return rows.select("supp", "q", F.round("speed", 4).alias("speed"), F.round("before", 4).alias("previous"), F.round(trend, 6).alias("trend"))
 
 
 @query("""WITH s AS (SELECT p_type AS scene, p_retailprice AS actual, p_retailprice * (1 + (p_partkey % 7 - 3) / 20.0::DOUBLE) AS v1, p_retailprice * (1 + (p_partkey % 5 - 2) / 50.0::DOUBLE) AS v2 FROM part),
@@ -47,10 +54,9 @@ SELECT scene, n, round(mape1, 6) AS mape1, round(mape2, 6) AS mape2, round(mdape
 def calibration(t: Tables):
     k, x = F.col("p_partkey"), F.col("p_retailprice")
     s = t.part.select(F.col("p_type").alias("scene"), x.alias("actual"), (x * (1 + (k % 7 - 3) / 20.0)).alias("v1"), (x * (1 + (k % 5 - 2) / 50.0)).alias("v2"))
-    err = lambda v: F.abs(F.col(v) - F.col("actual")) / F.col("actual")
-    a = s.groupBy("scene").agg(F.count("*").alias("n"), F.avg(err("v1")).alias("m1"), F.avg(err("v2")).alias("m2"), F.median(err("v2")).alias("md"))
-    gain = (F.col("m1") - F.col("m2")) / F.col("m1")
-    return a.select("scene", "n", F.round("m1", 6).alias("mape1"), F.round("m2", 6).alias("mape2"), F.round("md", 6).alias("mdape"), F.round(gain, 6).alias("gain"), ((F.col("n") >= 30) & (gain >= 0.2)).alias("passed"))
+    a = visits.calibration(s, "scene", least=30, gain=0.2)
+    errors = [F.round(c, 6).alias(c) for c in ("mape1", "mape2", "mdape", "gain")]
+    return a.select("scene", "n", *errors, (F.col("status") == "passed").alias("passed"))
 
 
 @query("""WITH r AS (SELECT c_custkey, c_nationkey, c_mktsegment, c_acctbal, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS rk,

@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +97,37 @@ def test_ranks_of_large_groups(spark):
     assert share["a", 9999] is None
 
 
+def test_null_keys_are_a_group(spark):
+    rows = spark.createDataFrame([(None, 1.0, 1), (None, 3.0, 2), (None, None, 3), ("a", 5.0, 4), ("a", 9.0, 5), ("b", None, 6)], "g string, v double, t long")
+    got = {(r["g"], r["t"]): r["rank"] for r in ranks.row_numbers(rows, ["g"], "v", "t").collect()}
+    assert got == {(None, 1): 1, (None, 2): 2, ("a", 4): 1, ("a", 5): 2}
+    assert {r["g"]: r["m"] for r in ranks.percentiles(rows, ["g"], "v", {"m": 0.5}).collect()} == {None: 2.0, "a": 7.0}
+    assert {(r["g"], r["t"]): r["percentile"] for r in ranks.share_below(rows, ["g"], "v").collect()} == {(None, 1): 0.0, (None, 2): 1.0, (None, 3): None, ("a", 4): 0.0, ("a", 5): 1.0, ("b", 6): None}
+    assert len(ranks.share_in_order(rows, ["g"], "v", "t").collect()) == 4
+
+
+def test_percentiles_of_several_columns(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(None if g == 0 else g, rng.choice([1.0, rng.random(), 2.0 * g]), None if rng.random() < 0.1 else rng.gauss(0, g + 1)) for g, n in ((0, 1), (1, 2), (2, 7), (3, 199), (4, 3000), (5, 12_000)) for _ in range(n)]
+    df = spark.createDataFrame(rows, "g int, x double, y double")
+    points = {"x": {"a": 0.0, "b": 0.2, "c": 0.5}, "y": {"d": 0.37, "e": 0.999, "f": 1.0}}
+    got = {r["g"]: r for r in ranks.percentiles_of(df, ["g"], points).collect()}
+    everything = ranks.percentiles_of(df, [], points).collect()[0]
+    assert len(got) == 6
+    for g in (*got, "all"):
+        for k, (c, names) in enumerate(points.items()):
+            values = sorted(r[k + 1] for r in rows if g in (r[0], "all") and r[k + 1] is not None)
+            for name, p in names.items():
+                at = (len(values) - 1) * p
+                low, high = values[math.floor(at)], values[math.ceil(at)]
+                mine = (everything if g == "all" else got[g])[name]
+                assert abs(mine - (low + (high - low) * (at - math.floor(at)))) < 1e-9
+    assert ranks.percentiles_of(df.limit(0), ["g"], points).count() == 0
+    assert ranks.percentiles_of(df.limit(0), [], points).collect()[0]["b"] is None
+
+
 def test_passages_of_any_length(spark):
     texts = ["one two three four five six seven eight nine ten", "", None, "a  b\tc", "xonex", "one  two three", "é one"]
     wanted = ["two three four", "one", "ne two three four five six seven eig", "", "b\tc", "b c", "é", "one two", "ten", None, "  b", "two three four five six seven"]
