@@ -123,14 +123,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, id: str = "doc_id", text:
     store = Tables(docs.sparkSession)
     own = store.cut(sketches(docs, shingle, id, text))
     some = own.where("_node IS NOT NULL")
-    per = some.groupBy("_node", *near.SKETCH, "bands").agg(F.min(id).alias("_least"), F.count("*").alias("_n"))
+    per = some.groupBy("_node", F.col("n_shingles").alias("_size"), *near.SKETCH, "bands").agg(F.min(id).alias("_least"), F.count("*").alias("_n"))
     nodes = store.cut(per.where("_least IS NOT NULL"))
     labels = near.groups(
         nodes,
         lambda tables: F.slice("bands", tables.start + 1, len(tables)),
         COORDINATES // BAND,
         differ,
-        lambda pairs: near.confirmed(pairs, nodes, docs, lambda t: shingle_set(t, shingle), id, text, store),
+        near.text_sets(docs, lambda t: shingle_set(t, shingle), id, text, store),
         store,
     )
     groups = store.cut(near.least_of(nodes, labels, store).select("_node", "component_id", "_n"))

@@ -4,8 +4,10 @@ Two operators use this with keys of their own: blocks of a wide SimHash, and ban
 text (a node: all texts with one set of shingles) some keys and a sketch of 128 bits. Nodes with a key in common meet in
 one task, which compares their sketches and passes on pairs that no links connect yet. The sets of these pairs decide.
 Their components become labels, and the next keys only look at pairs of different labels, so a dense group is never
-listed pair by pair, and yet no link among candidates is lost: a key is done when it has no pair left that was not
-compared.
+listed pair by pair. Where a node has more candidates than it passes on, the key stays open. Open keys that still hold
+several labels at the end are settled whole: what is near each other there becomes a cluster, a cluster's texts meet with
+their sets, in blocks of bounded size, and every pair is compared in place; only the links that join labels leave a
+task. So no link among candidates is lost, and what is written grows with the rows, not with their pairs.
 """
 
 from __future__ import annotations
@@ -28,8 +30,10 @@ SKETCH = ("w0", "w1")
 FEW = 4
 #: Rows of a key that one task should get at most, about; a key with more is split.
 BUSY = 8192
-#: Pairs that a node gives for a key at first; where it has more, the number of a second round, and the growth of all others.
-NEAREST, SECOND, GROWTH = 2, 1024, 16
+#: Pairs that a node gives for a key, besides the one with the node in the middle of all.
+NEAREST = 2
+#: Texts of a cluster, and elements of their sets, that a block has on each of its two sides, about.
+BLOCK, BLOCK_ELEMENTS = 512, 1_000_000
 #: Ids or keys that a broadcast may hold (4 MB of numbers); more are joined by a shuffle.
 SMALL = 500_000
 #: Tables of keys whose rows are shuffled at once: some first, which give most labels, then more. A row is five numbers.
@@ -45,7 +49,8 @@ def across(key: np.ndarray, x: np.ndarray, label: np.ndarray, distance: int, mos
     """Pairs (places in x) within runs of equal keys that are near but have different labels, and whether some were left out.
 
     Of a run of more than 2 * FEW, each place outside its most common label gives the nearest most of its pairs;
-    every such pair has an end outside that label, so what is not left out is complete.
+    every such pair has an end outside that label, so what is not left out is complete. The place nearest to all (to a few
+    of them, evenly drawn) gives its pair with each other one, too, since copies are closer to what they were copied from than to each other.
     """
     starts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
     sizes = np.diff(np.concatenate((starts, [len(key)])))
@@ -56,6 +61,12 @@ def across(key: np.ndarray, x: np.ndarray, label: np.ndarray, distance: int, mos
         y, own = x[s : s + n], label[s : s + n]
         values, times = np.unique(own, return_counts=True)
         outer = np.flatnonzero(own != values[times.argmax()])
+        few_of_all = y[np.linspace(0, n - 1, min(n, 32)).astype(np.int64)]
+        middle = int(np.bitwise_count(y[:, None] ^ few_of_all[None]).sum(axis=(1, 2), dtype=np.int64).argmin())
+        star = np.flatnonzero((own != own[middle]) & within(y, y[middle], distance))
+        a.append(np.full(len(star), s + middle))
+        b.append(star + s)
+        more.append(np.zeros(len(star), bool))
         step = max(1, 1_000_000 // n)
         for at in range(0, len(outer), step):
             i = outer[at : at + step]
@@ -142,34 +153,106 @@ def _busy_keys(keyed: DataFrame, turn: int) -> DataFrame:
         F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.min_by("one", by).alias("x"), F.max_by("one", by).alias("y")
     )
     centre = F.when(F.col("x.label") != F.col("top.label"), F.col("x")).otherwise(F.col("y"))
+    outside = F.col("n") - F.col("top.n")
+    pieces = lambda n: F.greatest(F.lit(1), F.ceil(n * 16 / (BUSY // 2)).cast("int"))
     return keys.where(F.col("n") > BUSY // 16).select(
-        "key",
-        F.col("top.label").alias("top"),
-        F.ceil(F.col("n") * 16 / BUSY).cast("int").alias("pieces"),
-        (F.col("n") - F.col("top.n")).alias("outside"),
-        centre.alias("centre"),
+        "key", F.col("top.label").alias("top"), pieces(outside).alias("outer"), pieces(F.col("top.n")).alias("inner"), outside.alias("outside"), centre.alias("centre")
     )
 
 
-def _dealt(rows: DataFrame, busy: DataFrame) -> DataFrame:
-    """rows with a run: their key, and for busy keys one of its pieces (a row of the most common label) or each of them (any other)."""
-    one = F.array(F.pmod(F.hash("_node"), F.col("pieces")))
-    piece = F.when(F.col("pieces").isNull(), F.array(F.lit(0)))
-    piece = piece.when(F.col("label") == F.col("top"), one).otherwise(F.sequence(F.lit(0), F.col("pieces") - 1))
-    return rows.join(busy, "key", "left").withColumn("piece", F.explode(piece)).withColumn("run", F.xxhash64("key", "piece"))
-
-
-def confirmed(
-    pairs: DataFrame, nodes: DataFrame, docs: DataFrame, sets: Callable[[str | None], np.ndarray], id: str, text: str, store: Tables
-) -> DataFrame:
-    """The pairs (a, b, ...) whose sets are as similar as SIMILAR says. Only the texts of these pairs are read again, whole.
+def _dealt(rows: DataFrame, tops: DataFrame, key: str) -> DataFrame:
+    """rows with a run: their key, or for keys in tops (key, top, outer, inner) the blocks of its pieces that they belong to.
 
-    nodes: _node (a hash of the set, as _with_sets makes it) and _least (the id of a text that has it).
+    Rows of the label top are dealt in inner pieces, all others in outer ones. Each outer piece meets each other one and each
+    inner one in a block; inner ones don't meet, since nothing is to be compared there. So a block has two pieces, and any two rows
+    of different labels share one.
     """
+    o, i = F.col("outer"), F.col("inner")
+    own_outer, own_inner = F.pmod(F.hash("_node"), o), F.pmod(F.hash("_node"), i)
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    with_outer = F.transform(upto(o), lambda j: F.struct(F.lit(0).alias("k"), F.least(own_outer, j).alias("i"), F.greatest(own_outer, j).alias("j")))
+    with_inner = F.transform(upto(i), lambda j: F.struct(F.lit(1).alias("k"), own_outer.alias("i"), j.alias("j")))
+    of_inner = F.transform(upto(o), lambda j: F.struct(F.lit(1).alias("k"), j.alias("i"), own_inner.alias("j")))
+    blocks = F.when(F.col("label") == F.col("top"), of_inner).otherwise(F.concat(with_outer, with_inner))
+    blocks = F.when(o.isNull(), F.array(F.struct(F.lit(0).alias("k"), F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(blocks)
+    return rows.join(tops, key, "left").withColumn("_b", F.explode(blocks)).withColumn("run", F.xxhash64(key, "_b.k", "_b.i", "_b.j")).drop("_b", "top", "outer", "inner")
+
+
+def chained(key: np.ndarray, x: np.ndarray, label: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of pairs (places in x) that connects all places of a run that are near with different labels, breadth first."""
+    starts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
+    a, b = [], []
+    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
+        left = np.arange(s, e)
+        while len(left) > 1:
+            queue, left = [int(left[0])], left[1:]
+            while queue and len(left):
+                at = queue.pop()
+                hit = (label[left] != label[at]) & within(x[left], x[at], distance)
+                if hit.any():
+                    reached = left[hit].tolist()
+                    a += [at] * len(reached)
+                    b += reached
+                    queue += reached
+                    left = left[~hit]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of the sets have in common: a product of 0-1 matrices, some columns at a time."""
+    n = len(sets)
+    every = np.concatenate(sets)
+    values, place, times = np.unique(every, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    common = times[place] > 1
+    column = np.cumsum(times > 1)[place[common]] - 1
+    row, order = row[common], np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out, step = np.zeros((n, n), np.float32), max(64, (1 << 22) // n)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        i, j = np.searchsorted(column, [at, at + step])
+        part = np.zeros((n, step), np.float32)
+        part[row[i:j], column[i:j] - at] = 1
+        out += part @ part.T
+    return out
+
+
+def settled(label: np.ndarray, x: np.ndarray, sets: list[np.ndarray], distance: int) -> list[tuple[int, int]]:
+    """Pairs of labels that links join, as few as connect them all: every near pair of different labels is compared by its sets."""
+    size = np.array([len(s) for s in sets], np.int64)
+    of, whole = SIMILAR
+    keep = []
+    for i in range(len(label)):
+        if ((label != label[i]) & within(x, x[i], distance)).any():
+            keep.append(i)
+    if not keep:
+        return []
+    keep = np.array(keep)
+    label, x, size = label[keep], x[keep], size[keep]
+    shared = _shared([sets[i] for i in keep.tolist()])
+    root: dict[int, int] = {}
+
+    def top(k: int) -> int:
+        while root.setdefault(k, k) != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    out = []
+    for i in range(len(keep)):
+        hit = (label != label[i]) & (shared[i] * (of + whole) >= (size + size[i]) * of) & within(x, x[i], distance)
+        for j in np.unique(label[hit]).tolist():
+            p, q = top(int(label[i])), top(j)
+            if p != q:
+                root[p] = q
+                out.append((int(label[i]), j))
+    return out
+
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The pairs (a, b, ...) whose sets are as similar as SIMILAR says."""
     need = pairs.select(F.col("a").alias("_node")).unionByName(pairs.select(F.col("b").alias("_node"))).distinct()
-    ids = small(nodes.join(need, "_node", "left_semi").select(F.col("_least").alias("_id")).distinct(), store)
-    texts = docs.join(ids, F.col(f"`{id}`") == F.col("_id"), "left_semi")
-    found = store.cut(_with_sets(texts, sets, text).join(need, "_node", "left_semi").dropDuplicates(["_node"]))
+    found = sets_of(nodes.join(need, "_node", "left_semi"))
     both = pairs.join(found.select(F.col("_node").alias("b"), F.col("_set").alias("_y")), "b")
     both = both.join(found.select(F.col("_node").alias("a"), F.col("_set").alias("_x")), "a")
     of, whole = SIMILAR
@@ -177,6 +260,20 @@ def confirmed(
     return both.where(shared * (of + whole) >= (F.size("_x") + F.size("_y")) * of).drop("_x", "_y")
 
 
+def text_sets(docs: DataFrame, sets: Callable[[str | None], np.ndarray], id: str, text: str, store: Tables) -> Callable[[DataFrame], DataFrame]:
+    """A function that gives _node and _set of some nodes (_node, _least): only the texts with these ids are read again, whole."""
+
+    def of(nodes: DataFrame) -> DataFrame:
+        nodes = store.cut(nodes.select("_node", "_least"))
+        ids = small(nodes.select(F.col("_least").alias("_id")).distinct(), store)
+        texts = docs.join(ids, F.col(f"`{id}`") == F.col("_id"), "left_semi")
+        found = store.cut(_with_sets(texts, sets, text).join(nodes.select("_node"), "_node", "left_semi").dropDuplicates(["_node"]))
+        store.drop(nodes)
+        return found
+
+    return of
+
+
 def node_of(hashes: np.ndarray) -> int:
     """The node of a set of hashes."""
     import xxhash
@@ -204,16 +301,17 @@ def groups(
     keys: Callable[[range], Column],
     n_tables: int,
     differ: int,
-    confirm: Callable[[DataFrame], DataFrame],
+    sets_of: Callable[[DataFrame], DataFrame],
     store: Tables,
 ) -> DataFrame:
     """_node, label of the nodes that links connect with others; a label is one of the group's nodes.
 
-    nodes: _node, SKETCH, and what keys(tables) needs to make an array of longs, one key for each of these tables. Pairs
-    that share a key, differ in differ bits of the sketch or fewer, and pass confirm are links.
+    nodes: _node, _least, _size (of its set), SKETCH, and what keys(tables) needs to make an array of longs, one key for each
+    of these tables. Pairs that share a key, differ in differ bits of the sketch or fewer, and whose sets (sets_of, see
+    text_sets) are at SIMILAR are links.
 
-    Keys with more rows than a task should get are dealt in pieces, once their rows are linked to one in the middle (rows of
-    the most common label are dealt, all others are in every piece). Tables that are out of use are removed at once.
+    Keys with more rows than a task should get are dealt in pieces, once their rows are linked to one in the middle.
+    Tables that are out of use are removed at once.
     """
     labels: DataFrame | None = None
     tested: list[DataFrame] = []
@@ -225,10 +323,11 @@ def groups(
             rows, own = nodes.join(labels, "_node", "left"), F.coalesce("label", "_node").alias("label")
         return rows.select(F.explode(keys(tables)).alias("key"), "_node", own, *SKETCH)
 
-    def contract(pairs: DataFrame) -> bool:
-        """New labels after the links among pairs; whether there are any."""
+    def contract(pairs: DataFrame, sure: bool = False) -> bool:
+        """New labels after the links among pairs (all of them, if they are sure); whether there are any."""
         nonlocal labels
-        edges = store.cut(confirm(pairs).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+        links = pairs if sure else confirmed(pairs, nodes, sets_of)
+        edges = store.cut(links.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
         some = not edges.isEmpty()
         if some:
             roots = store.cut(components(edges, store=store).select(F.col("node").alias("label"), "root"))
@@ -265,29 +364,93 @@ def groups(
         fruitless, turn = 0 if contract(stars) else fruitless + 1, turn + 1
         store.drop(busy, stars)
 
-    start = 0
+    def runs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        busy = store.cut(_busy_keys(rows, 0).select("key", "top", "outer", "inner"))
+        return (rows.withColumn("run", F.col("key")) if busy.isEmpty() else _dealt(rows, busy, "key")), busy
+
+    start, open_keys = 0, []
     while start < n_tables:
         stop = min(n_tables, start + (AT_ONCE if start else FIRST))
-        most, open_keys = NEAREST, None
-        while True:
-            rows = keyed(range(start, stop))
-            if open_keys is not None:
-                rows = rows.join(open_keys, "key", "left_semi")
-            busy = store.cut(_busy_keys(rows, 0).select("key", "top", "pieces"))
-            rows = rows.withColumn("run", F.col("key")) if busy.isEmpty() else _dealt(rows, busy)
-            found = store.cut(_candidates(rows, differ, most))
-            pairs = untested(found.groupBy("a", "b").agg(F.first("la").alias("la"), F.first("lb").alias("lb")))
-            if not pairs.isEmpty():
-                contract(pairs)
-            more = small(found.where("more").select("key").distinct(), store)
-            store.drop(busy, found)
-            if more.isEmpty():
-                break
-            most, open_keys = SECOND if open_keys is None else most * GROWTH, more
+        rows, busy = runs(keyed(range(start, stop)))
+        found = store.cut(_candidates(rows, differ, NEAREST))
+        pairs = untested(found.groupBy("a", "b").agg(F.first("la").alias("la"), F.first("lb").alias("lb")))
+        if not pairs.isEmpty():
+            contract(pairs)
+        open_keys.append(store.cut(found.where("more").select("key").distinct()))
+        store.drop(busy, found)
         start = stop
+    still = open_keys[0]
+    for k in open_keys[1:]:
+        still = still.unionByName(k)
+    if not still.isEmpty():
+        rows = keyed(range(n_tables)).join(small(still, store), "key", "left_semi")
+        mixed = rows.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
+        rows, _ = runs(store.cut(rows.join(small(mixed, store), "key", "left_semi")))
+        near_links = store.cut(_clustered(rows, differ))
+        if not near_links.isEmpty():
+            clusters = store.cut(components(near_links, store=store).select(F.col("node").alias("_node"), F.col("root").alias("cluster")))
+            own = nodes.select("_node", "_least", "_size", *SKETCH).join(clusters, "_node")
+            own = own.join(labels, "_node", "left").withColumn("label", F.coalesce("label", "_node")) if labels is not None else own.withColumn("label", F.col("_node"))
+            contract(_settle(store.cut(own), sets_of, differ, store), sure=True)
     return labels if labels is not None else nodes.select("_node", F.col("_node").alias("label")).limit(0)
 
 
+def _clustered(rows: DataFrame, distance: int) -> DataFrame:
+    """a, b: links that connect what is near with different labels within runs."""
+
+    def some(columns: tuple) -> pa.RecordBatch:
+        from loomstone.llm.near import chained
+
+        run, node, label, *fp = columns
+        a, b = chained(run, np.stack(fp, axis=1).view(np.uint64), label, distance)
+        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+
+    ship(rows.sparkSession)
+    return by_key(rows.select("run", "_node", "label", *SKETCH), some, "a long, b long", "run")
+
+
+def _settle(own: DataFrame, sets_of: Callable[[DataFrame], DataFrame], distance: int, store: Tables) -> DataFrame:
+    """la, lb: labels that links join. own: _node, cluster, label, _least, _size and SKETCH of all nodes of clusters."""
+    per = own.groupBy("cluster", "label").agg(F.count("*").alias("n"), F.sum("_size").alias("e"))
+    keys = per.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.max(F.struct("n", "e", "label")).alias("top"))
+    pieces = lambda n, e: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(e / BLOCK_ELEMENTS)).cast("int")
+    tops = keys.where((F.col("n") > BLOCK) | (F.col("e") > BLOCK_ELEMENTS)).select(
+        "cluster",
+        F.col("top.label").alias("top"),
+        pieces(F.col("n") - F.col("top.n"), F.col("e") - F.col("top.e")).alias("outer"),
+        pieces(F.col("top.n"), F.col("top.e")).alias("inner"),
+    )
+    rows = _dealt(own, tops, "cluster").select("run", "_node", "label", *SKETCH)
+    rows = rows.join(sets_of(own), "_node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from loomstone.llm.near import settled
+
+        held: list[tuple] = []
+        key = None
+
+        def done() -> pa.RecordBatch:
+            found = settled(
+                np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.int64).view(np.uint64), [h[2] for h in held], distance
+            )
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["la", "lb"])
+
+        for t in batches:
+            c = {n: t.column(n) for n in t.schema.names}
+            sketches = list(zip(*[c[w].to_pylist() for w in SKETCH], strict=True))
+            for i, (r, label) in enumerate(zip(c["run"].to_pylist(), c["label"].to_pylist(), strict=True)):
+                if r != key and held:
+                    yield done()
+                    held = []
+                key = r
+                held.append((label, sketches[i], c["_set"][i].values.to_numpy().view(np.uint64).copy()))
+        if held:
+            yield done()
+
+    ship(own.sparkSession)
+    return rows.repartition("run").sortWithinPartitions("run", "_node").mapInArrow(run, "la long, lb long")
+
+
 def least_of(nodes: DataFrame, labels: DataFrame, store: Tables) -> DataFrame:
     """_node, component_id (the smallest id of its group), _n (its texts), _all (the group's) of every node."""
     linked = nodes.select("_node", "_least", "_n").join(labels, "_node")

@@ -262,23 +262,22 @@ def _table_keys(words: list[str], width: int, tables: range) -> Column:
 
 
 def _set_sketches(docs: DataFrame, shingle: int, id: str, text: str, words: list[str]) -> DataFrame:
-    """id, _node (a hash of the set of shingles) and words of its fingerprint, for texts with words."""
+    """id, _node (a hash of the set of shingles), _size (of the set) and words of its fingerprint, for texts with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
+        from loomstone.llm import near
         from loomstone.llm.simhash import set_fingerprint, shingle_set
 
         for b in batches:
             sets = [shingle_set(t.as_py(), shingle) for t in b.column(1)]
             some = np.array([len(s) > 0 for s in sets], bool)
-            rows = [[xxhash.xxh64_intdigest(s.tobytes()), *set_fingerprint(s, len(words))] for s in sets if len(s)]
-            x = np.array(rows, np.uint64).view(np.int64).reshape(-1, len(words) + 1)
-            columns = [b.column(0).filter(pa.array(some)), *[pa.array(x[:, k].copy()) for k in range(len(words) + 1)]]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "_node", *words])
+            rows = [[near.node_of(s), len(s), *set_fingerprint(s, len(words))] for s in sets if len(s)]
+            x = np.array(rows, np.uint64).view(np.int64).reshape(-1, len(words) + 2)
+            columns = [b.column(0).filter(pa.array(some)), *[pa.array(x[:, k].copy()) for k in range(len(words) + 2)]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "_node", "_size", *words])
 
     ship(docs.sparkSession)
-    schema = f"doc_id {dict(docs.dtypes)[id]}, _node long, " + ", ".join(f"{c} long" for c in words)
+    schema = f"doc_id {dict(docs.dtypes)[id]}, _node long, _size long, " + ", ".join(f"{c} long" for c in words)
     return like(docs, [id, text]).mapInArrow(run, schema).withColumnRenamed("doc_id", id)
 
 
@@ -300,13 +299,13 @@ def similar_groups(
     width, blocks, n_words = table_sizes(docs.count(), missed)
     words = [f"w{k}" for k in range(n_words)]
     own = store.cut(_set_sketches(docs, shingle, id, text, words))
-    nodes = store.cut(own.groupBy("_node", *words).agg(F.min(id).alias("_least"), F.count("*").alias("_n")).where("_least IS NOT NULL"))
+    nodes = store.cut(own.groupBy("_node", "_size", *words).agg(F.min(id).alias("_least"), F.count("*").alias("_n")).where("_least IS NOT NULL"))
     labels = near.groups(
         nodes,
         lambda tables: _table_keys(words, width, tables),
         blocks,
         differ,
-        lambda pairs: near.confirmed(pairs, nodes, docs, lambda t: shingle_set(t, shingle), id, text, store),
+        near.text_sets(docs, lambda t: shingle_set(t, shingle), id, text, store),
         store,
     )
     groups = store.cut(near.least_of(nodes, labels, store).where("_all > 1").select("_node", "component_id", "_n"))
