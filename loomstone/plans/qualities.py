@@ -159,16 +159,39 @@ def period_issues(t: Tables):
     return t.orders.select("o_orderkey", quantities.period_issue(field, _pick(k, *_PERIODS), F.lit(None).cast("string")).alias("issue"))
 
 
-_PATTERNS = (("of", r"\b(\w{4,20}) of\b"), ("number", r"\b(\d{2,6})\b"))
+_ASKED = ("das_deployment", "terminal_role", "line_count")
+_DISTINCT = "len(list_distinct(list_transform(regexp_extract_all(t, '(?i){}'), lambda x: lower(x))))"
 
 
-@query(r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), n AS (SELECT doc_id, len(regexp_extract_all(t, '\b\d{2,6}\b')) AS numbers, regexp_extract(t, '\b(\d{2,6})\b', 1) AS first_number FROM d)
-SELECT doc_id, numbers, CASE WHEN numbers > 0 THEN first_number END AS first_number FROM n""")
+@query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, {_DISTINCT.format("distributed[[:space:]]+antenna[[:space:]]+system|das|small[[:space:]]+cell|prru|hrru")} AS das,
+  {_DISTINCT.format("international[[:space:]]+gateway|main[[:space:]]+terminal|hub|terminal")} AS role,
+  {_DISTINCT.format("[0-9]+(?:[.,][0-9]+)*[[:space:]]*(?:lines|routes|platforms)")} AS lines FROM d""")
 def page_indicators(t: Tables):
-    """Named patterns with what stands around them; SQL counts the second one's matches."""
-    found = F.filter(quantities.indicators(F.coalesce("text", F.lit("")), _PATTERNS, 20), lambda x: x["name"] == "number")
-    rows = t.documents.select("doc_id", found.alias("f"))
-    return rows.select("doc_id", F.size("f").cast("long").alias("numbers"), F.get("f", F.lit(0))["value"].alias("first_number"))
+    """How many different values each document has of three of the indicators; the pages' own texts, whole."""
+    rows = quantities.with_indicators(t.documents.select("doc_id", "text"), "text", F.array(*map(F.lit, _ASKED)), "f")
+    n = [F.size(F.filter("f", lambda x, k=k: x["name"] == k)).cast("long") for k in _ASKED]
+    return rows.select("doc_id", n[0].alias("das"), n[1].alias("role"), n[2].alias("lines"))
+
+
+@query(r"""WITH p AS (SELECT p_partkey AS k, CASE p_partkey % 4
+  WHEN 0 THEN 'In 2024 international passengers ' || p_partkey * 1000 || ' plus domestic passengers ' || p_size * 7
+  WHEN 1 THEN '2023 passengers: ' || p_size || '.5 million, terminal of ' || p_name
+  WHEN 2 THEN 'Passengers ' || p_size * 100 || ' thousand in ' || p_brand
+  ELSE p_name || ' served ' || p_size || ' million people' END AS said FROM part),
+n AS (SELECT k, list_transform(regexp_extract_all(said, '(?:[Pp]assengers:?|served) ([0-9.]+)', 1), lambda x: x::DOUBLE) AS v,
+  CASE WHEN contains(said, 'million') THEN 1000000 WHEN contains(said, 'thousand') THEN 1000 ELSE 1 END AS times FROM p)
+SELECT k, round(list_sum(v) * times, 2) AS passengers FROM n""")
+def workbook_passengers(t: Tables):
+    """Passengers as the workbook sorts by them: two flows added up, years skipped, people served counted."""
+    k, text = F.col("p_partkey"), lambda c: c.cast("string")
+    said = (
+        F.when(k % 4 == 0, F.concat(F.lit("In 2024 international passengers "), text(k * 1000), F.lit(" plus domestic passengers "), text(F.col("p_size") * 7)))
+        .when(k % 4 == 1, F.concat(F.lit("2023 passengers: "), text(F.col("p_size")), F.lit(".5 million, terminal of "), F.col("p_name")))
+        .when(k % 4 == 2, F.concat(F.lit("Passengers "), text(F.col("p_size") * 100), F.lit(" thousand in "), F.col("p_brand")))
+        .otherwise(F.concat(F.col("p_name"), F.lit(" served "), text(F.col("p_size")), F.lit(" million people")))
+    )
+    return t.part.select(k.alias("k"), F.round(quantities.workbook_value(F.lit("annual_passengers"), said), 2).alias("passengers"))
 
 
 _RAW = ("12,000 seats", "seats", "up to 45,000 seats", "Q1: 900,000", "120 %", "planned")
