@@ -42,23 +42,19 @@ def inside(lat: Column, lon: Column, south: float, west: float, north: float, ea
     return F.coalesce(lat.between(south, north) & lon.between(west, east), F.lit(False))
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius_m: float, cell_deg: float = 1.0) -> DataFrame:
+def radius_join(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
     """Pairs within radius_m of (l_lat, l_lon) and (r_lat, r_lon), with distance_m.
 
-    The left side goes to every cell of cell_deg degrees that its circle may touch, the right side to its
-    own, so this is an equi-join on cells; longitudes wrap at 180 and cells widen towards the poles.
+    The left side goes to every cell that its circle may touch, the right side to its own, so this is an equi-join. Cells are as
+    large as the radius (functions.grid), so a circle touches a few of them and a cell holds few pairs that are too far.
     """
-    dlat = math.degrees(radius_m / EARTH_M)
-    n = math.ceil(360 / cell_deg)
-    # the circle's easternmost point; around a pole it takes all longitudes
-    reach = F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(math.radians(dlat))) / F.cos(F.radians("l_lat"))))) * 1.001
-    dlon = F.when(F.abs("l_lat") + dlat >= 90, F.lit(180.0)).otherwise(reach)
-    rows = F.sequence(F.floor((F.col("l_lat") - dlat) / cell_deg), F.floor((F.col("l_lat") + dlat) / cell_deg))
-    cols = F.array_distinct(F.transform(F.sequence(F.floor((F.col("l_lon") - dlon) / cell_deg), F.floor((F.col("l_lon") + dlon) / cell_deg)), lambda c: F.pmod(c, F.lit(n))))
-    left = left.withColumn("_row", F.explode(rows)).withColumn("_col", F.explode(cols))
-    right = right.withColumn("_row", F.floor(F.col("r_lat") / cell_deg)).withColumn("_col", F.pmod(F.floor(F.col("r_lon") / cell_deg), F.lit(n)))
+    from loomstone.functions import grid
+
+    level = grid.level_of(radius_m)
+    left = left.withColumn("_cell", F.explode(grid.around(F.col("l_lat"), F.col("l_lon"), radius_m, level)))
+    right = right.withColumn("_cell", grid.cell(F.col("r_lat"), F.col("r_lon"), level))
     d = haversine(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"))
-    return left.join(right, ["_row", "_col"]).withColumn("distance_m", d).where(F.col("distance_m") <= radius_m).drop("_row", "_col")
+    return left.join(right, "_cell").withColumn("distance_m", d).where(F.col("distance_m") <= radius_m).drop("_cell")
 
 
 def tile_lat(y: Column, zoom: int) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomstone.functions.geo import haversine
 from loomstone.operators.latest import first_per_key
+from loomstone.operators.spatial import within_boxes
 
 
 def assign_cities(places: DataFrame, cities: DataFrame, names: DataFrame, points: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -21,7 +22,7 @@ def assign_cities(places: DataFrame, cities: DataFrame, names: DataFrame, points
     An override decides, if its city exists and a point of it is within reach. Else the cities whose name the source is (of
     those that need a point near, only the ones that have it) and the cities whose box holds the place are counted: more
     than one of either is ambiguous, one of each that differ are a conflict, one alone is the city. Names meet by an
-    equi-join; boxes meet the places of their country.
+    equi-join, boxes meet places by the cells that they touch.
     """
     km = lambda a, b, c, d: haversine(a, b, c, d, 6371.0)
     c = F.col
@@ -46,9 +47,9 @@ def assign_cities(places: DataFrame, cities: DataFrame, names: DataFrame, points
         F.count("*").alias("n_all"), F.count_if("ok").alias("n_name"), F.min(F.when(c("ok"), F.struct("city", "canonical", "needs_point"))).alias("name")
     )
     # boxes
-    box = cities.where("bounds IS NOT NULL").select("country", c("city").alias("_bc"), "bounds")
-    held = places.join(box, "country").where(c("lat").between(c("bounds.south"), c("bounds.north")) & c("lon").between(c("bounds.west"), c("bounds.east")))
-    boxed = held.groupBy("id").agg(F.count("*").alias("n_box"), F.min("_bc").alias("box"))
+    box = cities.where("bounds IS NOT NULL").select("country", c("city").alias("region"), "bounds.*")
+    held = within_boxes(places.select("id", "country", "lat", "lon"), box, ["country"])
+    boxed = held.groupBy("id").agg(F.count("*").alias("n_box"), F.min("region").alias("box"))
     known = cities.select("country").distinct().withColumn("_model", F.lit(True))
     out = places.select("id", "country").join(known, "country", "left").join(forced, "id", "left").join(named, "id", "left").join(boxed, "id", "left")
     nn, nb = F.coalesce("n_name", F.lit(0)), F.coalesce("n_box", F.lit(0))

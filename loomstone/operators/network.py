@@ -36,26 +36,26 @@ def most_tested(tiles: DataFrame, keys: list[str], tie: list[Column]) -> DataFra
     return first_per_key(tiles, keys, [F.desc("tests"), *tie])
 
 
-def best_near(places: DataFrame, observations: DataFrame, radius_m: float, cell_deg: float = 1.0) -> DataFrame:
+def best_near(places: DataFrame, observations: DataFrame, radius_m: float) -> DataFrame:
     """id, tile, distance_m, tests, devices: of each tile around a place its best observation: near first, then tests, devices, observation.
 
     places: id, lat, lon; observations: observation, tile, lat, lon, tests, devices. Rows meet by cells (geo.radius_join).
     """
     l = places.select("id", F.col("lat").alias("l_lat"), F.col("lon").alias("l_lon"))  # noqa: E741
     r = observations.select("observation", "tile", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), "tests", "devices")
-    near = geo.radius_join(l, r, radius_m, cell_deg)
+    near = geo.radius_join(l, r, radius_m)
     best = first_per_key(near, ["id", "tile"], [F.col("distance_m"), F.desc("tests"), F.desc("devices"), F.col("observation")])
     return best.select("id", "tile", "observation", "distance_m", "tests", "devices")
 
 
-def footfall(places: DataFrame, points: DataFrame, radius_m: float, floor: float = 0.18, cell_deg: float = 1.0) -> DataFrame:
+def footfall(places: DataFrame, points: DataFrame, radius_m: float, floor: float = 0.18) -> DataFrame:
     """id, point, distance_m, score: points with a positive metric around each place, scored against the greatest of all points near it.
 
     points: point, lat, lon, metric. The score is not below floor.
     """
     l = places.select("id", F.col("lat").alias("l_lat"), F.col("lon").alias("l_lon"))  # noqa: E741
     r = points.where("metric > 0").select("point", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), "metric")
-    near = geo.radius_join(l, r, radius_m, cell_deg)
+    near = geo.radius_join(l, r, radius_m)
     most = near.groupBy("id").agg(F.max("metric").alias("_most"))
     score = F.greatest(F.lit(floor), F.least(F.lit(1.0), F.col("metric") / F.col("_most")))
     return near.join(most, "id").select("id", "point", "distance_m", score.alias("score"))
