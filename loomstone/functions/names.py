@@ -47,6 +47,8 @@ def entity(text: str) -> str:
     return " ".join(words[:last])
 
 
+#: A Latin letter (of the blocks that have any) and the combining marks behind it.
+_marked = re.compile("([A-Za-z\u00aa\u00ba\u00c0-\u024f\u0250-\u02af\u1e00-\u1eff\u2c60-\u2c7f\ua722-\uab64\uff21-\uff5a])[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
 _loose, _quality, _search, _gap = re.compile(r"[_/|,;:()\[\]{}]+"), re.compile(r"[^a-z0-9\s.-]+"), re.compile(r"[\W_]+"), re.compile(r"\s+")
 
 
@@ -58,15 +60,8 @@ def quality(text: str) -> str:
 
 def search_form(text: str) -> str:
     """Case folded, marks taken off Latin letters only, so that other scripts keep theirs; other signs are one space."""
-    out, latin = [], False
-    for c in unicodedata.normalize("NFKD", text.casefold()):
-        if unicodedata.combining(c):
-            if not latin:
-                out.append(c)
-            continue
-        latin = unicodedata.name(c, "").startswith("LATIN")
-        out.append(c)
-    return _search.sub(" ", unicodedata.normalize("NFC", "".join(out))).strip()
+    apart = unicodedata.normalize("NFKD", text.casefold())
+    return _search.sub(" ", unicodedata.normalize("NFC", _marked.sub(r"\1", apart))).strip()
 
 
 def flat(text: str) -> str:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import names, text
 from loomstone.operators.latest import first_per_key
+from loomstone.operators.matching import similar_pairs
+from loomstone.sources.tables import Scratch
 
 KNOWN, POSSIBLE, NEW = "known_property", "possible_duplicate", "new_opportunity"
 #: Least similarity of cities and of names, what the same place on the map adds, and the most that a fuzzy match says.
@@ -40,16 +42,16 @@ def match(incoming: DataFrame, known: DataFrame, alike: Callable[[Column, Column
     Rules in order: the address is known (no record is named); the identity key is; the name is, alone in its country and
     scene, and the incoming city is missing; the link to the map is a record's of that country and scene; the most similar
     name there whose city, if both have one, is similar. Known rows with one key are one record, with the smallest id.
-    Names are compared once for each two different (name, city, bucket) of a block whose lengths allow for the similarity.
+    Every link and every bucket of a record counts, whichever of its rows has it. Only names that can be similar enough are
+    compared (matching.similar_pairs), each two once, and cities only where the names are. Normal forms are made once.
     """
-    a, k = with_identity(incoming), with_identity(known)
+    store = Scratch(incoming.sparkSession)
+    a = with_identity(incoming.select("id", "country", "city", "name", "scene", "lat", "lon", "maps", "url"))
+    a = store.cut(a.withColumn("_url", text.source_url(F.col("url"))).withColumn("_maps", text.source_url(F.col("maps"))))
+    k = store.cut(with_identity(known.select("id", "country", "city", "name", "scene", "lat", "lon", "maps")).withColumn("_maps", text.source_url(F.col("maps"))))
     urls = known.select(F.explode(F.concat(F.coalesce("urls", F.array().cast("array<string>")), F.array("maps"))).alias("u"))
     urls = urls.select(text.source_url(F.col("u")).alias("_url")).where("_url <> ''").distinct()
-    records = k.groupBy("_key").agg(
-        F.min("id").alias("match"), F.first("_country").alias("_country"), F.first("_scene").alias("_scene"), F.first("_name").alias("_name"),
-        F.first("_city").alias("_city"), F.min("_bucket").alias("_bucket"), F.min("maps").alias("_maps"),
-    )
-    a = a.withColumn("_url", text.source_url(F.col("url"))).withColumn("_maps", text.source_url(F.col("maps")))
+    records = k.groupBy("_key", "_country", "_scene", "_name", "_city").agg(F.min("id").alias("match"))
 
     def rule(n: int, rows: DataFrame, status: str, confidence: Column, match: Column, why: str) -> DataFrame:
         return rows.select("id", F.lit(n).alias("_rule"), F.lit(status).alias("status"), match.alias("match"), confidence.alias("confidence"), F.lit(why).alias("rule"))
@@ -60,7 +62,7 @@ def match(incoming: DataFrame, known: DataFrame, alike: Callable[[Column, Column
     block = ["_country", "_scene"]
     alone = records.groupBy(*block, "_name").agg(F.min("match").alias("match"), F.count("*").alias("_n")).where("_n = 1")
     found.append(rule(2, a.where("_city = ''").join(alone, [*block, "_name"]), KNOWN, F.lit(0.98), F.col("match"), "name without city"))
-    linked = records.withColumn("_maps", text.source_url(F.col("_maps"))).where("_maps <> ''").groupBy(*block, "_maps").agg(F.min("match").alias("match"))
+    linked = k.where("_maps <> ''").select("_key", "_maps").join(records, "_key").groupBy(*block, "_maps").agg(F.min("match").alias("match"))
     found.append(rule(3, a.join(linked, [*block, "_maps"]), POSSIBLE, F.lit(0.95), F.col("match"), "map link"))
     # what no exact rule decides is compared by name
     decided = found[0].select("id")
@@ -68,13 +70,14 @@ def match(incoming: DataFrame, known: DataFrame, alike: Callable[[Column, Column
         decided = decided.unionByName(f.select("id"))
     open_rows = a.join(decided.distinct(), "id", "left_anti").where("_name <> ''")
     ours = open_rows.select(*block, F.col("_name").alias("x"), F.col("_city").alias("xc"), F.col("_bucket").alias("xb")).distinct()
-    theirs = records.where("_name <> ''").select(*block, F.col("_name").alias("y"), F.col("_city").alias("yc"), F.col("_bucket").alias("yb"), "match")
-    least = (NAME - BONUS) / (2 - (NAME - BONUS))
-    fits = (F.length("x") >= F.length("y") * least) & (F.length("y") >= F.length("x") * least)
-    pairs = ours.join(theirs, block).where(fits)
+    places = records.where("_name <> ''").select(*block, F.col("_name").alias("y"), F.col("_city").alias("yc"), "_key", "match")
+    buckets = k.where("_bucket IS NOT NULL").select(F.col("_key").alias("_k"), F.col("_bucket").alias("yb")).distinct().withColumn("_there", F.lit(True))
+    pairs = store.cut(similar_pairs(ours, places, block, "x", "y", NAME - BONUS).withColumn("_alike", similarity(F.col("x"), F.col("y"), alike)).where(F.col("_alike") >= NAME - BONUS - 1e-12))
+    met = pairs.join(ours, [*block, "x"]).join(places, [*block, "y"])
+    met = met.join(buckets, (F.col("_key") == F.col("_k")) & (F.col("xb") == F.col("yb")), "left")
     near_city = (F.col("xc") == "") | (F.col("yc") == "") | (similarity(F.col("xc"), F.col("yc"), alike) >= CITY)
-    bonus = F.when(F.col("xb") == F.col("yb"), BONUS).otherwise(0.0)
-    scored = pairs.withColumn("confidence", similarity(F.col("x"), F.col("y"), alike) + bonus).where((F.col("confidence") >= NAME) & near_city)
+    scored = met.withColumn("confidence", F.col("_alike") + F.when(F.col("_there"), BONUS).otherwise(0.0)).where(F.col("confidence") >= NAME)
+    scored = store.cut(scored.drop("_there", "yb", "_k", "_key")).where(near_city)
     best = first_per_key(scored, [*block, "x", "xc", "xb"], [F.desc("confidence"), F.col("match")])
     same = (F.col("_name") == F.col("x")) & (F.col("_city") == F.col("xc")) & F.col("_bucket").eqNullSafe(F.col("xb"))
     fuzzy = open_rows.select("id", *block, "_name", "_city", "_bucket").join(best.select(*block, "x", "xc", "xb", "match", "confidence"), block).where(same)

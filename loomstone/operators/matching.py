@@ -54,3 +54,60 @@ def longest_prefix(df: DataFrame, places: DataFrame, key: str, name: str, place:
     runs = F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))
     own = df.select(key, F.explode(runs).alias(place))
     return own.join(places.select(place).distinct(), place).groupBy(key).agg(F.max_by(place, F.length(place)).alias(place))
+
+
+#: Names shorter than this may share no pair of letters with a similar one; they and names up to LONG meet by letters.
+SHORT, LONG = 6, 8
+
+
+def _numbered(parts: Column) -> Column:
+    """Parts with how often each stood before, so that equal ones differ and an array's intersection counts repeats."""
+    return F.transform(parts, lambda p, i: F.concat(p, F.size(F.filter(F.slice(parts, F.lit(1), i), lambda q: q == p)).cast("string")))
+
+
+def letters(c: Column) -> Column:
+    return _numbered(F.split(c, ""))
+
+
+def _prefixed(rows: DataFrame, block: Sequence[str], name: str, ratio: float) -> DataFrame:
+    """block, name, token: the tokens of each name, of which only the rarest will be keys; need says how many."""
+    n = F.length(name)
+    # the shorter name that may still be similar is this part of n; what the two must share at least
+    least = ratio / (2 - ratio)
+    both = n * (1 + least)
+    of_letters = F.ceil(both * (ratio / 2))
+    of_pairs = F.ceil(both * (1.5 * ratio - 1) - 1)
+    chars = F.split(name, "")
+    pairs = _numbered(F.transform(F.slice(chars, F.lit(1), n - 1), lambda a, i: F.concat(a, F.get(chars, i + 1))))
+    kinds = F.array_compact(F.array(
+        F.when(n <= LONG, F.struct(F.lit("l").alias("kind"), letters(F.col(name)).alias("tokens"), (n - of_letters + 1).alias("need"))),
+        F.when(n >= SHORT, F.struct(F.lit("p").alias("kind"), pairs.alias("tokens"), (n - of_pairs).alias("need"))),
+    ))
+    k = rows.select(*block, name, F.explode(kinds).alias("k"))
+    return k.select(*block, name, "k.kind", F.col("k.need").cast("int").alias("need"), F.explode("k.tokens").alias("token"))
+
+
+def similar_pairs(ours: DataFrame, theirs: DataFrame, block: Sequence[str], x: str, y: str, ratio: float) -> DataFrame:
+    """block, x, y: all pairs of different names of a block (x of ours, y of theirs) that can reach a ratio of 2 * matched letters / all letters.
+
+    No such ratio is above that of the letters that two names share at all, so this bound decides; it also holds for
+    1 - edits / longer. Pairs are found by a prefix filter: names that reach the ratio share so many pairs of neighbouring letters (each
+    gap between matching runs costs one) that the rarest few of each must have one in common; short names meet by single letters in
+    the same way. So nothing is compared but names with a rare part in common. Tokens are counted per block, keys are joined by a
+    shuffle, and pairs are told apart once. The ratio must be above 2 / 3. Empty and null names are in no pair.
+    """
+    block = list(block)
+    a = ours.select(*block, F.col(x).alias("_n")).where("_n <> ''").distinct()
+    b = theirs.select(*block, F.col(y).alias("_n")).where("_n <> ''").distinct()
+    tokens = _prefixed(a, block, "_n", ratio).withColumn("_side", F.lit(0)).unionByName(_prefixed(b, block, "_n", ratio).withColumn("_side", F.lit(1)))
+    often = tokens.groupBy(*block, "kind", "token").agg(F.count("*").alias("_f"))
+    listed = tokens.join(often, [*block, "kind", "token"]).groupBy(*block, "_n", "kind", "_side", "need").agg(F.sort_array(F.collect_list(F.struct("_f", "token"))).alias("_t"))
+    keys = listed.select(*block, "_n", "kind", "_side", F.explode(F.transform(F.slice("_t", F.lit(1), F.greatest(F.lit(1), F.col("need"))), lambda t: t["token"])).alias("token"))
+    left = keys.where("_side = 0").select(*block, "kind", "token", F.col("_n").alias(x))
+    right = keys.where("_side = 1").select(*block, "kind", "token", F.col("_n").alias(y))
+    met = left.join(right, [*block, "kind", "token"])
+    long, wide = F.length(x), F.length(y)
+    near = (long >= wide * (ratio / (2 - ratio))) & (wide >= long * (ratio / (2 - ratio)))
+    pairs = met.where(near).select(*block, x, y).distinct()
+    shared = F.size(F.array_intersect(letters(F.col(x)), letters(F.col(y))))
+    return pairs.where(shared * 2 >= (long + wide) * ratio - 1e-9)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,17 +25,49 @@ def rank_of(name: Column, asked: Column, canonical: Column) -> Column:
     return F.when((name != "") & (asked != ""), at + F.when(canonical, 0).otherwise(1))
 
 
-def search(places: DataFrame, names: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+#: Letters of a part that names are found by.
+GRAM = 3
+
+
+def _parts(c: Column, sizes: Sequence[int]) -> Column:
+    """All different parts of these lengths."""
+    every = []
+    for n in sizes:
+        size = F.lit(n)
+        every.append(F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), _part_of(c, size))))
+    return F.array_distinct(F.flatten(F.array_compact(F.array(*every))))
+
+
+def _part_of(c: Column, size: Column):
+    return lambda i: F.substr(c, i, size)
+
+
+def name_index(names: DataFrame) -> DataFrame:
+    """part, id, matched, canonical, form: an inverted index of names (id, name, canonical) by the parts of up to three letters of their normal forms.
+
+    It may be written as a table and kept; search() makes it where none is given.
+    """
+    n = names.select("id", F.col("name").alias("matched"), "canonical", search_text("name").alias("form")).where("form <> ''")
+    return n.select(F.explode(_parts(F.col("form"), range(1, GRAM + 1))).alias("part"), "id", "matched", "canonical", "form")
+
+
+def search(places: DataFrame, names: DataFrame, queries: DataFrame, limit: int, index: DataFrame | None = None) -> DataFrame:
     """query, position, id, matched, kind (canonical_exact to alias_contains): at most limit places of each query.
 
-    places: id, name, country, city; names: id, name, canonical (boolean); queries: query, asked (text), as few as a user
-    asks at once, so they are joined to every name; a query without letters finds nothing. Of a place's names the best rank
-    counts, then the shortest. Places are ordered by rank, length of the match, name, country, city and id. Each task keeps
-    limit rows of a query before the shuffle.
+    places: id, name, country, city; names: id, name, canonical (boolean); queries: query, asked (text), any number of them; a
+    query without letters finds nothing. What contains a query contains each part of it, so a query is looked up in an
+    index of parts of three letters (a shorter query as a whole) by its rarest part, and only what has that part is tested. Of a
+    place's names the best rank counts, then the shortest. Places are ordered by rank, length of the match, name, country,
+    city and id. Each task keeps limit rows of a query before the shuffle.
     """
+    index = name_index(names) if index is None else index
     q = queries.select("query", search_text("asked").alias("_q")).where("_q <> ''")
-    n = names.select("id", F.col("name").alias("matched"), "canonical", search_text("name").alias("_n"))
-    hits = n.join(q, F.contains(F.col("_n"), F.col("_q"))).withColumn("_rank", rank_of(F.col("_n"), F.col("_q"), F.col("canonical"))).where("_rank IS NOT NULL")
+    sizes = F.when(F.length("_q") >= GRAM, _parts(F.col("_q"), [GRAM])).otherwise(F.array("_q"))
+    asked = q.select("query", "_q", F.explode(sizes).alias("part"))
+    often = index.join(asked.select("part").distinct(), "part", "left_semi").groupBy("part").agg(F.count("*").alias("_f"))
+    rarest = asked.join(often, "part", "left").groupBy("query", "_q").agg(F.min_by("part", F.struct(F.coalesce("_f", F.lit(0)), F.col("part"))).alias("part"))
+    n = index.join(rarest, "part").where(F.contains(F.col("form"), F.col("_q"))).withColumnRenamed("form", "_n")
+    hits = n.withColumn("_rank", rank_of(F.col("_n"), F.col("_q"), F.col("canonical"))).where("_rank IS NOT NULL")
     best = hits.groupBy("query", "id").agg(
         F.min_by(F.struct("matched", "_n", "_rank"), F.struct("_rank", F.length("matched").alias("l"), "matched")).alias("m")
     )

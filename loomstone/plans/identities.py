@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import names, text
 from loomstone.operators import identity, search
+from loomstone.operators.matching import similar_pairs
 from loomstone.plans.registry import Tables, query
 
 _BARE = "lower(strip_accents({}))"
@@ -183,3 +184,13 @@ def place_aliases(t: Tables):
 def map_links(t: Tables):
     s = t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey"))
     return s.select("s_suppkey", text.maps_link(F.col("s_name"), F.lit(" "), F.col("n_name")).alias("link"))
+
+
+@query()
+def similar_part_names(t: Tables):
+    """Names of parts with the shuffled names of other parts of their brand that are alike by the share of matching blocks; beyond SQL."""
+    n = F.regexp_replace("p_name", "(.)e", "$1")
+    ours, theirs = t.part.select("p_brand", F.lower("p_name").alias("x")), t.part.select("p_brand", F.lower(F.concat(n, F.lit(" x"))).alias("y"))
+    pairs = similar_pairs(ours, theirs, ["p_brand"], "x", "y", 0.82)
+    scored = pairs.withColumn("ratio", names.sequence_ratio(F.col("x"), F.col("y")))
+    return scored.where("ratio >= 0.82").select("p_brand", "x", "y", F.round("ratio", 6).alias("ratio"))

@@ -160,6 +160,12 @@ def period_issues(t: Tables):
 
 
 _ASKED = ("das_deployment", "terminal_role", "line_count")
+
+
+def _named(name: str):
+    return lambda x: x["name"] == name
+
+
 _DISTINCT = "len(list_distinct(list_transform(regexp_extract_all(t, '(?i){}'), lambda x: lower(x))))"
 
 
@@ -170,7 +176,7 @@ SELECT doc_id, {_DISTINCT.format("distributed[[:space:]]+antenna[[:space:]]+syst
 def page_indicators(t: Tables):
     """How many different values each document has of three of the indicators; the pages' own texts, whole."""
     rows = quantities.with_indicators(t.documents.select("doc_id", "text"), "text", F.array(*map(F.lit, _ASKED)), "f")
-    n = [F.size(F.filter("f", lambda x, k=k: x["name"] == k)).cast("long") for k in _ASKED]
+    n = [F.size(F.filter("f", _named(k))).cast("long") for k in _ASKED]
     return rows.select("doc_id", n[0].alias("das"), n[1].alias("role"), n[2].alias("lines"))
 
 
