@@ -64,6 +64,11 @@ def search_form(text: str) -> str:
     return _search.sub(" ", unicodedata.normalize("NFC", _marked.sub(r"\1", apart))).strip()
 
 
+def search_forms(text: str) -> str:
+    """search_form of each line, each once, none empty."""
+    return "\n".join(dict.fromkeys(f for f in map(search_form, text.split("\n")) if f))
+
+
 def flat(text: str) -> str:
     """Compatibility forms composed, white space collapsed; letters keep their case and marks."""
     return _gap.sub(" ", unicodedata.normalize("NFKC", text)).strip()
@@ -82,7 +87,7 @@ def quality_list(lists: pd.Series) -> pd.Series:
     return lists.map(lambda xs: [quality(x or "") for x in xs], na_action="ignore")
 
 
-identity_text, entity_name, quality_text, search_text, flat_text = map(_udf, (identity, entity, quality, search_form, flat))
+identity_text, entity_name, quality_text, search_text, flat_text, search_lines = map(_udf, (identity, entity, quality, search_form, flat, search_forms))
 
 
 @F.pandas_udf(DoubleType())

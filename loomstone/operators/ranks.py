@@ -144,3 +144,18 @@ def share_in_order(df: DataFrame, keys: Sequence[str], value: str, tie: str, nam
     rows = join_keys(row_numbers(df, keys, value, tie, "_rank"), total, keys)
     share = F.when(F.col("_n") <= 1, 0.5).otherwise((F.col("_rank") - 1) / (F.col("_n") - 1))
     return rows.withColumn(name, share).drop("_rank", "_n")
+
+
+def circular_batch(df: DataFrame, keys: Sequence[str], position: str, amount: str, start: int, least: float) -> DataFrame:
+    """The items that a turn takes: from the one at start (modulo their number) on, around the end, until their amounts reach least.
+
+    position counts the items of a group from 0 without gaps; amounts are not negative, null ones count as 0. The item that
+    reaches least is the last one; one is always taken. Taking while the sum is below least is the same as a running sum and one
+    cut, so no loop over items is needed.
+    """
+    keys = list(keys)
+    n = df.groupBy(*keys).agg(F.count("*").alias("_items"))
+    turn = F.pmod(F.col(position) - F.lit(start), F.col("_items"))
+    rows = join_keys(df, n, keys).withColumn("_turn", turn.cast("double")).withColumn("_a", F.coalesce(F.col(amount), F.lit(0)))
+    rows = running(rows, keys, "_turn", F.col("_a"), name="_upto")
+    return rows.where((F.col("_upto") - F.col("_a") < least) | (F.col("_turn") == 0)).drop("_items", "_turn", "_a", "_upto")

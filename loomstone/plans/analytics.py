@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from loomstone.operators import visits
 from loomstone.operators.network import network_class
-from loomstone.operators.ranks import join_keys, percentiles_of, row_numbers, share_below
+from loomstone.operators.latest import ranked
+from loomstone.operators.ranks import circular_batch, join_keys, percentiles_of, row_numbers, share_below
 from loomstone.plans.registry import Tables, query
+from loomstone.streaming import queue
 
 _QUARTER = "year(l_shipdate) * 4 + quarter(l_shipdate) - 1"
 _PANEL = f"""SELECT s_nationkey AS nation, {_QUARTER} AS q, s_suppkey AS supp, sum(round(l_extendedprice * 100)::BIGINT) / count(*) AS speed, sum(l_quantity::BIGINT) / count(*) AS latency
@@ -72,14 +74,25 @@ def recommendation_threshold(t: Tables):
     return r.join(gates, keys).select("c_custkey", "rk", "gate", (F.col("c_acctbal") >= F.col("gate")).alias("recommended"))
 
 
-@query("""WITH q AS (SELECT o_orderkey AS id, o_orderdate AS due, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 ELSE 3 END AS prio, o_orderstatus AS status FROM orders)
-SELECT id, prio, CASE WHEN status = 'P' THEN 'reclaimed' ELSE 'claimed' END AS how FROM q WHERE status = 'O' OR (status = 'P' AND due < TIMESTAMP '1996-01-01') ORDER BY prio, due, id LIMIT 50""")
+@query("""WITH q AS (SELECT o_orderkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 ELSE 3 END AS prio, o_orderdate AS ts, o_orderstatus AS status, o_orderkey % 3 AS tries FROM orders),
+c AS (SELECT id, prio, tries + 1 AS attempts FROM q WHERE (id % 5 > 0 OR ts <= TIMESTAMP '1996-01-01') AND (status = 'O' OR (status = 'P' AND ts <= TIMESTAMP '1996-01-01') OR (status = 'F' AND ts <= TIMESTAMP '1996-01-01' - INTERVAL 86400 SECOND))
+  ORDER BY prio, ts, id LIMIT 50) SELECT id, prio, attempts FROM c WHERE id % 7 <> 0""")
 def lease_queue_claim(t: Tables):
-    """Due tasks and those whose lease ran out, the most urgent fifty."""
+    """The fifty tasks whose turn it is: queued, failed, expired or long completed ones; those of worked-off progress are not given out."""
     prio = F.when(F.col("o_orderpriority") == "1-URGENT", 1).when(F.col("o_orderpriority") == "2-HIGH", 2).otherwise(3)
-    ready = (F.col("o_orderstatus") == "O") | ((F.col("o_orderstatus") == "P") & (F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz")))
-    rows = t.orders.where(ready).select(F.col("o_orderkey").alias("id"), prio.alias("prio"), F.col("o_orderdate").alias("due"), F.when(F.col("o_orderstatus") == "P", "reclaimed").otherwise("claimed").alias("how"))
-    return rows.orderBy("prio", "due", "id").limit(50).select("id", "prio", "how")
+    at, k = F.col("o_orderdate").cast("timestamp"), F.col("o_orderkey")
+    status = F.when(F.col("o_orderstatus") == "O", "queued").when(F.col("o_orderstatus") == "P", "leased").otherwise("completed")
+    tasks = t.orders.select(k.alias("id"), prio.alias("priority"), status.alias("status"), F.lit(None).cast("string").alias("owner"), (k % 3).cast("long").alias("attempts"), at.alias("updated_at"), F.when(k % 5 == 0, at).alias("next_due_at"), at.alias("lease_expires_at"))
+    got = queue.claim(tasks, "w", "1996-01-01 00:00:00", 50, tasks.where("id % 7 = 0"))
+    return got.select("id", F.col("priority").alias("prio"), "attempts")
+
+
+@query("""WITH p AS (SELECT p_brand, p_partkey, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS pos, count(*) OVER (PARTITION BY p_brand) AS n FROM part),
+u AS (SELECT *, sum(p_size) OVER (PARTITION BY p_brand ORDER BY ((pos - 7) % n + n) % n) AS upto FROM p) SELECT p_brand, p_partkey FROM u WHERE upto - p_size < 120""")
+def circular_batches(t: Tables):
+    """Of each brand's parts, from the seventh on and around, as many as make a batch of 120."""
+    rows = ranked(t.part.select("p_brand", "p_partkey", "p_size"), ["p_brand"], [F.col("p_partkey")], "pos").withColumn("pos", F.col("pos") - 1)
+    return circular_batch(rows, ["p_brand"], "pos", "p_size", 7, 120).select("p_brand", "p_partkey")
 
 
 @query("""SELECT event_type, time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")

@@ -4,6 +4,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomstone.plans.registry import Tables, query
+from loomstone.sources import versions
+from loomstone.sources.tables import Scratch
 from loomstone.sources.sinks import manifest
 
 
@@ -74,3 +76,24 @@ def gap_counters(t: Tables):
         n(F.col("lang").isNull(), "no_language"), n(F.coalesce("text", F.lit("")) == "", "no_text"), n(F.col("n_chars") < 200, "short"),
         n(F.col("quality").isNull(), "unlabelled"), n(F.col("toxic") == 1, "toxic"), F.count("*").alias("n"),
     )
+
+
+@query("""WITH v AS (SELECT c_nationkey AS nation, c_custkey AS k, round(c_acctbal * 100)::BIGINT AS cents FROM customer),
+n AS (SELECT nation, k, CASE WHEN nation % 4 = 1 THEN cents + 1 ELSE cents END AS cents FROM v)
+SELECT 'pinned' AS reader, nation, count(*) AS n, sum(cents)::BIGINT AS cents FROM v GROUP BY 2 UNION ALL SELECT 'current', nation, count(*), sum(cents)::BIGINT FROM n GROUP BY 2
+UNION ALL SELECT 'back', nation, count(*), sum(cents)::BIGINT FROM v GROUP BY 2""")
+def versioned_publish(t: Tables):
+    """A scoped publish and its rollback: who pinned a version keeps it, who asks later sees the new one, then the old one again."""
+    root = f"{Scratch(t.spark).folder}/versions"
+    v = t.customer.select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("k"), F.round(F.col("c_acctbal") * 100).cast("long").alias("cents"))
+    scope = F.col("nation") % 4 == 1
+    versions.publish(v, root, ["nation"])
+    pinned = versions.read(t.spark, root)
+    versions.publish_scope(root, v.where(scope).withColumn("cents", F.col("cents") + 1), scope, ["nation"])
+    now = versions.read(t.spark, root)
+    versions.rollback(t.spark, root, by=["nation"])
+    rows = None
+    for name, df in (("pinned", pinned), ("current", now), ("back", versions.read(t.spark, root))):
+        own = df.groupBy("nation").agg(F.count("*").alias("n"), F.sum("cents").alias("cents")).select(F.lit(name).alias("reader"), "nation", "n", "cents")
+        rows = own if rows is None else rows.unionByName(own)
+    return rows

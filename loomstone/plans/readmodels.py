@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from loomstone.operators import readmodel
+from loomstone.operators import packets, readmodel
 from loomstone.plans.registry import Tables, query
 
 _ROWS = """c AS (SELECT o_custkey AS pid, (o_orderkey % 3)::BIGINT AS run, o_orderdate AS stamp, o_orderkey AS id FROM orders), n AS (SELECT pid, run FROM c QUALIFY row_number() OVER (PARTITION BY pid ORDER BY stamp DESC, id DESC) = 1),
@@ -112,3 +112,36 @@ def source_documents(t: Tables):
 def recommendation_mix(t: Tables):
     """How the rows of a group divide."""
     return readmodel.mix(t.orders, ["o_orderpriority"], "o_orderstatus").withColumn("share", F.round("share", 6))
+
+
+#: Ten child tables of customers are made of the orders: an order belongs to the one that its key's last digit names.
+_CHILDREN = ("candidate", "scene", "build", "conclusion", "demand", "traffic", "complaint", "evidence", "review", "alias")
+_ONE = "arg_max({}, k) FILTER (tag = {})"
+
+
+@query(f"""WITH o AS (SELECT o_custkey AS pid, o_orderkey AS k, o_orderkey % 10 AS tag, o_totalprice AS v, o_orderstatus AS st, o_orderpriority AS pr FROM orders),
+g AS (SELECT pid, {_ONE.format("v", 1)} AS visits, {_ONE.format("st", 2)} AS presence, {_ONE.format("pr", 3)} AS value_class, {_ONE.format("v", 4)} AS gb, {_ONE.format("v", 5)} AS p50, {_ONE.format("st", 5)} AS active,
+  {_ONE.format("pr", 6)} AS pressure, count(*) FILTER (tag = 7) AS n_evidence, count(*) FILTER (tag = 8) AS reviews, count(*) FILTER (tag = 1) AS n1, count(*) FILTER (tag = 2) AS n2, count(*) FILTER (tag = 3) AS n3,
+  array_to_string(list_sort(list(DISTINCT pr) FILTER (tag = 7)), '|') AS sources FROM o GROUP BY pid)
+SELECT pid, c_name AS name, lower(trim(regexp_replace(c_name, '[^A-Za-z0-9]+', ' ', 'g'))) AS search_text, round(visits, 2) AS annual_visits, presence AS indoor_presence, value_class, round(gb, 2) AS busy_hour_gb,
+  round(CASE WHEN active = 'O' THEN p50 ELSE visits END, 2) AS annual_visits_p50, coalesce(active = 'O', false) AS traffic_model_active, pressure AS complaint_pressure, greatest(1, n_evidence) AS source_count,
+  coalesce(sources, '') AS sources, reviews AS review_count FROM g JOIN customer ON c_custkey = pid WHERE n1 > 0 AND n2 > 0 AND n3 > 0""")
+def packet_index(t: Tables):
+    """Index rows from packets of ten child tables, which go through one shuffle."""
+    k, s = F.col("o_orderkey"), F.lit(None).cast("string")
+    o = t.orders.select(F.col("o_custkey").alias("pid"), k.alias("k"), (k % 10).alias("tag"), F.col("o_totalprice").alias("v"), F.col("o_orderstatus").alias("st"), F.col("o_orderpriority").alias("pr"))
+    no = F.lit(None).cast("boolean")
+    values = {
+        "candidate": {"quality_status": F.col("st"), "main_table_ready": no, "map_ready": no, "export_ready": no, "issues": F.array("pr")}, "scene": {"annual_visits": F.col("v"), "proxy_level": s},
+        "build": {"presence": F.col("st"), "rat": s}, "conclusion": {"evidence_status": s, "value_class": F.col("pr"), "action": s, "solution": s}, "demand": {"busy_hour_gb": F.col("v")},
+        "traffic": {"p10": F.col("v"), "p50": F.col("v"), "p90": F.col("v"), "model": s, "active": F.col("st") == "O"}, "complaint": {"pressure": F.col("pr"), "freshness": s},
+        "evidence": {"url": F.col("pr"), "value": F.col("st")}, "review": {"reason": F.col("pr")}, "alias": {"alias": s},
+    }
+    children = {n: packets.Child(o.where(F.col("tag") == i).select("pid", "k", *[c.alias(x) for x, c in values[n].items()]), [-F.col("k")], needed=n in ("scene", "build", "conclusion")) for i, n in enumerate(_CHILDREN)}
+    empty = o.limit(0)
+    children |= {"assignment": packets.Child(empty.select("pid", F.col("st").alias("status"), F.col("pr").alias("method"))), "network": packets.Child(empty.select("pid", F.col("st").alias("priority")))}
+    d = F.lit(None).cast("double")
+    parents = t.customer.select(F.col("c_custkey").alias("pid"), F.col("c_name").alias("name"), s.alias("country"), s.alias("city"), s.alias("city_id"), s.alias("scene"), d.alias("lat"), d.alias("lon"), F.lit("m").alias("maps"), s.alias("precision"), s.alias("map_source"), s.alias("coordinate_status"))
+    rows = packets.index_rows(packets.packets(parents, children, ["pid"]), ["pid"])
+    money = [F.round(c, 2).alias(c) for c in ("annual_visits", "busy_hour_gb", "annual_visits_p50")]
+    return rows.select("pid", "name", "search_text", *money, "indoor_presence", "value_class", "traffic_model_active", "complaint_pressure", "source_count", F.array_join("source_urls", "|").alias("sources"), "review_count")

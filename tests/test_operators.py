@@ -342,3 +342,21 @@ def test_maturity_and_chunks(spark):
     first = derive.rechunked(none, spark.createDataFrame([(1, "abcdef"), (2, "xy"), (3, None), (4, "")], "doc_id int, text string"), 4)
     then = derive.rechunked(first.drop("origin"), spark.createDataFrame([(1, "abcdef"), (2, "xyz")], "doc_id int, text string"), 4)
     assert rows(then, "doc_id", "pos", "chunk", "origin") == [(1, 0, "abcd", "kept"), (1, 1, "ef", "kept"), (2, 0, "xyz", "new")]
+
+
+def test_circular_batches(spark):
+    def loop(counts, start, least, most=10**9):
+        start, taken, total = start % len(counts), [], 0
+        for k in range(len(counts)):
+            at = (start + k) % len(counts)
+            if total + counts[at] <= most or total < least:
+                taken.append(at)
+                total += counts[at]
+            if total >= least:
+                break
+        return sorted(taken or [start])
+
+    rng = random.Random(5)
+    for counts, start, least in [([12, 14, 16, 20], 0, 30), ([12, 14, 16, 20], 3, 30), ([0, 0, 5], 1, 5), ([3], 7, 100), ([4, 4], 1, 0), *[([rng.randrange(9) for _ in range(40)], rng.randrange(100), rng.randrange(120)) for _ in range(4)]]:
+        df = spark.createDataFrame([(None, k, c) for k, c in enumerate(counts)], "g string, pos long, c long")
+        assert sorted(r["pos"] for r in ranks.circular_batch(df, ["g"], "pos", "c", start, least).collect()) == loop(counts, start, least)
