@@ -64,7 +64,7 @@ def _rollup(t: Tables):
         (F.col("event_id") % 97).alias("digest"), "event_id",
     )
     now = t.events.agg(F.max("ts").alias("now"))  # one row
-    return complaints.rollup(o.crossJoin(F.broadcast(now)), "user_id", F.col("now"), [F.col("event_id")])
+    return complaints.rollup(o.crossJoin(now), "user_id", F.col("now"), [F.col("event_id")])
 
 
 @query(f"""WITH {_ROLLUP} SELECT user_id, n, weighted, hosts, kinds, pressure, CASE WHEN pressure = 'high' AND hosts < 2 THEN 'medium' ELSE pressure END AS confidence, latest FROM p""")
@@ -119,7 +119,7 @@ def complaint_places(t: Tables):
     n = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.lower("n_name").alias("nation"), F.lower("r_name").alias("region"))
     places = n.select(F.col("n_nationkey").alias("place"), F.array("nation", F.concat(F.lit("nation of "), "nation")).alias("names"), F.col("region").alias("city"), F.lit("region").alias("country"))
     other = n.select((F.col("n_nationkey")).alias("_other"), F.col("nation").alias("other"))
-    rows = t.customer.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(other), F.col("c_custkey") % 25 == F.col("_other"))
+    rows = t.customer.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(other, F.col("c_custkey") % 25 == F.col("_other"))
     k = F.col("c_custkey")
     text = (
         F.when(k % 4 == 0, F.concat(F.lit("poor signal in "), "nation", F.lit(" of "), "region"))

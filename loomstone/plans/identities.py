@@ -102,7 +102,7 @@ FROM b JOIN customer ON id = c_custkey JOIN nation ON c_nationkey = n_nationkey
 WINDOW w AS (PARTITION BY query ORDER BY m.rk, length(m.n), {_SEARCH.format("c_name")}, lower(n_name), lower(c_mktsegment), id::VARCHAR) QUALIFY position <= 20""")
 def place_search(t: Tables):
     """The best twenty places of each of a few searches, canonical names before aliases."""
-    c = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     places = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("n_name").alias("country"), F.col("c_mktsegment").alias("city"))
     alias = c.select(F.col("c_custkey").alias("id"), F.concat_ws("-", "c_mktsegment", F.col("c_custkey").cast("string")).alias("name"), F.lit(False).alias("canonical"))
     queries = t.spark.createDataFrame([(i + 1, a) for i, a in enumerate(_ASKED)], "query long, asked string")
@@ -182,7 +182,7 @@ def place_aliases(t: Tables):
 
 @query("""SELECT s_suppkey, 'https://www.google.com/maps/search/?api=1&query=' || url_encode(concat_ws(', ', s_name, n_name)) AS link FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
 def map_links(t: Tables):
-    s = t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    s = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
     return s.select("s_suppkey", text.maps_link(F.col("s_name"), F.lit(" "), F.col("n_name")).alias("link"))
 
 

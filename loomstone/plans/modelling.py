@@ -1,13 +1,10 @@
 """Demand and visitor models, search and retrieval."""
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstone.operators import visits
 from loomstone.operators.latest import first_per_key
+from loomstone.operators.retrieval import MENTIONED, SAME_PLACE, nearest_of_all
 from loomstone.plans.registry import Tables, query
 
 
@@ -18,23 +15,20 @@ SELECT k, CASE WHEN annual IS NULL THEN 'no visits' WHEN annual <= 0 THEN 'not p
 def demand_chain(t: Tables):
     annual = F.when(F.col("p_partkey") % 11 == 0, F.lit(None)).when(F.col("p_partkey") % 13 == 0, 0.0).otherwise(F.col("p_retailprice") * 1000)
     v = t.part.select(F.col("p_partkey").alias("k"), annual.alias("annual"))
-    ok = lambda c: F.when(F.col("annual") > 0, c)
-    busy = F.col("annual") / 365 * 0.3 * 0.6 * 0.12
-    reason = F.when(F.col("annual").isNull(), "no visits").when(F.col("annual") <= 0, "not positive")
-    return v.select("k", reason.alias("reason"), ok(F.round(F.col("annual") / 365, 4)).alias("daily"), ok(F.round(busy, 4)).alias("busy_users"), ok(F.round(busy * 0.05 * 1024 * 8 / 3600, 6)).alias("mbps"))
+    d = v.select("k", visits.demand(F.col("annual"), attach=0.3, capture=0.6, busy=0.12, gigabytes=0.05).alias("d"))
+    return d.select("k", "d.reason", F.round("d.daily", 4).alias("daily"), F.round("d.users", 4).alias("busy_users"), F.round("d.mbps", 6).alias("mbps"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN p = floor(p) AND p BETWEEN 1900 AND 2100 THEN NULL ELSE p END AS visits, p = floor(p) AND p BETWEEN 1900 AND 2100 AS year_like FROM (SELECT o_orderkey, floor(o_totalprice / 100) AS p FROM orders)""")
 def year_like_guard(t: Tables):
     p = F.floor(F.col("o_totalprice") / 100).cast("double")
     rows = t.orders.select("o_orderkey", p.alias("p"))
-    like = (F.col("p") == F.floor("p")) & F.col("p").between(1900, 2100)
-    return rows.select("o_orderkey", F.when(~like, F.col("p")).alias("visits"), like.alias("year_like"))
+    return rows.select("o_orderkey", visits.safe_visits(F.col("p")).alias("visits"), visits.year_like(F.col("p")).alias("year_like"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, coalesce(l_quantity BETWEEN lo AND hi, true) AS plausible FROM lineitem LEFT JOIN (VALUES ('A', 5.0, 40.0), ('N', 1.0, 45.0)) b(f, lo, hi) ON l_returnflag = f""")
 def plausibility_bounds(t: Tables):
-    bounds = F.broadcast(t.spark.createDataFrame([("A", 5.0, 40.0), ("N", 1.0, 45.0)], "f string, lo double, hi double"))
+    bounds = t.spark.createDataFrame([("A", 5.0, 40.0), ("N", 1.0, 45.0)], "f string, lo double, hi double")
     rows = t.lineitem.join(bounds, F.col("l_returnflag") == F.col("f"), "left")
     return rows.select("l_orderkey", "l_linenumber", F.coalesce(F.col("l_quantity").between(F.col("lo"), F.col("hi")), F.lit(True)).alias("plausible"))
 
@@ -72,74 +66,13 @@ def search_ranking(t: Tables):
     return t.part.select("p_partkey", "p_name", rk.alias("rk")).where("rk < 9").orderBy("rk", F.length("p_name"), "p_name", "p_partkey").limit(25).select("p_partkey", "rk")
 
 
-#: What a chunk gains for a field that the question mentions, and for the question's own place.
-MENTIONED, SAME_PLACE = 0.05, 0.02
-
-
-def nearest_of_all(chunks: DataFrame, every: int = 50, k: int = 10, block: int = 2048) -> DataFrame:
-    """q, vec_id, score: the k best of all other chunks for each chunk whose id is divisible by every, exactly.
-
-    chunks: vec_id, boost, e (doubles, equally many in each row), and, if there are, field and place (numbers): a chunk of
-    the question's field or place gains MENTIONED or SAME_PLACE. Rows without a vector, or with a zero one, have no cosine
-    and are left out; a null boost, field or place gains nothing. Queries and chunks are packed into blocks of bounded size, every two blocks meet in a matrix
-    product, and a task keeps k rows for each of its queries before the merge.
-    """
-    for c in ("field", "place"):
-        chunks = chunks.withColumn(c, F.col(c).cast("double") if c in chunks.columns else F.lit(None).cast("double"))
-    chunks = chunks.withColumn("boost", F.coalesce("boost", F.lit(0.0)))
-    chunks = chunks.where("vec_id IS NOT NULL AND e IS NOT NULL AND exists(e, x -> x <> 0)")
-    asked = chunks.where(F.col("vec_id") % every == 0)
-    parts = lambda n, size: max(1, -(-n // size))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, block):
-                b = whole.slice(at, block)
-                columns = [b.column(0), b.column(1), b.column(2), b.column(3), b.column(4).flatten()]
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(c)], c) for c in columns], ["ids", "boosts", "fields", "places", "flat"])
-
-    def packed(rows: DataFrame, n: int, names: list[str]) -> DataFrame:
-        schema = "ids array<long>, boosts array<double>, fields array<double>, places array<double>, flat array<double>"
-        return rows.select("vec_id", "boost", "field", "place", "e").repartition(n).mapInArrow(pack, schema).toDF(*names)
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for b in batches:
-            for n in range(b.num_rows):
-                q, q_field, q_place, qx, c, boost, field, place, cx = (b.column(m)[n].values.to_numpy(zero_copy_only=False) for m in range(9))
-                qx, cx = qx.reshape(len(q), -1), cx.reshape(len(c), -1)
-                dots = qx @ cx.T
-                # nulls are not equal to anything here
-                gain = MENTIONED * (q_field[:, None] == field[None]) + SAME_PLACE * (q_place[:, None] == place[None])
-                scores = np.round(dots / np.sqrt((qx * qx).sum(axis=1)[:, None] * (cx * cx).sum(axis=1)) + boost + gain, 6)
-                for i, one in enumerate(q.tolist()):
-                    s, ids = scores[i], c
-                    if len(s) > k + 1:
-                        # ties with the last one that may stay are kept until ids decide
-                        some = s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1]
-                        s, ids = s[some], ids[some]
-                    s, ids = s[ids != one], ids[ids != one]
-                    if one in best:
-                        s, ids = np.concatenate((best[one][0], s)), np.concatenate((best[one][1], ids))
-                    order = np.lexsort((ids, -s))[:k]
-                    best[one] = s[order], ids[order]
-        for one, (s, ids) in best.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), one)), pa.array(ids), pa.array(s)], ["q", "vec_id", "score"])
-
-    left = packed(asked, parts(asked.count(), 2 * block), ["q", "_boost", "q_field", "q_place", "qx"]).drop("_boost")
-    right = packed(chunks, max(6, parts(chunks.count(), 8 * block)), ["c", "boost", "field", "place", "cx"])
-    # no broadcast: the queries grow with the table
-    met = left.hint("shuffle_replicate_nl").crossJoin(right).mapInArrow(meet, "q long, vec_id long, score double")
-    return first_per_key(met, ["q"], [F.desc("score"), F.col("vec_id")], k)
-
-
 @query("""WITH q AS (SELECT vec_id AS q, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0), c AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
 s AS (SELECT q, vec_id, round(list_cosine_similarity(q.e, c.e) + CASE WHEN label = 1 THEN 0.08 WHEN label = 2 THEN 0.04 ELSE 0 END, 6) AS score FROM q, c WHERE q <> vec_id)
 SELECT q, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) <= 10""")
 def chunk_retrieval_all(t: Tables):
     """Cosine and a boost by tier, the ten best chunks for every row whose id is divisible by 50, against all rows."""
     boost = F.when(F.col("label") == 1, 0.08).when(F.col("label") == 2, 0.04).otherwise(0.0)
-    return nearest_of_all(t.embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), boost.alias("boost"), F.col("embedding").cast("array<double>").alias("e")))
+    return nearest_of_all(t.embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), boost.alias("boost"), F.col("embedding").cast("array<double>").alias("e"))).drop("read")
 
 
 @query(f"""WITH c AS (SELECT vec_id, label, vec_id % 7 AS field, vec_id % 11 AS place, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT vec_id AS q, field AS f, place AS p, e AS qe FROM c WHERE vec_id % 50 = 0),
@@ -149,4 +82,4 @@ def chunk_retrieval(t: Tables):
     """As chunk_retrieval_all, with what a chunk gains for the question's field and place."""
     boost = F.when(F.col("label") == 1, 0.08).when(F.col("label") == 2, 0.04).otherwise(0.0)
     k = F.col("vec_id").cast("long")
-    return nearest_of_all(t.embeddings.select(k.alias("vec_id"), boost.alias("boost"), (k % 7).alias("field"), (k % 11).alias("place"), F.col("embedding").cast("array<double>").alias("e")))
+    return nearest_of_all(t.embeddings.select(k.alias("vec_id"), boost.alias("boost"), (k % 7).alias("field"), (k % 11).alias("place"), F.col("embedding").cast("array<double>").alias("e"))).drop("read")

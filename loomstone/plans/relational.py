@@ -22,7 +22,7 @@ GROUP BY n_name""")
 def latest_country_summary(t: Tables):
     rows = latest.latest_per_key(t.orders, ["o_custkey"], _newest())
     counts = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    rows = rows.join(t.customer, rows.o_custkey == F.col("c_custkey")).join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = rows.join(t.customer, rows.o_custkey == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     rows = rows.join(counts, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     return rows.groupBy("n_name").agg(
         F.count("*").alias("candidates"), F.sum(F.greatest(F.lit(1), F.coalesce("n", F.lit(0)))).alias("sources"),
@@ -173,7 +173,7 @@ def reconcile_outputs(t: Tables):
 WHERE NOT EXISTS (SELECT 1 FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_nationkey = n_nationkey AND c_mktsegment = seg AND o_orderpriority = prio AND o_totalprice > 450000)""")
 def tasks_not_yet_seeded(t: Tables):
     """Every nation with every segment and priority (three short lists of values), without what is done."""
-    done = t.customer.join(t.orders.where("o_totalprice > 450000"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    done = t.customer.join(t.orders.where("o_totalprice > 450000"), F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     done = done.select("n_name", F.col("c_mktsegment").alias("seg"), F.col("o_orderpriority").alias("prio")).distinct()
     every = t.nation.select("n_name").crossJoin(t.customer.select(F.col("c_mktsegment").alias("seg")).distinct()).crossJoin(t.orders.select(F.col("o_orderpriority").alias("prio")).distinct())
     return every.join(done, ["n_name", "seg", "prio"], "left_anti")

@@ -80,7 +80,7 @@ def task_status(t: Tables):
 
 @query("SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey ORDER BY CASE c_mktsegment WHEN 'BUILDING' THEN 0 WHEN 'MACHINERY' THEN 1 ELSE 2 END, c_acctbal DESC, n_name, c_custkey LIMIT 30")
 def top_targets(t: Tables):
-    rows = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("c_mktsegment").alias("scene"), F.col("c_acctbal").alias("visits"), F.col("n_name").alias("country"), F.col("c_custkey").alias("name"))
+    rows = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("c_mktsegment").alias("scene"), F.col("c_acctbal").alias("visits"), F.col("n_name").alias("country"), F.col("c_custkey").alias("name"))
     return derive.top_targets(rows, ["BUILDING", "MACHINERY"], 30).select("c_custkey")
 
 

@@ -28,7 +28,7 @@ FROM c JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
 def city_summary(t: Tables):
     c = t.customer.withColumn("lat", F.col("c_custkey") % 140 - 70).withColumn("lon", F.col("c_custkey") * 7 % 360 - 180).withColumn("status", F.element_at(F.array(*map(F.lit, ("Verified", "Geocoded", "Guessed", "Cross-Checked", None))), (F.col("c_custkey") % 5 + 1).cast("int")))
     c = c.withColumn("ready", map_ready(F.col("lat"), F.col("lon"), F.col("status")))
-    c = c.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = c.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     key = F.concat(F.lower(F.trim("n_name")), F.lit("::"), F.lower(F.trim("c_mktsegment")))
     centre = lambda x: F.round(F.coalesce(F.avg(F.when(F.col("ready"), F.col(x))), F.avg(x)), 6).alias(x)
     ready = F.count_if("ready")
@@ -38,7 +38,7 @@ def city_summary(t: Tables):
 @query("""SELECT n_name, count(*) FILTER (c_mktsegment = 'AUTOMOBILE') AS automobile, count(*) FILTER (c_mktsegment = 'BUILDING') AS building, count(*) FILTER (c_mktsegment = 'FURNITURE') AS furniture,
   count(*) FILTER (c_mktsegment = 'HOUSEHOLD') AS household, count(*) FILTER (c_mktsegment = 'MACHINERY') AS machinery FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
 def country_segment_pivot(t: Tables):
-    rows = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     out = rows.groupBy("n_name").pivot("c_mktsegment", SEGMENTS).count().fillna(0)
     return out.select("n_name", *[F.col(c).alias(c.lower()) for c in SEGMENTS])
 
@@ -109,14 +109,14 @@ def main_evidence(t: Tables):
 @query("""SELECT r_name, count(DISTINCT n_nationkey) AS countries, count(c_custkey) AS candidates, count(*) FILTER (c_acctbal < 0) AS gaps, round(sum(c_acctbal), 2) AS total
 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1""")
 def region_rollup(t: Tables):
-    rows = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     return rows.groupBy("r_name").agg(F.count_distinct("n_nationkey").alias("countries"), F.count("c_custkey").alias("candidates"), F.count_if(F.col("c_acctbal") < 0).alias("gaps"), F.round(F.sum("c_acctbal"), 2).alias("total"))
 
 
 @query("""SELECT c_custkey, row_number() OVER (ORDER BY n_name, c_mktsegment, c_custkey) AS sort_order FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def read_model_order(t: Tables):
     """Ordinals of a total order: numbered within (nation, segment), after the counts of those before."""
-    rows = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", "c_mktsegment")
+    rows = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", "c_mktsegment")
     counts = rows.groupBy("n_name", "c_mktsegment").agg(F.count("*").alias("n"))
     before = counts.select("n_name", "c_mktsegment", (F.coalesce(F.sum("n").over(Window.orderBy("n_name", "c_mktsegment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("before"))
     own = latest.ranked(rows, ["n_name", "c_mktsegment"], [F.col("c_custkey")], "k")
