@@ -22,8 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch: texts may be long, and a batch is held in several copies outside the heap.
+BATCH, ARROW = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, where PYTHONPATH doesn't already have it."""
+    """Make this package importable in Python workers, where PYTHONPATH doesn't already have it.
+
+    Arrow batches of the session get BATCH rows, unless it has set another number than Spark's own.
+    """
+    if spark.conf.get(ARROW) == "10000":
+        spark.conf.set(ARROW, BATCH)
     root = Path(__file__).resolve().parents[2]
     app = spark.sparkContext.applicationId
     if app in _shipped or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
@@ -77,7 +86,9 @@ class Tables:
         before = self.spark.conf.get(CLEANUP, None)
         self.spark.conf.set(CLEANUP, "true")
         try:
-            df.write.parquet(path)
+            # numbers are written as they are: keys and hashes don't shrink, and codecs hold buffers outside the heap
+            texts = any(kind in t for _, t in df.dtypes for kind in ("string", "binary"))
+            (df.write if texts else df.write.option("compression", "none")).parquet(path)
         finally:
             self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
