@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstone.functions.geo import haversine
+from loomstone.functions import names as forms
+from loomstone.functions.geo import haversine, radius_join
 from loomstone.operators.latest import first_per_key
 from loomstone.operators.spatial import within_boxes
 
@@ -105,3 +106,74 @@ def assignment_plan(rows: DataFrame, identity: Sequence[Column]) -> tuple[DataFr
     keyed = rows.withColumn("identity", F.concat_ws("|", *identity))
     clashes = keyed.where("after IS NOT NULL").groupBy("identity").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
     return flow, clashes
+
+
+def preferred_exact(points: DataFrame, locations: DataFrame, reach_km: float, apart_km: float = 1.0) -> DataFrame:
+    """group, code, mean_km: for each group of points the location of its name with the least mean distance, where all points are within reach.
+
+    points: group, name, lat, lon (of one name for a group); locations: code, name, lat, lon (a row for each of its names). The next
+    location must be apart_km farther on average, or the group has none; points without coordinates and groups without any don't count.
+    """
+    p = points.where("lat IS NOT NULL AND lon IS NOT NULL").select("group", "name", "lat", "lon")
+    l = locations.select("code", "name", F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).dropDuplicates(["code", "name"])  # noqa: E741
+    d = haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"), 6371.0)
+    per = p.join(l, "name").groupBy("group", "code").agg(F.avg(d).alias("mean_km"), F.max(d).alias("_far")).where(F.col("_far") <= reach_km)
+    w = Window.partitionBy("group").orderBy("mean_km", "code")
+    two = first_per_key(per, ["group"], [F.col("mean_km"), F.col("code")], 2)
+    top = two.withColumn("_next", F.lead("mean_km").over(w)).withColumn("_k", F.row_number().over(w)).where("_k = 1")
+    return top.where(F.col("_next").isNull() | (F.col("_next") - F.col("mean_km") >= apart_km)).select("group", "code", "mean_km")
+
+
+def preferred_variant(
+    points: DataFrame, locations: DataFrame, reach_km: float, alike: Callable[[Column, Column], Column] = forms.sequence_ratio, least: float = 0.5
+) -> DataFrame:
+    """group, code, similarity, median_km, status of each group of points whose name no location has: the location with the most similar name near it.
+
+    points: group, name, lat, lon; locations: code, name, lat, lon (a row for each of its names). The upper median of a group's
+    distances must be within reach_km, so half of its points are, and a location is only looked at where one of them is: they meet by cells.
+    Names below least in similarity don't count. The most similar name is the answer, then the nearer one, then the smaller code; it is
+    for review if the next is less than 0.05 less similar and its distance differs by less than 5 km.
+    """
+    p = points.where("lat IS NOT NULL AND lon IS NOT NULL AND name <> ''").select("group", "name", "lat", "lon")
+    p = p.join(locations.select("name").distinct(), "name", "left_anti")
+    where = locations.where("lat IS NOT NULL AND lon IS NOT NULL").groupBy("code").agg(F.min_by("lat", F.struct("lat", "lon")).alias("_lat"), F.min_by("lon", F.struct("lat", "lon")).alias("_lon"))
+    met = radius_join(p.select("group", F.col("lat").alias("l_lat"), F.col("lon").alias("l_lon")), where.select("code", F.col("_lat").alias("r_lat"), F.col("_lon").alias("r_lon")), reach_km * 1000 * 1.001)
+    some = met.select("group", "code").distinct()
+    d = haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"), 6371.0)
+    far = some.join(where, "code").join(p, "group").withColumn("_d", d)
+    # the upper median is an element: the smallest with more than half of all at or below it
+    median = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY _d DESC)")
+    near = far.groupBy("group", "code").agg(median.alias("median_km"), F.first("name").alias("name")).where(F.col("median_km") <= reach_km)
+    scored = near.join(locations.select("code", F.col("name").alias("_alias")), "code").select("group", "code", "median_km", "name", "_alias").withColumn("_s", alike(F.col("name"), F.col("_alias")))
+    best = scored.groupBy("group", "code").agg(F.max("_s").alias("similarity"), F.first("median_km").alias("median_km")).where(F.col("similarity") >= least)
+    order = [F.desc("similarity"), F.col("median_km"), F.col("code")]
+    w = Window.partitionBy("group").orderBy(*order)
+    two = first_per_key(best, ["group"], order, 2)
+    top = two.withColumn("_s2", F.lead("similarity").over(w)).withColumn("_d2", F.lead("median_km").over(w)).withColumn("_k", F.row_number().over(w)).where("_k = 1")
+    close = (F.col("similarity") - F.col("_s2") < 0.05) & (F.abs(F.col("median_km") - F.col("_d2")) < 5.0)
+    return top.select("group", "code", "similarity", "median_km", F.when(F.coalesce(close, F.lit(False)), "review_required").otherwise("verified").alias("status"))
+
+
+#: How a step's answer came about, and what the other gazetteer said of it.
+AGREED, ALONE, DISPUTED = "agreed", "alone", "disputed"
+
+
+def registry(places: DataFrame, first: DataFrame, second: DataFrame, hints: DataFrame, nearest: DataFrame, apart_km: float = 25.0) -> tuple[DataFrame, DataFrame]:
+    """Each place's city out of five steps, and how many places each step and check settled.
+
+    places: id; first, second: id, code, lat, lon of two gazetteers' matches (code null: none); hints, nearest: id, code, by a place's
+    own name and by distance. The first gazetteer's answer counts unless the second one puts the city more than apart_km away, which is
+    disputed and goes no further; without an answer of the first the second one's counts, then the name's hint, then the nearest.
+    Result: id, code, step (first, second, hint, nearest, none), checked (agreed, alone, disputed, or null beyond the first step).
+    Audit: step, checked, n, in one pass over the result.
+    """
+    one = first.select("id", F.col("code").alias("_a"), F.col("lat").alias("_alat"), F.col("lon").alias("_alon"))
+    two = second.select("id", F.col("code").alias("_b"), F.col("lat").alias("_blat"), F.col("lon").alias("_blon"))
+    rows = places.select("id").join(one, "id", "left").join(two, "id", "left")
+    rows = rows.join(hints.select("id", F.col("code").alias("_c")), "id", "left").join(nearest.select("id", F.col("code").alias("_d")), "id", "left")
+    km = haversine(F.col("_alat"), F.col("_alon"), F.col("_blat"), F.col("_blon"), 6371.0)
+    checked = F.when(F.col("_a").isNotNull(), F.when(F.col("_b").isNull() | km.isNull(), ALONE).when(km <= apart_km, AGREED).otherwise(DISPUTED))
+    step = F.when(F.col("_a").isNotNull(), "first").when(F.col("_b").isNotNull(), "second").when(F.col("_c").isNotNull(), "hint").when(F.col("_d").isNotNull(), "nearest").otherwise("none")
+    code = F.when(F.coalesce(checked == DISPUTED, F.lit(False)), F.lit(None)).otherwise(F.coalesce("_a", "_b", "_c", "_d"))
+    out = rows.select("id", code.alias("code"), step.alias("step"), checked.alias("checked"))
+    return out, out.groupBy("step", "checked").agg(F.count("*").alias("n"))

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from loomstone.functions.names import edit_ratio
 from loomstone.operators import gazetteer
+from loomstone.operators.ranks import join_keys
 from loomstone.plans.registry import Tables, query
 
 _KM = "2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians({c}.lat - {p}.lat) / 2), 2) + cos(radians({p}.lat)) * cos(radians({c}.lat)) * pow(sin(radians({c}.lon - {p}.lon) / 2), 2))))"
@@ -93,3 +95,51 @@ def registry_cascade(t: Tables):
     near = gazetteer.gazetteer_match(q, g).where("verdict = 'matched'")
     named = q.join(g.groupBy("country", "name").agg(F.min("code").alias("code")), ["country", "name"]).select("id", "code")
     return gazetteer.first_answer(q, [("nearest", near), ("name", named)])
+
+
+_GROUPS = """p AS (SELECT c_nationkey AS g, c_custkey AS k, 'plaza ' || c_nationkey AS name, c_nationkey * 2 + (c_custkey % 10) * 0.01::DOUBLE AS lat, (c_nationkey * 2)::DOUBLE AS lon FROM customer),
+l AS (SELECT s_suppkey AS code, CASE s_suppkey % 3 WHEN 0 THEN 'plaza ' WHEN 1 THEN 'plazas ' ELSE 'piazza ' END || s_nationkey AS name, s_nationkey * 2 + (s_suppkey % 7) * 0.02::DOUBLE AS lat, (s_nationkey * 2)::DOUBLE AS lon FROM supplier)"""
+
+
+def _groups(t: Tables):
+    k, n, s = F.col("c_custkey"), F.col("c_nationkey"), F.col("s_suppkey")
+    text = lambda c: c.cast("string")
+    p = t.customer.select(n.alias("group"), F.concat(F.lit("plaza "), text(n)).alias("name"), (n * 2 + (k % 10) * 0.01).alias("lat"), (n * 2).cast("double").alias("lon"))
+    kind = F.when(s % 3 == 0, "plaza ").when(s % 3 == 1, "plazas ").otherwise("piazza ")
+    m = F.col("s_nationkey")
+    l = t.supplier.select(s.alias("code"), F.concat(kind, text(m)).alias("name"), (m * 2 + (s % 7) * 0.02).alias("lat"), (m * 2).cast("double").alias("lon"))  # noqa: E741
+    return p, l
+
+
+@query(f"""WITH {_GROUPS}, d AS (SELECT g, code, avg({_KM.format(c="l", p="p")}) AS mean, max({_KM.format(c="l", p="p")}) AS far FROM p JOIN l USING (name) GROUP BY ALL),
+r AS (SELECT g, code, mean, lead(mean) OVER w AS next, row_number() OVER w AS rn FROM d WHERE far <= 14 WINDOW w AS (PARTITION BY g ORDER BY mean, code))
+SELECT g, code, round(mean, 4) AS mean_km FROM r WHERE rn = 1 AND (next IS NULL OR next - mean >= 1)""")
+def preferred_names(t: Tables):
+    """The one location of a group's name that is nearest to all of its places."""
+    p, l = _groups(t)  # noqa: E741
+    return gazetteer.preferred_exact(p, l, 14.0).select(F.col("group").alias("g"), "code", F.round("mean_km", 4).alias("mean_km"))
+
+
+@query(f"""WITH {_GROUPS}, open AS (SELECT * FROM p WHERE name NOT IN (SELECT name FROM l)), d AS (SELECT g, code, any_value(p.name) AS a, any_value(l.name) AS b, list_sort(list({_KM.format(c="l", p="p")}))[count(*) // 2 + 1] AS mid FROM open p CROSS JOIN l GROUP BY g, code),
+s AS (SELECT g, code, mid, 1 - levenshtein(a, b) / greatest(length(a), length(b))::DOUBLE AS sim FROM d WHERE mid <= 12),
+r AS (SELECT *, lead(sim) OVER w AS s2, lead(mid) OVER w AS d2, row_number() OVER w AS rn FROM s WHERE sim >= 0.5 WINDOW w AS (PARTITION BY g ORDER BY sim DESC, mid, code))
+SELECT g, code, round(sim, 6) AS similarity, round(mid, 4) AS median_km, CASE WHEN sim - s2 < 0.05 AND abs(mid - d2) < 5 THEN 'review_required' ELSE 'verified' END AS status FROM r WHERE rn = 1""")
+def preferred_variants(t: Tables):
+    """For groups whose name no location has, the location near them with the most similar name."""
+    p, l = _groups(t)  # noqa: E741
+    v = gazetteer.preferred_variant(p, l, 12.0, edit_ratio)
+    return v.select(F.col("group").alias("g"), "code", F.round("similarity", 6).alias("similarity"), F.round("median_km", 4).alias("median_km"), "status")
+
+
+@query("""WITH c AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 > 0 THEN o_custkey END AS a, CASE WHEN o_orderkey % 4 > 0 THEN o_custkey + 1 END AS b, CASE WHEN o_orderkey % 5 > 0 THEN o_custkey + 2 END AS c, CASE WHEN o_orderkey % 7 > 0 THEN o_custkey + 3 END AS d,
+  (o_orderkey % 2)::DOUBLE AS off FROM orders),
+s AS (SELECT *, CASE WHEN a IS NOT NULL THEN CASE WHEN b IS NULL THEN 'alone' WHEN off = 0 THEN 'agreed' ELSE 'disputed' END END AS checked,
+  CASE WHEN a IS NOT NULL THEN 'first' WHEN b IS NOT NULL THEN 'second' WHEN c IS NOT NULL THEN 'hint' WHEN d IS NOT NULL THEN 'nearest' ELSE 'none' END AS step FROM c)
+SELECT step, checked, count(*) AS n, sum(CASE WHEN checked = 'disputed' THEN NULL ELSE coalesce(a, b, c, d) END)::BIGINT AS codes FROM s GROUP BY ALL""")
+def registry_steps(t: Tables):
+    """Five steps to a place's city, the first checked against the second, and the audit of all."""
+    k, v = F.col("o_orderkey"), F.col("o_custkey")
+    made = lambda m, n: t.orders.select(k.alias("id"), F.when(k % m > 0, v + n).alias("code"), (k % 2 * n).cast("double").alias("lat"), F.lit(0.0).alias("lon"))
+    out, audit = gazetteer.registry(t.orders.select(k.alias("id")), made(3, 0), made(4, 1), made(5, 2), made(7, 3))
+    codes = out.groupBy("step", "checked").agg(F.sum("code").alias("codes"))
+    return join_keys(audit, codes, ["step", "checked"]).select("step", "checked", "n", "codes")
