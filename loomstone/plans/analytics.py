@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from loomstone.operators import visits
+from loomstone.operators import recommend, visits
 from loomstone.operators.network import network_class
 from loomstone.operators.latest import ranked
 from loomstone.operators.ranks import circular_batch, join_keys, percentiles_of, row_numbers, share_below
@@ -112,3 +112,33 @@ SELECT user_id, max(n) FILTER (event_type = 'click') AS click_n, max(n) FILTER (
 def signal_pivot(t: Tables):
     r = t.events.where(F.col("event_type").isin("click", "purchase")).groupBy("user_id").pivot("event_type", ["click", "purchase"]).agg(F.count("event_id"))
     return r.select("user_id", F.col("click").alias("click_n"), F.col("purchase").alias("purchase_n"))
+
+
+@query("""WITH e AS (SELECT o_custkey AS place, o_orderkey AS k, o_orderkey % 3 AS metric_order, o_shippriority, o_orderkey % 4 AS tier, o_orderdate AS d, round(o_totalprice, 2) AS value, c_nationkey AS country, c_mktsegment AS scene, c_name AS name
+  FROM orders JOIN customer ON c_custkey = o_custkey),
+b AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY place ORDER BY metric_order, tier, d DESC, value DESC, lower(name), k) = 1),
+g AS (SELECT * FROM b WHERE scene <> 'BUILDING' OR metric_order = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY country, scene ORDER BY metric_order, value DESC, lower(name), place) AS rank FROM g),
+t AS (SELECT *, arg_max(metric_order, rank) FILTER (rank <= 3) OVER w AS tm, arg_max(value, rank) FILTER (rank <= 3) OVER w AS tv FROM r WINDOW w AS (PARTITION BY country, scene))
+SELECT place, rank, value, CASE WHEN scene = 'BUILDING' THEN value >= 150000 ELSE rank <= 3 OR (metric_order = tm AND value >= tv) END AS recommended FROM t""".replace(" o_shippriority,", ""))
+def recommended_places(t: Tables):
+    """The best evidence of each place by six keys, ranked in its country and scene; one scene has a fixed gate."""
+    o = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey"))
+    k = F.col("o_orderkey")
+    e = o.select(F.col("o_custkey").alias("place"), F.col("c_nationkey").alias("country"), F.col("c_mktsegment").alias("scene"), F.lit("").alias("city"), F.col("c_name").alias("name"),
+                 F.concat(F.lit("m"), (k % 3).cast("string")).alias("metric"), (k % 3).alias("metric_order"), (k % 4).alias("tier"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("dated"), F.round("o_totalprice", 2).alias("value"))
+    gates = t.spark.createDataFrame([("BUILDING", "m0", 150_000.0)], "scene string, metric string, least double")
+    return recommend.recommended(recommend.best_evidence(e), gates, 3).select("place", "rank", "value", "recommended")
+
+
+@query("""WITH p AS (SELECT c_custkey AS place, c_nationkey AS country, c_mktsegment AS scene, c_custkey % 400 AS identity, c_nationkey AS city, CASE WHEN c_custkey % 50 > 0 THEN c_nationkey::VARCHAR ELSE ' ' END AS city_id FROM customer),
+a AS (SELECT place, CASE WHEN place % 31 = 0 THEN 'review' ELSE 'verified' END AS status, city, CASE WHEN place % 37 = 0 THEN 'x' ELSE country::VARCHAR END AS city_id FROM p WHERE place % 41 > 0),
+j AS (SELECT p.*, a.place IS NULL AS gone, a.status <> 'verified' OR trim(a.city_id) = '' OR a.city_id <> p.city_id AS wrong FROM p LEFT JOIN a USING (place))
+SELECT count(*) AS places, 0::BIGINT AS count_differs, count(*) FILTER (trim(city_id) = '') AS without_city, count(*) FILTER (gone) AS without_assignment, count(*) FILTER (NOT gone AND wrong) AS invalid,
+  (SELECT count(*) FROM (SELECT 1 FROM p GROUP BY country, scene, identity HAVING count(*) > 1)) AS collisions, false AS passed FROM j""")
+def assignment_gate(t: Tables):
+    """The five numbers that block a release of city assignments, in one pass."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    p = t.customer.select(k.alias("place"), n.alias("country"), F.col("c_mktsegment").alias("scene"), (k % 400).alias("identity"), n.cast("string").alias("city"), F.when(k % 50 > 0, n.cast("string")).otherwise(" ").alias("city_id"))
+    a = t.customer.where("c_custkey % 41 > 0").select(k.alias("place"), F.when(k % 31 == 0, "review").otherwise("verified").alias("status"), n.cast("string").alias("city"), F.when(k % 37 == 0, "x").otherwise(n.cast("string")).alias("city_id"))
+    return recommend.assignment_gate(p, a, p.count())
