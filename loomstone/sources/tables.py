@@ -32,7 +32,11 @@ def filesystem(spark: SparkSession, name: str):
 
 
 class Scratch:
-    """Tables below one folder of the shared one. drop() removes tables that nothing reads any more; the rest goes with the session's JVM."""
+    """Tables below one folder of the shared one, which cut lineage.
+
+    drop() removes tables that nothing reads any more, at once; what is left goes when the session's JVM ends, since
+    results still read it. Shuffle files of a write are removed when it ends.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.folder = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
@@ -47,7 +51,9 @@ class Scratch:
         before = self.spark.conf.get(CLEANUP, None)
         self.spark.conf.set(CLEANUP, "true")
         try:
-            df.write.parquet(name)
+            # numbers are written as they are: keys and hashes don't shrink, and codecs hold buffers outside the heap
+            texts = any(kind in t for _, t in df.dtypes for kind in ("string", "binary"))
+            (df.write if texts else df.write.option("compression", "none")).parquet(name)
         finally:
             self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(name)
