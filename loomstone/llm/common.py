@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstone.sources.tables import Scratch as Tables
+from loomstone.sources.tables import shared_folder
+
+__all__ = ["Tables", "cut", "fold", "join_hot", "like", "sampled", "shared_folder", "ship", "steps_of", "table"]
+
 #: ASCII white space, and what lies between it, as Java and DuckDB regular expressions.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -45,65 +49,6 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(str(out))
 
 
-_own: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. Without it only a local session gets one of its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="ckpt-"))
-
-
-#: Spark removes the shuffle files of a write as soon as it ends, where this is set.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-class Tables:
-    """Tables written below one folder of the shared one, which cut lineage.
-
-    drop() removes tables that nothing reads any more, at once; what is left goes when the session's JVM ends, since
-    results still read it. Shuffle files of a write are removed when it ends.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.folder = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
-        self.at: dict[int, tuple[DataFrame, str]] = {}
-        path, fs = self._path(self.folder)
-        fs.mkdirs(path)
-        fs.deleteOnExit(path)
-
-    def _path(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def cut(self, df: DataFrame) -> DataFrame:
-        """df, written and read again."""
-        path = f"{self.folder}/{uuid.uuid4().hex[:12]}"
-        before = self.spark.conf.get(CLEANUP, None)
-        self.spark.conf.set(CLEANUP, "true")
-        try:
-            # numbers are written as they are: keys and hashes don't shrink, and codecs hold buffers outside the heap
-            texts = any(kind in t for _, t in df.dtypes for kind in ("string", "binary"))
-            (df.write if texts else df.write.option("compression", "none")).parquet(path)
-        finally:
-            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.at[id(out)] = (out, path)
-        return out
-
-    def drop(self, *frames: DataFrame | None) -> None:
-        """Remove these tables; frames that cut() did not give are left alone."""
-        for f in frames:
-            _, name = self.at.pop(id(f), (None, None))
-            if name:
-                path, fs = self._path(name)
-                fs.delete(path, True)
-
-
 def cut(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, which stays until the session ends."""
     return Tables(df.sparkSession).cut(df)
