@@ -7,13 +7,11 @@ ties and repeated rows mean is said at each stage.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.llm import exact_dedup, mixing, packing, simhash, toxicity
-from loomstone.llm.common import like, shared_folder, table
+from loomstone.llm.common import Tables, like, table
 from loomstone.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -64,11 +62,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each gives is written as Parquet in the shared folder and read again."""
-    shared = shared_folder(spark)
+    """All stages over documents; what each gives is written as Parquet in the shared folder and read again, and removed once the next is there.
+
+    The last one's table stays until the session ends, since the result reads it.
+    """
+    store = Tables(spark)
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        out = f"{shared}/corpus-{uuid.uuid4().hex}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+    for _, stage in STAGES:
+        before, docs = docs, store.cut(stage(spark, docs, sf_dir))
+        store.drop(before)
     return docs
