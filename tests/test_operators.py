@@ -224,7 +224,7 @@ def test_search_order(spark):
 
 QUANTITIES = [
     ("seat_count", "Capacity 45,000 seats (2019)", 45000.0, "seats"), ("seat_count", "78.838 spectators; a budget of $5 million", 78838.0, "seats"), ("annual_visits", "12.5 million visitors a year", 12.5e6, "visits/year"),
-    ("annual_visits", "in 2019", None, None), ("daily_ridership", "peak 90,000 per day; 31,200 passengers per day", 31200.0, "visits/day"), ("gla", "10,000 square feet", 929.03, "sqm"),
+    ("annual_visits", "in 2019", None, None), ("daily_ridership", "peak 90,000 per day in one of the summers, and else 31,200 passengers per day", 31200.0, "visits/day"), ("gla", "10,000 square feet", 929.03, "sqm"),
     ("beds", "each hospital has about 120 beds, 4,000 beds in all", 120.0, "beds"), ("rooms", "20 meeting rooms", None, None), ("line_count", "served by 45 metro lines", None, None), ("international_passenger_share", "43.5 %", 43.5, "percent"),
 ]
 
