@@ -66,14 +66,17 @@ def across(key: np.ndarray, x: np.ndarray, label: np.ndarray, distance: int, mos
         star = np.flatnonzero((own != own[middle]) & within(y, y[middle], distance))
         a.append(np.full(len(star), s + middle))
         b.append(star + s)
-        more.append(np.zeros(len(star), bool))
+        to_middle = np.zeros(n, bool)
+        to_middle[star] = True
+        more.append(np.ones(len(star), bool) if most < n else np.zeros(len(star), bool))
         step = max(1, 1_000_000 // n)
         for at in range(0, len(outer), step):
             i = outer[at : at + step]
             d = np.bitwise_count(y[i][:, None] ^ y[None]).sum(axis=-1, dtype=np.int64)
             d[own[i][:, None] == own[None]] = 1 << 20
             hits = (d <= distance).sum(axis=1)
-            for k in np.flatnonzero(hits).tolist():
+            # of what has more than it may pass on, and is near the middle, that one pair stands for all: the key stays open
+            for k in np.flatnonzero((hits > 0) & ((hits <= most) | ~to_middle[i])).tolist():
                 found = np.argsort(d[k], kind="stable")[: min(most, int(hits[k]))]
                 a.append(np.full(len(found), s + i[k]))
                 b.append(found + s)
