@@ -50,7 +50,8 @@ def across(key: np.ndarray, x: np.ndarray, label: np.ndarray, distance: int, mos
 
     Of a run of more than 2 * FEW, each place outside its most common label gives the nearest most of its pairs;
     every such pair has an end outside that label, so what is not left out is complete. The place nearest to all (to a few
-    of them, evenly drawn) gives its pair with each other one, too, since copies are closer to what they were copied from than to each other.
+    of them, evenly drawn) gives its pair with each other one, too, since copies are closer to what they were copied from than to each other;
+    a place that has more than most and is near that one gives this pair alone.
     """
     starts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
     sizes = np.diff(np.concatenate((starts, [len(key)])))
