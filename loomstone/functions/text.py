@@ -69,6 +69,25 @@ def latin(c: Column) -> Column:
     return F.translate(out, LATIN_FROM, LATIN_TO)
 
 
+#: Words that are spelled in another way elsewhere.
+SPELLINGS = {"tsentralnyy": "central", "tsentralny": "central", "dinamo": "dynamo", "lva": "lev", "yashina": "yashin"}
+#: Letters of a romanized word and what others write for them.
+SPELLED = (("ye", "e"), ("yo", "e"), ("ts", "c"))
+
+
+def spellings(word: Column) -> Column:
+    """The ways in which a romanized word (in lower case) may be written, itself first, each once: as SPELLINGS has it, without a final a
+    (of six letters or more), with iy or i for a final y, and with SPELLED replaced throughout. Null and empty words have none.
+    """
+    known = F.element_at(F.create_map(*[F.lit(x) for pair in SPELLINGS.items() for x in pair]), word)
+    stem = F.substr(word, F.lit(1), F.length(word) - 1)
+    nominative = F.when(F.endswith(word, F.lit("a")) & (F.length(word) >= 6), stem)
+    endings = [F.when(F.endswith(word, F.lit("y")), F.concat(stem, F.lit(e))) for e in ("iy", "i")]
+    plain = [F.replace(word, F.lit(a), F.lit(b)) for a, b in SPELLED]
+    every = F.array_compact(F.array(word, known, nominative, *endings, *plain))
+    return F.array_distinct(F.filter(every, lambda w: w != ""))
+
+
 def mentions(c: Column, word: str, around: int = 60) -> Column:
     """What stands up to around characters on either side of each mention of a word, in lower case."""
     import re

@@ -89,6 +89,26 @@ def status_counts(tasks: DataFrame, groups: Sequence[str], status: str, known: S
     return tasks.groupBy(*groups).agg(*each, other, F.count("*").alias("total"))
 
 
+def discovery_status(tasks: DataFrame, progress: DataFrame, evidence: DataFrame, runs: DataFrame) -> DataFrame:
+    """section, name, n, at: how far a discovery has come.
+
+    tasks, progress and evidence (status): n rows of each status, in sections task_backlog, progress_status and
+    raw_evidence_status; a null status is a name of its own. pending_evidence: new evidence that needs curation
+    (curation_needed), 0 if there is none. latest_run: of runs (run, started_at) the one started last, of
+    ties the largest run, with its start as at; no row without runs that have a start.
+
+    One shuffle for all sections, of counts that are made before it.
+    """
+    sections = {"task_backlog": tasks, "progress_status": progress, "raw_evidence_status": evidence}
+    tagged = [df.select(F.lit(s).alias("section"), F.col("status").cast("string").alias("name")) for s, df in sections.items()]
+    per = tagged[0].unionByName(tagged[1]).unionByName(tagged[2]).groupBy("section", "name").agg(F.count("*").alias("n"))
+    waits = F.coalesce((F.col("status") == "new") & F.col("curation_needed"), F.lit(False))
+    pending = evidence.agg(F.count_if(waits).alias("n")).select(F.lit("pending_evidence").alias("section"), F.lit("new").alias("name"), "n")
+    last = runs.where("started_at IS NOT NULL").agg(F.max(F.struct("started_at", "run")).alias("r")).where("r IS NOT NULL")
+    latest = last.select(F.lit("latest_run").alias("section"), F.col("r.run").cast("string").alias("name"), F.col("r.started_at").alias("at"))
+    return per.unionByName(pending).unionByName(latest, allowMissingColumns=True)
+
+
 def top_targets(rows: DataFrame, scenes: Sequence[str], n: int) -> DataFrame:
     """The n first rows (scene, visits, country, name): scenes in the order given, others last, then most visits, country, name."""
     rank = F.lit(len(scenes))

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomstone.functions import text
 from loomstone.operators.latest import first_per_key
 
 
@@ -111,3 +112,14 @@ def similar_pairs(ours: DataFrame, theirs: DataFrame, block: Sequence[str], x: s
     pairs = met.where(near).select(*block, x, y).distinct()
     shared = F.size(F.array_intersect(letters(F.col(x)), letters(F.col(y))))
     return pairs.where(shared * 2 >= (long + wide) * ratio - 1e-9)
+
+
+def spelled_alike(words: DataFrame) -> DataFrame:
+    """word, other: words of which another one in the table is a spelling (see text.spellings).
+
+    words: word, once or more each; null and empty ones are nowhere. An equality join on the spelling, of which a word has
+    eight at most, so no pair is made that is not a result.
+    """
+    own = words.select("word").distinct()
+    said = own.select("word", F.explode(text.spellings(F.col("word"))).alias("other")).where("word <> other")
+    return said.join(own.select(F.col("word").alias("other")), "other", "left_semi").select("word", "other")

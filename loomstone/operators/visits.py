@@ -122,6 +122,32 @@ def safe_visits(value: Column) -> Column:
     return F.when(~year_like(value), value)
 
 
+#: Columns of demand that follow from a year's visits, and what stands beside them once they are blank.
+DEMAND = ("daily_visits", "busy_hour_users", "busy_hour_traffic_gb", "busy_hour_bandwidth_mbps")
+BLOCKED = "annual visits look like a year"
+
+
+def scrubbed(
+    rows: DataFrame, annual: str = "annual_visits_est", raw: str | None = "annual_visits_raw", demand: Sequence[str] = DEMAND, reason: str | None = "cannot_calculate_reason"
+) -> DataFrame:
+    """rows as they may be shown: where annual may be a year, it and all demand are null, and reason says why.
+
+    annual becomes a double, or null if it is no number; raw is blanked if annual is and it looks like a year itself. Columns
+    of demand, raw and reason that rows lacks are left out (a map's features have fewer of them). All else stays, and so
+    does every row; rows with no annual value keep their demand.
+    """
+    bad = year_like(F.col(f"`{annual}`").try_cast("double"))
+    has = set(rows.columns)
+    new = {annual: safe_visits(F.col(f"`{annual}`").try_cast("double"))}
+    if raw in has:
+        own = F.col(f"`{raw}`")
+        new[raw] = F.when(~(bad & year_like(own.try_cast("double"))), own)
+    new |= {c: F.when(~bad, F.col(f"`{c}`")) for c in demand if c in has}
+    if reason in has:
+        new[reason] = F.when(bad, F.lit(BLOCKED)).otherwise(F.col(f"`{reason}`"))
+    return rows.withColumns(new)
+
+
 def value_class(visits: Column) -> Column:
     return (
         F.when(visits >= 10_000_000, "National Flagship").when(visits >= 1_000_000, "City Core")

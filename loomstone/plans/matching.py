@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from loomstone.functions import geo
+from loomstone.functions import geo, text
 from loomstone.functions.names import edit_ratio
 from loomstone.operators import matching
 from loomstone.operators.latest import first_per_key
@@ -154,3 +154,17 @@ def incremental_index(t: Tables):
     new = t.documents.where("doc_id % 11 <> 0").select("doc_id", h(F.col("text"), "b"))
     state = F.when(F.col("a").isNull(), "new").when(F.col("b").isNull(), "gone").when(F.col("a") == F.col("b"), "unchanged").otherwise("changed")
     return old.join(new, "doc_id", "full_outer").select("doc_id", state.alias("state"))
+
+
+_SPELLED = ", ".join(f"replace(word, '{a}', '{b}')" for a, b in text.SPELLED)
+_KNOWN = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in text.SPELLINGS.items())
+
+
+@query(rf"""WITH w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS word FROM documents),
+s AS (SELECT DISTINCT word, unnest([CASE word {_KNOWN} END, CASE WHEN ends_with(word, 'a') AND length(word) >= 6 THEN left(word, length(word) - 1) END,
+  CASE WHEN ends_with(word, 'y') THEN left(word, length(word) - 1) || 'iy' END, CASE WHEN ends_with(word, 'y') THEN left(word, length(word) - 1) || 'i' END, {_SPELLED}]) AS other FROM w)
+SELECT s.word, other FROM s JOIN w ON w.word = other WHERE other <> s.word""")
+def words_spelled_alike(t: Tables):
+    """Words of the texts that the texts hold in another romanized spelling, too."""
+    words = F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("word")
+    return matching.spelled_alike(t.documents.select(words).select(F.lower("word").alias("word")))

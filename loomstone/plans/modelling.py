@@ -26,6 +26,24 @@ def year_like_guard(t: Tables):
     return rows.select("o_orderkey", visits.safe_visits(F.col("p")).alias("visits"), visits.year_like(F.col("p")).alias("year_like"))
 
 
+@query(f"""WITH v AS (SELECT o_orderkey, floor(o_totalprice / 100) AS est, CASE WHEN o_custkey % 2 = 0 THEN floor(o_totalprice / 100) ELSE floor(o_totalprice / 100) * 10 END AS raw, CASE WHEN o_orderstatus = 'F' THEN 'no unit' END AS reason FROM orders),
+y AS (SELECT *, est BETWEEN 1900 AND 2100 AS bad FROM v)
+SELECT o_orderkey, CASE WHEN NOT bad THEN est END AS annual_visits_est, CASE WHEN NOT (bad AND raw BETWEEN 1900 AND 2100) THEN raw END AS annual_visits_raw, CASE WHEN NOT bad THEN est / 365 END AS daily_visits,
+  CASE WHEN NOT bad THEN est / 50 END AS busy_hour_users, CASE WHEN bad THEN '{visits.BLOCKED}' ELSE reason END AS cannot_calculate_reason FROM y""")
+def scrubbed_visits(t: Tables):
+    """Payloads without visits that are a year, and without the demand that follows from them."""
+    est = F.floor(F.col("o_totalprice") / 100).cast("double")
+    rows = t.orders.select(
+        "o_orderkey",
+        est.alias("annual_visits_est"),
+        F.when(F.col("o_custkey") % 2 == 0, est).otherwise(est * 10).alias("annual_visits_raw"),
+        (est / 365).alias("daily_visits"),
+        (est / 50).alias("busy_hour_users"),
+        F.when(F.col("o_orderstatus") == "F", "no unit").alias("cannot_calculate_reason"),
+    )
+    return visits.scrubbed(rows)
+
+
 @query("""SELECT l_orderkey, l_linenumber, coalesce(l_quantity BETWEEN lo AND hi, true) AS plausible FROM lineitem LEFT JOIN (VALUES ('A', 5.0, 40.0), ('N', 1.0, 45.0)) b(f, lo, hi) ON l_returnflag = f""")
 def plausibility_bounds(t: Tables):
     bounds = t.spark.createDataFrame([("A", 5.0, 40.0), ("N", 1.0, 45.0)], "f string, lo double, hi double")

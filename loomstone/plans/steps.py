@@ -78,6 +78,19 @@ def task_status(t: Tables):
     return derive.status_counts(t.orders.withColumn("source", F.col("o_orderpriority")), ["source"], "o_orderstatus", ["O", "F"])
 
 
+@query("""WITH e AS (SELECT CASE event_type WHEN 'signup' THEN 'new' ELSE event_type END AS status, value > 100 AS curation_needed FROM events),
+s AS (SELECT 'task_backlog' AS section, o_orderstatus AS name FROM orders UNION ALL SELECT 'progress_status', l_linestatus FROM lineitem UNION ALL SELECT 'raw_evidence_status', status FROM e)
+SELECT section, name, count(*) AS n, NULL AS at FROM s GROUP BY ALL UNION ALL SELECT 'pending_evidence', 'new', count(*) FILTER (status = 'new' AND curation_needed), NULL FROM e
+UNION ALL SELECT 'latest_run', event_id::VARCHAR, NULL, strftime(ts, '%Y-%m-%d %H:%M:%S') FROM (SELECT * FROM events WHERE ts IS NOT NULL ORDER BY ts DESC, event_id DESC LIMIT 1)""")
+def discovery_status(t: Tables):
+    """Statuses of tasks, progress and evidence, what waits for curation, and the run that began last."""
+    status = F.when(F.col("event_type") == "signup", "new").otherwise(F.col("event_type"))
+    tasks, progress = t.orders.select(F.col("o_orderstatus").alias("status")), t.lineitem.select(F.col("l_linestatus").alias("status"))
+    evidence = t.events.select(status.alias("status"), (F.col("value") > 100).alias("curation_needed"))
+    found = derive.discovery_status(tasks, progress, evidence, t.events.select(F.col("event_id").alias("run"), F.col("ts").alias("started_at")))
+    return found.select("section", "name", "n", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
 @query("SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey ORDER BY CASE c_mktsegment WHEN 'BUILDING' THEN 0 WHEN 'MACHINERY' THEN 1 ELSE 2 END, c_acctbal DESC, n_name, c_custkey LIMIT 30")
 def top_targets(t: Tables):
     rows = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("c_mktsegment").alias("scene"), F.col("c_acctbal").alias("visits"), F.col("n_name").alias("country"), F.col("c_custkey").alias("name"))
