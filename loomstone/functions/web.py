@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -96,6 +96,69 @@ def packet_issues(document: Column, required: Sequence[str], numbers: Sequence[s
     return F.when(whole.isNull(), F.array(F.lit("no object"))).otherwise(F.array_compact(F.array(*missing, *wrong)))
 
 
+def schema_issues(document: Column, schema: Mapping) -> Column:
+    """What a JSON text breaks of a JSON schema: an array of "path: what", in the schema's order; empty if it is valid.
+
+    The schema may say type (one or several), enum (texts and null), minimum, maximum, minItems, required, properties
+    and items, nested to any depth; other words are passed over. Keys beyond properties are allowed. A number without
+    a fraction is an integer, however it is written. A null text and one that is no JSON have the one issue
+    "$: no JSON". Of repeated keys nothing is known: such texts are no JSON. Everything stays in the JVM, and each
+    element of an array is read once.
+    """
+    v = F.try_parse_json(document)
+    none = F.array(F.lit("$: no JSON"))
+    return F.when(v.isNull(), none).otherwise(_bound(v, lambda x: _breaks(x, schema, F.lit("$"))))
+
+
+def _bound(v: Column, of: Callable[[Column], Column]) -> Column:
+    """of(v), with v evaluated once; an empty array where v is null."""
+    return F.flatten(F.transform(F.filter(F.array(v), lambda x: x.isNotNull()), of))
+
+
+def _by(rule: Mapping, at: Column) -> Callable[[Column], Column]:
+    return lambda v: _breaks(v, rule, at)
+
+
+def _breaks(v: Column, rule: Mapping, at: Column) -> Column:
+    """What a value breaks of a rule; at is its path."""
+    kind, number = F.schema_of_variant(v), F.try_variant_get(v, "$", "double")
+    numeric, many = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), kind.startswith("ARRAY")
+    whole = kind.startswith("OBJECT")
+    types = {
+        "object": whole, "array": many, "string": kind == "STRING", "boolean": kind == "BOOLEAN", "null": kind == "VOID",
+        "number": numeric, "integer": numeric & F.coalesce(number % 1 == 0, F.lit(False)),
+    }
+    empty = F.array().cast("array<string>")
+    say = lambda bad, what: F.when(F.coalesce(bad, F.lit(False)), F.array(F.concat(at, F.lit(f": {what}")))).otherwise(empty)
+    child = lambda key: F.try_variant_get(v, f"$['{key}']", "variant")
+    out = [empty]
+    if "type" in rule:
+        wanted = [rule["type"]] if isinstance(rule["type"], str) else list(rule["type"])
+        fits = types[wanted[0]]
+        for t in wanted[1:]:
+            fits = fits | types[t]
+        out.append(say(~fits, "not " + " or ".join(wanted)))
+    if "enum" in rule:
+        texts = [x for x in rule["enum"] if x is not None]
+        fits = types["string"] & F.try_variant_get(v, "$", "string").isin(*texts)
+        out.append(say(~(fits | types["null"] if None in rule["enum"] else fits), "not one of " + ", ".join(texts)))
+    if "minimum" in rule:
+        out.append(say(numeric & (number < rule["minimum"]), f"below {rule['minimum']}"))
+    if "maximum" in rule:
+        out.append(say(numeric & (number > rule["maximum"]), f"above {rule['maximum']}"))
+    elements = F.try_variant_get(v, "$", "array<variant>")
+    if "minItems" in rule:
+        out.append(say(many & (F.size(elements) < rule["minItems"]), f"fewer than {rule['minItems']} items"))
+    out += [say(whole & child(k).isNull(), f"{k} missing") for k in rule.get("required", ())]
+    for k, sub in rule.get("properties", {}).items():
+        path = F.concat(at, F.lit(f".{k}"))
+        out.append(F.when(whole, _bound(child(k), _by(sub, path))).otherwise(empty))
+    if "items" in rule:
+        each = lambda x, i: _breaks(x, rule["items"], F.concat(at, F.lit("["), i.cast("string"), F.lit("]")))
+        out.append(F.when(many, F.flatten(F.transform(elements, each))).otherwise(empty))
+    return F.concat(*out)
+
+
 def record_key(*parts: Column) -> Column:
     """A key of a raw record: its parts trimmed and in lower case, null ones empty, joined by a bar."""
     return F.array_join(F.array(*[F.lower(F.trim(F.coalesce(p.cast("string"), F.lit("")))) for p in parts]), "|")

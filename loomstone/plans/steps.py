@@ -159,6 +159,36 @@ def json_packets(t: Tables):
     return rows.select("event_id", F.size(found).alias("items"), web.merged_json(F.col("base"), F.lit('{"b":"2"}')).alias("merged"), F.array_join(web.packet_issues(F.col("p"), ["$.name"], ["$.n"]), "; ").alias("issues"))
 
 
+#: What a packet of an event must have.
+_PACKET = {
+    "type": "object",
+    "required": ["entity", "evidence"],
+    "properties": {
+        "entity": {
+            "type": "object",
+            "required": ["user", "kind"],
+            "properties": {"user": {"type": "integer"}, "kind": {"enum": ["purchase", "signup", "view"]}, "value": {"type": ["number", "null"], "maximum": 200}},
+        },
+        "evidence": {"type": "array", "minItems": 1, "items": {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "minimum": 10}}}},
+    },
+}
+
+
+@query("""WITH e AS (SELECT event_id, event_type AS kind, value, props, props IS NULL OR json_valid(props) AS whole, (json_extract(props, '$.k'))::VARCHAR AS k, json_type(props, '$.k') AS t FROM events)
+SELECT event_id, CASE WHEN NOT whole THEN '$: no JSON' ELSE array_to_string(list_filter([CASE WHEN kind IS NULL OR kind NOT IN ('purchase', 'signup', 'view') THEN '$.entity.kind: not one of purchase, signup, view' END,
+  CASE WHEN value > 200 THEN '$.entity.value: above 200' END, CASE WHEN props IS NULL THEN '$.evidence: fewer than 1 items' END,
+  CASE WHEN props IS NOT NULL AND k IS NULL THEN '$.evidence[0]: k missing' END, CASE WHEN props IS NOT NULL AND t IN ('BIGINT', 'UBIGINT') AND k::DOUBLE < 10 THEN '$.evidence[0].k: below 10' END],
+  lambda x: x IS NOT NULL), '; ') END AS issues FROM e""")
+def packets_against_schema(t: Tables):
+    """What the packet of each event, with its properties as evidence, breaks of a nested schema."""
+    text_of = lambda c: F.coalesce(F.concat(F.lit('"'), c, F.lit('"')), F.lit("null"))
+    value = F.coalesce(F.col("value").cast("string"), F.lit("null"))
+    parts = ('{"entity":{"user":', F.coalesce(F.col("user_id"), F.lit(0)).cast("string"), ',"kind":', text_of(F.col("event_type")), ',"value":', value)
+    parts += ('},"evidence":[', F.coalesce("props", F.lit("")), "]}")
+    packet = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    return t.events.select("event_id", F.array_join(web.schema_issues(packet, _PACKET), "; ").alias("issues"))
+
+
 @query(r"""SELECT doc_id, sha256(trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g'))) AS h FROM documents WHERE text IS NOT NULL""")
 def source_text_hashes(t: Tables):
     """The key under which a translation of a text is kept."""
