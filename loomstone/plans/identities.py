@@ -133,6 +133,22 @@ def _pick(k):
     return F.element_at(F.array(*map(F.lit, _TEXTS)), (k % len(_TEXTS) + 1).cast("int"))
 
 
+_LIST = lambda words: ", ".join(f"'{w}'" for w in words)
+
+
+@query(rf"""WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(regexp_replace(coalesce(text, ''), '[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)+', ' ', 'g'), '\p{{L}}+(?:-\p{{L}}+)*'), lambda x: regexp_full_match(x, '[\p{{Latin}}-]+')) AS w FROM documents),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i, w FROM w),
+n AS (SELECT *, coalesce(regexp_matches(w[i - 1], '.\p{{Lu}}|^\p{{Lu}}[^-]*$'), false) AND i > 1 AS before, coalesce(regexp_matches(w[i + 1], '.\p{{Lu}}|^\p{{Lu}}[^-]*$'), false) AS after FROM x),
+k AS (SELECT doc_id, lower(word) AS word, min(i) AS i FROM n WHERE length(word) >= 3 AND NOT regexp_matches(word, '.\p{{Lu}}|^\p{{Lu}}[^-]*$')
+  AND lower(word) NOT IN ({_LIST(text.NEUTRAL)}) AND NOT (lower(word) IN ({_LIST(text.CONNECTORS)}) AND before AND after) GROUP BY ALL),
+d AS (SELECT doc_id, count(*) AS n, sha256(string_agg(word, ' ' ORDER BY i)) AS words FROM k GROUP BY 1)
+SELECT documents.doc_id, coalesce(n, 0) AS n, coalesce(words, sha256('')) AS words FROM documents LEFT JOIN d ON d.doc_id = documents.doc_id""")
+def words_to_translate(t: Tables):
+    """How many words of a text a translation would change, and a digest of them. (The given texts hold no Chinese, so no row of words is a name there.)"""
+    rows = t.documents.select("doc_id", text.translatable(F.col("text")).alias("w"))
+    return rows.select("doc_id", F.size("w").cast("long").alias("n"), F.sha2(F.array_join("w", " "), 256).alias("words"))
+
+
 @query(f"""WITH a AS (SELECT doc_id, {_PICK_SQL}[(doc_id % {len(_TEXTS)} + 1)::INT] || ' ' || CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, doc_id % 40) ELSE '' END AS x FROM documents WHERE text IS NOT NULL), b AS (SELECT doc_id, x, {_LETTERS} FROM a)
 SELECT doc_id, {_LOCALE} AS locale, length(trim(x)) >= 8 AND NOT regexp_matches(lower(x), '待研究|待定|tbd|todo|进一步研究') AND regexp_matches(x, '补查|查询|核验|核查|确认|比对|检查') AS concrete FROM b""")
 def text_locales(t: Tables):

@@ -65,3 +65,26 @@ def test_words_spelled_alike_are_found_by_equality(spark):
     got = sorted(tuple(r) for r in matching.spelled_alike(words).collect())
     assert got == [("dinamo", "dynamo"), ("ledovyy", "ledovyi"), ("tsirk", "cirk")]
     assert matching.spelled_alike(words.limit(0)).count() == 0
+
+
+def test_words_of_names_and_connectors_are_not_translated(spark):
+    cases = {
+        "Bank of Oran reports visitors 客流": ["reports", "visitors"],
+        "the grand Arena hall 体育场 opened": ["opened"],
+        "the grand Arena hall, 体育场": ["the", "grand", "hall"],
+        "arena serves Oran 市": ["arena", "serves"],
+        "seat_count gla sqm UK iPhone ok": [],
+        "new-town Abc-def New new NEW": ["new-town", "abc-def", "new"],
+        "abc的 def-的 ghi": ["ghi"],
+        "Bank, of Oran of oran": ["oran"],
+        "Port of the Sea": ["the"],
+        "Été de Nîmes église église": ["église"],
+        "a-" * 60 + "b and then": ["and", "then"],
+        "long " * 30_000 + "Hall 馆": [],
+        "long " * 30_000 + "Hall, 馆": ["long"],
+        "": [],
+        None: [],
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r["t"]: r["w"] for r in df.select("t", text.translatable(F.col("t")).alias("w")).collect()}
+    assert got == cases
