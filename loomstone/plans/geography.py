@@ -33,7 +33,9 @@ def nearest_with_gap(t: Tables):
     two = spatial.nearest(c.select(F.col("k").alias("id"), F.col("l_lat").alias("lat"), F.col("l_lon").alias("lon")), p.select(F.col("s").alias("point"), F.col("r_lat").alias("lat"), F.col("r_lon").alias("lon")), 2, 500_000)
     pick = lambda n, x: F.max(F.when(F.col("position") == n, F.col(x)))
     r = two.groupBy(F.col("id").alias("k")).agg(pick(1, "point").alias("s"), pick(1, "distance_m").alias("first"), pick(2, "distance_m").alias("second"))
-    clear = F.col("second").isNull() | ((F.col("second") - F.col("first") >= 50_000) & (F.col("second") / F.col("first") >= 1.5))
+    # at no distance at all any other is more than 1.5 times as far; the gap decides alone
+    times = F.when(F.col("first") == 0, F.lit(True)).otherwise(F.try_divide("second", "first") >= 1.5)
+    clear = F.col("second").isNull() | ((F.col("second") - F.col("first") >= 50_000) & times)
     return r.select("k", "s", F.round("first", 1).alias("distance_m"), F.when(clear, "matched").otherwise("review").alias("status"))
 
 
