@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.functions import grid
-from loomstone.functions.geo import haversine
+from loomstone.functions.geo import EARTH_M, haversine
 from loomstone.operators.latest import first_per_key
 from loomstone.operators.ranks import join_keys
 from loomstone.sources.tables import Scratch
@@ -135,31 +135,49 @@ def within_boxes(points: DataFrame, boxes: DataFrame, same: Sequence[str] = ())
     return met.select(*points.columns, "region").distinct()
 
 
-def nearest(places: DataFrame, points: DataFrame, k: int, most_m: float = 21_000_000.0, dense: int = 64) -> DataFrame:
+def nearest(
+    places: DataFrame, points: DataFrame, k: int, most_m: float = 21_000_000.0, same: Sequence[str] = (), earth: float = EARTH_M, repeated: bool = False
+) -> DataFrame:
     """id, point, distance_m, position: the k nearest points (point, lat, lon) of each place (id, lat, lon) within most_m, ties to the smaller point.
 
-    Points are counted per cell of every second level, coarse to fine. A place looks up its deepest cell that holds k points:
-    all of these are within the cell's diagonal, so the k nearest lie in a circle as wide, however far or dense they are. The
-    circle is then met by cells two levels deeper, so that a dense neighbour is read in part. A place for which no cell holds k
-    points takes the widest circle. Counts are as many as occupied cells and are joined, not broadcast. Null coordinates take
-    no part.
+    Places of one spot have one answer, so it is sought once for each spot and joined to the places; of points in one spot only the k
+    smallest can be among the nearest, so no more of them are looked at. Points are counted per cell of every second level, coarse to
+    fine. A place looks up its deepest cell that holds k points: all of these are within the cell's diagonal, so the k nearest lie in a
+    circle as wide, however far or dense they are. The circle is then met by cells about as large as itself, some dozens of them. A place
+    for which no cell holds k points takes the widest circle. Counts are as many as occupied cells and are joined, not
+    broadcast. Null coordinates take no part. Columns in same must be equal on both sides, too, and not null; earth is the radius in the
+    unit of distance_m and most_m; repeated says that a point may be in several spots, of which the nearest counts.
     """
     levels = list(range(0, grid.DEEPEST - 1, 2))
-    p = points.where("lat IS NOT NULL AND lon IS NOT NULL").select("point", F.col("lat").alias("_plat"), F.col("lon").alias("_plon"))
-    own = places.where("lat IS NOT NULL AND lon IS NOT NULL").select("id", "lat", "lon")
+    metres = EARTH_M / earth
+    keys = [*same, "lat", "lon"]
+    p = points.where("lat IS NOT NULL AND lon IS NOT NULL").select(*same, "point", "lat", "lon")
+    if repeated:
+        p = p.distinct()
+    p = first_per_key(p, keys, [F.col("point")], k).select(*same, "point", F.col("lat").alias("_plat"), F.col("lon").alias("_plon"))
+    there = places.where("lat IS NOT NULL AND lon IS NOT NULL").select("id", *keys)
+    own = there.select(*keys).distinct()
     cells = lambda lat, lon: F.explode(F.array(*[F.struct(F.lit(v).alias("level"), grid.cell(F.col(lat), F.col(lon), v).alias("cell")) for v in levels])).alias("_c")
-    counts = p.select(cells("_plat", "_plon")).groupBy("_c.level", "_c.cell").agg(F.count("*").alias("_n")).where(F.col("_n") >= k)
-    ranked = own.select("id", "lat", "lon", cells("lat", "lon")).select("id", "lat", "lon", "_c.level", "_c.cell").join(counts, ["level", "cell"], "left")
-    deepest = ranked.groupBy("id", "lat", "lon").agg(F.max(F.when(F.col("_n").isNotNull(), F.col("level"))).alias("_level"))
+    number = F.count_distinct("point") if repeated else F.count("*")
+    counts = p.select(*same, "point", cells("_plat", "_plon")).groupBy(*same, "_c.level", "_c.cell").agg(number.alias("_n")).where(F.col("_n") >= k)
+    ranked = own.select(*keys, cells("lat", "lon")).select(*keys, "_c.level", "_c.cell").join(counts, [*same, "level", "cell"], "left")
+    deepest = ranked.groupBy(*keys).agg(F.max(F.when(F.col("_n").isNotNull(), F.col("level"))).alias("_level"))
     # a cell is at most twice as wide as high
-    diagonal = F.lit(3.1416 * 6_371_100.0 * 2.2361) / F.pow(F.lit(2.0), F.col("_level"))
-    asked = deepest.withColumn("_radius", F.least(F.lit(most_m), F.coalesce(diagonal, F.lit(most_m)))).withColumn("_at", F.least(F.lit(levels[-1] + 2), F.coalesce(F.col("_level") + 2, F.lit(0))))
-    left = asked.withColumn("_cell", F.explode(grid.around(F.col("lat"), F.col("lon"), F.col("_radius"), F.col("_at"))))
+    diagonal = F.lit(3.1416 * 6_371_100.0 * 2.2361 / metres) / F.pow(F.lit(2.0), F.col("_level"))
+    asked = deepest.withColumn("_radius", F.least(F.lit(most_m), F.coalesce(diagonal, F.lit(most_m))))
+    # the deepest of the levels whose cells have a diagonal not below the radius: a few dozen of them cover the circle
+    fits = F.floor((F.log2(F.lit(3.1416 * 6_371_100.0 * 2.2361 / metres) / F.col("_radius")) + 0.01) / 2) * 2
+    asked = asked.withColumn("_at", F.greatest(F.lit(0), F.least(F.lit(levels[-1] + 2), fits.cast("int"))))
+    left = asked.withColumn("_cell", F.explode(grid.around(F.col("lat"), F.col("lon"), F.col("_radius") * metres, F.col("_at"))))
     reached = [*levels, levels[-1] + 2]
     right = p.withColumn("_cell", F.explode(F.array(*[grid.cell(F.col("_plat"), F.col("_plon"), v) for v in reached])))
-    near = left.join(right, "_cell").withColumn("distance_m", haversine(F.col("lat"), F.col("lon"), F.col("_plat"), F.col("_plon"))).where(F.col("distance_m") <= F.col("_radius"))
-    best = first_per_key(near.select("id", "point", "distance_m"), ["id"], [F.col("distance_m"), F.col("point")], k)
-    return best.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("distance_m", "point"))).alias("_b")).select("id", F.posexplode("_b").alias("_p", "_s")).select("id", "_s.point", "_s.distance_m", (F.col("_p") + 1).cast("int").alias("position"))
+    near = left.join(right, [*same, "_cell"]).withColumn("distance_m", haversine(F.col("lat"), F.col("lon"), F.col("_plat"), F.col("_plon"), earth)).where(F.col("distance_m") <= F.col("_radius"))
+    near = near.select(*keys, "point", "distance_m")
+    if repeated:
+        near = near.groupBy(*keys, "point").agg(F.min("distance_m").alias("distance_m"))
+    best = first_per_key(near, keys, [F.col("distance_m"), F.col("point")], k)
+    lists = best.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("distance_m", "point"))).alias("_b"))
+    return there.join(lists, keys).select("id", F.posexplode("_b").alias("_p", "_s")).select("id", "_s.point", "_s.distance_m", (F.col("_p") + 1).cast("int").alias("position"))
 
 
 def nearest_city(places: DataFrame, cities: DataFrame, limits: Column, admin_limits: Column, gap_km: float = 5.0, ratio: float = 1.5) -> DataFrame:
