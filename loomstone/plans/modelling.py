@@ -69,10 +69,10 @@ def visit_method_cascade(t: Tables):
 f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY k, grp ORDER BY pos) = 1)
 SELECT k, count(*) AS parts, round(sum(v * CASE grp WHEN 'rooms' THEN 30 ELSE 5 END), 2) AS p50 FROM f GROUP BY 1""")
 def component_sum(t: Tables):
-    """The first component of each group counts; groups add up."""
+    """The first component of each group counts, of those in one position the one stored first; groups add up."""
     grp = F.when(F.col("l_linenumber") <= 3, "rooms").otherwise("events")
-    c = t.lineitem.select(F.col("l_orderkey").alias("k"), grp.alias("grp"), F.col("l_linenumber").alias("pos"), F.col("l_quantity").alias("v"))
-    f = first_per_key(c, ["k", "grp"], [F.col("pos")])
+    c = t.stored("lineitem").select(F.col("l_orderkey").alias("k"), grp.alias("grp"), F.col("l_linenumber").alias("pos"), F.col("l_quantity").alias("v"), "at")
+    f = first_per_key(c, ["k", "grp"], [F.col("pos"), F.col("at")])
     return f.groupBy("k").agg(F.count("*").alias("parts"), F.round(F.sum(F.col("v") * F.when(F.col("grp") == "rooms", 30).otherwise(5)), 2).alias("p50"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,6 +20,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def stored(self, name: str) -> DataFrame:
+        """A table with at, the place of a row in its files, for an order that its columns leave open: the row stored first goes first."""
+        return getattr(self, name).select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("at"))
+
 
 def query(sql: str | None = None):
     """Register a function of Tables under its own name."""

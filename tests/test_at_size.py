@@ -41,3 +41,20 @@ def test_a_supplier_in_the_same_spot(agrees):
     tables["supplier"] = "SELECT unnest([0, 7])::BIGINT AS s_suppkey, 1 AS s_nationkey"
     rows = {r["k"]: r for r in agrees("nearest_with_gap", tables)}
     assert rows[0]["distance_m"] == 0.0 and rows[0]["status"] == "matched"
+
+
+def test_lines_of_one_number_go_as_they_are_stored(spark, agrees):
+    # larger values first, so neither the smallest nor the last one is right by chance
+    tables = {
+        "lineitem": """SELECT (i % 40)::BIGINT AS l_orderkey, 1 AS l_linenumber, (i * 7 % 11)::BIGINT AS l_suppkey, (i * 37 % 50)::DOUBLE AS l_quantity, 'R' AS l_returnflag,
+          TIMESTAMP '1999-01-01' AS l_shipdate FROM range(4000) t(i)""",
+        "orders": """SELECT i AS o_orderkey, i AS o_custkey, 'O' AS o_orderstatus, 1.5 AS o_totalprice, TIMESTAMP '1999-01-01' AS o_orderdate, '1-URGENT' AS o_orderpriority FROM range(40) t(i)""",
+        "customer": "SELECT i AS c_custkey, 'c' AS c_name, 0 AS c_nationkey, 'm' AS c_mktsegment FROM range(40) t(i)", "nation": "SELECT 0 AS n_nationkey, 'n' AS n_name, 0 AS n_regionkey",
+    }
+    # small splits, so that rows reach a key's task in another order than they are stored
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        agrees("component_sum", tables)
+        assert {r["pid"]: r["first_value"] for r in agrees("candidate_rows", tables)} == {i: float(i * 37 % 50) for i in range(40)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
