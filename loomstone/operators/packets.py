@@ -86,16 +86,16 @@ NEEDS = {
 }
 
 
-def index_rows(packed: DataFrame, keys: Sequence[str], public_network: bool = True) -> DataFrame:
+def index_rows(packed: DataFrame, keys: Sequence[str], public_network: bool = True, guard_years: bool = True) -> DataFrame:
     """The keys and 43 columns for lists, maps and search, from packets of the tables that NEEDS names.
 
-    A year's visits that look like a year are none, and neither is a traffic of theirs. A model's values count once it is active; its middle
+    A year's visits that look like a year are none, and neither is a traffic of theirs (unless guard_years is false). A model's values count once it is active; its middle
     stands in for the estimate. Without evidence a place counts as one source; sources are its distinct addresses, sorted.
     """
     p = lambda c: F.col(f"parent.{c}")
     one = lambda t, c: F.get(F.col(t), F.lit(0))[c]
     visits = one("scene", "annual_visits")
-    odd = F.coalesce(visits.between(1900, 2100) & (visits == F.floor(visits)), F.lit(False))
+    odd = F.coalesce(visits.between(1900, 2100) & (visits == F.floor(visits)), F.lit(False)) if guard_years else F.lit(False)
     safe = F.when(~odd, visits)
     active = F.coalesce(one("traffic", "active"), F.lit(False))
     aliases = F.transform("alias", lambda a: a["alias"])
