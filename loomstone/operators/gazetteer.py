@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomstone.functions import names as forms
 from loomstone.functions.geo import haversine, radius_join
 from loomstone.operators.latest import first_per_key
-from loomstone.operators.spatial import within_boxes
+from loomstone.operators.spatial import nearest, within_boxes
 
 
 def assign_cities(places: DataFrame, cities: DataFrame, names: DataFrame, points: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -78,16 +78,14 @@ def assign_cities(places: DataFrame, cities: DataFrame, names: DataFrame, points
 def gazetteer_match(places: DataFrame, locations: DataFrame, reach_km: float = 75.0, apart_km: float = 1.0) -> DataFrame:
     """id, code, distance_km, verdict: the nearest location of the place's name within reach; ambiguous if the next is less than apart_km farther.
 
-    places: id, country, name, lat, lon; locations: code, country, name, lat, lon (a row for each of its names).
+    places: id, country, name, lat, lon; locations: code, country, name, lat, lon (a row for each of its names). The two nearest are sought
+    by cells within country and name, once for each spot (spatial.nearest).
     """
-    l = locations.select("code", "country", "name", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))  # noqa: E741
-    d = haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"), 6371.0)
-    near = places.join(l, ["country", "name"]).withColumn("distance_km", d).where(F.col("distance_km") <= reach_km)
-    near = near.groupBy("id", "code").agg(F.min("distance_km").alias("distance_km"))
-    two = first_per_key(near, ["id"], [F.col("distance_km"), F.col("code")], 2)
-    w = Window.partitionBy("id").orderBy("distance_km", "code")
-    top = two.withColumn("_gap", F.lead("distance_km").over(w) - F.col("distance_km")).withColumn("_k", F.row_number().over(w)).where("_k = 1")
-    verdict = F.when(F.col("_gap") < apart_km, "ambiguous").when(F.col("code").isNotNull(), "matched").otherwise("none")
+    same = ["country", "name"]
+    two = nearest(places, locations.select(*same, F.col("code").alias("point"), "lat", "lon"), 2, reach_km, same, 6371.0, repeated=True)
+    pick = lambda n, x: F.max(F.when(F.col("position") == n, F.col(x)))
+    top = two.groupBy("id").agg(pick(1, "point").alias("code"), pick(1, "distance_m").alias("distance_km"), pick(2, "distance_m").alias("_next"))
+    verdict = F.when(F.col("_next") - F.col("distance_km") < apart_km, "ambiguous").when(F.col("code").isNotNull(), "matched").otherwise("none")
     return places.select("id").join(top, "id", "left").select("id", "code", "distance_km", verdict.alias("verdict"))
 
 

@@ -1,13 +1,13 @@
 """Small tables on which queries once failed, differed from their SQL or did more work than their results need."""
 
-import datetime
-import os
+import math
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from loomstone.operators import spatial
+from loomstone.functions import geo
+from loomstone.operators import gazetteer, network, publishing
 from loomstone.plans import catalog
 
 
@@ -74,3 +74,59 @@ def test_a_total_like_a_year_stays(agrees):
     }
     row = agrees("packet_index", tables)[0]
     assert (row["annual_visits"], row["annual_visits_p50"], row["busy_hour_gb"]) == (2000.0, 2000.0, 2000.0)
+
+
+#: Rows in one spot on either side: all pairs of them would be 4 * 10 ** 8.
+MANY = 20_000
+
+
+def test_a_crowd_in_one_spot_is_matched_once(spark):
+    at = [F.lit("c").alias("country"), F.lit("n").alias("name"), F.lit(10.0).alias("lat"), F.lit(20.0).alias("lon")]
+    places, locations = spark.range(MANY).select("id", *at), spark.range(MANY).select(F.col("id").alias("code"), *at)
+    far = spark.createDataFrame([(-5, "c", "n", 10.5, 20.0), (-6, "c", "other", 10.0, 20.0)], "code long, country string, name string, lat double, lon double")
+    got = gazetteer.gazetteer_match(places, locations.unionByName(far)).groupBy("code", "distance_km", "verdict").count().collect()
+    assert [tuple(r) for r in got] == [(0, 0.0, "ambiguous", MANY)]
+    # a code with two rows is no rival of itself
+    twice = spark.createDataFrame([(7, "c", "n", 10.0, 20.0), (7, "c", "n", 10.001, 20.0), (8, "c", "n", 10.3, 20.0)], far.schema)
+    assert gazetteer.gazetteer_match(places, twice).select("code", "verdict").distinct().collect() == [(7, "matched")]
+
+
+def test_a_crowd_of_equal_groups_is_averaged_once(spark):
+    at = [F.lit("n").alias("name"), F.lit(10.0).alias("lat")]
+    points = spark.range(MANY).select(F.lit(1).alias("group"), *at, F.when(F.col("id") % 4 == 0, 20.0).otherwise(20.04).alias("lon"))
+    locations = spark.range(MANY).select(F.col("id").alias("code"), *at, F.lit(20.08).alias("lon"))
+    one = spark.createDataFrame([(-5, "n", 10.0, 20.0)], "code long, name string, lat double, lon double")
+    assert gazetteer.preferred_exact(points, locations, 14.0).collect() == []
+    (row,) = gazetteer.preferred_exact(points, locations.unionByName(one), 14.0).collect()
+    step = 2 * 6371.0 * math.asin(math.cos(math.radians(10)) * math.sin(math.radians(0.02)))
+    assert row["code"] == -5 and abs(row["mean_km"] - 0.75 * step) < 1e-3
+
+
+def test_a_crowd_around_a_spot_is_ranked_once(spark):
+    places = spark.range(MANY).select("id", F.lit(10.0).alias("lat"), F.lit(20.0).alias("lon"))
+    seen = spark.range(MANY).select(F.col("id").alias("observation"), F.lit(3).alias("tile"), F.lit(10.01).alias("lat"), F.lit(20.0).alias("lon"), (F.col("id") % 5).alias("tests"), (F.col("id") % 7).alias("devices"))
+    got = network.best_near(places, seen, 5000.0).groupBy("tile", "observation", "tests", "devices").count().collect()
+    assert [tuple(r) for r in got] == [(3, 34, 4, 6, MANY)]
+    points = seen.limit(3).select(F.col("observation").alias("point"), "lat", "lon", (F.col("observation") + 1.0).alias("metric"))
+    scores = network.footfall(places, points, 5000.0).groupBy("point", F.round("score", 4)).count().collect()
+    assert sorted(tuple(r) for r in scores) == [(0, 0.3333, MANY), (1, 0.6667, MANY), (2, 1.0, MANY)]
+
+
+def test_rows_that_differ_in_their_id_alone_meet_once(spark):
+    labels = [F.array(F.lit("l")).alias("labels"), F.lit(1).alias("n")]
+    b = spark.range(MANY).select("id", *labels)
+    fits = F.abs(F.col("x.n") - F.col("y.n")) <= 9
+    got = publishing.consolidated(spark.range(MANY).select("id", *labels), b, fits).groupBy("a", F.size("labels")).count().collect()
+    assert [tuple(r) for r in got] == [(None, 1, MANY)]
+    one = spark.createDataFrame([(4, ["m", "l"], 1), (5, ["l"], 11), (6, ["m"], 1)], "id long, labels array<string>, n int")
+    got = publishing.consolidated(one, b, fits).groupBy("a", F.array_join("labels", ",")).count().collect()
+    assert [tuple(r) for r in got] == [(4, "l,m", MANY)]
+
+
+def test_no_pair_is_made_of_rows_that_are_far(spark):
+    """All in one cell, and only one spot of the right side is near: the join of rows makes no more than there are in the result."""
+    left = spark.range(MANY).select(F.col("id").alias("k"), F.lit(10.0).alias("l_lat"), F.lit(20.0).alias("l_lon"))
+    right = spark.range(MANY).select(F.col("id").alias("s"), F.when(F.col("id") == 0, 10.0).otherwise(11.5).alias("r_lat"), F.lit(20.0).alias("r_lon"))
+    got = geo.radius_join(left, right, 100_000.0)
+    assert got.columns == ["k", "l_lat", "l_lon", "s", "r_lat", "r_lon", "distance_m"]
+    assert got.groupBy("s", "distance_m").count().collect() == [(0, 0.0, MANY)]
