@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomstone.operators.changes import delete_keys, replace_scope
 from loomstone.operators.complaints import input_hash
 from loomstone.operators.latest import first_per_key
+from loomstone.operators.ranks import join_keys
 
 
 class ScopeError(ValueError):
@@ -75,15 +76,18 @@ def merged_evidence(base: DataFrame, overlay: DataFrame, keys: Sequence[str], or
 def consolidated(a: DataFrame, b: DataFrame, compatible: Column) -> DataFrame:
     """b, a (or null) and labels of each row of b: joined to the one row of a that shares a label and is compatible.
 
-    a and b have id and labels (an array); compatible speaks of the columns of aliases x (of a) and y (of b). Labels are
-    exploded, so rows meet by an equi-join; rows that match several of a, or none, stay alone.
+    a and b have id and labels (an array); compatible speaks of the columns of aliases x (of a) and y (of b) other than id. Labels are
+    exploded, so rows meet by an equi-join; rows that match several of a, or none, stay alone. Rows that differ in nothing but their id
+    match the same, so they meet as one: of those of a the least and the greatest id say whether there is only one.
     """
-    x = a.select(F.struct("*").alias("x"), F.explode("labels").alias("_l"))
-    y = b.select(F.struct("*").alias("y"), F.explode("labels").alias("_l"))
-    pairs = x.join(y, "_l").where(compatible).groupBy(F.col("y.id").alias("b")).agg(F.count_distinct("x.id").alias("_n"), F.min(F.struct(F.col("x.id").alias("a"), F.col("x.labels").alias("la"))).alias("m"))
-    out = b.select(F.col("id").alias("b"), F.col("labels").alias("_lb")).join(pairs.where("_n = 1"), "b", "left")
-    both = F.array_sort(F.array_union("_lb", F.coalesce("m.la", F.array().cast("array<string>"))))
-    return out.select("b", F.col("m.a").alias("a"), both.alias("labels"))
+    others, asked = [c for c in a.columns if c != "id"], [c for c in b.columns if c != "id"]
+    x = a.groupBy(*others).agg(F.min("id").alias("_lo"), F.max("id").alias("_hi")).select(F.struct(*others).alias("x"), "_lo", "_hi", F.explode("labels").alias("_l"))
+    y = b.select(*asked).distinct().select(F.struct("*").alias("y"), F.explode("labels").alias("_l"))
+    pairs = x.join(y, "_l").where(compatible).groupBy("y").agg(F.min(F.struct(F.col("_lo").alias("a"), F.col("x.labels").alias("la"))).alias("m"), F.max("_hi").alias("_hi"))
+    one = pairs.where("m.a = _hi").select("y.*", "m")
+    out = join_keys(b, one, asked, "left")
+    both = F.array_sort(F.array_union("labels", F.coalesce("m.la", F.array().cast("array<string>"))))
+    return out.select(F.col("id").alias("b"), F.col("m.a").alias("a"), both.alias("labels"))
 
 
 def changed_groups(rows: DataFrame, key: str, columns: Sequence[str], seen: DataFrame) -> DataFrame:
