@@ -111,11 +111,13 @@ def preferred_exact(points: DataFrame, locations: DataFrame, reach_km: float, ap
 
     points: group, name, lat, lon (of one name for a group); locations: code, name, lat, lon (a row for each of its names). The next
     location must be apart_km farther on average, or the group has none; points without coordinates and groups without any don't count.
+    Points of one spot count as one with a weight, and of a name's locations in one spot only two can be among the nearest.
     """
-    p = points.where("lat IS NOT NULL AND lon IS NOT NULL").select("group", "name", "lat", "lon")
+    p = points.where("lat IS NOT NULL AND lon IS NOT NULL").groupBy("group", "name", "lat", "lon").agg(F.count("*").alias("_n"))
     l = locations.select("code", "name", F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).dropDuplicates(["code", "name"])  # noqa: E741
+    l = first_per_key(l, ["name", "_lat", "_lon"], [F.col("code")], 2)  # noqa: E741
     d = haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"), 6371.0)
-    per = p.join(l, "name").groupBy("group", "code").agg(F.avg(d).alias("mean_km"), F.max(d).alias("_far")).where(F.col("_far") <= reach_km)
+    per = p.join(l, "name").groupBy("group", "code").agg((F.sum(d * F.col("_n")) / F.sum("_n")).alias("mean_km"), F.max(d).alias("_far")).where(F.col("_far") <= reach_km)
     w = Window.partitionBy("group").orderBy("mean_km", "code")
     two = first_per_key(per, ["group"], [F.col("mean_km"), F.col("code")], 2)
     top = two.withColumn("_next", F.lead("mean_km").over(w)).withColumn("_k", F.row_number().over(w)).where("_k = 1")
