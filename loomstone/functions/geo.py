@@ -45,16 +45,19 @@ def inside(lat: Column, lon: Column, south: float, west: float, north: float, ea
 def radius_join(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
     """Pairs within radius_m of (l_lat, l_lon) and (r_lat, r_lon), with distance_m.
 
-    The left side goes to every cell that its circle may touch, the right side to its own, so this is an equi-join. Cells are as
-    large as the radius (functions.grid), so a circle touches a few of them and a cell holds few pairs that are too far.
+    Spots meet first, each once, however many rows are there: those of the left side go to every cell that their circle may touch, those
+    of the right side to their own, so this is an equi-join. Cells are as large as the radius (functions.grid), so a circle touches a few
+    of them and a cell holds few pairs that are too far. Rows then meet by the spots that are near, so no pair is made that is none.
     """
     from loomstone.functions import grid
 
     level = grid.level_of(radius_m)
-    left = left.withColumn("_cell", F.explode(grid.around(F.col("l_lat"), F.col("l_lon"), radius_m, level)))
-    right = right.withColumn("_cell", grid.cell(F.col("r_lat"), F.col("r_lon"), level))
+    ours, theirs = left.select("l_lat", "l_lon").distinct(), right.select("r_lat", "r_lon").distinct()
+    ours = ours.withColumn("_cell", F.explode(grid.around(F.col("l_lat"), F.col("l_lon"), radius_m, level)))
+    theirs = theirs.withColumn("_cell", grid.cell(F.col("r_lat"), F.col("r_lon"), level))
     d = haversine(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"))
-    return left.join(right, "_cell").withColumn("distance_m", d).where(F.col("distance_m") <= radius_m).drop("_cell")
+    near = ours.join(theirs, "_cell").withColumn("distance_m", d).where(F.col("distance_m") <= radius_m).drop("_cell")
+    return left.join(near.join(right, ["r_lat", "r_lon"]), ["l_lat", "l_lon"]).select(*left.columns, *right.columns, "distance_m")
 
 
 def tile_lat(y: Column, zoom: int) -> Column:
