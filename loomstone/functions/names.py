@@ -107,15 +107,15 @@ def hash_vector(words: Column, dims: int = 64) -> Column:
 
     An array without words, or a null one, gives zeros.
     """
-    code = F.transform(F.coalesce(words, F.array().cast("array<string>")), lambda w: F.sha2(w, 256))
-    place = F.transform(code, lambda h: F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(dims)).cast("int"))
-    sign = F.transform(code, lambda h: F.when(F.pmod(F.conv(F.substring(h, 9, 2), 16, 10).cast("int"), F.lit(2)) == 0, 1.0).otherwise(-1.0))
-    signed = F.zip_with(place, sign, lambda p, s: F.struct(p.alias("p"), s.alias("s")))
-    zero = F.array_repeat(F.lit(0.0), dims)
-
-    def add(v: Column, one: Column) -> Column:
-        return F.transform(v, lambda x, i: F.when(i == one["p"], x + one["s"]).otherwise(x))
-
-    vector = F.aggregate(signed, zero, add)
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(vector, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    one = lambda h: F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(dims)) * 2 + F.pmod(F.conv(F.substring(h, 9, 2), 16, 10).cast("long"), F.lit(2))
+    # an array of one and a transform name a value, which would be made anew wherever it is used
+    bound = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    codes = F.transform(F.coalesce(words, F.array().cast("array<string>")), lambda w: bound(F.sha2(w, 256), one))
+
+    def count(code: Column, which: Column) -> Column:
+        return F.size(F.filter(code, lambda x: x == which))
+
+    signed = lambda code: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: (count(code, i * 2) - count(code, i * 2 + 1)).cast("double"))
+    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    scaled = lambda v: bound(length(v), lambda norm: F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(0.0)))
+    return bound(bound(codes, signed), scaled)
