@@ -25,8 +25,8 @@ def rank_of(name: Column, asked: Column, canonical: Column) -> Column:
     return F.when((name != "") & (asked != ""), at + F.when(canonical, 0).otherwise(1))
 
 
-#: Letters of a part that names are found by.
-GRAM = 3
+#: Letters of a part that names are found by, and how many tasks may share the names of one part (all may have it).
+GRAM, SHARES = 3, 64
 
 
 def _parts(c: Column, sizes: Sequence[int]) -> Column:
@@ -58,15 +58,17 @@ def search(places: DataFrame, names: DataFrame, queries: DataFrame, limit: int,
     query without letters finds nothing. What contains a query contains each part of it, so a query is looked up in an
     index of parts of three letters (a shorter query as a whole) by its rarest part, and only what has that part is tested. Of a
     place's names the best rank counts, then the shortest. Places are ordered by rank, length of the match, name, country,
-    city and id. Each task keeps limit rows of a query before the shuffle.
+    city and id. Each task keeps limit rows of a query before the shuffle. A part that most names have is dealt over SHARES tasks by id,
+    each of which gets the queries' parts, so no task reads all of its names.
     """
-    index = name_index(names) if index is None else index
+    index = (name_index(names) if index is None else index).withColumn("_share", F.pmod(F.hash("id"), F.lit(SHARES)))
+    shares = F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("_share")
     q = queries.select("query", search_text("asked").alias("_q")).where("_q <> ''")
     sizes = F.when(F.length("_q") >= GRAM, _parts(F.col("_q"), [GRAM])).otherwise(F.array("_q"))
     asked = q.select("query", "_q", F.explode(sizes).alias("part"))
-    often = index.join(asked.select("part").distinct(), "part", "left_semi").groupBy("part").agg(F.count("*").alias("_f"))
+    often = index.join(asked.select("part").distinct().select("part", shares), ["part", "_share"], "left_semi").groupBy("part").agg(F.count("*").alias("_f"))
     rarest = asked.join(often, "part", "left").groupBy("query", "_q").agg(F.min_by("part", F.struct(F.coalesce("_f", F.lit(0)), F.col("part"))).alias("part"))
-    n = index.join(rarest, "part").where(F.contains(F.col("form"), F.col("_q"))).withColumnRenamed("form", "_n")
+    n = index.join(rarest.select("*", shares), ["part", "_share"]).where(F.contains(F.col("form"), F.col("_q"))).withColumnRenamed("form", "_n")
     hits = n.withColumn("_rank", rank_of(F.col("_n"), F.col("_q"), F.col("canonical"))).where("_rank IS NOT NULL")
     best = hits.groupBy("query", "id").agg(
         F.min_by(F.struct("matched", "_n", "_rank"), F.struct("_rank", F.length("matched").alias("l"), "matched")).alias("m")

@@ -6,8 +6,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from loomstone.functions import geo
-from loomstone.operators import gazetteer, network, publishing
+from loomstone.functions import geo, names
+from loomstone.operators import gazetteer, network, publishing, search
 from loomstone.plans import catalog
 
 
@@ -130,3 +130,32 @@ def test_no_pair_is_made_of_rows_that_are_far(spark):
     got = geo.radius_join(left, right, 100_000.0)
     assert got.columns == ["k", "l_lat", "l_lon", "s", "r_lat", "r_lon", "distance_m"]
     assert got.groupBy("s", "distance_m").count().collect() == [(0, 0.0, MANY)]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_texts_go_to_python_in_small_batches(spark):
+    df = spark.createDataFrame([("Çá  va",), (None,)], "a string")
+    for form, want in ((names.plain_text, "ca va"), (names.flat_text, "Çá va")):
+        rows = df.select(form("a"))
+        assert "ArrowEvalPython" not in plan_of(rows) and [r[0] for r in rows.collect()] == [want, None]
+
+
+def test_names_of_one_part_are_dealt_over_tasks(spark):
+    n = spark.range(2000).select("id", F.concat(F.lit("hall "), F.col("id").cast("string")).alias("name"))
+    places = n.select("*", F.lit("c").alias("country"), F.lit("t").alias("city"))
+    queries = spark.createDataFrame([(1, "hall"), (2, "hall 1999")], "query long, asked string")
+    found = search.search(places, n.withColumn("canonical", F.lit(True)), queries, 3)
+    assert "_share" in plan_of(found)
+    assert sorted((r["query"], r["position"], r["id"]) for r in found.collect()) == [(1, 1, 0), (1, 2, 1), (1, 3, 2), (2, 1, 1999)]
+
+
+def test_two_sources_are_told_without_a_set_of_them(spark, agrees, tmp_path):
+    tables = {
+        "orders": "SELECT i AS o_orderkey FROM range(4) t(i)",
+        "lineitem": "SELECT * FROM (VALUES (0::BIGINT, 'R', 1::BIGINT), (0, 'A', 2), (1, 'A', 3), (1, 'A', 3), (2, 'N', NULL)) v(l_orderkey, l_returnflag, l_suppkey)",
+    }
+    assert {r["o_orderkey"]: r["sources_gate"] for r in agrees("evidence_gates", tables)} == {0: True, 1: False, 2: False, 3: False}
+    assert "distinct" not in plan_of(catalog.QUERIES["evidence_gates"](spark, str(tmp_path)))
