@@ -20,9 +20,10 @@ def plain(text: str) -> str:
     return _other.sub(" ", bare.casefold()).strip()
 
 
-@F.pandas_udf(StringType())
-def plain_text(texts: pd.Series) -> pd.Series:
-    return texts.map(plain, na_action="ignore")
+@F.udf(StringType(), useArrow=False)
+def plain_text(text: str | None) -> str | None:
+    """Row by row: texts may be long, and an Arrow batch of ten thousand of them is held in several copies, one of a hundred rows is small."""
+    return None if text is None else plain(text)
 
 
 #: Words that mean the same, and words at a name's end that say nothing of the place.
@@ -87,7 +88,13 @@ def quality_list(lists: pd.Series) -> pd.Series:
     return lists.map(lambda xs: [quality(x or "") for x in xs], na_action="ignore")
 
 
-identity_text, entity_name, quality_text, search_text, flat_text, search_lines = map(_udf, (identity, entity, quality, search_form, flat, search_forms))
+identity_text, entity_name, quality_text, search_text, search_lines = map(_udf, (identity, entity, quality, search_form, search_forms))
+
+
+@F.udf(StringType(), useArrow=False)
+def flat_text(text: str | None) -> str | None:
+    """Row by row, as plain_text."""
+    return None if text is None else flat(text)
 
 
 @F.pandas_udf(DoubleType())
