@@ -182,12 +182,27 @@ def _dealt(rows: DataFrame, tops: DataFrame, key: str) -> DataFrame:
     return rows.join(tops, key, "left").withColumn("_b", F.explode(blocks)).withColumn("run", F.xxhash64(key, "_b.k", "_b.i", "_b.j")).drop("_b", "top", "outer", "inner")
 
 
-def chained(key: np.ndarray, x: np.ndarray, label: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of pairs (places in x) that connects all places of a run that are near with different labels, breadth first."""
+def chained(key: np.ndarray, x: np.ndarray, label: np.ndarray, distance: int, cluster: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of pairs (places in x) that connects all places of a run that are near with different labels, breadth first.
+
+    Places of one cluster are connected already, so pairs are given only as far as they connect clusters.
+    """
     starts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
     a, b = [], []
     for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
         left = np.arange(s, e)
+        known = left if cluster is None else cluster[s:e]
+        if len(left) < 2 or (known == known[0]).all():
+            continue
+        own = np.unique(known, return_inverse=True)[1]
+        root = list(range(int(own.max()) + 1))
+
+        def top(k: int, root: list[int] = root) -> int:
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
         while len(left) > 1:
             queue, left = [int(left[0])], left[1:]
             while queue and len(left):
@@ -195,8 +210,12 @@ def chained(key: np.ndarray, x: np.ndarray, label: np.ndarray, distance: int) ->
                 hit = (label[left] != label[at]) & within(x[left], x[at], distance)
                 if hit.any():
                     reached = left[hit].tolist()
-                    a += [at] * len(reached)
-                    b += reached
+                    for j in reached:
+                        p, q = top(int(own[at - s])), top(int(own[j - s]))
+                        if p != q:
+                            root[p] = q
+                            a.append(at)
+                            b.append(j)
                     queue += reached
                     left = left[~hit]
     return np.array(a, np.int64), np.array(b, np.int64)
@@ -334,13 +353,7 @@ def groups(
         edges = store.cut(links.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
         some = not edges.isEmpty()
         if some:
-            roots = store.cut(components(edges, store=store).select(F.col("node").alias("label"), "root"))
-            new = roots.select(F.col("label").alias("_node"), F.col("root").alias("label"))
-            if labels is not None:
-                moved = labels.join(roots, "label", "left").select("_node", F.coalesce("root", "label").alias("label"))
-                new = moved.unionByName(new.join(labels, "_node", "left_anti"))
-            before, labels = labels, store.cut(new)
-            store.drop(before, roots)
+            labels = _relabelled(labels, edges, store)
         store.drop(edges)
         return some
 
@@ -383,34 +396,59 @@ def groups(
         open_keys.append(store.cut(found.where("more").select("key").distinct()))
         store.drop(busy, found)
         start = stop
-    still = open_keys[0]
-    for k in open_keys[1:]:
-        still = still.unionByName(k)
-    if not still.isEmpty():
-        rows = keyed(range(n_tables)).join(small(still, store), "key", "left_semi")
+    clusters: DataFrame | None = None
+    for tables, some_keys in ((range(min(FIRST, n_tables)), open_keys[:1]), (range(FIRST, n_tables), open_keys[1:])):
+        if not some_keys:
+            continue
+        still = some_keys[0]
+        for k in some_keys[1:]:
+            still = still.unionByName(k)
+        if still.isEmpty():
+            continue
+        rows = keyed(tables).join(small(still, store), "key", "left_semi")
         mixed = rows.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
-        rows, _ = runs(store.cut(rows.join(small(mixed, store), "key", "left_semi")))
-        near_links = store.cut(_clustered(rows, differ))
-        if not near_links.isEmpty():
-            clusters = store.cut(components(near_links, store=store).select(F.col("node").alias("_node"), F.col("root").alias("cluster")))
-            own = nodes.select("_node", "_least", "_size", *SKETCH).join(clusters, "_node")
-            own = own.join(labels, "_node", "left").withColumn("label", F.coalesce("label", "_node")) if labels is not None else own.withColumn("label", F.col("_node"))
-            contract(_settle(store.cut(own), sets_of, differ, store), sure=True)
+        held = store.cut(rows.join(small(mixed, store), "key", "left_semi"))
+        rows, busy = runs(held)
+        edges = store.cut(_clustered(rows, clusters, differ).distinct())
+        if not edges.isEmpty():
+            clusters = _relabelled(clusters, edges, store)
+        store.drop(held, busy, edges)
+    if clusters is not None:
+        own = nodes.select("_node", "_least", "_size", *SKETCH).join(clusters.withColumnRenamed("label", "cluster"), "_node")
+        own = own.join(labels, "_node", "left").withColumn("label", F.coalesce("label", "_node")) if labels is not None else own.withColumn("label", F.col("_node"))
+        contract(_settle(store.cut(own), sets_of, differ, store), sure=True)
     return labels if labels is not None else nodes.select("_node", F.col("_node").alias("label")).limit(0)
 
 
-def _clustered(rows: DataFrame, distance: int) -> DataFrame:
-    """a, b: links that connect what is near with different labels within runs."""
+def _relabelled(labels: DataFrame | None, edges: DataFrame, store: Tables) -> DataFrame:
+    """_node, label after links (a, b) between labels. A node without a row is its own label; the table of labels is removed."""
+    roots = store.cut(components(edges, store=store).select(F.col("node").alias("label"), "root"))
+    new = roots.select(F.col("label").alias("_node"), F.col("root").alias("label"))
+    if labels is not None:
+        moved = labels.join(roots, "label", "left").select("_node", F.coalesce("root", "label").alias("label"))
+        new = moved.unionByName(new.join(labels, "_node", "left_anti"))
+    out = store.cut(new)
+    store.drop(labels, roots)
+    return out
+
+
+def _clustered(rows: DataFrame, clusters: DataFrame | None, distance: int) -> DataFrame:
+    """a, b: pairs of clusters (_node, label; a node without a row is its own) that connect what is near with different labels within runs."""
+    rows = rows.select("run", "_node", "label", *SKETCH)
+    if clusters is None:
+        rows = rows.withColumn("cluster", F.col("_node"))
+    else:
+        rows = rows.join(clusters.withColumnRenamed("label", "cluster"), "_node", "left").withColumn("cluster", F.coalesce("cluster", "_node"))
 
     def some(columns: tuple) -> pa.RecordBatch:
         from loomstone.llm.near import chained
 
-        run, node, label, *fp = columns
-        a, b = chained(run, np.stack(fp, axis=1).view(np.uint64), label, distance)
-        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+        run, _, label, cluster, *fp = columns
+        a, b = chained(run, np.stack(fp, axis=1).view(np.uint64), label, distance, cluster)
+        return pa.RecordBatch.from_arrays([pa.array(cluster[a]), pa.array(cluster[b])], ["a", "b"])
 
     ship(rows.sparkSession)
-    return by_key(rows.select("run", "_node", "label", *SKETCH), some, "a long, b long", "run")
+    return by_key(rows.select("run", "_node", "label", "cluster", *SKETCH), some, "a long, b long", "run")
 
 
 def _settle(own: DataFrame, sets_of: Callable[[DataFrame], DataFrame], distance: int, store: Tables) -> DataFrame:

@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from loomstone.llm import exact_dedup, graph, near, simhash
 
@@ -197,6 +198,38 @@ def test_busy_keys_are_split(spark, monkeypatch):
     assert out == {i: least[g] for (i, _), g in zip(fps, group, strict=True)}
 
 
+def test_open_keys_of_many_tables_are_clustered_once(spark, monkeypatch):
+    """All nodes are near and none are linked but two, which only the last step compares: what is clustered grows with the nodes, not with nodes times tables."""
+    n, tables, counted = 640, 40, []
+    real = near.components
+
+    def told(edges, **more):
+        counted.append(edges.count())
+        return real(edges, **more)
+
+    monkeypatch.setattr(near, "components", told)
+    node, twins = F.col("_node"), (301, 477)
+    nodes = spark.range(n).select(
+        F.col("id").alias("_node"), F.col("id").alias("_least"), F.lit(4).alias("_size"),
+        F.when(F.col("id") == twins[0], 7).when(F.col("id") == twins[1], 56).otherwise(F.expr("shiftleft(1L, cast(id % 60 AS int))")).cast("long").alias("w0"), F.lit(0).cast("long").alias("w1"),
+    )
+    keys = lambda r: F.array(*[F.lit(t << 40) + F.when(node.isin(*twins), 0).otherwise(F.pmod(F.xxhash64(F.lit(t), node), F.lit(16))) for t in r])
+    own = F.when(node.isin(*twins), -1).otherwise(node) * 4
+    sets_of = lambda some: some.select("_node", F.array(*[own + k for k in range(4)]).alias("_set"))
+    labels = near.groups(nodes, keys, tables, 36, sets_of, near.Tables(spark)).collect()
+    assert sorted(r["_node"] for r in labels) == [*twins] and len({r["label"] for r in labels}) == 1
+    assert n < sum(counted) < (near.FIRST + 1) * n
+
+
+def test_pairs_in_a_run_connect_clusters():
+    x, label = np.zeros((6, 2), np.uint64), np.arange(6)
+    a, b = near.chained(np.zeros(6), x, label, 3, np.array([7, 7, 8, 8, 8, 9]))
+    assert len(a) == 2 and len(near.chained(np.zeros(6), x, label, 3, np.full(6, 7))[0]) == 0
+    x[4:] = np.uint64(255)  # 4 and 5 are near each other alone, 4 is of one cluster with 2
+    a, b = near.chained(np.zeros(6), x, label, 3, np.array([7, 7, 8, 8, 8, 9]))
+    assert {frozenset(p) for p in zip(np.array([7, 7, 8, 8, 8, 9])[a].tolist(), np.array([7, 7, 8, 8, 8, 9])[b].tolist(), strict=True)} == {frozenset((7, 8)), frozenset((8, 9))}
+
+
 def test_similar_with_string_ids_and_blank_texts(spark):
     base = " ".join(f"q{k}" for k in range(80))
     rows = [("b", base), ("a", base + " tail"), ("c", "\t"), ("d", "\n"), ("e", None), (None, base), ("f", base.upper())]
