@@ -202,13 +202,25 @@ SENTENCE = (
 #: A word in Latin letters, with up to 50 hyphens within, that no other letter touches.
 _LATIN_WORD = r"(?<!\p{L}-?)\p{IsLatin}++(?:-\p{IsLatin}++){0,50}+(?!-?\p{L})"
 _BLANK = r"\s\u00A0\u3000"
-#: What ends a row of words, and what marks one that a Chinese character follows.
-_END, _THEN = "\n", "\u0001"
+#: What ends a row of words, and what marks a word of a name.
+_END, _OF_NAME = "\u0001", "\u0002"
+_CHINESE = "[\u4E00-\u9FFF]"
+#: A word as names are written: a capital inside, or in front of a word without hyphens. Words lie between single blanks.
+_NAMED = r"(?:[^ ]+\p{Lu}[^ ]*+|\p{Lu}[^ -]*+)(?![^ ])"
 
 
-def _named(word: Column) -> Column:
-    """Whether a word is written as names are: a capital inside, or in front of a word without hyphens."""
-    return word.rlike(r".\p{Lu}|^\p{Lu}[^-]*$")
+def _with_names(text: Column) -> Column:
+    """The Latin words of a text, between blanks, those of a name with a mark behind."""
+    # a word with what stands before the next one of its row, or with blanks and the Chinese character behind the row
+    found = rf"{_LATIN_WORD}(?:[{_BLANK}'’.-]++(?={_LATIN_WORD})|[{_BLANK}]++{_CHINESE})?"
+    rows = F.regexp_replace(F.array_join(F.regexp_extract_all(text, F.lit(found), 0), _END), rf"[{_BLANK}'’.-]++{_END}", " ")
+
+    def marked(r: Column) -> Column:
+        words = F.regexp_replace(r, rf"[{_BLANK}]*+{_CHINESE}$", "")
+        name = r.rlike(rf"{_CHINESE}$") & words.rlike(rf"(?<![^ ]){_NAMED}") & ~F.lower(words).rlike(rf"(?<![^ ])(?:{'|'.join(SENTENCE)})(?![^ ])")
+        return F.when(name, F.regexp_replace(words, "(?<=[^ ])(?![^ ])", _OF_NAME)).otherwise(words)
+
+    return F.array_join(F.transform(F.split(rows, _END), marked), " ")
 
 
 def translatable(c: Column) -> Column:
@@ -218,38 +230,17 @@ def translatable(c: Column) -> Column:
     between two names, and words of a name: of a row of words with nothing but blanks, dots, hyphens and apostrophes
     between them that a Chinese character follows, if one of them is written as a name and none is a SENTENCE word.
     Null and empty texts have none. The work grows with the length of a text, however long a row or the text is.
+    Words are sifted by patterns over all of them at once; rows are only looked at in texts with Chinese characters.
     """
-    text = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?<![A-Za-z0-9_])[A-Za-z][A-Za-z0-9]*+(?:_[A-Za-z0-9]++){1,50}+(?![A-Za-z0-9_])", " ")
-    # a word, what stands before the next letter, and the word or Chinese character that comes then
-    found = F.lit(rf"({_LATIN_WORD})(\P{{L}}*+)(?=({_LATIN_WORD}|[\u4E00-\u9FFF])?)")
-    each = F.arrays_zip(*[F.regexp_extract_all(text, found, i) for i in (1, 2, 3)])
-    chinese = lambda x: x["2"].rlike("^[\u4E00-\u9FFF]")
-
-    def marked(x: Column) -> Column:
-        goes_on = (x["2"] != "") & ~chinese(x) & x["1"].rlike(rf"^[{_BLANK}'’.-]*$")
-        ends = F.when(chinese(x) & x["1"].rlike(rf"^[{_BLANK}]*$"), _THEN + _END).otherwise(_END)
-        return F.concat(x["0"], F.when(goes_on, " ").otherwise(ends))
-
-    rows = F.filter(F.split(F.array_join(F.transform(each, marked), ""), _END), lambda r: r != "")
-
-    def of_row(r: Column) -> Column:
-        def judged(own: Column) -> Column:
-            name = F.endswith(r, F.lit(_THEN)) & F.exists(own, _named) & ~F.exists(own, lambda w: F.lower(w).isin(*SENTENCE))
-            return F.struct(own.alias("own"), name.alias("name"))
-
-        def told(row: Column) -> Column:
-            return F.transform(row["own"], lambda w: F.struct(w.alias("w"), row["name"].alias("name")))
-
-        split = F.array(F.split(F.replace(r, F.lit(_THEN), F.lit("")), " "))
-        return F.flatten(F.transform(F.transform(split, judged), told))
-
-    def of_words(words: Column) -> Column:
-        near = lambda i: F.coalesce(_named(F.get(words, i)["w"]), F.lit(False))
-        inside = lambda x, i: F.lower(x["w"]).isin(*CONNECTORS) & near(i - 1) & near(i + 1)
-        wanted = lambda x, i: (F.length(x["w"]) >= 3) & ~x["name"] & ~F.lower(x["w"]).isin(*NEUTRAL) & ~_named(x["w"]) & ~inside(x, i)
-        return F.transform(F.filter(words, wanted), lambda x: F.lower(x["w"]))
-
-    return F.array_distinct(F.flatten(F.transform(F.array(F.flatten(F.transform(rows, of_row))), of_words)))
+    text = F.coalesce(c, F.lit(""))
+    key = r"(?<![A-Za-z0-9_])[A-Za-z][A-Za-z0-9]*+(?:_[A-Za-z0-9]++){1,50}+(?![A-Za-z0-9_])"
+    text = F.when(F.contains(text, F.lit("_")), F.regexp_replace(text, key, " ")).otherwise(text)
+    plain = F.array_join(F.regexp_extract_all(text, F.lit(_LATIN_WORD), 0), " ")
+    words = F.when(text.rlike(_CHINESE), _with_names(text)).otherwise(plain)
+    words = F.regexp_replace(words, rf"(?<![^ ])({_NAMED}) (?:{'|'.join(CONNECTORS)})(?= {_NAMED})", "$1")
+    each = F.array_join(F.array_distinct(F.split(words, " ")), " ")
+    wanted = F.regexp_replace(each, rf"(?<![^ ])(?:[^ ]{{1,2}}(?![^ ])|{_NAMED}|[^ ]++(?<={_OF_NAME}))", "")
+    return F.array_except(F.split(F.lower(wanted), " "), F.array(*map(F.lit, ("", *NEUTRAL))))
 
 
 def usable_translation(source: Column, translated: Column, source_locale: Column, target_locale: Column, status: Column, good: tuple[str, ...] = ("ok", "translated")) -> Column:

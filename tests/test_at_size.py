@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from loomstone.functions import geo, names
+from loomstone.functions import geo, names, text
 from loomstone.operators import gazetteer, network, publishing, search
 from loomstone.plans import catalog
 
@@ -143,6 +143,21 @@ def test_long_texts_go_to_python_in_small_batches(spark):
         assert "ArrowEvalPython" not in plan_of(rows) and [r[0] for r in rows.collect()] == [want, None]
 
 
+def test_words_are_sifted_without_a_step_for_each(spark):
+    """Nothing is evaluated word by word; rows of words alone are looked at, and only in texts with Chinese characters."""
+    cases = {
+        "the Port of Oran and Bank, hall of Fez 站 the tail": ["the", "tail"],
+        "old Ab and Cd and the Ef": ["old", "and", "the"],
+        "hall Oran 的 hall serves Fez 的": ["hall", "serves"],
+        "hall Oran\n.-’ Fez-fez \u3000馆 gfa ab-C éa": [],
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    rows = df.select("t", text.translatable(F.col("t")).alias("w"))
+    assert {r["t"]: r["w"] for r in rows.collect()} == cases
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "arrays_zip" not in plan and "exists(" not in plan and plan.count("regexp_extract_all") == 2
+
+
 def test_names_of_one_part_are_dealt_over_tasks(spark):
     n = spark.range(2000).select("id", F.concat(F.lit("hall "), F.col("id").cast("string")).alias("name"))
     places = n.select("*", F.lit("c").alias("country"), F.lit("t").alias("city"))
