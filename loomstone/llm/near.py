@@ -4,8 +4,9 @@ Two operators use this with keys of their own: blocks of a wide SimHash, and ban
 text (a node: all texts with one set of shingles) some keys and a sketch of 128 bits. Nodes with a key in common meet in
 one task, which compares their sketches and passes on pairs that no links connect yet. The sets of these pairs decide.
 Their components become labels, and the next keys only look at pairs of different labels, so a dense group is never
-listed pair by pair. Where a node has more candidates than it passes on, the key stays open. Open keys that still hold
-several labels at the end are settled whole: what is near each other there becomes a cluster, a cluster's texts meet with
+listed pair by pair. Where a node has more candidates than it passes on, the key stays open, and what is near each other
+there becomes a cluster. Later keys stay open only for pairs that are not of one cluster, so a dense group is clustered by
+a few keys, not by all that it has. At the end, clusters of several labels are settled whole: their texts meet with
 their sets, in blocks of bounded size, and every pair is compared in place; only the links that join labels leave a
 task. So no link among candidates is lost, and what is written grows with the rows, not with their pairs.
 """
@@ -36,7 +37,7 @@ NEAREST = 2
 BLOCK, BLOCK_ELEMENTS = 512, 1_000_000
 #: Ids or keys that a broadcast may hold (4 MB of numbers); more are joined by a shuffle.
 SMALL = 500_000
-#: Tables of keys whose rows are shuffled at once: some first, which give most labels, then more. A row is five numbers.
+#: Tables of keys whose rows are shuffled at once: some first, which give most labels and clusters, then more. A row is six numbers.
 FIRST, AT_ONCE = 8, 30
 
 
@@ -45,13 +46,15 @@ def within(x: np.ndarray, y: np.ndarray, distance: int) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64) <= distance
 
 
-def across(key: np.ndarray, x: np.ndarray, label: np.ndarray, distance: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (places in x) within runs of equal keys that are near but have different labels, and whether some were left out.
+def across(
+    key: np.ndarray, x: np.ndarray, label: np.ndarray, distance: int, most: int, cluster: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (places in x) within runs of equal keys that are near but have different labels, and whether some of different clusters were left out.
 
     Of a run of more than 2 * FEW, each place outside its most common label gives the nearest most of its pairs;
     every such pair has an end outside that label, so what is not left out is complete. The place nearest to all (to a few
     of them, evenly drawn) gives its pair with each other one, too, since copies are closer to what they were copied from than to each other;
-    a place that has more than most and is near that one gives this pair alone.
+    a place that has more than most and is near that one gives this pair alone. Without clusters each place is its own.
     """
     starts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
     sizes = np.diff(np.concatenate((starts, [len(key)])))
@@ -60,28 +63,33 @@ def across(key: np.ndarray, x: np.ndarray, label: np.ndarray, distance: int, mos
     a, b, more = [], [], []
     for s, n in zip(starts[mixed & (sizes > few)].tolist(), sizes[mixed & (sizes > few)].tolist(), strict=True):
         y, own = x[s : s + n], label[s : s + n]
+        known = np.arange(n) if cluster is None else cluster[s : s + n]
         values, times = np.unique(own, return_counts=True)
         outer = np.flatnonzero(own != values[times.argmax()])
         few_of_all = y[np.linspace(0, n - 1, min(n, 32)).astype(np.int64)]
         middle = int(np.bitwise_count(y[:, None] ^ few_of_all[None]).sum(axis=(1, 2), dtype=np.int64).argmin())
         star = np.flatnonzero((own != own[middle]) & within(y, y[middle], distance))
-        a.append(np.full(len(star), s + middle))
-        b.append(star + s)
-        to_middle = np.zeros(n, bool)
+        to_middle, left_out = np.zeros(n, bool), np.zeros(n, bool)
         to_middle[star] = True
-        more.append(np.ones(len(star), bool) if most < n else np.zeros(len(star), bool))
         step = max(1, 1_000_000 // n)
         for at in range(0, len(outer), step):
             i = outer[at : at + step]
             d = np.bitwise_count(y[i][:, None] ^ y[None]).sum(axis=-1, dtype=np.int64)
             d[own[i][:, None] == own[None]] = 1 << 20
             hits = (d <= distance).sum(axis=1)
+            apart = (d <= distance) & (known[i][:, None] != known[None])
+            apart[:, middle] &= ~to_middle[i]  # that pair is given anyway
+            alone = (hits > most) & to_middle[i]
+            left_out[i[alone]] = apart[alone].any(axis=1)
             # of what has more than it may pass on, and is near the middle, that one pair stands for all: the key stays open
             for k in np.flatnonzero((hits > 0) & ((hits <= most) | ~to_middle[i])).tolist():
                 found = np.argsort(d[k], kind="stable")[: min(most, int(hits[k]))]
                 a.append(np.full(len(found), s + i[k]))
                 b.append(found + s)
-                more.append(np.full(len(found), hits[k] > most))
+                more.append(np.full(len(found), hits[k] > most and i[k] != middle and apart[k].sum() > apart[k, found].sum()))
+        a.append(np.full(len(star), s + middle))
+        b.append(star + s)
+        more.append(left_out[star])
     small = np.flatnonzero(np.repeat(mixed & (sizes <= few), sizes))
     key, x, label = key[small], x[small], label[small]
     for lag in range(1, min(few, len(key))):
@@ -128,8 +136,8 @@ def _candidates(rows: DataFrame, distance: int, most: int) -> DataFrame:
     def some(columns: tuple) -> pa.RecordBatch:
         from loomstone.llm.near import across
 
-        run, node, label, key, *fp = columns
-        a, b, more = across(run, np.stack(fp, axis=1).view(np.uint64), label, distance, most)
+        run, node, label, cluster, key, *fp = columns
+        a, b, more = across(run, np.stack(fp, axis=1).view(np.uint64), label, distance, most, cluster)
         swap = node[a] > node[b]
         own = key[a]
         a, b = np.where(swap, b, a), np.where(swap, a, b)
@@ -137,7 +145,7 @@ def _candidates(rows: DataFrame, distance: int, most: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["a", "b", "la", "lb", "key", "more"])
 
     ship(rows.sparkSession)
-    rows = rows.select("run", "_node", "label", "key", *SKETCH)
+    rows = rows.select("run", "_node", "label", "cluster", "key", *SKETCH)
     return by_key(rows, some, "a long, b long, la long, lb long, key long, more boolean", "run")
 
 
@@ -192,7 +200,7 @@ def chained(key: np.ndarray, x: np.ndarray, label: np.ndarray, distance: int, cl
     for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
         left = np.arange(s, e)
         known = left if cluster is None else cluster[s:e]
-        if len(left) < 2 or (known == known[0]).all():
+        if (known == known[0]).all() or (label[s:e] == label[s]).all():
             continue
         own = np.unique(known, return_inverse=True)[1]
         root = list(range(int(own.max()) + 1))
@@ -337,14 +345,17 @@ def groups(
     Tables that are out of use are removed at once.
     """
     labels: DataFrame | None = None
+    clusters: DataFrame | None = None
     tested: list[DataFrame] = []
 
+    def named(rows: DataFrame, names: DataFrame | None, column: str) -> DataFrame:
+        if names is None:
+            return rows.withColumn(column, F.col("_node"))
+        return rows.join(names.withColumnRenamed("label", column), "_node", "left").withColumn(column, F.coalesce(column, "_node"))
+
     def keyed(tables: range) -> DataFrame:
-        own = F.col("_node").alias("label")
-        rows = nodes
-        if labels is not None:
-            rows, own = nodes.join(labels, "_node", "left"), F.coalesce("label", "_node").alias("label")
-        return rows.select(F.explode(keys(tables)).alias("key"), "_node", own, *SKETCH)
+        rows = named(named(nodes, labels, "label"), clusters, "cluster")
+        return rows.select(F.explode(keys(tables)).alias("key"), "_node", "label", "cluster", *SKETCH)
 
     def contract(pairs: DataFrame, sure: bool = False) -> bool:
         """New labels after the links among pairs (all of them, if they are sure); whether there are any."""
@@ -385,38 +396,30 @@ def groups(
         busy = store.cut(_busy_keys(rows, 0).select("key", "top", "outer", "inner"))
         return (rows.withColumn("run", F.col("key")) if busy.isEmpty() else _dealt(rows, busy, "key")), busy
 
-    start, open_keys = 0, []
+    start = 0
     while start < n_tables:
-        stop = min(n_tables, start + (AT_ONCE if start else FIRST))
-        rows, busy = runs(keyed(range(start, stop)))
+        tables = range(start, min(n_tables, start + (AT_ONCE if start else FIRST)))
+        rows, busy = runs(keyed(tables))
         found = store.cut(_candidates(rows, differ, NEAREST))
         pairs = untested(found.groupBy("a", "b").agg(F.first("la").alias("la"), F.first("lb").alias("lb")))
         if not pairs.isEmpty():
             contract(pairs)
-        open_keys.append(store.cut(found.where("more").select("key").distinct()))
+        still = small(found.where("more").select("key").distinct(), store)
         store.drop(busy, found)
-        start = stop
-    clusters: DataFrame | None = None
-    for tables, some_keys in ((range(min(FIRST, n_tables)), open_keys[:1]), (range(FIRST, n_tables), open_keys[1:])):
-        if not some_keys:
-            continue
-        still = some_keys[0]
-        for k in some_keys[1:]:
-            still = still.unionByName(k)
-        if still.isEmpty():
-            continue
-        rows = keyed(tables).join(small(still, store), "key", "left_semi")
-        mixed = rows.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
-        held = store.cut(rows.join(small(mixed, store), "key", "left_semi"))
-        rows, busy = runs(held)
-        edges = store.cut(_clustered(rows, clusters, differ).distinct())
-        if not edges.isEmpty():
-            clusters = _relabelled(clusters, edges, store)
-        store.drop(held, busy, edges)
+        if not still.isEmpty():
+            held = store.cut(keyed(tables).join(still, "key", "left_semi"))
+            rows, busy = runs(held)
+            edges = store.cut(_clustered(rows, differ).distinct())
+            if not edges.isEmpty():
+                clusters = _relabelled(clusters, edges, store)
+            store.drop(held, busy, edges)
+        start = tables.stop
     if clusters is not None:
         own = nodes.select("_node", "_least", "_size", *SKETCH).join(clusters.withColumnRenamed("label", "cluster"), "_node")
-        own = own.join(labels, "_node", "left").withColumn("label", F.coalesce("label", "_node")) if labels is not None else own.withColumn("label", F.col("_node"))
-        contract(_settle(store.cut(own), sets_of, differ, store), sure=True)
+        own = named(own, labels, "label")
+        mixed = own.groupBy("cluster").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("cluster")
+        own = store.cut(own.join(small(mixed, store), "cluster", "left_semi"))
+        contract(_settle(own, sets_of, differ, store), sure=True)
     return labels if labels is not None else nodes.select("_node", F.col("_node").alias("label")).limit(0)
 
 
@@ -432,13 +435,8 @@ def _relabelled(labels: DataFrame | None, edges: DataFrame, store: Tables) -> Da
     return out
 
 
-def _clustered(rows: DataFrame, clusters: DataFrame | None, distance: int) -> DataFrame:
-    """a, b: pairs of clusters (_node, label; a node without a row is its own) that connect what is near with different labels within runs."""
-    rows = rows.select("run", "_node", "label", *SKETCH)
-    if clusters is None:
-        rows = rows.withColumn("cluster", F.col("_node"))
-    else:
-        rows = rows.join(clusters.withColumnRenamed("label", "cluster"), "_node", "left").withColumn("cluster", F.coalesce("cluster", "_node"))
+def _clustered(rows: DataFrame, distance: int) -> DataFrame:
+    """a, b: pairs of clusters that connect what is near with different labels within runs."""
 
     def some(columns: tuple) -> pa.RecordBatch:
         from loomstone.llm.near import chained

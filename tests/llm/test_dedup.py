@@ -221,6 +221,30 @@ def test_open_keys_of_many_tables_are_clustered_once(spark, monkeypatch):
     assert n < sum(counted) < (near.FIRST + 1) * n
 
 
+def test_keys_stay_open_for_pairs_across_clusters_only(spark, monkeypatch):
+    """A dense group without links is clustered by the first tables: of the others, its rows are not looked up again."""
+    key, x, label = np.zeros(30), np.zeros((30, 2), np.uint64), np.arange(30)
+    assert near.across(key, x, label, 3, 2)[2].any()
+    assert not near.across(key, x, label, 3, 2, np.full(30, 7))[2].any()
+    a, b, more = near.across(key, x, label, 3, 2, np.repeat([7, 8], 15))
+    assert more.any() and len(a) == len(b) == len(more)
+    n, tables, counted = 640, 40, []
+    real = near._clustered
+
+    def told(rows, *others):
+        counted.append(rows.count())
+        return real(rows, *others)
+
+    monkeypatch.setattr(near, "_clustered", told)
+    node = F.col("_node")
+    nodes = spark.range(n).select(F.col("id").alias("_node"), F.col("id").alias("_least"), F.lit(4).alias("_size"), F.expr("shiftleft(1L, cast(id % 60 AS int))").alias("w0"), F.lit(0).cast("long").alias("w1"))
+    keys = lambda r: F.array(*[F.lit(t << 40) + F.pmod(F.xxhash64(F.lit(t), node), F.lit(16)) for t in r])
+    sets_of = lambda some: some.select("_node", F.array(*[F.when(node >= n - 2, -1).otherwise(node) * 4 + k for k in range(4)]).alias("_set"))
+    labels = near.groups(nodes, keys, tables, 36, sets_of, near.Tables(spark)).collect()
+    assert sorted(r["_node"] for r in labels) == [n - 2, n - 1] and len({r["label"] for r in labels}) == 1
+    assert 0 < sum(counted) < 2 * near.FIRST * n
+
+
 def test_pairs_in_a_run_connect_clusters():
     x, label = np.zeros((6, 2), np.uint64), np.arange(6)
     a, b = near.chained(np.zeros(6), x, label, 3, np.array([7, 7, 8, 8, 8, 9]))
