@@ -15,48 +15,66 @@ from loomstone.operators.network import map_ready
 
 @dataclass(frozen=True)
 class Child:
-    """A child table: its rows, their order within a packet (the first ones stay), how many a packet holds, and whether it must have one."""
+    """A child table: its rows, their order within a packet, and whether a packet must have one.
+
+    A packet holds all rows of a child. With most it holds that many, the first ones, and overflow() has the others. With each,
+    columns of the rows, it holds the first row of every value of them (of no column: the first row), which is enough for a use
+    that asks for the first row, for how many there are and for distinct values, however many rows share a key.
+    """
 
     rows: DataFrame
     order: Sequence[Column] = ()
-    most: int = 1000
+    most: int | None = None
     needed: bool = False
+    each: Sequence[str] | None = None
 
 
 def _tagged(parents: DataFrame, children: Mapping[str, Child], keys: Sequence[str]) -> DataFrame:
-    """All rows of all tables with their keys, the number of their table, their values as a struct of their own, and their place in order."""
-    tables = {"parent": Child(parents, most=1)} | dict(children)
+    """All rows of all tables with their keys, the number of their table, their values as a struct of their own, and their place in order.
+
+    Of children with each also the place among the rows of the same value.
+    """
+    tables = {"parent": Child(parents)} | dict(children)
     kinds = {}
     parts = []
     for n, (name, child) in enumerate(tables.items()):
         values = [F.col(f"`{c}`") for c in child.rows.columns if c not in keys]
-        own = child.rows.select(*keys, F.lit(n).alias("_tag"), (F.struct(*values) if values else F.struct(F.lit(True).alias("present"))).alias(name), F.struct(*child.order, F.lit(0)).alias(f"_o_{name}") if child.order else F.struct(F.lit(0)).alias(f"_o_{name}"), F.lit(child.most).alias("_most"))
-        kinds |= {name: own.schema[name].dataType, f"_o_{name}": own.schema[f"_o_{name}"].dataType}
+        same = [F.struct(*[F.col(f"`{c}`") for c in child.each]).alias(f"_v_{name}")] if child.each else []
+        own = child.rows.select(*keys, F.lit(n).alias("_tag"), (F.struct(*values) if values else F.struct(F.lit(True).alias("present"))).alias(name), F.struct(*child.order, F.lit(0)).alias(f"_o_{name}") if child.order else F.struct(F.lit(0)).alias(f"_o_{name}"), F.lit(child.most).cast("int").alias("_most"), *same)
+        kinds |= {c: own.schema[c].dataType for c in own.columns if c not in (*keys, "_tag", "_most")}
         parts.append((name, own))
     out = None
     for name, own in parts:
         for other, kind in kinds.items():
-            if other not in (name, f"_o_{name}"):
+            if other not in (name, f"_o_{name}", f"_v_{name}"):
                 own = own.withColumn(other, F.lit(None).cast(kind))
         own = own.select(*keys, "_tag", "_most", *kinds)
         out = own if out is None else out.unionByName(own)
     # one shuffle by the keys; ranks and packets are made where the rows then are, sorted and spilled as need be
-    return out.repartition(*keys).withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "_tag").orderBy(*[f"_o_{name}" for name in tables])))
+    out = out.repartition(*keys).withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "_tag").orderBy(*[f"_o_{name}" for name in tables])))
+    same = [f"_v_{name}" for name, child in children.items() if child.each]
+    return out.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys, "_tag", *same).orderBy("_rank"))) if same else out
+
+
+def _held(child: Child) -> Column:
+    """Whether a packet holds this row of the child."""
+    held = F.lit(True) if child.each is None else F.col("_nth" if child.each else "_rank") == 1
+    return held if child.most is None else held & (F.col("_rank") <= child.most)
 
 
 def packets(parents: DataFrame, children: Mapping[str, Child], keys: Sequence[str]) -> DataFrame:
     """keys, parent (a struct), and for each child an array of structs in its order and n_<name>, how many rows it has in all.
 
     All tables have the columns keys, which are not null; parents has a row per key. The tables go through one shuffle as a tagged union,
-    however many they are; no table is joined. An array holds the first rows of a child, most of them at most: overflow() has the
-    others, so no packet outgrows memory and no row is lost. A packet without a parent or without a row of a needed child is left out.
+    however many they are; no table is joined. An array holds all rows of a child, or those that its Child says. A packet
+    without a parent or without a row of a needed child is left out.
     """
     ranked = _tagged(parents, children, keys)
     out = [F.max(F.when(F.col("_tag") == 0, F.col("parent"))).alias("parent")]
-    for n, name in enumerate(children, 1):
+    for n, (name, child) in enumerate(children.items(), 1):
         own = F.col("_tag") == n
-        first = F.collect_list(F.when(own & (F.col("_rank") <= F.col("_most")), F.struct("_rank", name)))
-        out += [F.transform(F.sort_array(first), _second(name)).alias(name), F.count_if(own).alias(f"n_{name}")]
+        held = F.collect_list(F.when(own & _held(child), F.struct("_rank", name)))
+        out += [F.transform(F.sort_array(held), _second(name)).alias(name), F.count_if(own).alias(f"n_{name}")]
     rows = ranked.groupBy(*keys).agg(*out).where(F.col("parent").isNotNull())
     for name, child in children.items():
         if child.needed:
@@ -69,7 +87,7 @@ def _second(name: str):
 
 
 def overflow(parents: DataFrame, children: Mapping[str, Child], keys: Sequence[str]) -> DataFrame:
-    """keys, child, position, row (JSON) of the rows that packets hold no more: a table to be written beside them."""
+    """keys, child, position, row (JSON) of the rows beyond most, which packets hold no more: a table to be written beside them."""
     ranked = _tagged(parents, children, keys).where(F.col("_rank") > F.col("_most")).where("_tag > 0")
     name = F.element_at(F.array(*map(F.lit, children)), F.col("_tag"))
     row = F.coalesce(*[F.to_json(c) for c in children])
@@ -85,12 +103,16 @@ NEEDS = {
     "evidence": ("url", "value"), "review": ("reason",),
 }
 
+#: The values of a child of which an index row needs each; of the others the first row and the number are enough.
+EACH = {"alias": ("alias",), "evidence": ("url",)}
+
 
 def index_rows(packed: DataFrame, keys: Sequence[str], public_network: bool = True, guard_years: bool = True) -> DataFrame:
     """The keys and 43 columns for lists, maps and search, from packets of the tables that NEEDS names.
 
     A year's visits that look like a year are none, and neither is a traffic of theirs (unless guard_years is false). A model's values count once it is active; its middle
-    stands in for the estimate. Without evidence a place counts as one source; sources are its distinct addresses, sorted.
+    stands in for the estimate. Without evidence a place counts as one source; sources are its distinct addresses, sorted. Packets whose
+    children have each as in EACH give the same rows as whole ones, except that an alias that repeats is in aliases once.
     """
     p = lambda c: F.col(f"parent.{c}")
     one = lambda t, c: F.get(F.col(t), F.lit(0))[c]

@@ -76,6 +76,16 @@ def test_a_total_like_a_year_stays(agrees):
     assert (row["annual_visits"], row["annual_visits_p50"], row["busy_hour_gb"]) == (2000.0, 2000.0, 2000.0)
 
 
+def test_a_source_behind_a_thousand_others_counts(agrees):
+    # the newest 1190 of 1200 rows of evidence name one source, the oldest ten another
+    tables = {
+        "orders": """SELECT i AS o_orderkey, 5::BIGINT AS o_custkey, 'F' AS o_orderstatus, i::DOUBLE AS o_totalprice, CASE WHEN i < 100 THEN '2-HIGH' ELSE '5-LOW' END AS o_orderpriority FROM range(12000) t(i)""",
+        "customer": "SELECT 5::BIGINT AS c_custkey, 'Customer#5' AS c_name",
+    }
+    row = agrees("packet_index", tables)[0]
+    assert (row["sources"], row["source_count"], row["review_count"]) == ("2-HIGH|5-LOW", 1200, 1200)
+
+
 #: Rows in one spot on either side: all pairs of them would be 4 * 10 ** 8.
 MANY = 20_000
 

@@ -23,6 +23,19 @@ def test_packets(spark):
     assert packets.packets(parents.limit(0), children, ["pid", "run"]).count() == 0
 
 
+def test_packets_hold_every_row_or_the_first_of_every_value(spark):
+    parents = spark.createDataFrame([(1,), (2,)], "pid long")
+    rows = spark.range(3000).select(F.lit(1).cast("long").alias("pid"), F.col("id").alias("v"), F.when(F.col("id") < 2990, "a").when(F.col("id") < 2995, "b").alias("s"))
+    children = {"all": packets.Child(rows, [F.col("v")]), "values": packets.Child(rows, [F.col("v")], each=["s"]), "first": packets.Child(rows, [-F.col("v")], each=[], needed=True), "other": packets.Child(rows, [-F.col("v")], each=["s"])}
+    out = packets.packets(parents, children, ["pid"])
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    (got,) = out.collect()
+    assert [x["v"] for x in got["all"]] == list(range(3000)) and [got[f"n_{n}"] for n in children] == [3000] * 4
+    assert [(x["v"], x["s"]) for x in got["values"]] == [(0, "a"), (2990, "b"), (2995, None)]
+    assert [x["v"] for x in got["first"]] == [2999] and [(x["v"], x["s"]) for x in got["other"]] == [(2999, None), (2994, "b"), (2989, "a")]
+    assert packets.overflow(parents, children, ["pid"]).count() == 0
+
+
 def test_index_rows(spark):
     parent = "pid long, name string, country string, city string, city_id string, scene string, lat double, lon double, maps string, precision string, map_source string, coordinate_status string"
     parents = spark.createDataFrame([(1, "São  Hall", "P", "c", "7", "hall", 1.0, 2.0, None, "p", "m", "Verified"), (2, "B", "P", "c", None, "hall", None, None, "link", None, None, "Verified")], parent)
